@@ -103,7 +103,7 @@ ENDINGS = "com|org|net|edu|gov|info|biz|example|test|invalid|io|ai|app|dev|co|uk
 _SEP = r"(?:\s{1,4}dot\s{1,4}|\s{0,4}[\[({<]\s{0,4}(?:dot|punkt|punto|point|\.)\s{0,4}[\])}>]\s{0,4})"
 AT = re.compile(
     r"\s{0,4}[\[({<]\s{0,4}(?:at|@|arroba|arobase|chez|ät)\s{0,4}[\])}>]\s{0,4}|(?<=\w)(?:_at_|-at-)(?=\w)"
-    rf"|(?<=\w)\s{1,4}at\s{1,4}(?=[a-z0-9-]+(?:(?:{_SEP}|\.)[a-z0-9-]+)*{_SEP}(?:{ENDINGS})(?!\w))"
+    rf"|(?<=\w)\s{{1,4}}at\s{{1,4}}(?=[a-z0-9-]+(?:(?:{_SEP}|\.)[a-z0-9-]+)*{_SEP}(?:{ENDINGS})(?!\w))"
     r"|&#64;|&commat;|%40|(?<=\w)\s{1,4}@\s{0,4}(?=\w)|(?<=\w)@\s{1,4}(?=\w)",
     re.I,
 )
@@ -239,6 +239,10 @@ def _joined(col: Column) -> Column:
     return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("every", lambda x: x["kind"] == kind))
+
+
 def report(df: DataFrame) -> DataFrame:
     """Counts per kind, the digest of the base spans and the list of all spans; one row per document."""
     found = find(df)
@@ -252,7 +256,7 @@ def report(df: DataFrame) -> DataFrame:
     found = found.withColumn("every", every)
     return found.select(
         "doc_id",
-        *(F.size(F.filter("every", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(_count(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("every")).alias("spans"),
     )
