@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lines, neardup, pii
+from . import bpe, decontam, langid, lines, neardup, pii, warc
 from .common import crc_mod, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
@@ -45,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": decontam.SQL, "op7_lines": lines.SQL}
+    return {"op5_decontam": decontam.SQL, "op6_warc": warc.SQL, "op7_lines": lines.SQL}
