@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, lines, neardup, pii, unigram, warc
+from . import bpe, decontam, forest, html, langid, lines, neardup, pii, unigram, warc
 from .common import crc_mod, table
 
 PIECES = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op3_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.score(docs, public_tokenizers.path(PIECES))
 
 
+def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
