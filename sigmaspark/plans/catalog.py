@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigmaspark.functions import audio, tags, text
+from sigmaspark.functions import audio, id3, tags, text
 from sigmaspark.operators import fir, lookup, tracks
+from sigmaspark.sinks import audio as audio_sink
+from sigmaspark.sinks import text as text_sink
+from sigmaspark.sources import dsdiff, dsf
+from sigmaspark.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -396,6 +400,58 @@ def silence_fill(spark, sf_dir):
     return slots.join(li, ["k", "line"], "left").select("k", "line", F.coalesce("payload", F.lit(audio.SILENCE).cast("long")).alias("payload"))
 
 
+def vector_frames(spark, sf_dir):
+    """Each label's vectors as the frames of a stereo track."""
+    e = table(spark, sf_dir, "embeddings")
+    no = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+    return e.select(F.col("label").alias("track"), no.alias("frame_no"), F.lit(2).alias("channels"), F.lit(2822400).alias("rate"), F.rpad(F.lit(""), 9408, F.concat(F.col("vec_id").cast("string"), F.lit(":"))).cast("binary").alias("payload"))
+
+
+FRAME_SQL = """SELECT label::VARCHAR AS track, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS frame_no,
+  ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 37632)::BIGINT AS sample_offset, md5(left(repeat(vec_id || ':', 9408), 9408)) AS md5 FROM embeddings"""
+
+
+def _round_trip(spark, sf_dir, kind, source, write, ending):
+    folder = shared_dir(spark)
+    spark.dataSource.register(source)
+    audio_sink.write_tracks(vector_frames(spark, sf_dir), folder, write, ending).write.mode("overwrite").parquet(f"{folder}/written")
+    back = spark.read.format(kind).load(folder)
+    return back.select(F.regexp_extract("path", r"([^/]*)\.\w+$", 1).alias("track"), "frame_no", "sample_offset", F.md5("payload").alias("md5"))
+
+
+@query(FRAME_SQL)
+def dsf_round_trip(spark, sf_dir):
+    """Frames written to one DSF file per track and read back through the data source."""
+    return _round_trip(spark, sf_dir, "dsf", dsf.DsfSource, audio_sink.write_dsf, ".dsf")
+
+
+@query(FRAME_SQL)
+def dsdiff_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "dsdiff", dsdiff.DsdiffSource, audio_sink.write_dsdiff, ".dff")
+
+
+@query("""SELECT p_partkey, p_name AS title, p_brand AS brand, p_type AS kind FROM part""")
+def id3_round_trip(spark, sf_dir):
+    """Tags rendered to binary and parsed back."""
+    p = table(spark, sf_dir, "part").select("p_partkey", id3.render_tag(F.create_map(F.lit("TIT2"), "p_name", F.lit("TXXX:Brand"), "p_brand", F.lit("COMM"), "p_type")).alias("tag"))
+    t = p.select("p_partkey", id3.parse_tag("tag").alias("t"))
+    return t.select("p_partkey", F.col("t")["TIT2"].alias("title"), F.col("t")["TXXX:Brand"].alias("brand"), F.col("t")["COMM"].alias("kind"))
+
+
+@query(f"""WITH {LINES}, t AS (SELECT l_orderkey, line, frames, (line * 60 + (l_partkey % 3) * 5)::BIGINT AS s, 'P' || l_partkey AS title FROM l),
+g AS (SELECT *, coalesce(lag(s + frames) OVER (PARTITION BY l_orderkey ORDER BY line), 0)::BIGINT AS pe FROM t),
+x AS (SELECT l_orderkey, line AS track, unnest(list_filter([printf('  TRACK %02d AUDIO', line), '      TITLE "' || title || '"', CASE WHEN s > pe THEN '      INDEX 00 ' || printf('%02d:%02d:%02d', pe // 75 // 60, pe // 75 % 60, pe % 75) END,
+  '      INDEX 01 ' || printf('%02d:%02d:%02d', s // 75 // 60, s // 75 % 60, s % 75)], lambda v: v IS NOT NULL)) AS line, unnest(range(0, CASE WHEN s > pe THEN 4 ELSE 3 END)) AS k FROM g
+UNION ALL SELECT o_orderkey, 0, unnest(['REM Generated by sigmaspark', 'REM DATE ' || year(o_orderdate), 'PERFORMER "' || o_orderpriority || '"', 'TITLE "Order ' || o_orderkey || '"', 'FILE "audio.dff" WAVE']), unnest(range(0, 5)) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+SELECT l_orderkey AS album_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY track, k) - 1)::BIGINT AS line_no, line FROM x""")
+def cue_sheet(spark, sf_dir):
+    """A CUE sheet for each order."""
+    none = F.lit(None).cast("string")
+    t = lines(spark, sf_dir).select(F.col("l_orderkey").alias("album_id"), F.col("line").alias("track"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("title"), none.alias("performer"), none.alias("isrc"), (F.col("line") * 60 + (F.col("l_partkey") % 3) * 5).alias("start_frame"), "frames")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("album_id"), F.col("o_orderpriority").alias("artist"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), none.alias("genre"), F.year("o_orderdate").alias("year"), none.alias("catalog"), none.alias("file"))
+    return text_sink.cue_sheet(o.join(t.select("album_id").distinct(), "album_id", "left_semi"), t)
+
+
 FLAG_SQL = "CASE event_type WHEN 'click' THEN 'Stereo' WHEN 'view' THEN 'Multi-channel' WHEN 'purchase' THEN 'DST' ELSE 'Unknown' END"
 
 
