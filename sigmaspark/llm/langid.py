@@ -41,7 +41,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 def hashes(codes: np.ndarray, order: int) -> np.ndarray:
     """Hash of the ``order`` code points that end at each place (only valid where so many precede)."""
-    h = np.full(len(codes), order, np.uint64)
+    h = np.full(len(codes), order * 0xD6E8FEB86659FD93 % 2**64, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(order):
             h[k:] = (h[k:] ^ codes[: len(codes) - k]) * PRIME

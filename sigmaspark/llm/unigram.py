@@ -68,7 +68,7 @@ def _hash_one(piece: bytes) -> int:
 def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n bytes from each column on, for each row."""
     w = codes.shape[1] - n + 1
-    h = np.full((codes.shape[0], w), n, np.uint64)
+    h = np.full((codes.shape[0], w), n * 0xD6E8FEB86659FD93 % 2**64, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
             h = (h ^ codes[:, k : k + w].astype(np.uint64)) * M1
