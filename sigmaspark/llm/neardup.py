@@ -13,7 +13,7 @@ are the connected components of the links.
    then against its closest mate in other groups, and at last all pairs of different groups
    that remain are checked. A list whose members are all in one group is skipped; a pair counts
    in the first list it shares (its prefix) and is retained if it meets in ``MATCHES`` lists and
-   its sketches agree well enough. Inside a task lists are compared in blocks of ``BLOCK``
+   its sketches, and for short texts the sets themselves, agree well enough. Inside a task lists are compared in blocks of ``BLOCK``
    classes, long lists being split into pairs of blocks, so no task holds a whole long list
    and pairs are only emitted above the threshold.
 4. *Links.* Retained pairs are confirmed on the full sets, which are worked out again for the
@@ -43,6 +43,7 @@ MINIMA, COORDS, SKETCH = 64, 32, 256
 MATCHES = 2
 AGREE = 0.62  # of sketch bins; 0.75 less 4.8 standard deviations
 BLOCK = 2048
+SHORT = 512  # shingles up to which a set is compared whole before its pairs are retained
 _RNG = np.random.default_rng(20)
 MULT = _RNG.integers(1, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -112,6 +113,14 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / np.maximum(either, 1)
 
 
+def _may_link(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two short sets, as 32-bit hashes, come close enough; True where one isn't short. Leaves room for hashes that fall together."""
+    if not len(a) or not len(b):
+        return True
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return 100 * (both + 1) >= PERCENT * (len(a) + len(b) - both - 1)
+
+
 def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int, float]]:
     """Pairs of one list (or pair of blocks) whose groups differ: each row's closest mate, or all that may be linked."""
     rep, comp, n, own = cols["rep"], cols["comp"], cols["n"], cols["own"]
@@ -123,6 +132,7 @@ def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int,
         mate = np.full(len(rep), -1)
     else:
         kf = np.frombuffer(b"".join(cols["keys"]), np.uint32).reshape(-1, COORDS)
+        short = [np.frombuffer(x, np.uint32) for x in cols["short"]]
     for at in range(0, len(first), 256):
         f = first[at : at + 256]
         ok = (comp[f][:, None] != comp[second][None, :]) & (4 * np.minimum(n[f][:, None], n[second][None, :]) >= 3 * np.maximum(n[f][:, None], n[second][None, :]))
@@ -145,8 +155,9 @@ def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int,
             for s in range(0, len(p), 65536):
                 a, b = p[s : s + 65536], q[s : s + 65536]
                 same = kf[a] == kf[b]
-                hit = (same.argmax(1) == cols["c"][0]) & (same.sum(1) >= MATCHES)
-                out += zip(rep[a[hit]].tolist(), rep[b[hit]].tolist(), [1.0] * int(hit.sum()))
+                hit = np.flatnonzero((same.argmax(1) == cols["c"][0]) & (same.sum(1) >= MATCHES))
+                hit = [h for h in hit if _may_link(short[a[h]], short[b[h]])]
+                out += zip(rep[a[hit]].tolist(), rep[b[hit]].tolist(), [1.0] * len(hit))
     if nearest:
         hit = np.flatnonzero((mate >= 0) & (best >= AGREE))
         out = list(zip(rep[hit].tolist(), rep[mate[hit]].tolist(), best[hit].tolist()))
@@ -161,7 +172,7 @@ def _pairs_in_lists(rows: DataFrame, nearest: bool) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table):
-            cols = {k: t.column(k).to_numpy() if k not in ("sketch", "keys") else t.column(k).to_pylist() for k in t.column_names}
+            cols = {k: t.column(k).to_numpy() if k not in ("sketch", "keys", "short") else t.column(k).to_pylist() for k in t.column_names}
             change = np.zeros(t.num_rows, bool)
             for k in key:
                 change[1:] |= cols[k][1:] != cols[k][:-1]
@@ -226,9 +237,11 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
             def run(batches):
                 for b in batches:
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["node", "set"])
+                    every = [shingles(x) for x in b.column(1).to_pylist()]
+                    short = [np.unique(m.astype(np.uint32)).tobytes() if len(m) <= SHORT else b"" for m in every]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.tobytes() for m in every], pa.binary()), pa.array(short, pa.binary())], names=["node", "set", "short"])
 
-            texts = stored(small_batches(docs).select("doc_id", F.col(text)).join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, set binary"), f"{path}/sets")
+            texts = stored(small_batches(docs).select("doc_id", F.col(text)).join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, set binary, short binary"), f"{path}/sets")
         return texts
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
@@ -245,6 +258,7 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
                     ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
+        s = s.select("node", "set")
         both = pairs.select("a", "b").join(s.withColumnsRenamed({"node": "a", "set": "x"}), "a").join(s.withColumnsRenamed({"node": "b", "set": "y"}), "b").select("a", "b", "x", "y")
         return stored(small_batches(both, 256).mapInArrow(run, "a long, b long").distinct(), f"{path}/links-{name}")
 
@@ -279,7 +293,8 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = rows.select("rep", "c", "key", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         shown = reps.select("rep", "n", "sketch", *([] if nearest else ["keys"]))
         if not nearest:
-            shown = _short_keys(shown)
+            short = sets().select(F.col("node").alias("rep"), "short").dropDuplicates(["rep"])
+            shown = _short_keys(shown).join(short, "rep")
         return stored(_pairs_in_lists(rows.join(shown, "rep"), nearest), f"{path}/near-{name}")
 
     # The smallest id of the lists a class is in, that which it meets most often.
