@@ -12,8 +12,8 @@ table per tree. Every vector in those ranges is compared exactly; the nearest of
 merged.
 
 The arrays are dealt by tree and a short prefix. A prefix that holds more than ``PART`` vectors
-is split into parts, and its queries go to each part, so a hot direction is not one task's work
-and no candidate is dropped.
+is split into parts, its queries into blocks, and each part meets each block, so a hot direction
+is not one task's work and no candidate is dropped.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, neither do rows without an id. Rows that repeat an id count
@@ -131,15 +131,24 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
     def parts_of(tree_prefix: np.ndarray) -> np.ndarray:
         return np.maximum(-(-sent.value[short][tree_prefix] // PART), 1)
 
+    def blocks_of(tree_prefix: np.ndarray) -> np.ndarray:
+        return np.maximum(-(-sent.value[short][tree_prefix] // (PART * every)), 1)
+
+    def mixed(ids: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
     def deal(batches):
         for b in batches:
             c = b.column(1).flatten().to_numpy().reshape(-1, TREES)
             at = (c >> (BITS - short)) + (np.arange(TREES, dtype=np.int64) << short)
-            parts = parts_of(at)
             ids = b.column(0).to_numpy()
-            part = (ids[:, None] * np.int64(0x5851F42D4C957F2D) >> np.int64(33)) % parts
-            who = np.repeat(np.arange(len(ids)), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(part.ravel()), pa.array(c.ravel()), pa.array(np.zeros(c.size, np.int32)), pa.array(ids[who]), b.column(2).take(pa.array(who))], names=["at", "part", "code", "depth", "id", "v"])
+            part = mixed(ids)[:, None] % parts_of(at)
+            times = blocks_of(at).ravel()
+            block = np.concatenate([np.arange(t) for t in times]) if times.max() > 1 else np.zeros(len(times), np.int64)
+            who = np.repeat(np.repeat(np.arange(len(ids)), TREES), times)
+            cols = [np.repeat(x.ravel(), times) for x in (at, part)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(block), pa.array(np.repeat(c.ravel(), times)), pa.array(np.zeros(len(who), np.int32)), pa.array(ids[who]), b.column(2).take(pa.array(who))], names=["at", "part", "block", "code", "depth", "id", "v"])
 
     def ask(batches):
         for b in batches:
@@ -149,7 +158,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
                 m = sent.value[d][(c >> (BITS - d)) + (np.arange(TREES, dtype=np.int64) << d)].sum(1)
                 depth[(depth < 0) & (m >= want)] = d
             depth = np.maximum(depth, 0)
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
+            mine = mixed(b.column(0).to_numpy())
             for i, d in enumerate(depth):
                 below = np.arange(1 << max(short - d, 0), dtype=np.int64)
                 at = (((c[i] >> (BITS - min(d, short))) + (np.arange(TREES, dtype=np.int64) << min(d, short)))[:, None] << max(short - d, 0)) + below[None, :]
@@ -161,12 +171,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
                 cols[2].append(np.repeat(c[i][tree], times))
                 cols[3].append(np.full(int(times.sum()), d + 1, np.int32))
                 cols[4].append(np.full(int(times.sum()), i))
+                cols[5].append(np.repeat(mine[i] % blocks_of(at), times))
             if not cols[0]:
                 continue
             who = np.concatenate(cols[4])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1])), pa.array(np.concatenate(cols[2])), pa.array(np.concatenate(cols[3])), b.column(0).take(pa.array(who)), b.column(2).take(pa.array(who))], names=["at", "part", "code", "depth", "id", "v"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(cols[k])) for k in (0, 1, 5, 2, 3)), b.column(0).take(pa.array(who)), b.column(2).take(pa.array(who))], names=["at", "part", "block", "code", "depth", "id", "v"])
 
-    shape = "at long, part long, code long, depth int, id long, v binary"  # depth: 0 for a vector, one more than its prefix for a query
+    shape = "at long, part long, block long, code long, depth int, id long, v binary"  # depth: 0 for a vector, one more than its prefix for a query
     dealt = coded.select("id", "codes", "v").mapInArrow(deal, shape)
     asked = coded.where("is_query").select("id", "query_codes", "v").mapInArrow(ask, shape)
 
@@ -189,7 +200,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
-    near = dealt.unionAll(asked).groupBy("at", "part").applyInPandas(compare, "query_id long, vec_id long, score double")
+    near = dealt.unionAll(asked).groupBy("at", "part", "block").applyInPandas(compare, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

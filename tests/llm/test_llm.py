@@ -190,6 +190,14 @@ def test_forest_recall_and_scores(spark, sf):
     assert hit / total >= 0.9
 
 
+def test_forest_parts_give_the_same(spark, sf, monkeypatch):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    monkeypatch.setattr(forest, "WHOLE", 10)
+    want = {(r.query_id, r.rank, r.vec_id) for r in forest.search(e).collect()}
+    monkeypatch.setattr(forest, "PART", 3)
+    assert {(r.query_id, r.rank, r.vec_id) for r in forest.search(e).collect()} == want
+
+
 def test_forest_odd_vectors(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (None, [1.0, 1.0])]
     good = [(20, [1.0, 0.0]), (21, [0.5, 0.5]), (22, [0.5, -0.5]), (23, [9.0, 0.0]), (23, [9.0, 0.0])]
