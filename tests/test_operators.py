@@ -23,7 +23,7 @@ def test_bad_selection(spec, kind):
     assert e.value.kind == kind
 
 
-@pytest.mark.parametrize(("raw", "want"), [(" .a/b?. ", "a_b"), ("...", "untitled"), ("", "untitled"), ("ok\x1f", "ok_"), ("\x7f", "\x7f"), (None, None)])
+@pytest.mark.parametrize(("raw", "want"), [(" .a/b?. ", "a_b_"), ("...", "untitled"), ("", "untitled"), ("ok\x1f", "ok_"), ("\x7f", "\x7f"), (None, None)])
 def test_sanitize(spark, raw, want):
     assert one(spark, raw, "string", text.sanitize_filename) == want
 
