@@ -29,8 +29,8 @@ def sanitize_filepath(col: Column) -> Column:
 def cut_bytes(col: Column, limit: int) -> Column:
     """The longest prefix of at most ``limit`` UTF-8 bytes that doesn't split a character."""
     raw = F.encode(col, "utf-8")
-    head = F.decode(F.substring(raw, 1, limit), "utf-8")
-    # A character cut in two decodes to replacement characters at the end.
+    head = F.make_valid_utf8(F.substring(raw, 1, limit).cast("string"))
+    # A character cut in two became replacement characters at the end.
     whole = F.regexp_replace(head, "�+$", "")
     return F.when(F.octet_length(col) <= limit, col).otherwise(whole)
 
