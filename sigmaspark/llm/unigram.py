@@ -122,6 +122,19 @@ def lattice(words: list[bytes], keys: np.ndarray, logp: np.ndarray, weights: np.
     return out, expected
 
 
+def _gathered(batches, rows: int = 50_000):
+    """Record batches joined to about ``rows`` rows, so that array operations are long."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """word (binary), c (in training texts), n (in all); the end token is the empty word."""
 
@@ -161,7 +174,7 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
         def run(batches):
             k, _ = vocabulary(path)
             total = np.zeros(len(k))
-            for b in batches:
+            for b in _gathered(batches):
                 total += lattice(b.column(0).to_pylist(), k, sent.value[:-1], b.column(1).to_numpy().astype(float))[1]
             hit = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit], pa.float64())], names=["piece", "e"])
@@ -187,13 +200,13 @@ def score(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         keys, _ = vocabulary(path)
-        for b in batches:
+        for b in _gathered(batches):
             w = b.column(0).to_pylist()
             model = lattice(w, keys, sent.value[:-1])[0] / np.log(10)
             model[[i for i, x in enumerate(w) if not x]] = sent.value[-1] / np.log(10)
             c = b.column(1).to_numpy()
             base = np.log10((c + 0.1) / (big_n + 0.1 * (big_v + 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(model)], names=["word", "n", "known", "base", "model"])
+            yield from pa.table([b.column(0), b.column(2), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(model)], names=["word", "n", "known", "base", "model"]).to_batches(20_000)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     scored = stored(words.select("word", "c", "n").mapInArrow(run, "word binary, n long, known long, base double, model double"), f"{where}/scored")
