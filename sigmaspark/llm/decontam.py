@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index; DataFrame functions only.
 
-1. The documents' words are stored once, an array per row (the token store).
+1. The documents' words are stored once, a row's words joined by spaces (the token store).
 2. How often each benchmark term occurs in the corpus is counted. A window with a term that
    never occurs can't occur. Every other window gets the positions of its two rarest terms.
 3. Postings (term, row, position) of those terms are stored. Each list, shifted by the term's
@@ -34,8 +34,13 @@ def words(text: Column) -> Column:
 
 
 def token_store(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """row (a number of its own for each row), doc_id, words; written once."""
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col(text)).alias("words")), path)
+    """row (a number of its own for each row), doc_id, n_words and line, the words joined by spaces; written once."""
+    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col(text)).alias("words"))
+    return stored(split.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("line")), path)
+
+
+def _stored_words() -> Column:
+    return F.split("line", " ")
 
 
 def windows(bench: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -48,7 +53,7 @@ def windows(bench: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
 def postings(tokens: DataFrame, terms: DataFrame, path: str, small: bool = True) -> DataFrame:
     """Stored positional postings (term, row, pos) of the given distinct terms."""
     terms = F.broadcast(terms) if small else terms
-    return stored(tokens.select("row", F.posexplode("words").alias("pos", "term")).join(terms, "term").select("term", "row", "pos"), path)
+    return stored(tokens.where("n_words > 0").select("row", F.posexplode(_stored_words()).alias("pos", "term")).join(terms, "term").select("term", "row", "pos"), path)
 
 
 def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -71,7 +76,7 @@ def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
     kept = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    often = tokens.select(F.explode("words").alias("term")).join(kept(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    often = tokens.where("n_words > 0").select(F.explode(_stored_words()).alias("term")).join(kept(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
     often = stored(often, f"{path}/often")
 
     placed = items.select("item", "length", F.explode("starts").alias("start"), "words")
@@ -91,7 +96,8 @@ def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
     aligned = aligned.join(kept(tests), "item").withColumn("tests", F.filter("tests", lambda t: F.size(F.array_except(t["ats"], F.col("got"))) == 0))
     aligned = aligned.where(F.size("tests") > 0).drop("got")
 
-    looked = aligned.join(tokens.select("row", "words"), "row")
+    # Dealt by row whatever the sizes, so that the plan is the same for small and large inputs.
+    looked = tokens.where("n_words > 0").select("row", "line").hint("merge").join(aligned, "row").withColumn("words", _stored_words()).drop("line")
 
     def same(t: Column) -> Column:
         at = F.col("shift") + t["start"]
@@ -109,7 +115,7 @@ def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
     tokens = token_store(docs, f"{path}/tokens")
     hits = matches(tokens, windows(bench), path)
     by_row = hits.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = tokens.select("row", "doc_id", F.size("words").cast("long").alias("n_words")).join(by_row, "row", "left")
+    out = tokens.select("row", "doc_id", "n_words").join(by_row, "row", "left")
     n_hit = F.coalesce(F.col("n_hit").cast("long"), F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
