@@ -267,8 +267,8 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
             return rows.withColumn("comp", F.col("rep"))
         return rows.join(comp.withColumnsRenamed({"node": "rep", "component": "comp_"}), "rep", "left").withColumn("comp", F.coalesce("comp_", "rep")).drop("comp_")
 
-    def absorb(pairs: DataFrame, name: str) -> bool:
-        """Confirm new pairs and merge their groups; whether any was confirmed."""
+    def absorb(pairs: DataFrame, name: str) -> None:
+        """Confirm new pairs and merge their groups."""
         nonlocal edges, comp, tested
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
@@ -276,13 +276,12 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
         pairs = stored(pairs, f"{path}/pairs-{name}")
         tested = pairs if tested is None else tested.union(pairs)
         if pairs.isEmpty():
-            return False
+            return
         new = confirm(pairs, name)
         if new.isEmpty():
-            return False
+            return
         edges = new if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
         comp = stored(components(edges, f"{path}/cc-{name}"), f"{path}/comp-{name}")
-        return True
 
     def in_lists(nearest: bool, name: str) -> DataFrame:
         rows = labelled(met.select("rep", "c", "key"))
@@ -300,11 +299,8 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     # The smallest id of the lists a class is in, that which it meets most often.
     leads = met.where("lead <> rep").groupBy("rep", "lead").agg(F.count("*").alias("k")).where(F.col("k") >= MATCHES)
     leads = leads.groupBy("rep").agg(F.max_by("lead", F.struct("k", -F.col("lead"))).alias("lead"))
-    more = absorb(leads.select(F.col("lead").alias("a"), F.col("rep").alias("b")), "lead")
-    for i in range(2):
-        mates = in_lists(True, f"mate{i}").groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-        if not absorb(mates, f"mate{i}"):
-            break
+    absorb(leads.select(F.col("lead").alias("a"), F.col("rep").alias("b")), "lead")
+    absorb(in_lists(True, "mate").groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")), "mate")
     absorb(in_lists(False, "all"), "all")
 
     out = every.select("doc_id", "n", "digest").join(classes, "digest", "left").withColumn("node", F.coalesce("rep", "doc_id"))
