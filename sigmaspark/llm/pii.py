@@ -75,6 +75,7 @@ LOOKALIKES = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛ
 HIDDEN = "­​‌‍⁠﻿"
 
 WORD_DIGIT = {w: d for d, ws in DIGIT_WORDS.items() for w in ws.split()}
+FOLDED = {0x17F: "s", 0x307: None}  # long s and the dot of a capital dotted i, which re.I takes for s and i
 
 
 def _glyphs() -> dict[str, str]:
@@ -161,7 +162,7 @@ def spelled(m: re.Match) -> str | None:
     out, words = [], 0
     for w in RUN_WORD.finditer(m[0]):
         words += w[1] is not None
-        out.append(WORD_DIGIT[w[1].lower()] if w[1] else "+" if w[2] else "." if w[3] else w[0])
+        out.append(WORD_DIGIT[w[1].lower().translate(FOLDED)] if w[1] else "+" if w[2] else "." if w[3] else w[0])
     return "".join(out) if words >= 3 else None
 
 
@@ -181,7 +182,6 @@ SPACED_AT = re.compile(r"\s@|@\s")
 MIXED = re.compile(r"[0-9][OoIl|]")
 MARKS = ("_at_", "-at-", "_dot_", "-dot-", " dot ", "\ndot ", " dot\n", "&#64;", "&#46;", "&commat;", "%40")
 GLYPH_SET = frozenset(GLYPHS)
-WORD_SET = frozenset(WORD_DIGIT)
 
 
 def hinted(text: str) -> bool:
@@ -194,7 +194,7 @@ def hinted(text: str) -> bool:
         or (any(c in text for c in "[({<") and BRACKETED.search(text) is not None)
         or ("@" in text and SPACED_AT.search(text) is not None)
         or MIXED.search(text) is not None
-        or (sum(map(WORD_SET.__contains__, low.replace("-", " ").replace(",", " ").split(" "))) >= 3 and any(spelled(m) for m in RUN.finditer(text)))
+        or any(spelled(m) is not None for m in RUN.finditer(text))
     )
 
 

@@ -108,6 +108,25 @@ def test_clean_texts_stay_clean(text):
     assert pii.spans(text)[1] == []
 
 
+def test_number_words_beside_marks():
+    text = "Phone: +49 30 1234 five five five."
+    assert [(k, text[a:b]) for a, b, k in pii.spans(text)[1]] == [("phone", "+49 30 1234 five five five")]
+    for x in ("+one five five five one two three four five six seven", "(five five five)", "a:five-five,five\nb", "x\nfive five five", "ſix SİX six"):
+        assert pii.hinted(x) and pii.normalised(x).text != x
+
+
+def test_hints_hold_wherever_a_transducer_acts():
+    rng = random.Random(4)
+    parts = ["five", "Five", "nueve", "zéro", "plus", "dot", "DOT", "at", "com", "ſix", "SİX", "1", "30", "O", "l", "+", "-", ".", ",", ":", "(", ")", "[", "]", "@", "_", " ", " ", " ", "\n", "x", "&#64;", "%40", "о", "\u200b"]
+    acted = 0
+    for _ in range(30_000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        if pii.normalised(s).text != s:
+            acted += 1
+            assert pii.hinted(s), s
+    assert acted > 3000
+
+
 def test_pii_columns(edge, nothing):
     assert pii.report(edge).count() == 10 and pii.report(nothing).count() == 0
     assert pii.report(edge).where("spans <> ''").count() == 0
