@@ -11,7 +11,9 @@ minimum cut, found by maximum flow, is the cheapest labelling.
 Nodes whose own cost outweighs all their edges have that label in every minimum cut; they are
 fixed first, over and over, and the flow runs on what remains.
 
-Scripts, styles, comments and the head are markup and never become blocks. Character references
+Scripts, styles, comments and the head's metadata are markup and never become blocks. The head
+needs no end tag; of the elements that are skipped, only script, style, textarea and title reach
+to the end of the page without one, others are then empty. Character references
 are decoded, white space inside a block becomes one space, blocks are joined by a newline.
 
 Defined results: a null or empty html, and a page without content, give an empty text; repeated
@@ -33,7 +35,8 @@ from .common import small_batches
 
 # The names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title head".split())
+RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title".split())
+TO_END = frozenset("script style textarea title".split())  # without an end tag these reach to the end of the page
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr del".split())
 BREAKS = frozenset("hr img".split())
 AUTO_CLOSE = {
@@ -56,6 +59,7 @@ NEAR, ACROSS, HOLDS, NESTS = 500, 150, 250, 120  # smoothness: neighbours in one
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^"'>]*+(?:"[^"]*"[^"'>]*+|'[^']*'[^"'>]*+)*+)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?)(noscript|template|iframe|object|svg|math|canvas|audio|video|select)(?=[\s/>])[^>]*>?", re.I | re.S)
 SENTENCE = re.compile(r"[.!?…。！？](?=\s|$|[\"'»”)])")
 
 
@@ -87,6 +91,21 @@ def _weight(name: str, attrs: str, in_article: bool) -> int:
     return w
 
 
+def _ends(html: str) -> dict[int, int]:
+    """Where each closed element of RAW that may hold elements ends, by where it begins; unclosed ones are not in it."""
+    ends: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {}
+    for m in SKIPPED.finditer(html):
+        if m[3]:
+            at = open_at.setdefault(m[3].lower(), [])
+            if not m[2]:
+                if not m[0].endswith("/>"):
+                    at.append(m.start())
+            elif at:
+                ends[at.pop()] = m.end()
+    return ends
+
+
 def blocks(html: str) -> list[tuple[str, Element, int]]:
     """(text, innermost element, characters of link text) of each block."""
     root = Element("", 0, None, 0)
@@ -98,6 +117,7 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
     size = len(html)
     tag = TAG
     opened: Counter[str] = Counter()
+    ends: dict[int, int] | None = None
 
     def cut(k: int):
         for e in stack[k:]:
@@ -166,9 +186,16 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
         elif name in RAW:
             if name not in ("svg", "math", "canvas"):
                 close()
-            if not m[3].endswith("/"):
-                e = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(html, text_to)
-                text_to = e.end() if e else size
+            if name in TO_END:
+                if not m[3].endswith("/"):
+                    e = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(html, text_to)
+                    text_to = e.end() if e else size
+            elif not m[3].endswith("/"):
+                if ends is None:
+                    ends = _ends(html)
+                text_to = max(text_to, ends.get(at, text_to))  # unclosed: the tag alone
+        elif name == "head":  # ends at the first thing that isn't metadata, whether closed or not
+            close()
         elif name in VOID:
             if name in BREAKS:
                 close()

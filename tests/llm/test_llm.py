@@ -335,6 +335,20 @@ def test_page_parts():
         html.extract(x)
 
 
+STORY = "A long paragraph of the story, with marks. And more of it here, so that it counts. The end of it."
+
+
+@pytest.mark.parametrize("start", ["<head><title>T</title><meta charset=utf-8><body>", "<head><style>p{}</style><script>a='<svg>'</script>", "<body><object data=a>", "<body><iframe src=a>", "<body><svg><path d=a>", "<body><template>", "<body><video src=a><object data=b>x</object>", "<head><noscript><title>T</title></head><body>"])
+def test_missing_end_tags(start):
+    assert html.extract(f"<html>{start}<article><p>{STORY}</p></article><object>other</object>") == STORY
+
+
+def test_skipped_elements():
+    assert html.extract(f"<head><title>T</title></head><body><article><p>{STORY}</p><svg><svg><text>a</text></svg>b</svg><select><option>c</select><script>d") == STORY
+    for x in ("<svg>" * 20_000, "<object>" * 10_000 + "</object>" * 10_000, "<script>x</script><svg>" * 5000):
+        html.extract(x)
+
+
 def test_html_columns(spark):
     p = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<article><p>Some text.</p></article>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html.main_text(p).collect()) == [("", 0), ("Some text.", 10)]
