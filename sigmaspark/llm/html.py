@@ -53,6 +53,7 @@ BAD = re.compile(
     re.I,
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content\w*|post|entry\w*|story\w*|body|main\w*|text|prose)(?=$|[\s_-])", re.I)
+QUALIFIED = re.compile(r"(?:(?<=[\s_-])|^)(?:no|has|with|without|tag|category)[_-]\S*", re.I)  # says what a page has or is about, not what the element is
 ROLE_BAD = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 NEAR, ACROSS, HOLDS, NESTS = 500, 150, 250, 120  # smoothness: neighbours in one element, in two, block and element, element and element
 
@@ -64,21 +65,52 @@ SENTENCE = re.compile(r"[.!?…。！？](?=\s|$|[\"'»”)])")
 
 
 class Element:
-    """An open element; ``good`` and ``bad`` are the strongest weights of it and all that hold it."""
+    """An open element; ``good`` and ``bad`` are the strongest weights of it and all that hold it, known after ``settle``."""
 
-    __slots__ = ("name", "parent", "no", "good", "bad", "inside")
+    __slots__ = ("name", "parent", "no", "weight", "penalty", "good", "bad", "inside")
 
-    def __init__(self, name: str, weight: int, parent: "Element | None", no: int):
-        self.name, self.parent, self.no = name, parent, no
-        self.good = max(weight, parent.good if parent else 0)
-        self.bad = min(weight, parent.bad if parent else 0)
+    def __init__(self, name: str, weight: int, parent: "Element | None", no: int, penalty: int = 0):
+        self.name, self.parent, self.no, self.weight, self.penalty = name, parent, no, weight, penalty
+        self.good = self.bad = 0
         self.inside = name == "article" or (parent is not None and parent.inside)  # an article
 
 
-def _weight(name: str, attrs: str, in_article: bool) -> int:
+def settle(elements: list[Element]) -> None:
+    """Work out ``good`` and ``bad`` of all elements, given in the order in which they open.
+
+    The penalty of a class or id doesn't count for an element that holds the page's main element
+    or all of its articles; articles in others and those with a penalty themselves, such as
+    comments and teasers, are no articles here.
+    """
+    articles, own = [], set()
+    for e in elements:
+        if e.name == "article" and not e.penalty and (e.parent is None or not e.parent.inside):
+            articles.append(e)
+    held: Counter[int] = Counter()
+    for e in elements:
+        if e.name == "main":
+            up = e.parent
+            while up is not None and up.no not in own:
+                own.add(up.no)
+                up = up.parent
+    for e in articles:
+        held[e.no] += 1
+    for e in reversed(elements):  # those inside come first
+        if e.parent is not None and held[e.no]:
+            held[e.parent.no] += held[e.no]
+    for e in elements:
+        if e.penalty and (e.no in own or articles and e.name != "article" and held[e.no] == len(articles)):
+            e.penalty = 0
+        e.good = max(e.weight + e.penalty, e.parent.good if e.parent else 0)
+        e.bad = min(e.weight + e.penalty, e.parent.bad if e.parent else 0)
+
+
+def _weight(name: str, attrs: str, in_article: bool) -> tuple[int, int]:
+    """An element's weight, and apart from it the penalty of its class and id."""
     w = TAG_WEIGHT.get(name, 0)
     if name == "header" and in_article:
         w = 0
+    good = bad = 0
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in NAMES.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -87,8 +119,11 @@ def _weight(name: str, attrs: str, in_article: bool) -> int:
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
                 w += BAD_NAME
             elif key in ("class", "id") and value:
-                w += BAD_NAME if BAD.search(value) and name not in ("body", "html") else GOOD_NAME if GOOD.search(value) else 0
-    return w
+                words = QUALIFIED.sub("", value).split()
+                wrong = [x for x in words if BAD.search(x)] if name not in ("body", "html", "main") else []
+                bad += bool(wrong)
+                good += any(x not in wrong and GOOD.search(x) for x in words)
+    return w + good * GOOD_NAME, 0 if good else bad * BAD_NAME
 
 
 def _ends(html: str) -> dict[int, int]:
@@ -109,7 +144,7 @@ def _ends(html: str) -> dict[int, int]:
 def blocks(html: str) -> list[tuple[str, Element, int]]:
     """(text, innermost element, characters of link text) of each block."""
     root = Element("", 0, None, 0)
-    stack, out, made = [root], [], 1
+    stack, out, made, every = [root], [], 1, [root]
     parts: list[str] = []
     links = 0
     link_open = False
@@ -203,8 +238,8 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
             inline = name in INLINE
             if name == "a":
                 link_open = True
-            weight = _weight(name, m[3], stack[-1].inside) if (m[3] or not inline) else 0
-            if not inline or weight:
+            weight, penalty = _weight(name, m[3], stack[-1].inside) if (m[3] or not inline) else (0, 0)
+            if not inline or weight or penalty:
                 close()
                 if not inline and stack[-1].name == "p":
                     cut(len(stack) - 1)
@@ -216,12 +251,14 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
                             break
                         if stack[k].name in AUTO_STOP:
                             break
-                stack.append(Element(name, weight, stack[-1], made))
+                stack.append(Element(name, weight, stack[-1], made, penalty))
+                every.append(stack[-1])
                 opened[name] += 1
                 made += 1
         at = html.find("<", text_to)
     say(text_to, size)
     close()
+    settle(every)
     return out
 
 

@@ -349,6 +349,37 @@ def test_skipped_elements():
         html.extract(x)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content no-sidebar'>{}</div>",
+        "<main class='main has-sidebar'>{}</main>",
+        "<div class='with-comments'>{}</div>",
+        "<article class='entry post tag-legal category-search'>{}</article>",
+        "<div id='content' class='sidebar-left'>{}</div>",
+        "<div class='sidebar-layout'><div><article>{}</article></div><section class=related><article class='related-item'><p>x</p></article></section></div>",
+        "<div class='header-fixed'><main>{}</main></div>",
+    ],
+)
+def test_names_of_layouts(page):
+    assert STORY in html.extract(page.format(f"<p>{STORY}</p>"))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='sidebar'>{}</div>",
+        "<div class='post-footer'>{}</div>",
+        "<div class='nav-with-text'>{}</div>",
+        "<article><p>Tale.</p><section id=comments><article>{}</article></section></article>",
+        "<article><p>Tale.</p></article><div class=related><article>{}</article></div>",
+        "<section id=comments><article class='comment-body'>{}</article></section>",
+    ],
+)
+def test_names_of_boilerplate(page):
+    assert STORY not in html.extract(page.format(f"<p>{STORY}</p>"))
+
+
 def test_html_columns(spark):
     p = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<article><p>Some text.</p></article>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html.main_text(p).collect()) == [("", 0), ("Some text.", 10)]
