@@ -10,7 +10,13 @@
 
 All windows of an item at one shift share one alignment, so a passage costs a few rows, however
 long it is. The tables on the benchmark's side are broadcast only while the benchmark has at
-most ``SMALL`` words; beyond that the joins shuffle. ``near`` finds terms within a distance.
+most ``SMALL`` words; beyond that the joins shuffle.
+
+Proximity matches are a result of their own (``proximity``): an item is near in a row if, for
+one of its windows, some stretch of one word more than the window holds all but at most one of
+the window's distinct terms, in any order; windows of fewer than ``FEW`` distinct terms must be
+there whole. One of a window's two rarest terms is in every such stretch, so only the
+surroundings of those are looked at. ``near`` finds terms of an index within a distance.
 
 Defined results: null and empty texts have no words and are hit by nothing, a null text of an
 item likewise; rows that repeat a document id stay apart, items that repeat an id count once; a
@@ -26,6 +32,7 @@ from .common import ascii_lower, shared_dir, stored
 
 WINDOW = 10
 SMALL = 200_000
+FEW = 5
 OTHERS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -57,7 +64,10 @@ def postings(tokens: DataFrame, terms: DataFrame, path: str, small: bool = True)
 
 
 def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """Rows (row, pos) of the first term with every other term at most ``within`` words away."""
+    """Rows (row, pos) of the first term with every other term at most ``within`` words away; the index must hold them all."""
+    held = {r["term"] for r in index.where(F.col("term").isin(terms)).select("term").distinct().collect()}
+    if missing := [t for t in terms if t not in held]:
+        raise ValueError(f"terms without postings in this index: {missing}")
     found = index.where(F.col("term") == terms[0]).select("row", "pos")
     for t in dict.fromkeys(terms[1:]):
         block = F.floor(F.col("pos") / (within + 1))
@@ -68,6 +78,13 @@ def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     return found
 
 
+def _often(tokens: DataFrame, items: DataFrame, path: str, kept) -> DataFrame:
+    """How often each term of the items occurs in the corpus; terms that don't are not in it."""
+    vocabulary = items.select(F.explode("words").alias("term")).distinct()
+    often = tokens.where("n_words > 0").select(F.explode(_stored_words()).alias("term")).join(kept(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return stored(often, f"{path}/often")
+
+
 def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
     """Exact occurrences: row, item_id, and ``places``, the hit positions of one alignment."""
     items = stored(items.select(F.monotonically_increasing_id().alias("item"), "*"), f"{path}/items")
@@ -75,9 +92,7 @@ def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
     small = total <= SMALL
     kept = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    often = tokens.where("n_words > 0").select(F.explode(_stored_words()).alias("term")).join(kept(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
-    often = stored(often, f"{path}/often")
+    often = _often(tokens, items, path, kept)
 
     placed = items.select("item", "length", F.explode("starts").alias("start"), "words")
     placed = placed.select("item", "length", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.col("length"))).alias("k", "term"))
@@ -121,6 +136,48 @@ def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def proximity(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, n_near and near_items (ids joined by commas) of every document: its proximity matches."""
+    path = shared_dir(docs.sparkSession)
+    tokens = token_store(docs, f"{path}/tokens")
+    items = stored(windows(bench).select(F.monotonically_increasing_id().alias("item"), "*"), f"{path}/items")
+    small = (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= SMALL
+    kept = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+
+    placed = items.select("item", "length", F.explode("starts").alias("start"), "words")
+    placed = placed.select("item", "length", "start", F.explode(F.slice("words", F.col("start") + 1, F.col("length"))).alias("term"))
+    placed = placed.join(kept(_often(tokens, items, path, kept)), "term", "left").select("item", "length", "start", F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "term").alias("x"))
+    tests = placed.groupBy("item", "start", "length").agg(F.array_sort(F.collect_set("x")).alias("by"))
+    spare = F.when(F.size("by") >= FEW, 1).otherwise(0)
+    tests = tests.select("item", "length", F.transform("by", lambda x: x["term"]).alias("terms"), (F.size("by") - spare).alias("need"), F.explode(F.filter(F.slice("by", F.lit(1), spare + 1), lambda x: x["n"] > 0)).alias("x"))
+    tests = tests.groupBy(F.col("x.term").alias("term"), "item").agg(F.collect_set(F.struct("length", "need", "terms")).alias("tests"), F.min("need").alias("least"))
+    tests = tests.join(items.select("item", "item_id", F.array_distinct("words").alias("item_words")), "item")
+    tests = stored(tests, f"{path}/tests")
+
+    texts = tokens.where("n_words > 0").select("row", _stored_words().alias("words"))
+    if small:
+        found = texts.select("row", "words", F.posexplode("words").alias("pos", "term"))
+    else:  # places first, so that no text is dealt once for each of its words
+        found = texts.join(postings(tokens, tests.select("term").distinct(), f"{path}/postings", small), "row")
+    around = F.slice("words", F.greatest(F.col("pos") - WINDOW, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(WINDOW)) + WINDOW + 1)
+    found = found.select("row", "term", "pos", "words").join(kept(tests.drop("tests")), "term").withColumn("around", around)
+    found = found.where(F.size(F.array_intersect("around", "item_words")) >= F.col("least")).select("row", "term", "item", "item_id", "around")
+    # The windows come with a second join: a condition of lambdas is evaluated outside of generated code, where whole texts would be copied for each word.
+    found = found.join(kept(tests.select("term", "item", "tests")), ["term", "item"])
+
+    def holds(stretch: Column, t: Column) -> Column:
+        return F.size(F.array_intersect(stretch, t["terms"])) >= t["need"]
+
+    def close(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("around") - t["length"], F.lit(1)))
+        return holds(F.col("around"), t) & F.exists(starts, lambda i: holds(F.slice("around", i, t["length"] + 1), t))
+
+    found = found.where(F.exists("tests", close))
+    by_row = found.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    out = tokens.select("row", "doc_id").join(by_row, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.select("doc_id", F.size("items").cast("long").alias("n_near"), F.array_join("items", ",").alias("near_items"))
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

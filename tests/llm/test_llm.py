@@ -259,6 +259,42 @@ def test_proximity(spark):
     assert [(r.row, r.pos) for r in decontam.near(index, ["a", "b", "c"], 4).collect()] == [(1, 0)]
 
 
+def test_proximity_needs_the_postings(spark):
+    index = spark.createDataFrame([("a", 1, 0)], "term string, row long, pos int")
+    with pytest.raises(ValueError, match="zz"):
+        decontam.near(index, ["a", "zz"], 4)
+
+
+@pytest.mark.parametrize("small", [decontam.SMALL, 0])
+def test_proximity_equals_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(decontam, "SMALL", small)
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(40)]
+    item = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [item(n) for n in (3, 1, 10, 12, 25, 40, 2, 9)] + [[], ["nowhere", *item(11)]]
+
+    def changed(w):  # a word swapped or inserted in every window
+        return [y for i, x in enumerate(w) for y in ([x] if i % 10 != 4 else ["new"] if rng.random() < 0.5 else [x, "new"])]
+
+    texts = [item(rng.randint(0, 40)) + (changed(rng.choice(items)) if rng.random() < 0.7 else []) + item(5) for _ in range(60)]
+    d = spark.createDataFrame([(i, " ".join(t), 1) for i, t in enumerate(texts)] + [(0, None, 1)], "doc_id long, text string, row int")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(None, "v1")], "item_id long, text string")
+    want = [(0, 0, "")]
+    for i, w in enumerate(texts):
+        found = set()
+        for j, u in enumerate(items):
+            k = min(10, len(u))
+            for s in range(len(u) - k + 1) if u else ():
+                terms = set(u[s : s + k])
+                need = len(terms) - (len(terms) >= decontam.FEW)
+                if any(len(terms & set(w[a : a + k + 1])) >= need for a in range(max(len(w) - k, 1))):
+                    found.add(str(j))
+        want.append((i, len(found), ",".join(sorted(found))))
+    assert sorted(tuple(r) for r in decontam.proximity(d, b).collect()) == sorted(want)
+    assert any("5" in x for _, _, x in want) and decontam.report(d, b.where("item_id = 5")).where("contaminated").count() == 0
+    assert decontam.proximity(d, b.limit(0)).where("n_near > 0").count() == 0
+
+
 def test_decontam_without_items(spark, edge, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(edge, none).where("contaminated").count() == 0
