@@ -1,6 +1,8 @@
 """Subword lattice likelihood of texts, beside a smoothed word model as the base.
 
-The vocabulary is that of an existing tokenizer file; it is used as it is. A piece's score is its log probability: it starts from the piece's rank in the file and is
+The vocabulary is that of an existing tokenizer file. All its pieces are used, whatever their
+length, with A-Z folded to lower case as in the texts' words; pieces that become the same are one,
+at the better rank. A piece's score is its log probability: it starts from the piece's rank in the file and is
 fitted to the training words by ``ROUNDS`` steps of expectation-maximisation over all their
 segmentations. A word's probability is the sum over its segmentations of the product of their
 pieces' probabilities, worked out by a forward recursion in log space over the word's lattice;
@@ -32,7 +34,6 @@ from .common import shared_dir, small_batches, stored
 
 TOP = 150_000
 ROUNDS = 3
-LONGEST = 16  # bytes of a piece; longer ones are never needed for words of a language
 WORD = b"\x01"  # begins each word; stands for the tokenizer's mark
 BYTE_LOG = -9.0  # natural log, a byte of a character that no piece has
 FLUSH = 200_000
@@ -44,8 +45,8 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the pieces and, in the same order, their ranks."""
+def pieces(path: str) -> list[bytes]:
+    """The file's pieces in the order of their ranks, A-Z folded to lower case, each once."""
     if path.endswith(".model"):
         import sentencepiece
 
@@ -55,10 +56,16 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)["model"]["vocab"]
         names = [x[0].replace("▁", WORD.decode()).encode() for x in spec]
-    names = [x for x in dict.fromkeys(n.lower() for n in names) if 0 < len(x) <= LONGEST]
+    return [x for x in dict.fromkeys(n.lower() for n in names) if x]
+
+
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the pieces and, in the same order, their ranks; the bytes of the longest piece."""
+    names = pieces(path)
     h = np.array([_hash_one(x) for x in names], np.uint64)
     order = np.argsort(h)
-    return h[order], order
+    return h[order], order, max(map(len, names))
 
 
 def _hash_one(piece: bytes) -> int:
@@ -77,8 +84,11 @@ def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def lattice(words: list[bytes], keys: np.ndarray, logp: np.ndarray, weights: np.ndarray | None = None):
-    """Natural-log probability of each word; with weights also the expected counts of pieces."""
+def lattice(words: list[bytes], keys: np.ndarray, logp: np.ndarray, weights: np.ndarray | None = None, longest: int | None = None):
+    """Natural-log probability of each word; with weights also the expected counts of pieces.
+
+    ``longest`` is the number of bytes of the longest piece; without it pieces of all lengths are looked up.
+    """
     out = np.zeros(len(words))
     expected = np.zeros(len(keys)) if weights is not None else None
     by: dict[int, list[int]] = {}
@@ -93,15 +103,18 @@ def lattice(words: list[bytes], keys: np.ndarray, logp: np.ndarray, weights: np.
             fw = np.full((n + 1, len(part)), -np.inf)
             fw[0] = 0
             arcs = []
-            for k in range(1, min(n, LONGEST) + 1):
+            for k in range(1, min(n, longest or n) + 1):
                 h = _rolling(codes, k)
                 p = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = keys[p] == h
-                arcs.append((p, np.where(hit, logp[p], -np.inf)))
+                if hit.any():
+                    arcs.append((k, p, np.where(hit, logp[p], -np.inf)))
             for end in range(1, n + 1):
                 best = fw[end - 1] + spelled[end - 1]
-                for k in range(1, min(end, LONGEST) + 1):
-                    best = np.logaddexp(best, fw[end - k] + arcs[k - 1][1][:, end - k])
+                for k, _, lp in arcs:
+                    if k > end:
+                        break
+                    best = np.logaddexp(best, fw[end - k] + lp[:, end - k])
                 fw[end] = best
             out[part] = fw[n]
             if expected is not None:
@@ -109,12 +122,13 @@ def lattice(words: list[bytes], keys: np.ndarray, logp: np.ndarray, weights: np.
                 bw[n] = 0
                 for start in range(n - 1, -1, -1):
                     best = bw[start + 1] + spelled[start]
-                    for k in range(1, min(n - start, LONGEST) + 1):
-                        best = np.logaddexp(best, bw[start + k] + arcs[k - 1][1][:, start])
+                    for k, _, lp in arcs:
+                        if k > n - start:
+                            break
+                        best = np.logaddexp(best, bw[start + k] + lp[:, start])
                     bw[start] = best
                 w = weights[part]
-                for k in range(1, min(n, LONGEST) + 1):
-                    p, lp = arcs[k - 1]
+                for k, p, lp in arcs:
                     for start in range(n - k + 1):
                         e = np.exp(fw[start] + lp[:, start] + bw[start + k] - fw[n]) * w
                         use = e > 0
@@ -162,7 +176,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the vocabulary's pieces and, last, of the end token."""
-    keys, ranks = vocabulary(path)
+    keys, ranks, _ = vocabulary(path)
     start = -np.log(ranks + 10.0)
     logp = np.append(start - np.log(np.exp(start).sum()), -6.0)
     sc = words.sparkSession.sparkContext
@@ -172,10 +186,10 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
         sent = sc.broadcast(logp)
 
         def run(batches):
-            k, _ = vocabulary(path)
+            k, _, longest = vocabulary(path)
             total = np.zeros(len(k))
             for b in _gathered(batches):
-                total += lattice(b.column(0).to_pylist(), k, sent.value[:-1], b.column(1).to_numpy().astype(float))[1]
+                total += lattice(b.column(0).to_pylist(), k, sent.value[:-1], b.column(1).to_numpy().astype(float), longest)[1]
             hit = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit], pa.float64())], names=["piece", "e"])
 
@@ -199,10 +213,10 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(logp)
 
     def run(batches):
-        keys, _ = vocabulary(path)
+        keys, _, longest = vocabulary(path)
         for b in _gathered(batches):
             w = b.column(0).to_pylist()
-            model = lattice(w, keys, sent.value[:-1])[0] / np.log(10)
+            model = lattice(w, keys, sent.value[:-1], longest=longest)[0] / np.log(10)
             model[[i for i, x in enumerate(w) if not x]] = sent.value[-1] / np.log(10)
             c = b.column(1).to_numpy()
             base = np.log10((c + 0.1) / (big_n + 0.1 * (big_v + 1)))

@@ -175,6 +175,24 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(got, [math.log(every(b"\x01" + w)) for w in words])
 
 
+def test_all_pieces_take_part():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = {sp.id_to_piece(i).replace("▁", "\x01").encode().lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))} - {b""}
+    keys, ranks, longest = unigram.vocabulary(path)
+    assert len(keys) == len(want) and longest == max(map(len, want)) > 16
+    logp = np.full(len(keys), -12.0)
+    for piece in (x for x in want if len(x) > 16):
+        at = np.searchsorted(keys, np.uint64(unigram._hash_one(piece)))
+        up = logp.copy()
+        up[at] = -1.0
+        word = [piece.removeprefix(unigram.WORD)]
+        low, high = (unigram.lattice(word, keys, x, longest=longest)[0][0] for x in (logp, up))
+        assert high > low and high == unigram.lattice(word, keys, up)[0][0]
+
+
 def test_unigram_scores(spark, sf, nothing):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
     d = spark.read.parquet(f"{sf}/documents.parquet").limit(80).select("doc_id", "text", held.alias("held_out"))
