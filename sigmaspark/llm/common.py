@@ -28,11 +28,13 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``, which the cluster sets. Only where that is unset, as
-    in local tests, a temporary folder takes its place.
+    It lies under ``spark.checkpoint.dir``, which the cluster sets. Where that is unset, a local
+    session, as in tests, gets a temporary folder; any other fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark, "_local_shared_dir", None)
         if base is None:
             base = spark._local_shared_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -45,6 +47,30 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(df: DataFrame, keys: list[str], share: int = 1000, least: int = 1000) -> DataFrame | None:
+    """The keys that hold over 1/``share`` of the rows (and over ``least`` rows); at most ``share`` keys, None without any."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > least)
+    found = counts.toArrow() if (total := df.count()) <= share * least else counts.where(F.col("_m") > total // share).toArrow()
+    return df.sparkSession.createDataFrame(found.drop_columns(["_m"]).to_pandas(), df.select(*keys).schema) if found.num_rows else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be hot in ``left``: rows of hot keys stay where they are and meet a broadcast.
+
+    ``left`` is read three times, so it should be a stored table. The hot keys are at most 1000
+    (see ``hot_keys``) and ``right`` is expected to have a few rows a key, so what is broadcast
+    is bounded however much the tables grow. ``how``: inner or left.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    hot = hot_keys(left, keys)
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    spread = left.join(hot, keys, "left_semi").join(few, keys, how)
+    return spread.unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
+
+
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """Bound what one Arrow batch holds, as texts can be very long."""
     spark = df.sparkSession

@@ -507,3 +507,58 @@ def test_groups_of_odd_rows(edge):
 
 def test_crc_of_ids():
     assert zlib.crc32(b"12") % 4 in range(4)
+
+
+# ---- line removal: hot lines, white space, names
+
+
+def brute_lines(rows, min_sites=lines.MIN_SITES):
+    sites, first = defaultdict(set), {}
+    for i, t, _, s in rows:
+        for x in (t or "").split("\n"):
+            x = x.strip(" \t\r\x0b\x0c")
+            if x:
+                sites[x].add(s)
+                if i is not None:
+                    first[x] = min(first.get(x, i), i)
+    out = []
+    for i, t, _, _ in rows:
+        if t is None:
+            out.append((i, 0, 0, None))
+            continue
+        split = t.split("\n")
+        stays = [x for x in split if (k := x.strip(" \t\r\x0b\x0c")) == "" or len(sites[k]) < min_sites or first.get(k) == i]
+        out.append((i, len(split), len(split) - len(stays), "\n".join(stays)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("small", [lines.SMALL, 0])
+def test_lines_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(lines, "SMALL", small)
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):  # a line on two thirds of all rows, CRLF ends, blank lines of white space
+        parts = [f"own {i}", f"\tshared {rng.randrange(40)} \r", " \t\r", f"pair {i % 300}"] + (["everywhere \r"] if i % 3 else [])
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(parts), "x", rng.choice([None, *(f"s{k}" for k in range(7))])))
+    rows += [(2000, None, "x", "s1"), (2001, "", "x", "s1"), (None, "everywhere", "x", "s2"), (3, "everywhere\nthree", "x", "s3")]
+    want = [r for r in brute_lines(rows) if r[0] != 3]
+    got = [(r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.report(docs(spark, rows)).collect() if r.doc_id != 3]
+    assert sorted(got, key=str) == want
+
+
+def test_line_columns_of_clashing_names(spark):
+    d = spark.createDataFrame([(i, "same\r\nown %d\r\n\r\n" % i, f"s{i}", 5, 6, 7, 8) for i in range(6)], "doc_id long, text string, source string, _drop int, _stays int, n_lines int, row int")
+    out = lines.remove(d).orderBy("doc_id").collect()
+    assert lines.remove(d).columns == ["doc_id", "text", "source", "_drop", "_stays", "row", "n_lines", "n_removed"]
+    assert (out[0].text, out[0].n_removed, out[1].text, out[1].n_lines, out[1].n_removed, out[1].row) == ("same\r\nown 0\r\n\r\n", 0, "own 1\r\n\r\n", 4, 1, 8)
+    assert lines.cleaned_rows(d).columns == d.columns and lines.cleaned_rows(d).where("n_lines = 7").count() == 6
+
+
+def test_spread_join(spark):
+    from sigmaspark.llm.common import spread_join
+
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.createDataFrame([(7, "a"), (8, "b"), (-1, "c")], "k long, w string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, spread_join(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
