@@ -6,9 +6,10 @@ for all its copies in a task. n-grams are kept as 64-bit hashes in one sorted ar
 binary search, with a row of log probabilities (one column per language); contexts have a row
 of back-off weights. The language of the lowest cross-entropy per character wins.
 
-Training counts come from a sample of labelled rows: at most about ``SAMPLE`` documents of each
-language, chosen by hash, whole texts. Calibration uses the same rows: per language the mean
-cross-entropy and its spread at a given length. The score is the posterior probability of the
+Training counts come from a sample of labelled rows: about ``SAMPLE`` documents of each
+language, chosen by a hash of id and text, whole texts. Of every ``APART`` of them one is kept out of the counts for
+calibration: per language the mean cross-entropy and its spread at a given length, on texts the
+model has not seen (with fewer than ``FEW`` such texts the counted ones take part, and the spread is that over all languages). The score is the posterior probability of the
 winner times the share of its own language's texts that fit no better by a wide margin; texts
 in no learned language score near 0 and are rejected below ``REJECT``.
 
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import shared_dir, small_batches, stored
 
 ORDER = 5
 SAMPLE = 1200  # documents per language
 DISCOUNT = 0.75
+APART = 8
+FEW = 20
 REJECT = 0.2
 CACHE = 300_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -168,8 +171,8 @@ class Scorer(dict):
         tokens, sizes, chars = [], [], []
         for x in texts:
             w = WORDS.findall(x.lower()) if x else []
-            if len(w) < 8 and not any(c.isalpha() for v in w for c in v):
-                w = []
+            if not any(map(str.isalpha, w)) and not any(c.isalpha() for v in w for c in v):
+                w = []  # numerals that are no digits are words too, but not letters
             tokens.append(list(map(self.__getitem__, w)))
             sizes.append(len(w))
             chars.append(sum(map(len, w)) + len(w))
@@ -200,12 +203,14 @@ class Scorer(dict):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Learn from labelled rows (see the module's text); None if there are none."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    key = [F.col("doc_id")] if "doc_id" in docs.columns else []
+    draw = F.pmod(F.xxhash64(F.col(text), *key), F.lit(APART << 20))
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), draw.alias("draw")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))))
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    taken = rows.where(F.shiftright("draw", 3) < share[F.col("lang")] * (APART << 17)).withColumn("apart", F.col("draw") % APART == 0)
 
     def words(batches):
         for b in batches:
@@ -226,7 +231,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
                         found[k] = found.get(k, 0) + c
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counted = small_batches(taken).mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = small_batches(taken.where("not apart")).select("text", "lang").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     got = counted.mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     by: dict[str, dict[str, int]] = {k: {} for k in counts}
     for la, g, n in zip(got["lang"], got["gram"], got["n"]):
@@ -238,17 +243,30 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     sent = spark.sparkContext.broadcast(model)
 
     def entropies(batches):
+        s = Scorer(sent.value)
         for b in batches:
-            s = Scorer(sent.value)
-            rows = [(la, n, float(ce[s.model.langs.index(la)])) for la, (_, _, n, ce) in zip(b.column(1).to_pylist(), s.texts(b.column(0).to_pylist())) if n and la in s.model.langs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["lang", "n", "ce"])
-
-    seen = taken.mapInArrow(entropies, "lang string, n long, ce double")
-    mean = {r["lang"]: r["m"] for r in seen.groupBy("lang").agg((F.sum(F.col("ce") * F.col("n")) / F.sum("n")).alias("m")).collect()}
-    means = F.create_map(*(F.lit(x) for k, v in mean.items() for x in (k, v)))
-    sd = {r["lang"]: r["s"] for r in seen.groupBy("lang").agg(F.sqrt(F.avg(F.pow(F.col("ce") - means[F.col("lang")], 2) * F.col("n"))).alias("s")).collect()}
-    model.mean = np.array([mean.get(k, 0.0) for k in model.langs])
-    model.sd = np.array([sd.get(k, 1.0) for k in model.langs])
+            got = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), s.texts(b.column(0).to_pylist()))
+            rows = [(la, apart, n, float(ce[s.model.langs.index(la)])) for la, apart, (_, _, n, ce) in got if n and la in s.model.langs]
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.float64()))], names=["lang", "apart", "n", "ce"])
+
+    seen = stored(small_batches(taken).select("text", "lang", "apart").mapInArrow(entropies, "lang string, apart boolean, n long, ce double"), f"{shared_dir(spark)}/entropies")
+    # One row a language and side; the mean is weighted by length, the spread is that of a mean over n characters.
+    sums = {(r["lang"], r["apart"]): r for r in seen.groupBy("lang", "apart").agg(F.sum("n").alias("n"), F.sum(F.col("ce") * F.col("n")).alias("s"), F.sum(F.pow("ce", F.lit(2)) * F.col("n")).alias("q"), F.count("*").alias("m")).collect()}
+    model.mean, model.sd = np.zeros(len(model.langs)), np.ones(len(model.langs))
+    squares, texts, thin = 0.0, 0, []
+    for i, k in enumerate(model.langs):
+        unseen, counted = sums.get((k, True)), sums.get((k, False))
+        thin.append(not unseen or unseen["m"] < FEW)
+        use = [r for r in ((unseen, counted) if thin[i] else (unseen,)) if r]
+        if use:
+            n, s, q, m = (sum(r[c] for r in use) for c in ("n", "s", "q", "m"))
+            model.mean[i] = s / n
+            around = max(q - n * model.mean[i] ** 2, 0)
+            model.sd[i] = np.sqrt(around / m)
+            squares, texts = squares + around, texts + m
+    if texts:  # a handful of texts can't tell a language's own spread
+        model.sd[thin] = np.sqrt(squares / texts)
     return model
 
 
