@@ -37,6 +37,7 @@ ROUNDS = 3
 WORD = b"\x01"  # begins each word; stands for the tokenizer's mark
 BYTE_LOG = -9.0  # natural log, a byte of a character that no piece has
 FLUSH = 200_000
+LETTERS = 400_000  # bytes of words in one lattice, which holds some hundred bytes for each
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -95,8 +96,9 @@ def lattice(words: list[bytes], keys: np.ndarray, logp: np.ndarray, weights: np.
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
     for size, rows in by.items():
-        for at in range(0, len(rows), 20_000):
-            part = rows[at : at + 20_000]
+        many = max(1, min(20_000, LETTERS // (size + 1)))  # arrays grow with words times letters
+        for at in range(0, len(rows), many):
+            part = rows[at : at + many]
             codes = np.frombuffer(b"".join(WORD + words[i] for i in part), np.uint8).reshape(len(part), size + 1)
             n = size + 1
             spelled = np.full(n, BYTE_LOG)
