@@ -6,11 +6,14 @@
 3. Postings (term, row, position) of those terms are stored. Each list, shifted by the term's
    place in the item, gives alignments (row, item, shift); intersecting the lists of a window's
    two rarest terms leaves the alignments worth a look.
-4. An alignment's windows are compared word by word with the token store, so matches are exact.
+4. A window of at most two words is matched by those lists alone. The alignments of longer ones
+   are gathered for each row, which reads its line from the token store once and compares the
+   windows word by word, so matches are exact and a text costs no more than its alignments.
 
 All windows of an item at one shift share one alignment, so a passage costs a few rows, however
 long it is. The tables on the benchmark's side are broadcast only while the benchmark has at
-most ``SMALL`` words; beyond that the joins shuffle.
+most ``SMALL`` words; beyond that the joins shuffle, and rows of hot terms or items stay where
+they are.
 
 Proximity matches are a result of their own (``proximity``): an item is near in a row if, for
 one of its windows, some stretch of one word more than the window holds all but at most one of
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir, stored
+from .common import ascii_lower, shared_dir, spread_join, stored
 
 WINDOW = 10
 SMALL = 200_000
@@ -59,8 +62,9 @@ def windows(bench: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
 
 def postings(tokens: DataFrame, terms: DataFrame, path: str, small: bool = True) -> DataFrame:
     """Stored positional postings (term, row, pos) of the given distinct terms."""
-    terms = F.broadcast(terms) if small else terms
-    return stored(tokens.where("n_words > 0").select("row", F.posexplode(_stored_words()).alias("pos", "term")).join(terms, "term").select("term", "row", "pos"), path)
+    found = tokens.where("n_words > 0").select("row", F.posexplode(_stored_words()).alias("pos", "term"))
+    found = found.join(F.broadcast(terms), "term") if small else spread_join(found, terms, "term")
+    return stored(found.select("term", "row", "pos"), path)
 
 
 def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -78,50 +82,69 @@ def near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     return found
 
 
-def _often(tokens: DataFrame, items: DataFrame, path: str, kept) -> DataFrame:
+def _often(tokens: DataFrame, items: DataFrame, path: str, small: bool) -> DataFrame:
     """How often each term of the items occurs in the corpus; terms that don't are not in it."""
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    often = tokens.where("n_words > 0").select(F.explode(_stored_words()).alias("term")).join(kept(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    terms = tokens.where("n_words > 0").select(F.explode(_stored_words()).alias("term"))
+    # Beyond SMALL the words are counted before they meet the vocabulary, so a hot word is one row a task.
+    often = terms.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n")) if small else terms.groupBy("term").agg(F.count("*").alias("n")).join(vocabulary, "term")
     return stored(often, f"{path}/often")
 
 
 def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
-    """Exact occurrences: row, item_id, and ``places``, the hit positions of one alignment."""
+    """Exact occurrences: row, item_id, and ``places``, positions that the item hits."""
     items = stored(items.select(F.monotonically_increasing_id().alias("item"), "*"), f"{path}/items")
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     small = total <= SMALL
-    kept = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    often = _often(tokens, items, path, kept)
+    def met(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
+        return left.join(F.broadcast(right), key) if small else spread_join(stored(left, f"{path}/{name}"), right, key)
+
+    often = _often(tokens, items, path, small)
 
     placed = items.select("item", "length", F.explode("starts").alias("start"), "words")
     placed = placed.select("item", "length", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.col("length"))).alias("k", "term"))
-    placed = placed.join(kept(often), "term").select("item", "start", "length", "n", (F.col("start") + F.col("k")).alias("at"), "term")
+    placed = met(placed, often, "term", "placed").select("item", "start", "length", "n", (F.col("start") + F.col("k")).alias("at"), "term")
     rarest = placed.groupBy("item", "start", "length").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("by"))
     rarest = rarest.where(F.size("by") == F.col("length"))  # else a term never occurs
     rarest = stored(rarest.select("item", "start", "length", F.slice("by", 1, 2).alias("by")), f"{path}/rarest")
 
     anchors = rarest.select("item", F.explode("by").alias("x")).select("item", F.col("x.at").alias("at"), F.col("x.term").alias("term")).distinct()
     index = postings(tokens, anchors.select("term").distinct(), f"{path}/postings", small)
-    aligned = index.join(kept(anchors), "term").select("row", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
+    aligned = (index.join(F.broadcast(anchors), "term") if small else spread_join(index, anchors, "term")).select("row", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
     aligned = aligned.groupBy("row", "item", "shift").agg(F.collect_set("at").alias("got"))
 
     tests = rarest.groupBy("item").agg(F.collect_list(F.struct("start", "length", F.transform("by", lambda x: x["at"]).alias("ats"))).alias("tests"))
     tests = tests.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
-    aligned = aligned.join(kept(tests), "item").withColumn("tests", F.filter("tests", lambda t: F.size(F.array_except(t["ats"], F.col("got"))) == 0))
-    aligned = aligned.where(F.size("tests") > 0).drop("got")
+    aligned = met(aligned, tests, "item", "aligned").withColumn("tests", F.filter("tests", lambda t: F.size(F.array_except(t["ats"], F.col("got"))) == 0))
+    aligned = stored(aligned.where(F.size("tests") > 0).drop("got"), f"{path}/alignments")
+
+    def places(shift: Column, hits: Column) -> Column:
+        return F.flatten(F.transform(hits, lambda t: F.sequence(shift + t["start"], shift + t["start"] + t["length"] - 1)))
 
+    # Both words of such windows are where the lists say they are.
+    whole = aligned.withColumn("hits", F.filter("tests", lambda t: t["length"] <= 2)).where(F.size("hits") > 0)
+    whole = whole.select("row", "item_id", places(F.col("shift"), F.col("hits")).alias("places"))
+
+    longer = aligned.withColumn("tests", F.filter("tests", lambda t: t["length"] > 2)).where(F.size("tests") > 0)
+    longer = longer.groupBy("row", "item").agg(F.first("item_id").alias("item_id"), F.first("item_words").alias("item_words"), F.collect_list(F.struct("shift", "tests")).alias("at"))
+    longer = longer.groupBy("row").agg(F.collect_list(F.struct("item_id", "item_words", "at")).alias("items"))
     # Dealt by row whatever the sizes, so that the plan is the same for small and large inputs.
-    looked = tokens.where("n_words > 0").select("row", "line").hint("merge").join(aligned, "row").withColumn("words", _stored_words()).drop("line")
+    looked = tokens.where("n_words > 0").select("row", "line").hint("merge").join(longer, "row").select("row", "items", _stored_words().alias("words"))
+
+    def hits(item: Column, alignment: Column) -> Column:
+        """The alignment's windows that are there; single words are fetched, as a slice would copy the text."""
+
+        def there(t: Column) -> Column:
+            at = alignment["shift"] + t["start"]
+            inside = (at >= 0) & (at + t["length"] <= F.size("words"))
+            return inside & F.forall(F.sequence(F.lit(0), t["length"] - 1), lambda k: F.get("words", at + k) == F.get(item["item_words"], t["start"] + k))
 
-    def same(t: Column) -> Column:
-        at = F.col("shift") + t["start"]
-        inside = (at >= 0) & (at + t["length"] <= F.size("words"))
-        return F.when(inside, F.slice("words", F.greatest(at, F.lit(0)) + 1, t["length"]) == F.slice("item_words", t["start"] + 1, t["length"])).otherwise(False)
+        return F.filter(alignment["tests"], there)
 
-    looked = looked.select("row", "item_id", "shift", F.filter("tests", same).alias("hits")).where(F.size("hits") > 0)
-    place = F.flatten(F.transform("hits", lambda t: F.sequence(F.col("shift") + t["start"], F.col("shift") + t["start"] + t["length"] - 1)))
-    return looked.select("row", "item_id", F.array_distinct(place).alias("places"))
+    found = F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), F.array_distinct(F.flatten(F.transform(i["at"], lambda a: places(a["shift"], hits(i, a))))).alias("places")))
+    looked = looked.select("row", F.explode(F.filter(found, lambda x: F.size(x["places"]) > 0)).alias("x")).select("row", "x.item_id", "x.places")
+    return whole.unionByName(looked)
 
 
 def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -146,7 +169,7 @@ def proximity(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     placed = items.select("item", "length", F.explode("starts").alias("start"), "words")
     placed = placed.select("item", "length", "start", F.explode(F.slice("words", F.col("start") + 1, F.col("length"))).alias("term"))
-    placed = placed.join(kept(_often(tokens, items, path, kept)), "term", "left").select("item", "length", "start", F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "term").alias("x"))
+    placed = placed.join(kept(_often(tokens, items, path, small)), "term", "left").select("item", "length", "start", F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "term").alias("x"))
     tests = placed.groupBy("item", "start", "length").agg(F.array_sort(F.collect_set("x")).alias("by"))
     spare = F.when(F.size("by") >= FEW, 1).otherwise(0)
     tests = tests.select("item", "length", F.transform("by", lambda x: x["term"]).alias("terms"), (F.size("by") - spare).alias("need"), F.explode(F.filter(F.slice("by", F.lit(1), spare + 1), lambda x: x["n"] > 0)).alias("x"))
