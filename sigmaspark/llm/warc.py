@@ -13,8 +13,11 @@ master, one line per index file, is bounded by the number of files.
 Reading: a key is found by binary search in the master, in the file's directory and in one
 block; the record is then read by its byte range and unpacked.
 
-Files are written under a temporary name and moved, so a task that runs again replaces its own
-file; paths go through pyarrow's file systems, so any shared store that they know will do.
+Every attempt of a task writes files under names of its own and returns them with its rows, so
+offsets always belong to the file they name, whatever order a second attempt's rows come in.
+Files are moved into place when complete; paths go through pyarrow's file systems, so any shared
+store that they know will do. A payload that a third of all pages share is counted once a task
+and joined spread out.
 
 Defined results: a null html is an empty payload; a null URL sorts first; pages that repeat an
 id or a URL each get a record; a null page id is larger than none, so it is never the response
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import shared_dir, small_batches, spread_join, stored
 
 REVISIT_BYTES = 1000
 BLOCK_LINES = 1000
@@ -63,6 +66,11 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def _own_name(folder: str, ending: str) -> str:
+    """A file name of this attempt of this task alone."""
+    return f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{ending}"
+
+
 def _put(path: str, data_writer) -> None:
     fs, p = _open(path)
     fs.create_dir(p.rpartition("/")[0], recursive=True)
@@ -106,15 +114,15 @@ def archive(pages: DataFrame, path: str) -> DataFrame:
     """Write the WARC files and return their captures (key, file, offset, length), stored."""
     src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     sha, size = F.sha1(F.encode("html", "utf-8")), F.length(F.encode("html", "utf-8"))
-    light = src.select("page_id", sha.alias("digest"), size.alias("n")).where(F.col("n") >= REVISIT_BYTES)
+    light = stored(src.select("page_id", sha.alias("digest"), size.alias("n")).where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest"), f"{path}/digests")
     shared = light.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("m")).where("m > 1 and first is not null").select("digest", "first")
-    revisits = light.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
+    revisits = spread_join(light, shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
     # A page id that repeats may stand for several payloads, so the digest is part of the match.
     src = src.withColumn("digest", sha)
     joined = src.join(revisits.withColumnsRenamed({"page_id": "_id", "digest": "_digest"}), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
 
     def run(batches):
-        name = f"{path}/warc/part-{TaskContext.get().partitionId():06d}.warc.gz"
+        name = _own_name(f"{path}/warc", ".warc.gz")
         found, at = ([], [], []), 0
 
         def write(out):
@@ -148,7 +156,7 @@ def index(captures: DataFrame, path: str) -> list[tuple[str, str]]:
     """Write the index files; the master: (first key, file) of each, sorted."""
 
     def run(batches):
-        name = f"{path}/index/part-{TaskContext.get().partitionId():06d}.cdx"
+        name = _own_name(f"{path}/index", ".cdx")
         directory, lines, at, first = [], [], 0, None
 
         def write(out):
