@@ -4,6 +4,7 @@ import html as html_std
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -562,3 +563,116 @@ def test_spread_join(spark):
     right = spark.createDataFrame([(7, "a"), (8, "b"), (-1, "c")], "k long, w string")
     for how in ("inner", "left"):
         assert sorted(map(str, spread_join(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+# ---- languages: letters, and Kneser-Ney by its definition
+
+
+def test_texts_without_letters_are_undetermined(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(i, "½ " * n) for i, n in enumerate((1, 3, 9, 500))] + [(9, "½ x ½ ½ ½ ½ ½ ½ ½ ½")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(odd, langid.fit(d)).collect()}
+    assert [got[i] for i in range(4)] == ["und"] * 4 and got[9] != "und"
+
+
+def kneser_ney(corpus, alphabet, order, d):
+    """Log probability of a word by the recursive definition over counted strings."""
+    counts = Counter()
+    for w in corpus:
+        w = langid.START + w + langid.STOP
+        for end in range(1, len(w)):
+            for start in range(max(0, end - order + 1), end + 1):
+                counts[w[start : end + 1]] += 1
+    def count(g):
+        """The plain count of a full n-gram or of one that begins a word, else how many characters it follows."""
+        return counts[g] if len(g) == order or g[0] == langid.START else sum(1 for c in alphabet if counts[c + g])
+
+    def p(g):
+        h = g[:-1]
+        shorter = p(g[1:]) if h else 1 / (len(alphabet) - 1 + 2)
+        total = sum(count(h + c) for c in alphabet)
+        kinds = sum(1 for c in alphabet if count(h + c))
+        return shorter if not total else (max(count(g) - d, 0) + d * kinds * shorter) / total
+
+    def word(w):
+        w = langid.START + w + langid.STOP
+        return sum(math.log(p(w[max(0, end - order + 1) : end + 1])) for end in range(1, len(w)))
+
+    return word
+
+
+def test_kneser_ney_equals_its_definition():
+    rng = random.Random(12)
+    corpora = {la: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(60)] for la, letters in (("aa", "abc"), ("bb", "bcd"))}
+    grams = {}
+    for la, words in corpora.items():
+        g = Counter()
+        for w in words:
+            w = langid.START + w + langid.STOP
+            for end in range(1, len(w)):
+                for start in range(max(0, end - langid.ORDER + 1), end + 1):
+                    g[w[start : end + 1]] += 1
+        grams[la] = dict(g)
+    model = langid.train(grams)
+    alphabet = sorted({c for w in corpora.values() for x in w for c in x} | {langid.START, langid.STOP})
+    tries = corpora["aa"][:10] + ["abcd", "dcba", "a", "cccccccc"]
+    got = model.words(tries)
+    for k, la in enumerate(model.langs):
+        word = kneser_ney(corpora[la], alphabet, langid.ORDER, langid.DISCOUNT)
+        assert np.allclose(got[:, k], [word(w) for w in tries])
+
+
+# ---- bounded lattices, known tokens
+
+
+def test_long_words_in_small_lattices(monkeypatch):
+    keys, ranks, longest = unigram.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    logp = -np.log(ranks + 10.0)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeinrst") for _ in range(60)).encode() for _ in range(50)]
+    want = unigram.lattice(words, keys, logp, longest=longest)[0]
+    monkeypatch.setattr(unigram, "LETTERS", 200)
+    assert np.array_equal(unigram.lattice(words, keys, logp, longest=longest)[0], want)
+
+
+def test_unigram_counts_known_tokens(spark, sf):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    d = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("doc_id", "text", held.alias("held_out"))
+    rows = d.collect()
+    count = Counter(w for r in rows if not r.held_out for w in [*unigram.tokens(r.text), b""])
+    got = {r.doc_id: r.n_known for r in unigram.score(d, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert got == {r.doc_id: sum(count[w] > 0 for w in [*unigram.tokens(r.text), b""]) for r in rows}
+
+
+# ---- decontamination: cost of common items, large benchmarks
+
+
+def test_common_short_items_cost_linear_time(spark):
+    none = [" ".join(["the", "of", "and"][i % 3] for i in range(n)) for n in (16_000, 64_000)]
+    b = spark.createDataFrame([(1, "the"), (2, "the of"), (3, "of and the of")], "item_id long, text string")
+    times = []
+    for x in none:
+        began = time.time()
+        r = decontam.report(spark.createDataFrame([(1, x)], "doc_id long, text string"), b).first()
+        times.append(time.time() - began)
+        assert (r.n_hit, r.n_items, r.n_words) == (len(x.split()), 3, len(x.split())) or (r.n_items == 3 and r.n_hit >= len(x.split()) - 2)
+    assert times[1] < 8 * times[0] + 10
+
+
+def test_large_benchmarks_give_the_same(spark, sf, monkeypatch):
+    d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(str, decontam.report(d, b).collect()))
+    monkeypatch.setattr(decontam, "SMALL", 0)
+    assert sorted(map(str, decontam.report(d, b).collect())) == want
+
+
+# ---- archives: second attempts, hot payloads
+
+
+def test_attempts_write_files_of_their_own(spark, tmp_path):
+    p = spark.createDataFrame([(i, f"http://h{i}.com/", "x" * 2000 if i % 2 else f"page {i}") for i in range(3000)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}"
+    first, second = warc.archive(p, path), warc.archive(p.orderBy(F.desc("page_id")), f"{path}/again")
+    assert first.select("file").distinct().intersect(second.select("file").distinct()).count() == 0
+    out = warc.round_trip(p)
+    assert out.where("record_type = 'revisit' and refers_to = 2999").count() == 1499 and out.count() == 3000
