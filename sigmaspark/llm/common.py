@@ -47,28 +47,46 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = 1000, least: int = 1000) -> DataFrame | None:
-    """The keys that hold over 1/``share`` of the rows (and over ``least`` rows); at most ``share`` keys, None without any."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > least)
-    found = counts.toArrow() if (total := df.count()) <= share * least else counts.where(F.col("_m") > total // share).toArrow()
-    return df.sparkSession.createDataFrame(found.drop_columns(["_m"]).to_pandas(), df.select(*keys).schema) if found.num_rows else None
+HOT_SHARE, HOT_LEAST, SALTS = 1000, 1000, 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """Of ``counts`` (keys and ``_m``, their rows), the keys that hold over 1/HOT_SHARE of all rows and over HOT_LEAST.
+
+    They are at most HOT_SHARE however much a table grows; None if there are none.
+    """
+    if total <= HOT_LEAST:
+        return None
+    found = counts.where(F.col("_m") > max(total // HOT_SHARE, HOT_LEAST)).select(*keys).collect()
+    return counts.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", weight: str | None = None, salt: str | None = None) -> DataFrame:
     """Join on keys that may be hot in ``left``: rows of hot keys stay where they are and meet a broadcast.
 
-    ``left`` is read three times, so it should be a stored table. The hot keys are at most 1000
-    (see ``hot_keys``) and ``right`` is expected to have a few rows a key, so what is broadcast
-    is bounded however much the tables grow. ``how``: inner or left.
+    ``left`` is read more than once, so it should be a stored table. The hot keys are at most
+    HOT_SHARE and ``right`` is expected to have a few rows a key, so what is broadcast is bounded.
+    ``weight`` names a column of ``right`` with the number of rows of ``left`` under its key;
+    without it they are counted. Where rows of ``right`` are large, ``salt`` names a column of
+    ``left`` by which hot keys are dealt instead, to ``SALTS`` copies of their rows of ``right``.
+    ``how``: inner or left.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    hot = hot_keys(left, keys)
+    if weight:
+        total = right.agg(F.sum(weight)).first()[0] or 0
+        hot = hot_keys(right.select(*keys, F.col(weight).alias("_m")), keys, total)
+    else:
+        hot = hot_keys(left.groupBy(*keys).agg(F.count("*").alias("_m")), keys, left.count())
     if hot is None:
         return left.join(right, keys, how)
     hot = F.broadcast(hot)
-    few = F.broadcast(right.join(hot, keys, "left_semi"))
-    spread = left.join(hot, keys, "left_semi").join(few, keys, how)
-    return spread.unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
+    much, few = left.join(hot, keys, "left_semi"), right.join(hot, keys, "left_semi")
+    if salt:
+        few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = much.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(few, [*keys, "_salt"], how).drop("_salt")
+    else:
+        spread = much.join(F.broadcast(few), keys, how)
+    return spread.unionByName(left.join(hot, keys, "left_anti").join(right.join(hot, keys, "left_anti"), keys, how))
 
 
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
@@ -82,8 +100,8 @@ def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
 def components(edges: DataFrame, path: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows (node, component), the smallest reachable node.
 
-    Alternates large-star and small-star contraction, so that no node gathers its component in
-    one task and a chain of length n needs about log n rounds; every round is written to the
+    Alternates large-star and small-star contraction; edges of a node of very many stay spread, so
+    that no node gathers its component in one task, and a chain of length n needs about log n rounds; every round is written to the
     shared folder. Nodes without an edge to another node do not appear.
     """
     spark = edges.sparkSession
@@ -92,8 +110,8 @@ def components(edges: DataFrame, path: str, max_rounds: int = 60) -> DataFrame:
     state = None
     for i in range(1, max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = spread_join(both, low, "u", weight="degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(cur.select("u", "v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -4,25 +4,32 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes. Two document
 their sets' Jaccard similarity is at least ``PERCENT`` / 100, checked on the full sets; groups
 are the connected components of the links.
 
-1. *Classes.* Documents of equal sets collapse into one class, stood for by its smallest id.
-2. *Postings.* Of 64 minima, 32 triples form the signature's coordinates; each class is posted
-   under every coordinate-value pair. Two sets of similarity 0.75 share at least two of the 32
-   but for a chance below 1e-6. Each posting also carries a 256-byte sketch of the set.
+1. *Classes.* Documents of equal sets collapse into one class, told by the digest of the set.
+2. *Postings.* 96 minima, taken three by three, form the 32 coordinates of a signature; each
+   class is posted under every coordinate-value pair. Two sets of similarity 0.75 agree in a
+   coordinate with a chance of 0.42, so they agree in fewer than ``MATCHES`` of them with a
+   chance of 6.5e-7. Each class also has a 256-byte sketch of its set.
 3. *Collisions.* Links are wanted up to connectivity, so work shrinks as groups grow together:
-   first every class is checked against the smallest id of its lists that it meets most often,
+   first every class is checked against the smallest one of its lists that it meets most often,
    then against its closest mate in other groups, and at last all pairs of different groups
-   that remain are checked. A list whose members are all in one group is skipped; a pair counts
-   in the first list it shares (its prefix) and is retained if it meets in ``MATCHES`` lists and
-   its sketches, and for short texts the sets themselves, agree well enough. Inside a task lists are compared in blocks of ``BLOCK``
-   classes, long lists being split into pairs of blocks, so no task holds a whole long list
-   and pairs are only emitted above the threshold.
+   that remain are checked. A list whose members are all in one group is skipped. In a list
+   that one group dominates, only the classes outside of it are compared with all. A list with
+   more than ``CROSS`` pairs between groups is split by the values of a second coordinate that
+   its members share, as a pair must agree in two: members that meet nobody a second time drop
+   out without being compared. A pair counts in the first coordinates it shares (its prefix) and
+   is retained if it agrees in ``MATCHES`` of them and its sketches, and for short texts the sets
+   themselves, agree well enough. Lists are dealt in blocks of ``BLOCK`` classes, so no task
+   holds a whole long list, and pairs are only emitted above the threshold.
 4. *Links.* Retained pairs are confirmed on the full sets, which are worked out again for the
    classes concerned only.
 
+Lists, groups and classes that hold more than a thousandth of all rows are joined spread out.
+
 Defined results: a null or empty text, or one of white space only, has an empty set and is
 linked with nothing; a text of fewer than five words has its whole sequence as one shingle.
-Rows that repeat a document id count as one document. A row with a null id is linked with
-nothing, has a null component and is kept. Extra columns are not touched.
+Rows that repeat a document id count as one document, which is linked as each of its texts is.
+A row with a null id is linked with nothing, has a null component and is kept. Extra columns are
+not touched.
 """
 
 from __future__ import annotations
@@ -35,19 +42,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, shared_dir, small_batches, stored
+from .common import components, shared_dir, small_batches, spread_join, stored
 
 WIDTH = 5
 PERCENT = 75
-MINIMA, COORDS, SKETCH = 64, 32, 256
+MINIMA, COORDS, SKETCH = 96, 32, 256
 MATCHES = 2
 AGREE = 0.62  # of sketch bins; 0.75 less 4.8 standard deviations
 BLOCK = 2048
+LIST = 256  # classes up to which a list is compared as one
+CROSS = 2_000_000  # pairs of different groups up to which a list is not split by a second coordinate
 SHORT = 512  # shingles up to which a set is compared whole before its pairs are retained
 _RNG = np.random.default_rng(20)
 MULT = _RNG.integers(1, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
-TRIPLES = np.array([[i, i + 21, i + 42] for i in range(COORDS)]) % MINIMA
+TRIPLES = np.arange(MINIMA).reshape(COORDS, 3)
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -73,8 +82,8 @@ def signature(m: np.ndarray) -> tuple[np.ndarray, bytes]:
     x = (m ^ (m >> np.uint64(17))).astype(np.uint32)
     low = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(0, len(x), 4096):
-            np.minimum(low, (x[i : i + 4096, None] * MULT + ADD).min(axis=0), out=low)
+        for i in range(0, len(x), 1024):
+            np.minimum(low, ((x[i : i + 1024, None] ^ ADD) * MULT).min(axis=0), out=low)
         t = low[TRIPLES].astype(np.uint64)
         keys = ((t[:, 0] * GOLD ^ t[:, 1]) * MIX ^ t[:, 2]) * GOLD
         keys ^= keys >> np.uint64(31)
@@ -86,7 +95,7 @@ def signature(m: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def described(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n (set size), digest (of the set; null if empty), keys and sketch."""
+    """doc_id, n (set size), digest (of the set; null if empty), keys, sketch and h (a hash of the text)."""
 
     def run(batches):
         for b in batches:
@@ -98,9 +107,9 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
                 digest.append(hashlib.blake2b(m.tobytes(), digest_size=16).digest() if len(m) else None)
                 keys.append(k)
                 sketch.append(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n", "digest", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), b.column(2)], names=["doc_id", "n", "digest", "keys", "sketch", "h"])
 
-    return small_batches(docs).select("doc_id", F.col(text)).mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, sketch binary")
+    return small_batches(docs).select("doc_id", F.col(text), F.xxhash64(text)).mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, sketch binary, h long")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,7 +164,11 @@ def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int,
             for s in range(0, len(p), 65536):
                 a, b = p[s : s + 65536], q[s : s + 65536]
                 same = kf[a] == kf[b]
-                hit = np.flatnonzero((same.argmax(1) == cols["c"][0]) & (same.sum(1) >= MATCHES))
+                prefix = (same.argmax(1) == cols["c"][0]) & (same.sum(1) >= MATCHES)
+                if cols["c2"][0] >= 0:
+                    same[:, cols["c"][0]] = False
+                    prefix &= same.argmax(1) == cols["c2"][0]
+                hit = np.flatnonzero(prefix)
                 hit = [h for h in hit if _may_link(short[a[h]], short[b[h]])]
                 out += zip(rep[a[hit]].tolist(), rep[b[hit]].tolist(), [1.0] * len(hit))
     if nearest:
@@ -165,8 +178,8 @@ def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int,
 
 
 def _pairs_in_lists(rows: DataFrame, nearest: bool) -> DataFrame:
-    """Run ``_compare`` over each (c, key, i, j) of rows dealt and sorted by it."""
-    key = ["c", "key", "i", "j"]
+    """Run ``_compare`` over each (c, c2, key, i, j) of rows dealt and sorted by it."""
+    key = ["c", "c2", "key", "i", "j"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -210,22 +223,59 @@ def _pairs_in_lists(rows: DataFrame, nearest: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, est float")
 
 
+def _deal(rows: DataFrame, reps: DataFrame, path: str, c2: bool = False) -> DataFrame:
+    """Rows (rep, comp, c, c2, key, own, i, j) of the lists in ``rows`` (rep, comp, c, c2, key) whose members are in several groups.
+
+    Within (c, c2, key, i, j) those with own = i are to be compared with those with own = j.
+    """
+    key = ["c", "c2", "key"]
+    rows = stored(rows.select("rep", "comp", *key), f"{path}-rows")
+    per = rows.groupBy(*key, "comp").agg(F.count("*").alias("k"))
+    lists = per.groupBy(*key).agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    lists = lists.where(F.col("m") > F.col("most")).select(*key, "m", "most", "major", ((F.col("m") * F.col("m") - F.col("sq")) / 2 > CROSS).alias("wide"))
+    lists = stored(lists, f"{path}-lists")
+    met = spread_join(rows, lists, key, weight="m")
+
+    # The largest group of a list is dealt in blocks, and all others (few, as pairs between groups are few) go to each.
+    near = met.where(~F.col("wide"))
+    short, minor = F.col("m") <= LIST, F.col("comp") != F.col("major")
+    blocks = F.ceil(F.col("most") / BLOCK).cast("int")
+    own = F.when(short | minor, 0).otherwise(F.pmod(F.xxhash64("rep"), blocks).cast("int") + 1)
+    near = near.withColumn("own", own).withColumn("i", F.lit(0))
+    near = near.withColumn("j", F.explode(F.when(short, F.array(F.lit(0))).when(minor, F.sequence(F.lit(0), blocks)).otherwise(F.array("own"))))
+    shape = ["rep", "comp", *key, "own", "i", "j"]
+    if lists.where("wide").isEmpty():
+        return near.select(*shape)
+    wide = met.where("wide")
+    if not c2:
+        again = wide.select("rep", "comp", "c", "key").join(reps.select("rep", "keys"), "rep").select("rep", "comp", "c", "key", F.posexplode("keys").alias("c2", "key2"))
+        again = again.where("c2 > c").select("rep", "comp", "c", "c2", F.xxhash64("key", "key2").alias("key"))
+        return near.select(*shape).unionByName(_deal(again, reps, f"{path}-2", True))
+    # Sets that share much without being near duplicates: block against block.
+    n = F.ceil(F.col("m") / BLOCK).cast("int")
+    wide = wide.withColumn("own", F.pmod(F.xxhash64("rep"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    wide = wide.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return near.select(*shape).unionByName(wide.select(*shape))
+
+
 def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     spark = docs.sparkSession
     path = shared_dir(spark)
-    every = stored(described(docs, text), f"{path}/described")
-    classes = every.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, f"{path}/classes")
-    reps = stored(
-        every.join(classes, (every["digest"] == classes["digest"]) & (every["doc_id"] == classes["rep"])).select("rep", "n", "keys", "sketch").dropDuplicates(["rep"]), f"{path}/reps"
-    )
+    every = stored(described(docs, text).withColumn("row", F.monotonically_increasing_id()), f"{path}/described")
+    full = every.where("digest is not null and doc_id is not null")
+    classes = full.groupBy("digest").agg(F.min(F.struct("row", "doc_id", "h")).alias("r"), F.min("doc_id").alias("id"), F.count("*").alias("m"))
+    classes = stored(classes.select("digest", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"), "id", "m"), f"{path}/classes")
+    reps = stored(every.select("row", "n", "keys", "sketch").join(classes.select(F.col("rep").alias("row")), "row").withColumnRenamed("row", "rep"), f"{path}/reps")
     posted = reps.select("rep", F.posexplode("keys").alias("c", "key"))
-    lists = posted.groupBy("c", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    met = stored(posted.join(lists, ["c", "key"]), f"{path}/met")
+    lists = stored(posted.groupBy("c", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1"), f"{path}/lists")
+    met = stored(spread_join(posted, lists, ["c", "key"], weight="m").select("rep", "c", "key", "lead"), f"{path}/met")
+
+    # Texts of one document are linked, whatever they say.
+    repeated = stored(full.groupBy("doc_id").agg(F.count("*").alias("times"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("times > 1"), f"{path}/repeated")
+    once = repeated.isEmpty()
 
-    texts = None
-    edges: DataFrame | None = None
+    texts: DataFrame | None = None
     comp: DataFrame | None = None
     tested: DataFrame | None = None
 
@@ -233,20 +283,23 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
         """Full sets of the classes that meet others."""
         nonlocal texts
         if texts is None:
-            wanted = met.select(F.col("rep").alias("doc_id")).distinct()
+            wanted = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("doc_id", "h", "rep", "digest")
 
             def run(batches):
                 for b in batches:
-                    every = [shingles(x) for x in b.column(1).to_pylist()]
+                    every = [shingles(x) for x in b.column(2).to_pylist()]
+                    mine = [hashlib.blake2b(m.tobytes(), digest_size=16).digest() == d for m, d in zip(every, b.column(1).to_pylist())]
                     short = [np.unique(m.astype(np.uint32)).tobytes() if len(m) <= SHORT else b"" for m in every]
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.tobytes() for m in every], pa.binary()), pa.array(short, pa.binary())], names=["node", "set", "short"])
+                    out = pa.RecordBatch.from_arrays([b.column(0), pa.array([m.tobytes() for m in every], pa.binary()), pa.array(short, pa.binary())], names=["node", "set", "short"])
+                    yield out.filter(pa.array(mine, pa.bool_()))
 
-            texts = stored(small_batches(docs).select("doc_id", F.col(text)).join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, set binary, short binary"), f"{path}/sets")
+            found = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("h")).join(wanted, ["doc_id", "h"]).select("rep", "digest", "text")
+            found = found if once else found.dropDuplicates(["rep"])
+            texts = stored(small_batches(found).mapInArrow(run, "node long, set binary, short binary"), f"{path}/sets")
         return texts
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """Those pairs (a, b) whose full sets are similar enough."""
-        s = sets()
 
         def run(batches):
             for b in batches:
@@ -256,20 +309,22 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
                     p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                     both = len(p) + len(q) - len(np.union1d(p, q)) if 4 * min(len(p), len(q)) >= 3 * max(len(p), len(q)) else 0
                     ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
-        s = s.select("node", "set")
-        both = pairs.select("a", "b").join(s.withColumnsRenamed({"node": "a", "set": "x"}), "a").join(s.withColumnsRenamed({"node": "b", "set": "y"}), "b").select("a", "b", "x", "y")
+        s = sets().select("node", "set")
+        both = spread_join(pairs.select("a", "b"), s.withColumnsRenamed({"node": "a", "set": "x"}), "a", salt="b")
+        both = both.join(s.withColumnsRenamed({"node": "b", "set": "y"}), "b").select("a", "b", "x", "y")
         return stored(small_batches(both, 256).mapInArrow(run, "a long, b long").distinct(), f"{path}/links-{name}")
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        if comp is None:
-            return rows.withColumn("comp", F.col("rep"))
-        return rows.join(comp.withColumnsRenamed({"node": "rep", "component": "comp_"}), "rep", "left").withColumn("comp", F.coalesce("comp_", "rep")).drop("comp_")
+    def merge(new: DataFrame, name: str) -> None:
+        """Join groups along new links."""
+        nonlocal comp
+        edges = new if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
+        comp = stored(components(edges, f"{path}/cc-{name}"), f"{path}/comp-{name}")
 
     def absorb(pairs: DataFrame, name: str) -> None:
         """Confirm new pairs and merge their groups."""
-        nonlocal edges, comp, tested
+        nonlocal tested
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -278,38 +333,45 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
         if pairs.isEmpty():
             return
         new = confirm(pairs, name)
-        if new.isEmpty():
-            return
-        edges = new if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
-        comp = stored(components(edges, f"{path}/cc-{name}"), f"{path}/comp-{name}")
+        if not new.isEmpty():
+            merge(new, name)
 
     def in_lists(nearest: bool, name: str) -> DataFrame:
-        rows = labelled(met.select("rep", "c", "key"))
-        mixed = rows.groupBy("c", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        rows = rows.join(mixed.select("c", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), ["c", "key"])
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("rep", "c", "key", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        rows = met.select("rep", "c", "key")
+        if comp is None:
+            rows = rows.withColumn("comp", F.col("rep"))
+        else:
+            rows = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        rows = _deal(rows.withColumn("c2", F.lit(-1)), reps, f"{path}/deal-{name}")
         shown = reps.select("rep", "n", "sketch", *([] if nearest else ["keys"]))
         if not nearest:
-            short = sets().select(F.col("node").alias("rep"), "short").dropDuplicates(["rep"])
-            shown = _short_keys(shown).join(short, "rep")
+            shown = _short_keys(shown).join(sets().select(F.col("node").alias("rep"), "short"), "rep")
         return stored(_pairs_in_lists(rows.join(shown, "rep"), nearest), f"{path}/near-{name}")
 
-    # The smallest id of the lists a class is in, that which it meets most often.
+    # The smallest class of the lists a class is in, that which it meets most often.
     leads = met.where("lead <> rep").groupBy("rep", "lead").agg(F.count("*").alias("k")).where(F.col("k") >= MATCHES)
     leads = leads.groupBy("rep").agg(F.max_by("lead", F.struct("k", -F.col("lead"))).alias("lead"))
     absorb(leads.select(F.col("lead").alias("a"), F.col("rep").alias("b")), "lead")
     absorb(in_lists(True, "mate").groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")), "mate")
     absorb(in_lists(False, "all"), "all")
-
-    out = every.select("doc_id", "n", "digest").join(classes, "digest", "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    if comp is None:
-        out = out.withColumn("component_id", F.col("node"))
-    else:
-        out = out.join(comp, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    if not once:
+        several = repeated.where("lo <> hi").select("doc_id")
+        node = spread_join(full.select("doc_id", "digest"), several, "doc_id").distinct().join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
+        node = stored(node, f"{path}/several")
+        same = spread_join(node, node.groupBy("doc_id").agg(F.min("rep").alias("first"), F.count("*").alias("times")), "doc_id", weight="times")
+        same = same.where(F.col("first") != F.col("rep")).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+        if not same.isEmpty():
+            merge(same, "same")
+
+    named = classes.select("digest", "rep", "id", "m")
+    if comp is not None:
+        least = comp.join(named, comp["node"] == named["rep"]).groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+        least = spread_join(comp, stored(least, f"{path}/least"), "component", weight="size").select(F.col("node").alias("rep"), "least")
+        named = named.join(least, "rep", "left").withColumn("id", F.coalesce("least", "id"))
+    named = stored(named.select("digest", "id", "m"), f"{path}/named")
+    out = spread_join(full.select("doc_id", "n", "digest"), named, "digest", weight="m").select("doc_id", "n", F.col("id").alias("component_id"))
+    alone = every.where("digest is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _short_keys(rows: DataFrame) -> DataFrame:
