@@ -676,3 +676,71 @@ def test_attempts_write_files_of_their_own(spark, tmp_path):
     assert first.select("file").distinct().intersect(second.select("file").distinct()).count() == 0
     out = warc.round_trip(p)
     assert out.where("record_type = 'revisit' and refers_to = 2999").count() == 1499 and out.count() == 3000
+
+
+# ---- near duplicates: long lists, repeated ids, odds
+
+
+@pytest.mark.parametrize("limits", [{}, {"CROSS": 50, "LIST": 8, "BLOCK": 16}])
+def test_long_lists_of_unlinked_texts(spark, monkeypatch, limits):
+    """Many texts share half of their words and are no near duplicates; some of them are, and one group is large."""
+    for k, v in limits.items():
+        monkeypatch.setattr(neardup, k, v)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    shared, rows = [word() for _ in range(60)], []
+    for i in range(220):
+        rows.append((i, " ".join(shared + [word() for _ in range(50)])))
+    for i in range(40):
+        w = rows[i * 3][1].split()
+        w[rng.randrange(len(w))] = word()
+        rows.append((300 + i, " ".join(w)))
+    base = shared + [word() for _ in range(60)]
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(len(w))] = word()
+        rows.append((400 + i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(docs(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    assert got == expected_groups(rows)
+
+
+def test_repeated_ids_link_each_of_their_texts(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(1, a), (1, b), (2, b + " z"), (3, a + " z"), (7, a + " y"), (7, "other words stand here alone"), (8, "Other words stand here alone"), (1, a)]
+    out = {(r.doc_id, r.component_id, r.kept) for r in neardup.groups(docs(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    assert out == {(1, 1, True), (2, 1, False), (3, 1, False), (7, 1, False), (8, 1, False)}
+
+
+def test_one_group_of_copies_holds_most_rows(spark, monkeypatch):
+    import sigmaspark.llm.common as common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base = [word() for _ in range(50)]
+    rows = [(i, " ".join(base)) for i in range(100)] + [(None, " ".join(base)), (500, None)]
+    for i in range(100, 200):
+        w = list(base)
+        w[rng.randrange(50)] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(word() for _ in range(30))) for i in range(200, 230)]
+    out = neardup.groups(docs(spark, [(i, t, None, None) for i, t in rows])).collect()
+    want = expected_groups([r for r in rows if r[0] is not None])
+    assert len(out) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == want
+
+
+def test_odds_of_coordinates():
+    """Two sets of similarity 0.75 agree in about 13.5 of 32 coordinates, as independent ones would."""
+    rng = np.random.default_rng(5)
+    for union in (40, 400):
+        got = []
+        for _ in range(1500):
+            m = np.unique(rng.integers(0, 1 << 63, union, dtype=np.uint64) * 2)
+            rng.shuffle(m)
+            c, k = union * 3 // 4, union // 8
+            a, b = np.sort(m[: c + k]), np.sort(np.concatenate([m[:c], m[c + k :]]))
+            got.append((neardup.signature(a)[0] == neardup.signature(b)[0]).sum())
+        assert abs(np.mean(got) - 13.5) < 0.4 and abs(np.std(got) - 2.79) < 0.25
+    p = 0.75**3
+    assert sum(math.comb(32, i) * p**i * (1 - p) ** (32 - i) for i in range(neardup.MATCHES)) < 1e-6
