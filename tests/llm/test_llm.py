@@ -230,7 +230,6 @@ def test_forest_recall_and_scores(spark, sf):
 
 def test_forest_parts_give_the_same(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    monkeypatch.setattr(forest, "WHOLE", 10)
     want = {(r.query_id, r.rank, r.vec_id) for r in forest.search(e).collect()}
     monkeypatch.setattr(forest, "PART", 3)
     assert {(r.query_id, r.rank, r.vec_id) for r in forest.search(e).collect()} == want
@@ -744,3 +743,64 @@ def test_odds_of_coordinates():
         assert abs(np.mean(got) - 13.5) < 0.4 and abs(np.std(got) - 2.79) < 0.25
     p = 0.75**3
     assert sum(math.comb(32, i) * p**i * (1 - p) ** (32 - i) for i in range(neardup.MATCHES)) < 1e-6
+
+
+# ---- nearest neighbours: repeated ids and vectors, exact scores, clusters of three sizes
+
+
+def nearest(rows, every=20, k=20):
+    """Brute force over (id, vector)."""
+    out = {}
+    for i in {i for i, _ in rows if i % every == 0}:
+        best = {}
+        for q in (np.array(v, float) for j, v in rows if j == i):
+            for j, v in rows:
+                if j != i:
+                    best[j] = max(best.get(j, -np.inf), float((q * np.array(v, float)).sum()))
+        out[i] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def found(df):
+    got = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    return dict(got)
+
+
+def test_forest_repeated_ids_and_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(20, [1.0, 0.0, 0.5]), (21, [0.5, 0.5, 0.0]), (22, [0.5, -0.5, 0.0])] + [(23, [9.0 + i, 0.0, 1.0]) for i in range(25)]
+    assert found(forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == nearest(rows)
+    same = rng.standard_normal(8).tolist()
+    rows = [(i, same) for i in range(400, 0, -1)] + [(i, rng.standard_normal(8).tolist()) for i in range(401, 500)] + [(40, rng.standard_normal(8).tolist())]
+    got, want = found(forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))), nearest(rows)
+    assert {q: [v for v, _ in x] for q, x in got.items() if q <= 400} == {q: [v for v, _ in x] for q, x in want.items() if q <= 400}
+
+
+def test_forest_scores_are_exact(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, float) for r in e.collect()}
+    got = found(forest.search(e))
+    assert set(got) == {i for i in x if i % 20 == 0}
+    for q, rows in got.items():
+        assert len(rows) == 20 and rows == sorted(rows, key=lambda r: (-r[1], r[0]))
+        assert all(s == float((x[q] * x[v]).sum()) for v, s in rows)
+
+
+def test_forest_looks_at_few_of_many_clusters(spark, monkeypatch):
+    monkeypatch.setattr(forest, "DIRECTORY", 6)  # so that queries descend beyond it
+    rng, shares = np.random.default_rng(4), []
+    for n in (1000, 4000, 16000):
+        centres = rng.standard_normal((n // 40, 16))
+        x = (centres[np.arange(n) % len(centres)] + 0.05 * rng.standard_normal((n, 16)))
+        e = spark.createDataFrame(list(zip(range(n), x.tolist())), "vec_id long, embedding array<double>")
+        want = forest.Forest(e, 20, 20, "vec_id", "embedding").measure()
+        got, hit = found(forest.search(e)), 0
+        for q in got:
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len({v for v, _ in got[q]} & set(np.argsort(-s)[:20].tolist()))
+        assert hit / (20 * len(got)) >= 0.9
+        shares.append(want / (n * forest.TREES))
+    assert shares[2] < shares[1] < shares[0] and shares[2] < 0.2
