@@ -2,12 +2,17 @@
 
 A sequence of tokens is the encoding of a word exactly when each token is its own encoding and
 every adjacent pair is compatible, that is, merging the pair's joined symbols gives the pair
-back. The encoder walks a word from the left, takes the longest token that matches there
-(Aho-Corasick automaton over the vocabulary), accepts it if it is compatible with the token
-before, else tries the next shorter one, and steps back where none is left; end positions that
-lead nowhere are marked so that each is tried once.
-
-Vocabulary files are read by path in the Python workers; the path is a parameter.
+back. One pass of an Aho-Corasick automaton over the vocabulary gives the longest token at each
+place of a word. The encoder walks the word from the left, takes that token, accepts it if it is
+compatible with the token before, else tries the next shorter one, and steps back where none is
+left; end positions that lead nowhere are marked so that each is tried once. Time is linear in
+the word's length.
+
+Vocabulary files are read by path in the Python workers; the path is a parameter. Letters,
+numbers, white space and lower case are those of the tokenizer file's library. Each character
+that comes up is compared once with what this module's patterns make of it; a text that holds
+one they disagree on, as can be with characters of newer Unicode versions, is normalised and cut
+into words by the library's own components.
 
 Defined results: a null text is encoded as the empty one (no ids, empty decoded text); rows,
 ids and extra columns are passed on unchanged, repeated rows included.
@@ -25,6 +30,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +77,9 @@ class WordBpe(dict):
         for k in self.ids:
             self.auto.add_word(k, len(k))
         self.auto.make_automaton()
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.agreed: set[str] = set()
+        self.odd: set[str] = set()
         self.prefix: dict[str, str] = {}
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -108,11 +117,13 @@ class WordBpe(dict):
             ok = self.pairs[a, b] = self.merged(self.symbols(a) + self.symbols(b) if not a.endswith(MARK) else [a, b]) == [a, b]
         return ok
 
-    def longest(self, text: str, at: int) -> str:
-        """The longest token that starts at a position; empty if there is none."""
-        k = self.auto.longest_prefix(text[at:])
-        token = text[at : at + k]
-        return token if token in self.ids else self.shorter(token)
+    def longest(self, text: str) -> list[int]:
+        """The length of the longest token at each place, 0 where there is none."""
+        out = [0] * len(text)
+        for end, k in self.auto.iter(text):
+            if k > out[end - k + 1]:
+                out[end - k + 1] = k
+        return out
 
     def shorter(self, token: str) -> str:
         """The longest token that is a proper prefix of a string."""
@@ -125,12 +136,13 @@ class WordBpe(dict):
         return found
 
     def word(self, text: str) -> list[int]:
-        """Ids of one word, given in byte characters and closed by MARK."""
-        n, ids, whole, pairs = len(text), self.ids, self.whole.get, self.pairs.get
+        """Ids of one word (or part of one), given in byte characters; a word's end is closed by MARK."""
+        n, ids, whole, pairs, most = len(text), self.ids, self.whole.get, self.pairs.get, self.longest(text)
         dead = bytearray(n + 1)
-        dead[n - 1] = 1  # no token is MARK alone
+        if text.endswith(MARK):
+            dead[n - 1] = 1  # no token is MARK alone
         out: list[str] = []
-        at, last, token = 0, "", self.longest(text, 0)
+        at, last, token = 0, "", text[: most[0]]
         while True:
             while token:
                 end = at + len(token)
@@ -146,15 +158,16 @@ class WordBpe(dict):
                 if end == n:
                     return [ids[s] for s in out]
                 at, last = end, token
-                token = self.longest(text, at)
+                token = text[at : at + most[at]]
             elif out:
                 dead[at] = 1
                 token = out.pop()
                 at -= len(token)
                 last = out[-1] if out else ""
                 token = self.shorter(token)
-            else:  # a symbol outside the vocabulary: plain merging drops what it doesn't know
-                return [ids[s] for s in self.merged(self.symbols(text)) if s in ids]
+            else:  # symbols outside the vocabulary are dropped, and what is left stands together
+                known = [s for s in self.symbols(text) if s in ids]
+                return self.word("".join(known)) if known else []
 
     def __missing__(self, chunk: str) -> list[int]:
         if len(self) > CACHE:
@@ -174,8 +187,28 @@ class WordBpe(dict):
             self[chunk] = ids
         return ids
 
+    def strange(self, text: str) -> bool:
+        """Whether the library may see the text's characters in another way than this module's patterns."""
+        for c in set(text) - self.agreed - self.odd:
+            probe = f"x{c}1{c}!{c}"
+            known = unicodedata.category(c) != "Cn" and [w for w, _ in self.words_of(probe)] == ["".join(self.byte_chars[b] for b in w.encode()) for w in WORDS.findall(self.plain_text(probe))]
+            (self.agreed if known else self.odd).add(c)
+        return not self.odd.isdisjoint(text)
+
+    def words_of(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        """Words in byte characters, by the library's components."""
+        return self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+
+    @staticmethod
+    def plain_text(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def plain(self, text: str) -> chain:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if not text.isascii():
+            text = text.encode("utf-8", "replace").decode()
+            if self.strange(text):
+                return chain.from_iterable(self.word(w + MARK) for w, _ in self.words_of(text) if w)
+            text = self.plain_text(text)
         text = text.lower()
         return chain.from_iterable(map(self.__getitem__, SPLIT.split(text) if ODD.search(text) else text.split()))
 
