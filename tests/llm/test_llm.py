@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -804,3 +805,53 @@ def test_forest_looks_at_few_of_many_clusters(spark, monkeypatch):
         assert hit / (20 * len(got)) >= 0.9
         shares.append(want / (n * forest.TREES))
     assert shares[2] < shares[1] < shares[0] and shares[2] < 0.2
+
+
+# ---- BPE: newer characters, linear time, unknown symbols
+
+
+def test_bpe_equals_the_library_on_every_character():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x11000 + 0x23000), *range(0xE0000, 0xE0200), *range(0xF0000, 0xF0010), 0x10FFFF]]
+    every = [f"a{c}1{c} {c}b" for c in chars if unicodedata.category(c) not in ("Lo", "Co") or ord(c) % 64 == 0 or 0x10000 < ord(c) < 0x20000]
+    for x, e in zip(every, lib.encode_batch(every, add_special_tokens=False)):
+        assert own.encode(x) == e.ids, hex(ord(x[1]))
+    rng = random.Random(5)
+    some = ["".join(rng.choice(chars) for _ in range(12)) + " plain words" for _ in range(3000)]
+    for x, e in zip(some, lib.encode_batch(some, add_special_tokens=False)):
+        assert own.encode(x) == e.ids
+
+
+def test_bpe_long_words_cost_linear_time():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, rng, times = bpe.WordBpe(path), random.Random(6), []
+    own.encode("a" * 1000)
+    for n in (20_000, 80_000, 320_000):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.process_time()
+        ids = own.encode(text)
+        times.append(time.process_time() - began)
+        assert own.decode(ids).replace(" ", "") == text + "</w>"
+    assert times[2] < 12 * times[1] + 0.5 and times[1] < 12 * times[0] + 0.5
+
+
+def test_bpe_unknown_symbols(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    gone = {"q", "q</w>"}
+    spec["model"]["vocab"] = {k: v for k, v in spec["model"]["vocab"].items() if "q" not in k}
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if not any("q" in x for x in (m if isinstance(m, list) else m.split(" ")))]
+    path = str(tmp_path / "part.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    lib, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    for x in ("quick brown", "iraq", "q", "aqbqqcc equation tranquil", "qq" * 50 + "thing", ""):
+        assert own.encode(x) == lib.encode(x, add_special_tokens=False).ids, x
+    assert gone.isdisjoint(spec["model"]["vocab"])
