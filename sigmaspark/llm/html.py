@@ -2,12 +2,18 @@
 
 A page is read into blocks: runs of text between block-level tags, each with its chain of open
 elements. A classifier gives every block a cost of being called content and one of being called
-boilerplate, from its container elements, the words in their class and id, its length,
+boilerplate, from its container elements, the plain words in their class and id, its length,
 sentence marks and share of link text. The costs become the capacities of a graph's terminal
 edges. Neighbouring blocks, and blocks with the elements that hold them (and those with theirs),
 are joined by smoothness edges, so that two nodes close by pay for different labels. The
 minimum cut, found by maximum flow, is the cheapest labelling.
 
+So a short line between paragraphs goes with them, and a lone sentence in a list of links goes
+with the list, unless their own costs outweigh their surroundings. Names that tell where
+something stands rather than what it is (sidebar, header, widget) say little about one block:
+such an element is a node with a cost of its own, strongly tied to its blocks, and all of them
+together decide whether it is what its name says or a wrapper of the page's text.
+
 Nodes whose own cost outweighs all their edges have that label in every minimum cut; they are
 fixed first, over and over, and the flow runs on what remains.
 
@@ -49,13 +55,17 @@ TAG_WEIGHT = {"article": 4000, "main": 2500, "nav": -9000, "footer": -9000, "hea
 OWN_WEIGHT = {"p": 1000, "blockquote": 800, "pre": 800, "h1": 900, "h2": 600, "h3": 500, "td": -200, "li": -300}
 BAD_NAME, GOOD_NAME = -9000, 1500
 BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|footer\w*|foot|header|masthead|topbar|sidebar\w*|side|aside|rail|widget\w*|cookies?|consent|gdpr|notice\w*|notification\w*|alert|popup\w*|modal|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|trending|comments?|commentlist|reply|replies|respond|disqus\w*|discussion|pagination|pager|toolbar|copyright|legal|disclaimer|search\w*|form|tags|skip\w*|hidden|print-only|outbrain|taboola)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|footer\w*|foot|cookies?|consent|gdpr|popup\w*|modal|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|trending|comments?|commentlist|reply|replies|respond|disqus\w*|discussion|pagination|pager|copyright|disclaimer|skip\w*|hidden|print-only|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+PLACE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|sidebar\w*|side(?=$|\s|[_-](?:bar|col|column|nav|menu|panel|rail))|aside|rail|widget\w*|notice\w*|notification\w*|alert|toolbar|legal|search\w*|form|tags)(?=$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content\w*|post|entry\w*|story\w*|body|main\w*|text|prose)(?=$|[\s_-])", re.I)
 QUALIFIED = re.compile(r"(?:(?<=[\s_-])|^)(?:no|has|with|without|tag|category)[_-]\S*", re.I)  # says what a page has or is about, not what the element is
 ROLE_BAD = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
-NEAR, ACROSS, HOLDS, NESTS = 500, 150, 250, 120  # smoothness: neighbours in one element, in two, block and element, element and element
+NEAR, ACROSS, HOLDS, NESTS = 900, 200, 400, 200  # smoothness: neighbours in one element, in two, block and element, element and element
+TIED = 6000  # a block and the element of a name of place that holds it
+PLACE_COST = 4000  # of calling such an element content; half of what speaks for the page's text, if that is more
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())  # no containers: their place is not what they are
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^"'>]*+(?:"[^"]*"[^"'>]*+|'[^']*'[^"'>]*+)*+)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -67,11 +77,12 @@ SENTENCE = re.compile(r"[.!?…。！？](?=\s|$|[\"'»”)])")
 class Element:
     """An open element; ``good`` and ``bad`` are the strongest weights of it and all that hold it, known after ``settle``."""
 
-    __slots__ = ("name", "parent", "no", "weight", "penalty", "good", "bad", "inside")
+    __slots__ = ("name", "parent", "no", "weight", "penalty", "place", "good", "bad", "inside")
 
-    def __init__(self, name: str, weight: int, parent: "Element | None", no: int, penalty: int = 0):
+    def __init__(self, name: str, weight: int, parent: "Element | None", no: int, penalty: int = 0, place: bool = False):
         self.name, self.parent, self.no, self.weight, self.penalty = name, parent, no, weight, penalty
         self.good = self.bad = 0
+        self.place: Element | None = self if place else None  # the innermost element around with a name of place, once settled
         self.inside = name == "article" or (parent is not None and parent.inside)  # an article
 
 
@@ -84,7 +95,7 @@ def settle(elements: list[Element]) -> None:
     """
     articles, own = [], set()
     for e in elements:
-        if e.name == "article" and not e.penalty and (e.parent is None or not e.parent.inside):
+        if e.name == "article" and not e.penalty and not e.place and (e.parent is None or not e.parent.inside):
             articles.append(e)
     held: Counter[int] = Counter()
     for e in elements:
@@ -99,18 +110,21 @@ def settle(elements: list[Element]) -> None:
         if e.parent is not None and held[e.no]:
             held[e.parent.no] += held[e.no]
     for e in elements:
-        if e.penalty and (e.no in own or articles and e.name != "article" and held[e.no] == len(articles)):
-            e.penalty = 0
+        if (e.penalty or e.place) and (e.no in own or articles and e.name != "article" and held[e.no] == len(articles)):
+            e.penalty, e.place = 0, None
+        if e.place is None and e.parent is not None:
+            e.place = e.parent.place if e.name not in ("article", "main") else None
         e.good = max(e.weight + e.penalty, e.parent.good if e.parent else 0)
         e.bad = min(e.weight + e.penalty, e.parent.bad if e.parent else 0)
 
 
-def _weight(name: str, attrs: str, in_article: bool) -> tuple[int, int]:
-    """An element's weight, and apart from it the penalty of its class and id."""
+def _weight(name: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
+    """An element's weight, and apart from it the penalty of its class and id and whether they name a place."""
     w = TAG_WEIGHT.get(name, 0)
     if name == "header" and in_article:
         w = 0
     good = bad = 0
+    place = False
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in NAMES.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -122,8 +136,10 @@ def _weight(name: str, attrs: str, in_article: bool) -> tuple[int, int]:
                 words = QUALIFIED.sub("", value).split()
                 wrong = [x for x in words if BAD.search(x)] if name not in ("body", "html", "main") else []
                 bad += bool(wrong)
-                good += any(x not in wrong and GOOD.search(x) for x in words)
-    return w + good * GOOD_NAME, 0 if good else bad * BAD_NAME
+                placed = [x for x in words if PLACE.search(x)] if name not in ("body", "html", "main") and not (in_article and name in TEXT) else []
+                place = place or bool(placed)
+                good += any(x not in wrong and x not in placed and GOOD.search(x) for x in words)
+    return w + good * GOOD_NAME, 0 if good else bad * BAD_NAME, place and not good
 
 
 def _ends(html: str) -> dict[int, int]:
@@ -155,6 +171,7 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
     ends: dict[int, int] | None = None
 
     def cut(k: int):
+        """Close elements from the k-th on."""
         for e in stack[k:]:
             opened[e.name] -= 1
         del stack[k:]
@@ -219,7 +236,7 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
         elif name == "br":
             parts.append(" ")
         elif name in RAW:
-            if name not in ("svg", "math", "canvas"):
+            if name not in ("svg", "math", "canvas", "noscript", "script", "template"):
                 close()
             if name in TO_END:
                 if not m[3].endswith("/"):
@@ -238,8 +255,8 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
             inline = name in INLINE
             if name == "a":
                 link_open = True
-            weight, penalty = _weight(name, m[3], stack[-1].inside) if (m[3] or not inline) else (0, 0)
-            if not inline or weight or penalty:
+            weight, penalty, place = _weight(name, m[3], stack[-1].inside) if (m[3] or not inline) else (0, 0, False)
+            if not inline or weight or penalty or place:
                 close()
                 if not inline and stack[-1].name == "p":
                     cut(len(stack) - 1)
@@ -251,7 +268,7 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
                             break
                         if stack[k].name in AUTO_STOP:
                             break
-                stack.append(Element(name, weight, stack[-1], made, penalty))
+                stack.append(Element(name, weight, stack[-1], made, penalty, place))
                 every.append(stack[-1])
                 opened[name] += 1
                 made += 1
@@ -347,12 +364,10 @@ def _max_flow(s: list[int], near: list[dict[int, int]], rest: list[int]) -> list
                     level[x] = -2
 
 
-def extract(html: str | None) -> str:
-    """The main text of a page."""
-    found = blocks(html) if html else []
-    if not found:
-        return ""
+def labels(found: list[tuple[str, Element, int]]) -> list[bool]:
+    """Whether each of a page's blocks is content: the minimum cut of its graph."""
     own = [score(*b) for b in found]
+    evidence = sum(x for x in own if x > 0)
     edges = [(i, i + 1, NEAR if found[i][1] is found[i + 1][1] or found[i][1].parent is found[i + 1][1].parent else ACROSS) for i in range(len(found) - 1)]
     hubs: dict[int, int] = {}
 
@@ -371,8 +386,20 @@ def extract(html: str | None) -> str:
         holder = e.parent if e.name in OWN_WEIGHT and e.parent is not None else e
         if holder.parent is not None and holder.name not in ("body", "html"):
             edges.append((i, hubs[holder.no] if holder.no in hubs else hub(holder), HOLDS))
-    label = min_cut(own, edges)
-    return "\n".join(text for (text, _, _), x in zip(found, label) if x)
+    places: dict[int, int] = {}
+    for i, (_, e, _) in enumerate(found):
+        if e.place is not None:
+            if e.place.no not in places:
+                places[e.place.no] = len(own)
+                own.append(-max(PLACE_COST, evidence // 2))
+            edges.append((i, places[e.place.no], TIED))
+    return min_cut(own, edges)[: len(found)]
+
+
+def extract(html: str | None) -> str:
+    """The main text of a page."""
+    found = blocks(html) if html else []
+    return "\n".join(text for (text, _, _), x in zip(found, labels(found)) if x)
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
