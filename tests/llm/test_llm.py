@@ -855,3 +855,33 @@ def test_bpe_unknown_symbols(tmp_path):
     for x in ("quick brown", "iraq", "q", "aqbqqcc equation tranquil", "qq" * 50 + "thing", ""):
         assert own.encode(x) == lib.encode(x, add_special_tokens=False).ids, x
     assert gone.isdisjoint(spec["model"]["vocab"])
+
+
+# ---- HTML: what the cut decides
+
+LONG_P = "It was late in the year when the first ships came back, and the people of the town had long given up waiting for them. Nobody spoke. They stood on the quay."
+SOUP = [
+    # (page, wanted text): the wanted labels differ from the blocks' own signs
+    (f"<div><div>{LONG_P}</div><div>Chapter two</div><div>{LONG_P}</div></div>", f"{LONG_P}\nChapter two\n{LONG_P}"),
+    (f"<div><h2>A short head</h2><p>{LONG_P}</p><div>(to be read aloud)</div><p>{LONG_P}</p></div>", f"A short head\n{LONG_P}\n(to be read aloud)\n{LONG_P}"),
+    (f"<div><p>{LONG_P}</p></div><ul>" + "<li><a href=#>One of the other stories</a></li>" * 3 + "<li>Read it now, if you please, as it is short. Really. Others did. So may you. Do.</li>" + "<li><a href=#>One of the other stories</a></li>" * 3 + "</ul>", LONG_P),
+    (f"<div class='sidebar-left'><p>{LONG_P}</p><p>{LONG_P}</p><p>{LONG_P}</p><p>Short end.</p></div>", "\n".join([LONG_P] * 3 + ["Short end."])),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), SOUP)
+def test_the_cut_changes_labels_for_the_better(page, want):
+    found = html.blocks(page)
+    alone = "\n".join(b[0] for b in found if html.score(*b) + (-html.PLACE_COST if b[1].place else 0) > 0)
+    assert html.extract(page) == want and alone != want
+
+
+def test_names_of_place():
+    assert html.extract(f"<div class=content><p>{LONG_P}</p><p>{LONG_P}</p></div><div class='sidebar'><p>About the author, who lives here. A short note.</p></div>") == f"{LONG_P}\n{LONG_P}"
+    assert "A note beside" in html.extract(f"<article><p>{LONG_P}</p><p class='side-note'>A note beside the text, which belongs to it.</p><p>{LONG_P}</p></article>")
+    assert html.extract(f"<article><p>{LONG_P} and<noscript>no script</noscript> so on.</p></article>") == f"{LONG_P} and so on."
+
+
+def test_head_without_an_end():
+    for page in (f"<html><head><title>x</title><p>{LONG_P}</p>", f"<head><meta charset=utf-8><link rel=a><body><select><option>a<p>{LONG_P}</p>", f"<head><script>1</script><article><select><p>{LONG_P}</p>"):
+        assert LONG_P in html.extract(page)
