@@ -885,3 +885,28 @@ def test_names_of_place():
 def test_head_without_an_end():
     for page in (f"<html><head><title>x</title><p>{LONG_P}</p>", f"<head><meta charset=utf-8><link rel=a><body><select><option>a<p>{LONG_P}</p>", f"<head><script>1</script><article><select><p>{LONG_P}</p>"):
         assert LONG_P in html.extract(page)
+
+
+# ---- personal data: the report's columns
+
+
+@pytest.mark.parametrize("text", ["card: four 111 1111 1111 one 11 one", "card:\nfour 111 1111 1111 one 11 one"])
+def test_cards_with_few_spelled_digits(text):
+    assert [(k, text[a:b]) for a, b, k in pii.spans(text)[1]] == [("card", "four 111 1111 1111 one 11 one")]
+
+
+def test_pii_report_equals_brute_force(spark, sf):
+    import hashlib
+
+    rng = random.Random(14)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["".join(rng.choice("a.@@-+1 (2)45%\n0.é") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += [None, "", "mail john.doe [at] example [dot] com or a@b.cd, ip 1.2.3.4", "x\n" * 50_000 + "a@b.cd"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.report(d).collect():
+        t = texts[r.doc_id] or ""
+        form = lambda s: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(s, key=lambda x: (x[0], pii.KINDS.index(x[2]))))
+        assert r.base_sha256 == hashlib.sha256(form(brute(t)).encode()).hexdigest()
+        base, added = pii.spans(t)
+        assert r.spans == form(base + added) and set(base) == set(brute(t))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[2] for x in base + added) for k in pii.KINDS]
