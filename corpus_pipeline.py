@@ -19,8 +19,9 @@ from sigmaspark.llm.common import crc_mod, shared_dir, stored, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; those it rejects go."""
     model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    judged = langid.predict(docs, model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.REJECT)).select(docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")  # whatever the columns' names
+    judged = langid.predict(rows, model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.REJECT)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
