@@ -57,3 +57,8 @@ def widen(value: Column, bits: int, to: int) -> Column:
 def dst_max_frame(channels: Column, rate: Column, frame_rate: Column) -> Column:
     samples = F.floor(rate / frame_rate)
     return channels * F.floor(samples / 8) + 1
+
+
+def deinterleave(samples: Column, channels: int) -> Column:
+    """An array of interleaved samples as an array of (channel, at, sample)."""
+    return F.transform(samples, lambda x, i: F.struct((i % channels).cast("long").alias("channel"), quotient(i, channels).alias("at"), x.alias("sample")))

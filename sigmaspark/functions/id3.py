@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigmaspark.functions import text
+
 ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 
 
@@ -75,6 +78,17 @@ def render(tags: dict[str, str] | None) -> bytes | None:
     return b"ID3\4\0\0" + _unsafe(len(frames)) + frames if frames else None
 
 
+def typed(tags: Column) -> dict[str, Column]:
+    """The fields of a tag map that have a meaning of their own: texts, numbers with their totals (0 where unknown) and the date's parts."""
+    get = lambda *names: F.coalesce(*(text.present(F.element_at(tags, F.lit(n))) for n in names))
+    year, month, day = text.parse_date(F.coalesce(get("TDRC", "TYER"), F.lit("")))
+    track, tracks = text.parse_of(F.coalesce(get("TRCK"), F.lit("")))
+    disc, discs = text.parse_of(F.coalesce(get("TPOS"), F.lit("")))
+    texts = {"title": "TIT2", "performer": "TPE1", "album_artist": "TPE2", "album": "TALB", "composer": "TCOM", "songwriter": "TEXT", "genre": "TCON", "isrc": "TSRC", "publisher": "TPUB", "copyright": "TCOP", "message": "COMM", "arranger": "TXXX:Arranger"}
+    out = {k: get(v) for k, v in texts.items()}
+    return out | {"year": year, "month": month, "day": day, "track": track, "tracks": tracks, "disc": disc, "discs": discs}
+
+
 def _parse_all(tag: pd.Series) -> pd.Series:
     return tag.map(parse)
 

@@ -9,18 +9,18 @@ DSD, DST, PCM = 1, 2, 4
 AUDIO, SUPPLEMENTARY, PADDING = 2, 3, 7
 
 
-def access_entry(frame: Column, step: int, entries: Column) -> Column:
+def access_entry(frame: Column, step: int, entries: Column | int) -> Column:
     """Which entry of an access list covers a frame; frames past the list use the last."""
-    return F.least(((frame - frame % step) / step).cast("long"), entries - 1)
+    return F.least(((frame - frame % step) / step).cast("long"), F.lit(entries) - 1)
 
 
-def access_lsn(frames: DataFrame, access: DataFrame, step: int, entries: int, area_end: int, frame: str = "frame") -> DataFrame:
-    """``lsn`` of the access entry that covers each frame. ``access``: entry, lsn."""
-    keyed = frames.withColumn("entry", access_entry(F.col(frame), step, F.lit(entries)))
+def access_lsn(frames: DataFrame, access: DataFrame, step: int, entries: Column | int, area_end: Column | int, frame: str = "frame") -> DataFrame:
+    """``lsn`` of the access entry that covers each frame. ``access``: entry, lsn; ``entries`` and ``area_end`` may be scalar subqueries."""
+    keyed = frames.withColumn("entry", access_entry(F.col(frame), step, entries))
     return keyed.join(access.select("entry", "lsn"), "entry").withColumn("lsn", F.least("lsn", F.lit(area_end)))
 
 
-def access_range(frames: DataFrame, access: DataFrame, step: int, entries: int, play_frames: int, area: tuple[int, int], frame: str = "frame") -> DataFrame:
+def access_range(frames: DataFrame, access: DataFrame, step: int, entries: Column | int, play_frames: Column | int, area: tuple[Column | int, Column | int], frame: str = "frame") -> DataFrame:
     """Sector range ``from_lsn``..``to_lsn`` to search for each frame. ``access``: entry, lsn, margin.
 
     The start is estimated between the entry and the next one (or the area's end, for the last),
@@ -28,7 +28,7 @@ def access_range(frames: DataFrame, access: DataFrame, step: int, entries: int,
     """
     start, end = area
     ends = access.select("entry", "lsn", "margin").join(access.select((F.col("entry") - 1).alias("entry"), F.col("lsn").alias("next")), "entry", "left")
-    keyed = frames.withColumn("entry", access_entry(F.col(frame), step, F.lit(entries))).join(ends, "entry")
+    keyed = frames.withColumn("entry", access_entry(F.col(frame), step, entries)).join(ends, "entry")
     last = F.col("next").isNull()
     room = F.when(last, F.lit(end)).otherwise(F.col("next")) - F.col("lsn")
     over = F.when(last, F.lit(play_frames) - F.col("entry") * step).otherwise(F.lit(step))
@@ -61,13 +61,14 @@ def routes(frames: DataFrame, sinks: list[tuple[str, int]], fmt: str = "format")
 
 
 def mount_of(paths: DataFrame, mounts: DataFrame, path: str = "path", mount: str = "mount") -> DataFrame:
-    """The longest mount that equals the path or is a parent folder of it: an equi-join on the path's own prefixes."""
+    """The longest mount that equals the path or is a parent folder of it: an equi-join on the path's own prefixes. Each row keeps its own result."""
     parts = F.split(F.col(path), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    tried = paths.withColumn("_prefix", F.explode(F.array_distinct(prefixes)))
-    found = tried.join(mounts.select(F.col(mount).alias("_prefix"), F.col(mount).alias("mount")), "_prefix")
-    best = found.groupBy(*paths.columns).agg(F.max_by("mount", F.length("mount")).alias("mount"))
-    return best
+    rows = paths.select(F.struct(*paths.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"), F.array_distinct(prefixes).alias("_prefixes"))
+    rows = rows.select("_row", "_id", F.explode("_prefixes").alias("_prefix"))
+    found = rows.join(mounts.select(F.col(mount).alias("_prefix"), F.col(mount).alias("mount")).distinct(), "_prefix")
+    best = found.groupBy("_id").agg(F.first("_row").alias("_row"), F.max_by("mount", F.length("mount")).alias("mount"))
+    return best.select("_row.*", "mount")
 
 
 def frames_from_packets(packets: DataFrame, by: list[str], order: list[str], data_type: str = "data_type", frame_start: str = "frame_start", size: str = "size") -> DataFrame:

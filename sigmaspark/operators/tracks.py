@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, STOP = 0, 1
+SPACE = " \t\n\v\f\r"
+DIGITS = re.compile("[0-9]+")
 
 
 class SelectionError(ValueError):
@@ -19,20 +21,34 @@ class SelectionError(ValueError):
 
 
 def parse_selection(spec: str, last: int) -> list[int]:
-    """Track numbers of ``all`` or a list of ``n`` and ``a-b``: in order, each once; ranges may run backwards."""
-    text = re.sub(r"\s+", "", spec or "")
+    """Track numbers of ``all`` or a list of ``n`` and ``a-b``: in order, each once; ranges may run backwards.
+
+    White space may stand around numbers, dashes and commas, but not within a number; ``all`` is
+    in lower case; a comma may follow the last entry. Entries are read from the left, and the
+    first error counts: a number that isn't on the disc before later bad syntax.
+    """
+    text = (spec or "").strip(SPACE)
     if not text:
         raise SelectionError("empty", spec)
-    if text.lower() == "all":
+    if text == "all":
         return list(range(1, last + 1))
     out: dict[int, None] = {}
-    for part in text.split(","):
-        m = re.fullmatch(r"(\d+)(?:-(\d+))?", part)
-        if not m:
-            raise SelectionError("invalid", spec)
-        a, b = int(m[1]), int(m[2] or m[1])
-        if not (0 < a <= last and 0 < b <= last):
-            raise SelectionError("not_found", spec)
+    entries = text.split(",")
+    if not entries[-1].strip(SPACE) and len(entries) > 1:
+        entries.pop()
+    for entry in entries:
+        ends = [x.strip(SPACE) for x in entry.split("-", 1)]
+        numbers = []
+        for x in ends:
+            digits = DIGITS.match(x)
+            if not digits:
+                raise SelectionError("invalid", spec)
+            if not 0 < int(digits[0]) <= last:
+                raise SelectionError("not_found", spec)
+            if digits.end() < len(x):
+                raise SelectionError("invalid", spec)
+            numbers.append(int(digits[0]))
+        a, b = numbers[0], numbers[-1]
         out |= dict.fromkeys(range(a, b + 1) if a <= b else range(a, b - 1, -1))
     return list(out)
 
@@ -123,3 +139,10 @@ def unique_names(entries: DataFrame, by: list[str], name: str, order: list[str])
     """``unique_name``: a name that is taken gets `` (n)``, counting from 2."""
     n = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order))
     return entries.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+
+
+def chunk_offsets(frames: DataFrame, by: list[str], order: list[str], size: str, head: int = 12) -> DataFrame:
+    """``at``: where each frame's payload lies in a run of chunks, each with a header and padded to an even size."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    even = F.col(size) + F.col(size) % 2
+    return frames.withColumn("at", F.sum(even + head).over(w) - even)

@@ -6,13 +6,15 @@ order lines for frames, and so on. Every query reads its whole tables.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigmaspark.functions import audio, id3, tags, text
-from sigmaspark.operators import fir, lookup, tracks
+from sigmaspark.functions import labels as label_names
+from sigmaspark.operators import fir, lookup, summary, tracks
 from sigmaspark.sinks import audio as audio_sink
 from sigmaspark.sinks import text as text_sink
 from sigmaspark.sources import dsdiff, dsf
@@ -69,6 +71,17 @@ def marker_sort(spark, sf_dir):
     return tracks.sort_markers(m, ["user_id"], "second", "kind", "event_id").select("user_id", "event_id", "place")
 
 
+SPECS = {"5-3, 1,1,7-9": [5, 4, 3, 1, 7, 8, 9], "2": [2], "4 - 6 ,2,": [4, 5, 6, 2], "all": list(range(1, 100)), "9-1": list(range(9, 0, -1))}
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' AS spec, conv_id, turn, list_position({v}, turn)::BIGINT AS sel_pos FROM conversations WHERE list_contains({v}, turn)" for s, v in SPECS.items()))
+def track_selections(spark, sf_dir):
+    """Several selections of the turns."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    out = [tracks.select_tracks(c, s, 99, "turn").select(F.lit(s).alias("spec"), "conv_id", "turn", F.col("sel_pos").cast("long").alias("sel_pos")) for s in SPECS]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 @query("""SELECT conv_id, turn, list_position([5, 4, 3, 1, 7, 8, 9], turn)::BIGINT AS sel_pos FROM conversations WHERE turn IN (5, 4, 3, 1, 7, 8, 9)""")
 def track_select(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
@@ -106,15 +119,14 @@ def cue_index(spark, sf_dir):
     return g.select("l_orderkey", "line", F.when(F.col("gap"), audio.frames_to_msf(F.col("previous_end"))).alias("index00"), audio.frames_to_msf(F.col("start")).alias("index01"))
 
 
-ACCESS = """a AS (SELECT (event_id // 10)::BIGINT AS entry, (event_id * 7 + 100)::BIGINT AS lsn, (event_id % 13)::BIGINT AS margin FROM events WHERE event_id % 10 = 0),
+ACCESS = """a AS (SELECT event_id AS entry, (event_id * 7 + 100)::BIGINT AS lsn, (event_id % 13)::BIGINT AS margin FROM events),
 c AS (SELECT count(*) AS n, max(lsn) AS hi FROM a)"""
 
 
 def access(spark, sf_dir):
-    """Every tenth event as an entry of an access list; entries are numbered from 0."""
-    a = table(spark, sf_dir, "events").where("event_id % 10 = 0").select(((F.col("event_id") - F.col("event_id") % 10) / 10).cast("long").alias("entry"), (F.col("event_id") * 7 + 100).alias("lsn"), (F.col("event_id") % 13).alias("margin"))
-    n, hi = a.agg(F.count("*"), F.max("lsn")).first()
-    return a, int(n or 0), int(hi or 0)
+    """Every event as an entry of an access list, with the number of entries and the last sector as scalar subqueries."""
+    a = table(spark, sf_dir, "events").select(F.col("event_id").alias("entry"), (F.col("event_id") * 7 + 100).alias("lsn"), (F.col("event_id") % 13).alias("margin"))
+    return a, a.agg(F.count("*").alias("n")).scalar(), a.agg(F.max("lsn").alias("hi")).scalar()
 
 
 @query(f"""WITH {ACCESS} SELECT o_orderkey, least(a.lsn, c.hi - 50)::BIGINT AS lsn FROM orders, c JOIN a ON a.entry = least(o_orderkey // 4, c.n - 1)""")
@@ -137,8 +149,7 @@ def access_range(spark, sf_dir):
 @query("""SELECT o_orderkey, (coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), (SELECT max(o_orderkey) FROM orders)) - o_orderkey + 1)::BIGINT AS length FROM orders""")
 def contiguous_len(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    end = o.agg(F.max("o_orderkey")).first()[0]
-    return tracks.contiguous_length(o, ["o_custkey"], "o_orderkey", F.lit(end)).select("o_orderkey", "length")
+    return tracks.contiguous_length(o, ["o_custkey"], "o_orderkey", o.agg(F.max("o_orderkey")).scalar()).select("o_orderkey", "length")
 
 
 @query(f"""WITH {LINES} SELECT l_orderkey, line AS number, (sum(frames) OVER w - frames)::BIGINT AS start, (sum(frames) OVER w)::BIGINT AS stop
@@ -174,10 +185,11 @@ def sanitize(spark, sf_dir):
     return p.select("p_partkey", text.sanitize_filename(F.col("p")).alias("file_name"), text.sanitize_filepath(F.col("p")).alias("file_path"))
 
 
-@query("""SELECT doc_id, rtrim(regexp_extract(head, '^(.*?)(?:;|/|,| - |$)', 1, 's'), ' ') AS token FROM (SELECT doc_id, left(translate(text, chr(10), '/'), 14) AS head FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN strlen(t) <= 60 THEN t ELSE left(t, list_max(list_filter(range(0, 61), lambda k: strlen(left(t, k)) <= 60))::BIGINT) END AS token
+FROM (SELECT doc_id, rtrim(regexp_extract(translate(text, chr(10), '/'), '^(.*?)(?:;|/|,| - |$)', 1, 's'), ' ') AS t FROM documents)""")
 def first_token(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left(F.translate("text", "\n", "/"), F.lit(14)).alias("head"))
-    return d.select("doc_id", text.first_token(F.col("head")).alias("token"))
+    """The first name in each whole text, cut to 60 bytes between characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_token(F.translate("text", "\n", "/")).alias("token"))
 
 
 @query(f"""WITH t AS (SELECT p_partkey, p_partkey % 20 + 1 AS n, nullif(CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END, '') AS title,
@@ -240,8 +252,8 @@ def fir_decimate(spark, sf_dir):
 
 @query("""SELECT vec_id, (i % 2)::BIGINT AS channel, (i // 2)::BIGINT AS at, embedding[i + 1]::DOUBLE AS sample FROM embeddings, range(0, 64) r(i)""")
 def deinterleave(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "sample"))
-    return e.select("vec_id", (F.col("i") % 2).cast("long").alias("channel"), audio.quotient(F.col("i"), 2).alias("at"), F.col("sample").cast("double").alias("sample"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.inline(audio.deinterleave(F.col("embedding"), 2)))
+    return e.withColumn("sample", F.col("sample").cast("double"))
 
 
 @query("""WITH t AS (SELECT d.doc_id, lang, source, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))
@@ -291,15 +303,12 @@ def input_type(spark, sf_dir):
 
 @query(f"""WITH {LINES} SELECT l_orderkey, line, sum(frames) OVER (PARTITION BY l_orderkey ORDER BY line)::BIGINT AS done, round(100.0::DOUBLE * sum(frames) OVER (PARTITION BY l_orderkey ORDER BY line) / sum(frames) OVER (PARTITION BY l_orderkey), 4) AS percent FROM l""")
 def progress(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey")
-    t = lines(spark, sf_dir).withColumn("done", F.sum("frames").over(w.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
-    return t.select("l_orderkey", "line", "done", F.round(F.lit(100.0) * F.col("done") / F.sum("frames").over(w), 4).alias("percent"))
+    return summary.progress(lines(spark, sf_dir), ["l_orderkey"], ["line"], "frames").select("l_orderkey", "line", "done", "percent")
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS tracks, count(DISTINCT l_orderkey) AS albums, sum(l_quantity::BIGINT)::BIGINT AS frames, round(sum(l_quantity::BIGINT) / 75.0::DOUBLE, 4) AS seconds FROM lineitem GROUP BY 1, 2""")
 def totals(spark, sf_dir):
-    frames = F.sum(F.col("l_quantity").cast("long"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("tracks"), F.countDistinct("l_orderkey").alias("albums"), frames.alias("frames"), F.round(frames / F.lit(75.0), 4).alias("seconds"))
+    return summary.totals(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_orderkey", F.col("l_quantity").cast("long"))
 
 
 @query("""SELECT o_orderkey, coalesce(try_cast(regexp_extract(s, '^(\\d{4})(?:-(\\d{1,2}))?(?:-(\\d{1,2}))?', 1) AS INTEGER), 0) AS y, coalesce(try_cast(regexp_extract(s, '^(\\d{4})(?:-(\\d{1,2}))?(?:-(\\d{1,2}))?', 2) AS INTEGER), 0) AS m,
@@ -330,7 +339,7 @@ def codes(spark, sf_dir):
 @query("""SELECT s_suppkey, 'REM "' || replace(replace(s_name || '\\' || '"x"', '\\', '\\\\'), '"', '\\"') || '"' AS cue, '{"key":' || s_suppkey || ',"name":"' || s_name || '"}' AS json FROM supplier""")
 def json_info(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", F.concat(F.lit('REM "'), text.cue_escape(F.concat("s_name", F.lit('\\"x"'))), F.lit('"')).alias("cue"), F.to_json(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))).alias("json"))
+    return s.select("s_suppkey", F.concat(F.lit('REM "'), text.cue_escape(F.concat("s_name", F.lit('\\"x"'))), F.lit('"')).alias("cue"), text_sink.json_of(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))).alias("json"))
 
 
 @query("""WITH p AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 7 WHEN event_type = 'view' THEN 3 ELSE 2 END AS kind, CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS first, event_id % 2048 AS size FROM events),
@@ -348,13 +357,13 @@ def sector_layout(spark, sf_dir):
     return lookup.fixed_sectors(o, 16, 500, "o_orderkey").withColumnsRenamed({"lsn": "lsn16", "skip": "skip16"}).drop("sectors")
 
 
-@query("""WITH m AS (SELECT DISTINCT 'http://' || split_part(split_part(url, '://', 2), '/', 1) AS mount FROM pages WHERE url LIKE 'http://%' UNION SELECT DISTINCT 'http://' || split_part(split_part(url, '://', 2), '/', 1) || '/en' FROM pages WHERE url LIKE 'http://%' AND page_id % 2 = 0)
+@query("""WITH m AS (SELECT DISTINCT 'http://' || split_part(split_part(url, '://', 2), '/', 1) AS mount FROM pages WHERE url LIKE 'http://%' UNION SELECT DISTINCT 'http://' || split_part(split_part(url, '://', 2), '/', 1) || '/en' FROM pages WHERE url LIKE 'http://%')
 SELECT page_id, url, max_by(mount, length(mount)) AS mount FROM pages JOIN m ON url = mount OR starts_with(url, mount || '/') GROUP BY 1, 2""")
 def mount_lookup(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     host = F.concat(F.lit("http://"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)))
-    plain = p.where(F.col("url").startswith("http://"))
-    mounts = plain.select(host.alias("mount")).union(plain.where("page_id % 2 = 0").select(F.concat(host, F.lit("/en")).alias("mount"))).distinct()
+    hosts = p.where(F.col("url").startswith("http://")).select(host.alias("mount"))
+    mounts = hosts.union(hosts.select(F.concat("mount", F.lit("/en")))).distinct()
     return lookup.mount_of(p, mounts, "url")
 
 
@@ -367,9 +376,8 @@ def frame_offsets(spark, sf_dir):
 @query(f"""WITH {LINES} SELECT l_orderkey, line, (sum(frames + 12 + frames % 2) OVER (PARTITION BY l_orderkey ORDER BY line) - (frames + frames % 2))::BIGINT AS at, (2 * ((2822400 // (frames + 74)) // 8) + 1)::BIGINT AS most FROM l""")
 def dst_index(spark, sf_dir):
     """Where each frame's payload lies: 12 bytes of header before each, padded to even sizes."""
-    w = Window.partitionBy("l_orderkey").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    even = F.col("frames") + F.col("frames") % 2
-    return lines(spark, sf_dir).select("l_orderkey", "line", (F.sum(even + 12).over(w) - even).alias("at"), audio.dst_max_frame(F.lit(2), F.lit(2822400), F.col("frames") + 74).cast("long").alias("most"))
+    t = tracks.chunk_offsets(lines(spark, sf_dir), ["l_orderkey"], ["line"], "frames")
+    return t.select("l_orderkey", "line", "at", audio.dst_max_frame(F.lit(2), F.lit(2822400), F.col("frames") + 74).cast("long").alias("most"))
 
 
 @query("""SELECT user_id, min(epoch_us(ts))::BIGINT AS opened, max(epoch_us(ts))::BIGINT AS used, count(*) AS uses FROM (
@@ -378,17 +386,21 @@ SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, ev
 def idle_sessions(spark, sf_dir):
     """Spans in which an image stays mounted: it goes after 30 idle minutes."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", micros(F.col("ts")).alias("us"))
-    return e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("us").alias("opened"), F.max("us").alias("used"), F.count("*").alias("uses")).drop("session_window")
+    return summary.spans_of_use(e, ["user_id"], "ts", "us", "30 minutes")
 
 
-@query("""SELECT event_id, user_id, event_type FROM events WHERE event_id >= 100 AND event_type IN ('click', 'view') AND user_id % 2 = 0""")
+@query("""WITH f AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)
+SELECT user_id, event_type, event_id, place::BIGINT AS place, 'start' AS origin FROM f WHERE place >= 3 AND place < 13 UNION ALL SELECT user_id, event_type, event_id, place, 'end' FROM f WHERE place >= greatest(n - 5, 0) AND place < greatest(n - 5, 0) + 4""")
 def area_seek(spark, sf_dir):
-    return table(spark, sf_dir, "events").where((F.col("event_id") >= 100) & F.col("event_type").isin("click", "view") & (F.col("user_id") % 2 == 0)).select("event_id", "user_id", "event_type")
+    """Bounded reads of every area: ten frames from the fourth on, and four from the fifth but last on."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    reads = [summary.read_from(e, ["user_id", "event_type"], ["event_id"], offset, count, origin).withColumn("origin", F.lit(origin)) for offset, count, origin in ((3, 10, "start"), (5, 4, "end"))]
+    return reads[0].unionByName(reads[1])
 
 
 @query("""SELECT DISTINCT p_brand, p_type FROM part""")
 def distinct_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_brand", "p_type").dropDuplicates()
+    return summary.distinct_names(table(spark, sf_dir, "part"), "p_brand", "p_type")
 
 
 @query("""SELECT DISTINCT l_orderkey AS k, g::BIGINT AS line, coalesce(q, 150)::BIGINT AS payload FROM (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1) o, range(1, 9) r(g)
@@ -396,8 +408,8 @@ LEFT JOIN (SELECT l_orderkey AS ok, l_linenumber AS ln, max(l_quantity)::BIGINT
 def silence_fill(spark, sf_dir):
     """Frames that are missing up to one past the last are filled with the silence byte."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("line")).agg(F.max("l_quantity").cast("long").alias("payload"))
-    slots = li.groupBy("k").agg(F.max("line").alias("n")).select("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + 1)).alias("line"))
-    return slots.join(li, ["k", "line"], "left").select("k", "line", F.coalesce("payload", F.lit(audio.SILENCE).cast("long")).alias("payload"))
+    upto = li.groupBy("k").agg((F.max("line") + 1).alias("last"))
+    return summary.fill_silence(li, ["k"], "line", "payload", upto, F.lit(audio.SILENCE).cast("long")).select("k", "line", "payload")
 
 
 def vector_frames(spark, sf_dir):
@@ -457,8 +469,8 @@ FLAG_SQL = "CASE event_type WHEN 'click' THEN 'Stereo' WHEN 'view' THEN 'Multi-c
 
 @query(f"SELECT event_id, {FLAG_SQL} AS label FROM events")
 def labels(spark, sf_dir):
-    names = F.create_map(*(F.lit(x) for x in ("click", "Stereo", "view", "Multi-channel", "purchase", "DST")))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.element_at(names, F.col("event_type")), F.lit("Unknown")).alias("label"))
+    names = {"click": "Stereo", "view": "Multi-channel", "purchase": "DST"}
+    return table(spark, sf_dir, "events").select("event_id", label_names.named(F.col("event_type"), names).alias("label"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,13 @@ def album_documents(album: DataFrame, numbered: DataFrame, key: str = "album_id"
     return album.join(nested, key, "left").withColumn("seconds", F.coalesce("total_frames", F.lit(0)) / F.lit(75.0))
 
 
+def json_of(document: Column) -> Column:
+    """A document (a struct) as JSON text; fields without a value are left out."""
+    return F.to_json(document)
+
+
 def to_json(documents: DataFrame) -> DataFrame:
-    return documents.select(F.to_json(F.struct("*")).alias("value"))
+    return documents.select(json_of(F.struct("*")).alias("value"))
 
 
 def to_xml(documents: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ RUNS = 170  # runs of three frames in a range
 PACKET_SECTORS = 4096
 AREAS = {"stereo": b"TWOCHTOC", "multichannel": b"MULCHTOC"}
 # Character sets by their code, and the kinds of track texts.
-CHARSETS = {1: "ascii", 2: "latin-1", 3: "shift_jis", 4: "euc_kr", 5: "gb2312", 6: "big5", 7: "latin-1"}
+CHARSETS = {0: "ascii", 1: "ascii", 2: "latin-1", 3: "shift_jis", 4: "euc_kr", 5: "gb2312", 6: "big5", 7: "latin-1"}
 TEXTS = {1: "title", 2: "performer", 3: "songwriter", 4: "composer", 5: "arranger", 6: "message"}
 
 DISC = "path string, album_catalog string, disc_catalog string, set_size int, sequence int, hybrid boolean, year int, month int, day int, album_title string, album_artist string, disc_title string, disc_artist string, error string"

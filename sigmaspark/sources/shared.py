@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which the cluster sets; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under ``spark.checkpoint.dir``, which the cluster sets; a local session without it gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark, "_shared_base", None)
         if base is None:
             base = spark._shared_base = "file://" + tempfile.mkdtemp(prefix="spark-")

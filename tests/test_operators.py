@@ -85,3 +85,71 @@ def test_mounts(spark):
     p = spark.createDataFrame([("/a/b/c",), ("/a/bc",), ("/a",), ("/x",)], "path string")
     m = spark.createDataFrame([("/a",), ("/a/b",)], "mount string")
     assert sorted((r.path, r.mount) for r in lookup.mount_of(p, m).collect()) == [("/a", "/a"), ("/a/b/c", "/a/b"), ("/a/bc", "/a")]
+
+
+@pytest.mark.parametrize(("spec", "want"), [("1,2,", [1, 2]), ("4 - 6 ,2", [4, 5, 6, 2]), ("\t3\n", [3]), (" all ", list(range(1, 13)))])
+def test_selection_of_odd_forms(spec, want):
+    assert tracks.parse_selection(spec, 12) == want
+
+
+@pytest.mark.parametrize(("spec", "kind"), [("1 2", "invalid"), ("ALL", "invalid"), ("1-2-3", "invalid"), (",1", "invalid"), ("1,,2", "invalid"), ("13 x", "not_found"), ("1-99 x", "not_found"), ("-1", "invalid"), ("  ", "empty")])
+def test_selection_errors_of_odd_forms(spec, kind):
+    with pytest.raises(tracks.SelectionError) as e:
+        tracks.parse_selection(spec, 12)
+    assert e.value.kind == kind
+
+
+def test_mounts_keep_repeated_rows(spark):
+    p = spark.createDataFrame([("/a/b/c",), ("/a/b/c",), ("/x",)], "path string")
+    m = spark.createDataFrame([("/a",), ("/a",), ("/a/b",)], "mount string")
+    assert [(r.path, r.mount) for r in lookup.mount_of(p, m).collect()] == [("/a/b/c", "/a/b")] * 2
+
+
+def test_labels(spark):
+    from sigmaspark.functions import labels
+
+    d = spark.createDataFrame([("DFF", "best", "TITLE", 6, "TIT2x"), ("nope", "x", "num", 9, "ABCD"), (None, None, None, None, None)], "o string, q string, t string, c int, f string")
+    r = d.select(labels.output_name(labels.parse_output(F.col("o"))), labels.extension(labels.parse_output(F.col("o"))), labels.parse_quality(F.col("q")), labels.parse_track_format(F.col("t")), labels.speakers(F.col("c")), labels.tag_frame_name(F.col("f"))).collect()
+    assert [tuple(x) for x in r] == [("DSDIFF", ".dff", "high", "title", "5.1ch", "Title"), ("Unknown", "", None, "number", "Unknown", "ABCD"), ("Unknown", "", None, None, "Unknown", "Unknown")]
+    a = spark.createDataFrame([(2, 0, 2), (5, 3, 0), (6, 3, 9)], "n int, c int, f int").select(labels.area_speakers(F.col("n"), F.col("c")), labels.area_format(F.col("f")), labels.frame_format(F.lit("dst"))).collect()
+    assert [tuple(x) for x in a] == [("2.0 Stereo", "DSD (3-in-14)", "Lossless DST"), ("5.0 Surround", "DST", "Lossless DST"), ("Unknown", "Unknown", "Lossless DST")]
+
+
+@pytest.mark.parametrize(("name", "names", "want"), [("wav", "dsf,WAV", True), ("wav", "dsf,-wav,ALL", False), ("x", "ALL", True), ("x", "all", False), ("wa", "wav", False), ("dsf", "-ALL,dsf", False), ("", "a", False), (None, "a", False)])
+def test_name_lists(spark, name, names, want):
+    from sigmaspark.functions import labels
+
+    assert spark.createDataFrame([(name, names)], "a string, b string").select(labels.in_name_list(F.col("a"), F.col("b"))).first()[0] is want
+
+
+def test_lists_that_meet(spark):
+    from sigmaspark.functions import labels
+
+    d = spark.createDataFrame([("a,b", "c,b"), ("a", "ab"), ("", ""), ("a,,b", "x,,y"), (None, "a")], "a string, b string")
+    assert [r[0] for r in d.select(labels.lists_meet(F.col("a"), F.col("b"))).collect()] == [True, False, False, False, False]
+
+
+def test_index_points(spark):
+    from sigmaspark.operators import summary
+
+    t = spark.createDataFrame([(1, [0, 150, 400], 1000), (2, [50], 70), (3, [], 9)], "track int, starts array<int>, length int")
+    assert sorted(map(tuple, summary.index_intervals(t, ["track"]).collect())) == [(1, 0, 0, 149), (1, 1, 150, 399), (1, 2, 400, 1399), (2, 0, 50, 119)]
+    assert sorted(map(tuple, summary.pauses(t, ["track"]).collect())) == [(1, 150), (2, 70), (3, 1)]
+
+
+def test_list_edits(spark):
+    from sigmaspark.operators import summary
+
+    m = spark.createDataFrame([("f", 0, "a"), ("f", 1, "b"), ("f", 2, "c"), ("g", 0, "d")], "path string, idx int, text string")
+    gone = spark.createDataFrame([("f", 1), ("f", 9), ("h", 0)], "path string, idx int")
+    left = summary.delete_index(m, ["path"], "idx", gone)
+    assert sorted(map(tuple, left.collect())) == [("f", 0, "a"), ("f", 1, "c"), ("g", 0, "d")]
+    new = spark.createDataFrame([("f", 0, "x"), ("f", 1, "y")], "path string, idx int, text string")
+    assert sorted(map(tuple, summary.append_index(left, ["path"], "idx", new).collect())) == [("f", 0, "a"), ("f", 1, "c"), ("f", 2, "x"), ("f", 3, "y"), ("g", 0, "d")]
+
+
+def test_typed_tags(spark):
+    t = {"TIT2": "T", "TPE1": "P", "TRCK": "3/12", "TPOS": "1", "TDRC": "2001-02", "TXXX:Arranger": "A", "COMM": ""}
+    r = spark.createDataFrame([(t,), ({"TYER": "1999"},)], "m map<string,string>").select(*(c.alias(k) for k, c in id3.typed(F.col("m")).items())).collect()
+    assert (r[0].title, r[0].performer, r[0].track, r[0].tracks, r[0].disc, r[0].discs, r[0].year, r[0].month, r[0].arranger, r[0].message) == ("T", "P", 3, 12, 1, 0, 2001, 2, "A", None)
+    assert (r[1].year, r[1].title, r[1].track) == (1999, None, 0)
