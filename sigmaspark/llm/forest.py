@@ -47,6 +47,7 @@ TREES = 32
 BITS = 48
 DIRECTORY = 14
 PART = 4096
+SPLIT = 512  # strings of a directory prefix that are searched in one task
 SAMPLE = 64
 TARGET = 0.96
 SEED = 11
@@ -253,7 +254,7 @@ class Forest:
 
         @F.pandas_udf("int")
         def parts(at: pd.Series) -> pd.Series:
-            return pd.Series(np.maximum(-(-sent.value[bits][at.to_numpy()] // (PART * 16)), 1))
+            return pd.Series(np.maximum(-(-sent.value[bits][at.to_numpy()] // SPLIT), 1))
 
         data = data.withColumn("part", F.pmod(F.xxhash64("who"), parts("at")).cast("int"))
         asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts("at") - 1)))
