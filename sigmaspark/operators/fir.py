@@ -32,24 +32,91 @@ def decimate_array(samples: Column, coef: list[float], step: int) -> Column:
     return F.transform(outs, one)
 
 
+def _strided(x: np.ndarray, coef: np.ndarray, step: int) -> np.ndarray:
+    """Every ``step``-th product of the filter with the samples, from the first that it covers."""
+    if len(x) < len(coef):
+        return np.empty(0)
+    return np.lib.stride_tricks.sliding_window_view(x, len(coef))[::step] @ coef[::-1]
+
+
+def history_bits(stages: list[tuple[np.ndarray, int]]) -> int:
+    """Samples before a frame that the first output of a chain of filters looks back on."""
+    need, step = 0, 1
+    for coef, k in stages:
+        need += (len(coef) - 1) * step
+        step *= k
+    return need
+
+
 def bits_to_pcm(payload: bytes, history: bytes, coef: np.ndarray, step: int) -> np.ndarray:
     """Samples of one channel's frame (first bit in time: the highest of each byte); ``history`` is what comes before it."""
-    need = len(coef) - 1
+    return chain_to_pcm(payload, history, [(np.asarray(coef, np.float64), step)])
+
+
+def chain_to_pcm(payload: bytes, history: bytes, stages: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """The same through a chain of filters, each of which keeps every ``step``-th sample."""
+    need = history_bits(stages)
     before = np.unpackbits(np.frombuffer(history, np.uint8))[-need:].astype(np.float64) * 2 - 1 if need and history else np.empty(0)
     x = np.unpackbits(np.frombuffer(payload, np.uint8)).astype(np.float64) * 2 - 1
     x = np.concatenate([np.zeros(need - len(before)), before, x])
-    return np.convolve(x, coef, "valid")[::step] if len(x) >= len(coef) else np.empty(0)
+    for coef, step in stages:
+        x = _strided(x, coef, step)
+    return x
+
+
+FRAME_BYTES = 4704  # a channel's bytes in a frame of the lowest rate
 
 
-def decimate_frames(frames: DataFrame, by: list[str], coef: list[float], step: int, order: str = "frame_no", payload: str = "payload") -> DataFrame:
-    """``pcm`` (array<double>) of each frame; ``by`` names the track and channel. Frames hold a whole number of output steps."""
-    h = np.asarray(coef, np.float64)
-    need = -(-(len(h) - 1) // 8)
+def decimate_chain(frames: DataFrame, by: list[str], stages: list[tuple[list[float], int]], order: str = "frame_no", payload: str = "payload", frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """``pcm`` (array<double>) of each frame; ``by`` names the track and channel. Frames hold a whole number of output steps.
+
+    A frame looks back on as many frames as the filters reach, if each has ``frame_bytes``;
+    where frames before a frame are too short for that, an error tells so.
+    """
+    chain = [(np.asarray(h, np.float64), k) for h, k in stages]
+    need = -(-history_bits(chain) // 8)
+    reach = max(-(-need // frame_bytes), 1)
 
     @F.pandas_udf("array<double>")
-    def run(now: pd.Series, before: pd.Series) -> pd.Series:
-        return pd.Series([bits_to_pcm(p, b or b"", h, step) if p is not None else None for p, b in zip(now, before)])
+    def run(now: pd.Series, before: pd.Series, place: pd.Series) -> pd.Series:
+        out = []
+        for p, b, n in zip(now, before, place):
+            past = b"".join(x for x in b if x is not None)[-need:] if need else b""
+            if len(past) < need and n > reach + 1:
+                raise ValueError(f"frames of fewer than {frame_bytes} bytes before a filter that looks back {need}")
+            out.append(chain_to_pcm(p, past, chain) if p is not None else None)
+        return pd.Series(out)
 
     w = Window.partitionBy(*by).orderBy(order)
     tail = F.substring(F.col(payload), F.greatest(F.octet_length(payload) - need + 1, F.lit(1)), F.lit(need)) if need else F.lit(b"")
-    return frames.withColumn("_before", F.lag(tail).over(w)).withColumn("pcm", run(payload, "_before")).drop("_before")
+    before = F.collect_list(F.coalesce(tail, F.lit(b""))).over(w.rowsBetween(-reach, -1))
+    with_past = frames.withColumns({"_before": before, "_place": F.row_number().over(w)})
+    return with_past.withColumn("pcm", run(payload, "_before", "_place")).drop("_before", "_place")
+
+
+def decimate_frames(frames: DataFrame, by: list[str], coef: list[float], step: int, order: str = "frame_no", payload: str = "payload", frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """``decimate_chain`` with one filter."""
+    return decimate_chain(frames, by, [(coef, step)], order, payload, frame_bytes)
+
+
+def stages(rate: int, pcm_rate: int | None = None, quality: str = "normal") -> list[tuple[list[float], int]]:
+    """Filters from a 1-bit rate to a sample rate, which is 1/32 of it unless given.
+
+    ``fast`` is one filter; ``normal`` and ``high`` are a chain that divides by 8 first and by 2
+    after that, each with a filter as steep as its own rate needs. The designs are this module's.
+    """
+    pcm_rate = pcm_rate or rate // 32
+    factor = rate // pcm_rate
+    if rate % pcm_rate or factor < 8 or factor & (factor - 1):
+        raise ValueError(f"no filters from {rate} to {pcm_rate}")
+    if quality not in ("fast", "normal", "high"):
+        raise ValueError(f"unknown quality {quality!r}")
+    if quality == "fast":
+        return [(windowed_sinc(12 * factor, 0.45 / factor), factor)]
+    halves = (factor // 8).bit_length() - 1
+    return [(windowed_sinc(96, 1 / 20), 8)] + [(windowed_sinc(48, 0.22), 2)] * halves
+
+
+def convert(frames: DataFrame, by: list[str], rate: int, pcm_rate: int | None = None, quality: str = "normal", order: str = "frame_no", payload: str = "payload") -> DataFrame:
+    """1-bit frames of single channels as samples at ``pcm_rate``; frames have 1/75 s."""
+    return decimate_chain(frames, by, stages(rate, pcm_rate, quality), order, payload, rate // 75 // 8)

@@ -1,21 +1,26 @@
 """Writers of audio files, one per track: DSF, DSDIFF and WAV.
 
-Frames are dealt by track and sorted, and each task streams its tracks to the store, so a track
-is never held in memory. A task that runs again replaces its own files.
+Sizes are added up per track first; frames are then dealt by track and sorted, and each task
+streams its tracks to the store, header first, so a track is neither held in memory nor written
+twice. A task that runs again replaces its own files.
 """
 
 from __future__ import annotations
 
+import inspect
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sigmaspark.sources.files import REVERSED, patch_head, put
 
 BLOCK = 4096
+START, STOP, PROGRAM_START = 0, 1, 2  # fixed values: kinds of markers
 CHANNEL_TYPES = {1: 1, 2: 2, 3: 3, 4: 4, 5: 6, 6: 7}
 CHANNEL_IDS = {1: ["C"], 2: ["SLFT", "SRGT"], 3: ["MLFT", "MRGT", "C"], 4: ["MLFT", "MRGT", "LS", "RS"], 5: ["MLFT", "MRGT", "C", "LS", "RS"], 6: ["MLFT", "MRGT", "C", "LFE", "LS", "RS"]}
 
@@ -45,25 +50,49 @@ def dsf_blocks(payloads: Iterator[bytes], channels: int) -> Iterator[bytes]:
         yield np.ascontiguousarray(last.T).tobytes()
 
 
-def write_dsf(path: str, payloads: Iterator[bytes], channels: int, rate: int, tag: bytes = b"") -> int:
-    """One DSF file; the number of samples per channel. The header is set once the length is known."""
-    count = 0
+@dataclass(frozen=True)
+class Sizes:
+    """What a track's payloads come to: their bytes, the bytes of chunks that hold one each, and how many there are."""
+
+    bytes: int
+    chunked: int
+    count: int
+
+
+def _put_headed(path: str, head: Callable[[Sizes], bytes], body: Callable[[Iterator[bytes]], Iterator[bytes]], payloads: Iterator[bytes], sizes: Sizes | None) -> Sizes:
+    """Write head and body; without sizes the head is set once they are known, which copies the file."""
+    n = [0, 0, 0]
 
     def counted():
-        nonlocal count
         for p in payloads:
-            count += len(p)
+            n[0], n[1], n[2] = n[0] + len(p), n[1] + 12 + len(p) + len(p) % 2, n[2] + 1
             yield p
 
     def chunks():
-        yield bytes(92)
-        yield from dsf_blocks(counted(), channels)
+        yield head(sizes or Sizes(0, 0, 0))
+        yield from body(counted())
+
+    put(path, chunks())
+    got = Sizes(*n)
+    if sizes is None:
+        patch_head(path, head(got))
+    elif sizes != got:
+        raise ValueError(f"{path}: {got} written, {sizes} announced")
+    return got
+
+
+def write_dsf(path: str, payloads: Iterator[bytes], channels: int, rate: int, tag: bytes = b"", sizes: Sizes | None = None) -> int:
+    """One DSF file; the number of samples per channel."""
+
+    def head(n: Sizes) -> bytes:
+        per = n.bytes // channels
+        return dsf_header(channels, rate, per * 8, -(-per // BLOCK) * BLOCK * channels, len(tag))
+
+    def body(p: Iterator[bytes]) -> Iterator[bytes]:
+        yield from dsf_blocks(p, channels)
         yield tag
 
-    size = put(path, chunks())
-    samples = count // channels * 8
-    patch_head(path, dsf_header(channels, rate, samples, size - 92 - len(tag), len(tag)))
-    return samples
+    return _put_headed(path, head, body, payloads, sizes).bytes // channels * 8
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -83,41 +112,43 @@ def _dsdiff_head(channels: int, rate: int, compression: bytes) -> bytes:
     return b"DSD " + chunk(b"FVER", bytes([1, 5, 0, 0])) + chunk(b"PROP", prop)
 
 
-def write_dsdiff(path: str, payloads: Iterator[bytes], channels: int, rate: int, markers: list[bytes] | None = None, artist: str | None = None, title: str | None = None, dst: bool = False) -> int:
-    """One DSDIFF file of raw or DST frames; bytes of audio (raw) or number of frames (DST)."""
-    head = _dsdiff_head(channels, rate, b"DST " if dst else b"DSD ")
+def diin(markers: list[bytes] | None = None, artist: str | None = None, title: str | None = None) -> bytes:
     lines = b"".join(chunk(k, struct.pack(">I", len(v.encode())) + v.encode()) for k, v in ((b"DIAR", artist), (b"DITI", title)) if v)
-    tail = chunk(b"DIIN", lines + b"".join(markers or [])) if lines or markers else b""
-    count, size, index = 0, 0, []
+    return chunk(b"DIIN", lines + b"".join(markers or [])) if lines or markers else b""
 
-    def chunks():
-        nonlocal count, size
-        yield b"FRM8" + bytes(8) + head + (b"DST " if dst else b"DSD ") + bytes(8)
-        at = 12 + len(head) + 12
+
+def write_dsdiff(path: str, payloads: Iterator[bytes], channels: int, rate: int, markers: list[bytes] | None = None, artist: str | None = None, title: str | None = None, dst: bool = False, sizes: Sizes | None = None, tail: Callable[[], bytes] | None = None, tail_bytes: int = 0) -> int:
+    """One DSDIFF file of raw or DST frames; bytes of audio (raw) or number of frames (DST).
+
+    ``tail`` gives chunks that are known after the sound only, ``tail_bytes`` their size.
+    """
+    start = _dsdiff_head(channels, rate, b"DST " if dst else b"DSD ")
+    end = diin(markers, artist, title)
+
+    def head(n: Sizes) -> bytes:
+        sound = 18 + n.chunked if dst else n.bytes
+        rest = (12 + 12 * n.count if dst else n.bytes % 2) + len(end) + tail_bytes
+        out = b"FRM8" + struct.pack(">Q", len(start) + 12 + sound + rest) + start + (b"DST " if dst else b"DSD ") + struct.pack(">Q", sound)
+        return out + (chunk(b"FRTE", struct.pack(">IH", n.count, 75)) if dst else b"")
+
+    def body(payloads: Iterator[bytes]) -> Iterator[bytes]:
+        at, index, n = 12 + len(start) + 12 + 18, [], 0
+        for p in payloads:
+            n += len(p)
+            if dst:
+                index.append((at + 12, len(p)))
+                at += 12 + len(p) + len(p) % 2
+            yield chunk(b"DSTF", p) if dst else p
         if dst:
-            yield chunk(b"FRTE", bytes(6))
-            size = 18
-            for p in payloads:
-                index.append((at + size + 12, len(p)))
-                data = chunk(b"DSTF", p)
-                size += len(data)
-                count += 1
-                yield data
             yield chunk(b"DSTI", b"".join(struct.pack(">QI", *x) for x in index))
-        else:
-            for p in payloads:
-                size += len(p)
-                yield p
-            if size % 2:
-                yield b"\0"
-        yield tail
-
-    total = put(path, chunks())
-    fixed = b"FRM8" + struct.pack(">Q", total - 12) + head + (b"DST " if dst else b"DSD ") + struct.pack(">Q", size)
-    if dst:
-        fixed += chunk(b"FRTE", struct.pack(">IH", count, 75))
-    patch_head(path, fixed)
-    return count if dst else size
+        elif n % 2:
+            yield b"\0"
+        yield end
+        if tail:
+            yield tail()
+
+    got = _put_headed(path, head, body, payloads, sizes)
+    return got.count if dst else got.bytes
 
 
 def pack_pcm(samples: np.ndarray, bits: int) -> bytes:
@@ -127,50 +158,132 @@ def pack_pcm(samples: np.ndarray, bits: int) -> bytes:
     return v.astype("<i2").tobytes() if bits == 16 else v.tobytes() if bits == 32 else v.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
-def write_wav(path: str, payloads: Iterator[np.ndarray], channels: int, rate: int, bits: int = 24, info: dict[str, str] | None = None) -> int:
-    """One WAV file from interleaved samples; ``info``: four-letter keys of its LIST chunk."""
+def write_wav(path: str, payloads: Iterator[np.ndarray], channels: int, rate: int, bits: int = 24, info: dict[str, str] | None = None, samples: int | None = None) -> int:
+    """One WAV file from interleaved samples, whose number over all channels is ``samples``; ``info``: four-letter keys of its LIST chunk."""
     size = 0
 
     def listed() -> bytes:
         items = b"".join(k.encode() + struct.pack("<I", len(v.encode()) + 1) + v.encode() + b"\0" * (1 + (len(v.encode()) + 1) % 2) for k, v in (info or {}).items() if v)
         return b"LIST" + struct.pack("<I", len(items) + 4) + b"INFO" + items if items else b""
 
+    align, extra = channels * bits // 8, listed()
+
+    def head(size: int) -> bytes:
+        total = 44 + size + size % 2 + len(extra)
+        return b"RIFF" + struct.pack("<I", total - 8) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * align, align, bits) + b"data" + struct.pack("<I", size)
+
     def chunks():
         nonlocal size
-        yield bytes(44)
+        yield head((samples or 0) * bits // 8)
         for p in payloads:
             data = pack_pcm(np.asarray(p, np.float64), bits)
             size += len(data)
             yield data
-        yield b"\0" * (size % 2) + listed()
+        yield b"\0" * (size % 2) + extra
 
-    total = put(path, chunks())
-    align = channels * bits // 8
-    patch_head(path, b"RIFF" + struct.pack("<I", total - 8) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * align, align, bits) + b"data" + struct.pack("<I", size))
+    put(path, chunks())
+    if samples is None:
+        patch_head(path, head(size))
+    elif size != samples * bits // 8:
+        raise ValueError(f"{path}: {size} bytes written, {samples} samples announced")
     return size
 
 
-def write_tracks(frames: DataFrame, folder: str, write: Callable[[str, Iterator[bytes], int, int], int], ending: str, track: str = "track", order: str = "frame_no") -> DataFrame:
+def write_wavs(pcm: DataFrame, folder: str, bits: int = 24, track: str = "track", order: str = "frame_no", samples: str = "pcm", info: dict[str, str] | None = None) -> DataFrame:
+    """One WAV file per track from rows of interleaved samples (array<double>), channels and rate: rows (track, path, written)."""
+    totals = pcm.groupBy(track).agg(F.sum(F.size(samples)).alias("_samples"))
+    dealt = pcm.join(totals, track).select(track, samples, "channels", "rate", "_samples", order).repartition(track).sortWithinPartitions(track, order)
+
+    def run(batches):
+        for first, own in _tracks(batches):
+            path = f"{folder}/{first[track]}.wav"
+            written = write_wav(path, (r[samples] for r in own(track)), first["channels"], first["rate"], bits, info, first["_samples"])
+            yield pa.RecordBatch.from_arrays([pa.array([str(first[track])]), pa.array([path]), pa.array([written], pa.int64())], names=["track", "path", "written"])
+
+    return dealt.mapInArrow(run, "track string, path string, written long")
+
+
+def _dealt(frames: DataFrame, track: str, order: list[str], more: list[str]) -> DataFrame:
+    """Frames dealt by track and sorted, each with the sizes of its track."""
+    size = F.octet_length("payload").cast("long")
+    sizes = frames.groupBy(track).agg(F.sum(size).alias("_bytes"), F.sum(size + size % 2 + 12).alias("_chunked"), F.count("*").alias("_count"))
+    rows = frames.join(sizes, track).select(track, "payload", "channels", "rate", "_bytes", "_chunked", "_count", *order, *more)
+    return rows.repartition(track).sortWithinPartitions(track, *order)
+
+
+def _tracks(batches: Iterator[pa.RecordBatch]):
+    """(first row, its rows) of each track; the rows of one must be used up before the next."""
+    rows = (dict(zip(b.schema.names, r)) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    row = next(rows, None)
+    while row is not None:
+        first = row
+
+        def own(key: str):
+            nonlocal row
+            while row is not None and row[key] == first[key]:
+                yield row
+                row = next(rows, None)
+
+        yield first, own
+
+
+def write_tracks(frames: DataFrame, folder: str, write: Callable[..., int], ending: str, track: str = "track", order: str = "frame_no", more: list[str] | None = None) -> DataFrame:
     """Write one file per track from ``track``, ``order``, channels, rate and payload: rows (track, path, written).
 
-    The result writes when it is evaluated; evaluate it once.
+    ``write`` is called with path, payloads, channels, rate, the track's own values of the columns
+    ``more``, by name, and ``sizes`` if it takes them. The result writes when it is evaluated;
+    evaluate it once.
     """
+    more = more or []
+    sized = "sizes" in inspect.signature(write).parameters
 
     def run(batches):
-        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-        row = next(rows, None)
-        while row is not None:
-            now, channels, rate = row[0], row[2], row[3]
+        for first, own in _tracks(batches):
+            path = f"{folder}/{first[track]}{ending}"
+            sizes = Sizes(first["_bytes"], first["_chunked"], first["_count"])
+            written = write(path, (r["payload"] for r in own(track)), first["channels"], first["rate"], **{k: first[k] for k in more}, **({"sizes": sizes} if sized else {}))
+            yield pa.RecordBatch.from_arrays([pa.array([str(first[track])]), pa.array([path]), pa.array([written], pa.int64())], names=["track", "path", "written"])
 
-            def payloads():
-                nonlocal row
-                while row is not None and row[0] == now:
-                    yield row[4]
-                    row = next(rows, None)
+    return _dealt(frames, track, [order], more).mapInArrow(run, "track string, path string, written long")
 
-            path = f"{folder}/{now}{ending}"
-            written = write(path, payloads(), channels, rate)
-            yield pa.RecordBatch.from_arrays([pa.array([str(now)]), pa.array([path]), pa.array([written], pa.int64())], names=["track", "path", "written"])
 
-    dealt = frames.select(track, order, "channels", "rate", "payload").repartition(track).sortWithinPartitions(track, order)
-    return dealt.mapInArrow(run, "track string, path string, written long")
+def write_edit_masters(frames: DataFrame, folder: str, album: str = "album", position: str = "position", order: str = "frame_no", name: str | None = None) -> DataFrame:
+    """One DSDIFF file per album with all its selected tracks in the order of ``position``: rows (album, path, tracks, written).
+
+    The file has a program start at 0 and a start (with the track's ``title``) and a stop for each
+    track, at a running count of samples. Each track's ``tag`` is stored in that order. Columns:
+    ``album``, ``position``, ``frame_no``, channels, rate, payload, title, tag; ``name`` names a
+    column with the file's name, else it is the album's.
+    """
+    starts = frames.groupBy(album, position).agg(F.first("title").alias("_title"), F.first("tag").alias("_tag"))
+    text = F.octet_length(F.coalesce("_title", F.lit("")))
+    tag = F.octet_length("_tag")
+    # Two markers of 34 bytes and the title, padded to even, and a padded chunk for the tag.
+    extra = F.lit(68) + text + text % 2 + F.when(tag > 0, tag + tag % 2 + 12).otherwise(0)
+    tails = starts.groupBy(album).agg((F.sum(extra) + 46).alias("_tail"))
+    more = ["title", "tag", "_tail"] + ([name] if name else [])
+
+    def run(batches):
+        for first, own in _tracks(batches):
+            path = f"{folder}/{first[name] if name else first[album]}.dff"
+            per, marks, tags, at, now = first["channels"], [marker(0, first["rate"], PROGRAM_START)], [], 0, None
+
+            def payloads():
+                nonlocal at, now
+                for r in own(album):
+                    if r[position] != now:
+                        if now is not None:
+                            marks.append(marker(at, first["rate"], STOP))
+                        now = r[position]
+                        marks.append(marker(at, first["rate"], START, r["title"] or ""))
+                        if r["tag"]:
+                            tags.append(chunk(b"ID3 ", r["tag"]))
+                    at += len(r["payload"]) // per * 8
+                    yield r["payload"]
+                marks.append(marker(at, first["rate"], STOP))
+
+            sizes = Sizes(first["_bytes"], first["_chunked"], first["_count"])
+            written = write_dsdiff(path, payloads(), per, first["rate"], sizes=sizes, tail=lambda: diin(marks) + b"".join(tags), tail_bytes=first["_tail"])
+            yield pa.RecordBatch.from_arrays([pa.array([str(first[album])]), pa.array([path]), pa.array([len(marks) // 2], pa.int64()), pa.array([written], pa.int64())], names=["album", "path", "tracks", "written"])
+
+    return _dealt(frames.join(tails, album), album, [position, order], more).mapInArrow(run, "album string, path string, tracks long, written long")

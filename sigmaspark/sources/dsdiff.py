@@ -1,6 +1,7 @@
 """DSDIFF files as tables: ``spark.read.format("dsdiff")``.
 
-Option ``table``: ``frames`` (default; raw or DST payloads as stored), ``info`` or ``markers``.
+Option ``table``: ``frames`` (default; raw or DST payloads as stored), ``info``, ``markers`` or
+``tags`` (``idx`` null for the file's own tag, else the track's from 0).
 The chunk tree is walked when the scan is planned, which reads chunk headers only; frames of raw
 audio are read in ranges, DST frames by their index (or by walking frame headers without one).
 Sample counts are bits per channel throughout.
@@ -16,7 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .files import Bytes, listed
 
 RANGE = 512
-INFO = "path string, version long, compression string, channels int, channel_ids array<string>, rate int, samples long, frames long, frame_rate int, artist string, title string, error string"
+INFO = "path string, version long, compression string, channels int, channel_ids array<string>, rate int, samples long, frames long, frame_rate int, artist string, title string, emid string, loudspeakers int, start_time struct<hours:int,minutes:int,seconds:int,samples:long>, manufacturer binary, error string"
+TAGS = "path string, idx int, tag binary"
 FRAMES = "path string, frame_no long, sample_offset long, is_first boolean, is_last boolean, channels int, rate int, format string, payload binary"
 MARKERS = "path string, idx int, hours int, minutes int, seconds int, samples long, offset int, mark_type int, mark_channel int, flags int, text string, pos long"
 
@@ -34,6 +36,11 @@ class File:
     markers: list[tuple] = field(default_factory=list)
     artist: str | None = None
     title: str | None = None
+    emid: str | None = None
+    loudspeakers: int | None = None
+    start_time: tuple[int, int, int, int] | None = None
+    manufacturer: bytes | None = None
+    tags: list[tuple[int, int]] = field(default_factory=list)
 
     @property
     def frame_bytes(self) -> int:
@@ -76,6 +83,10 @@ def parse(f: Bytes) -> File:
                     out.channels = [raw[2 + 4 * i : 6 + 4 * i].decode("latin-1").strip() for i in range(int.from_bytes(raw[:2], "big"))]
                 elif k == b"CMPR":
                     out.compression = f.at(a, 4).decode("latin-1")
+                elif k == b"LSCO":
+                    out.loudspeakers = int.from_bytes(f.at(a, 2), "big")
+                elif k == b"ABSS":
+                    out.start_time = struct.unpack(">HBBI", f.at(a, 8))
         elif kind == b"DSD ":
             out.data = (at, size)
         elif kind == b"DST ":
@@ -87,12 +98,18 @@ def parse(f: Bytes) -> File:
         elif kind == b"DSTI":
             raw = f.at(at, size)
             out.index = [struct.unpack_from(">QI", raw, 12 * i) for i in range(size // 12)]
+        elif kind == b"ID3 ":
+            out.tags.append((at, size))
+        elif kind == b"MANF":
+            out.manufacturer = f.at(at, size)
         elif kind == b"DIIN":
             for k, a, n in chunks(f, at, at + size):
                 if k == b"MARK":
                     h, m, s, samples, offset, mark, channel, flags, length = struct.unpack(">HBBIiHHHI", f.at(a, 22))
                     text = f.at(a + 22, length).decode("utf-8", "replace") if length else None
                     out.markers.append((h, m, s, samples, offset, mark, channel, flags, text))
+                elif k == b"EMID":
+                    out.emid = f.at(a, n).decode("utf-8", "replace")
                 elif k in (b"DIAR", b"DITI"):
                     length = int.from_bytes(f.at(a, 4), "big")
                     setattr(out, "artist" if k == b"DIAR" else "title", f.at(a + 4, length).decode("utf-8", "replace"))
@@ -141,10 +158,13 @@ class Reader(DataSourceReader):
             except ValueError as e:
                 if self.table != "info":
                     raise
-                yield (part.path, *[None] * 10, str(e))
+                yield (part.path, *[None] * 14, str(e))
                 return
             if self.table == "info":
-                yield (part.path, info.version, info.compression.strip(), len(info.channels), info.channels, info.rate, info.samples, info.frames, info.frame_rate, info.artist, info.title, None)
+                yield (part.path, info.version, info.compression.strip(), len(info.channels), info.channels, info.rate, info.samples, info.frames, info.frame_rate, info.artist, info.title, info.emid, info.loudspeakers, info.start_time, info.manufacturer, None)
+            elif self.table == "tags":
+                for i, (at, n) in enumerate(info.tags):
+                    yield (part.path, i - 1 if i else None, f.at(at, n))
             elif self.table == "markers":
                 for i, m in enumerate(info.markers):
                     yield (part.path, i, *m, ((m[0] * 60 + m[1]) * 60 + m[2]) * info.rate + m[3] + m[4])
@@ -161,7 +181,7 @@ class DsdiffSource(DataSource):
         return "dsdiff"
 
     def schema(self):
-        return {"info": INFO, "markers": MARKERS}.get(self.options.get("table", "frames"), FRAMES)
+        return {"info": INFO, "markers": MARKERS, "tags": TAGS}.get(self.options.get("table", "frames"), FRAMES)
 
     def reader(self, schema):
         return Reader(self.options["path"], self.options.get("table", "frames"))

@@ -1,7 +1,8 @@
 """DSF files as tables: ``spark.read.format("dsf")``.
 
 Option ``table``: ``frames`` (default; one row per 1/75 s, bytes interleaved by channel, the first
-bit in time highest) or ``info`` (one row per file). A file is read in ranges of ``RANGE``
+bit in time highest), ``info`` or ``tags`` (one row per file, the latter for files with a metadata
+block). A file is read in ranges of ``RANGE``
 frames, which end on whole blocks. Frames are clipped by the sample count, so block padding is
 never audio; the last frame may be short. A file that isn't DSF fails the scan, or gives an
 ``error`` in the info table.
@@ -20,6 +21,7 @@ from .files import REVERSED, Bytes, listed
 
 BLOCK, HEADER, RANGE = 4096, 92, 512
 INFO = "path string, version int, format_id int, channel_type int, channels int, rate int, bits int, samples long, block_size int, audio_bytes long, metadata_offset long, seconds double, error string"
+TAGS = "path string, tag binary"
 FRAMES = "path string, frame_no long, sample_offset long, is_first boolean, is_last boolean, channels int, rate int, payload binary"
 
 
@@ -83,7 +85,7 @@ class Reader(DataSourceReader):
     def partitions(self):
         out = []
         for p in listed(self.path, (".dsf",)):
-            if self.table == "info":
+            if self.table != "frames":
                 out.append(Span(p, 0, 0))
             else:
                 with Bytes(p) as f:
@@ -103,6 +105,10 @@ class Reader(DataSourceReader):
                     yield (part.path, *[None] * 11, str(e))
                 return
             h = parse(f.at(0, HEADER))
+            if self.table == "tags":
+                if h.metadata_offset:
+                    yield (part.path, f.at(h.metadata_offset, f.size - h.metadata_offset))
+                return
             group = BLOCK * h.channels
             a = part.first * h.frame_bytes // BLOCK
             b = -(-((part.first + part.count) * h.frame_bytes) // BLOCK)
@@ -124,7 +130,7 @@ class DsfSource(DataSource):
         return "dsf"
 
     def schema(self):
-        return INFO if self.options.get("table", "frames") == "info" else FRAMES
+        return {"info": INFO, "tags": TAGS}.get(self.options.get("table", "frames"), FRAMES)
 
     def reader(self, schema):
         return Reader(self.options["path"], self.options.get("table", "frames"))

@@ -256,16 +256,26 @@ class SacdSource(DataSource):
 def frames_from_packets(packet_rows: DataFrame) -> DataFrame:
     """DST frames (path, area, frame_no, timecode, payload): sound packets from one frame start to the next, in order.
 
-    A frame spans at most sixteen sectors, so what is gathered for it is small.
+    Starts are counted for each span of ``PACKET_SECTORS`` sectors, so frames are numbered span
+    by span and a disc is never sorted as one; a frame that crosses into the next span has the
+    same number there. A frame spans at most sixteen sectors, so what is gathered for it is small.
     """
-    audio = packet_rows.where(F.col("data_type") == 2)
-    w = Window.partitionBy("path", "area").orderBy("lsn", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = audio.withColumn("frame_no", F.sum(F.col("frame_start").cast("long")).over(w) - 1).where("frame_no >= 0")
-    got = numbered.groupBy("path", "area", "frame_no").agg(F.max("timecode").alias("timecode"), F.array_sort(F.collect_list(F.struct("lsn", "seq", F.hex("data").alias("data")))).alias("parts"))
-    return got.select("path", "area", "frame_no", "timecode", F.unhex(F.array_join(F.transform("parts", lambda x: x["data"]), "")).alias("payload"))
+    audio = packet_rows.where(F.col("data_type") == 2).withColumn("span", ((F.col("lsn") - F.col("lsn") % PACKET_SECTORS) / PACKET_SECTORS).cast("long"))
+    first = F.col("frame_start").cast("long")
+    spans = audio.groupBy("path", "area", "span").agg(F.sum(first).alias("starts"))
+    before = Window.partitionBy("path", "area").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("path", "area", "span", F.coalesce(F.sum("starts").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("path", "area", "span").orderBy("lsn", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = audio.withColumn("started", F.sum(first).over(within)).join(spans, ["path", "area", "span"])
+    numbered = numbered.withColumn("frame_no", F.col("before") + F.col("started") - 1).where("frame_no >= 0")
+    got = numbered.groupBy("path", "area", "frame_no").agg(F.max("timecode").alias("timecode"), F.array_sort(F.collect_list(F.struct("lsn", "seq", "data"))).alias("parts"))
+    return got.select("path", "area", "frame_no", "timecode", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("payload"))
 
 
 def join_tracks(frames: DataFrame, tracks: DataFrame, frame: str = "frame_no") -> DataFrame:
-    """Frames with their track: a range join on a few hundred tracks a disc, keyed by disc and area."""
-    t = tracks.select("path", "area", "track", "start_frame", (F.col("start_frame") + F.col("frames")).alias("stop_frame"))
-    return frames.join(t, ["path", "area"]).where((F.col(frame) >= F.col("start_frame")) & (F.col(frame) < F.col("stop_frame"))).drop("start_frame", "stop_frame")
+    """Frames with their ``track``: a disc area has one sorted array of track starts, and a frame looks for its place there."""
+    starts = F.array_sort(F.collect_list(F.struct("start_frame", (F.col("start_frame") + F.col("frames")).alias("stop_frame"), "track")))
+    t = tracks.groupBy("path", "area").agg(starts.alias("_tracks"))
+    at = F.size(F.filter("_tracks", lambda x: x["start_frame"] <= F.col(frame)))
+    found = frames.join(t, ["path", "area"]).withColumn("_at", F.get("_tracks", at - 1))
+    return found.where(F.col(frame) < F.col("_at.stop_frame")).withColumn("track", F.col("_at.track")).drop("_tracks", "_at")
