@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from sigmaspark.plans import catalog
+from sigmaspark.plans import catalog, media  # noqa: F401
 
 
 @pytest.fixture(scope="module")
