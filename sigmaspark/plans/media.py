@@ -9,10 +9,12 @@ from sigmaspark.functions import audio, dst, genre, id3, labels
 from sigmaspark.operators import fir, summary, virtual
 from sigmaspark.sinks import audio as audio_sink
 from sigmaspark.sinks import edit, image
-from sigmaspark.sources import dsdiff, dsf, sacd
+from sigmaspark.sinks import text as text_sink
+from sigmaspark.sources import dsdiff, dsf, sacd, sidecar
 from sigmaspark.sources.shared import shared_dir
+from sigmaspark.streaming import frames
 
-from .catalog import query, table
+from .catalog import SQL, query, table
 
 RATE = 2822400
 
@@ -300,3 +302,88 @@ def virtual_reads(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(k.cast("string").alias("path"), F.when(k % 3 == 0, "multichannel").otherwise("stereo").alias("area"), F.lit(1).alias("track"), (k % 90 + 1).alias("frames"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("performer"), (k % 400).alias("tag_bytes"))
     areas = s.select("path", "area", F.when(F.col("area") == "stereo", 2).otherwise(6).alias("channels"))
     return virtual.read_ranges(virtual.regions(virtual.entries(s, areas)), 80, 713_020).select("path", "region", "from", "bytes")
+
+
+@query(f"""WITH {FRAMES} SELECT label::VARCHAR AS track, no::BIGINT AS frame_no, md5(payload) AS md5, 'tag of ' || label AS tag FROM f""")
+def virtual_files(spark, sf_dir):
+    """Tracks as the bytes of virtual DSF files, put together from pieces and read back as real ones."""
+    f = label_frames(spark, sf_dir).select(F.lit("disc").alias("path"), F.lit("stereo").alias("area"), "track", "frame_no", "payload")
+    tag = F.concat(F.lit("tag of "), F.col("track").cast("string"))
+    t = f.groupBy("path", "area", "track").agg(F.count("*").alias("frames")).withColumn("tag", tag.cast("binary"))
+    t = t.withColumns({"title": F.lit("t"), "performer": F.lit(None).cast("string"), "tag_bytes": F.octet_length("tag")})
+    areas = spark.createDataFrame([("disc", "stereo", 2)], "path string, area string, channels int")
+    files = virtual.entries(t, areas).join(t.select("path", "area", "track", "tag"), ["path", "area", "track"])
+    folder = shared_dir(spark)
+    spark.dataSource.register(dsf.DsfSource)
+    made(virtual.write_views(virtual.file_bytes(files, f), folder), folder)
+    tags = load(spark, "dsf", folder, "tags")
+    back = load(spark, "dsf", folder, "frames").join(tags, "path")
+    return back.select(F.regexp_extract("path", r"-(\d+)\.dsf$", 1).alias("track"), "frame_no", F.md5("payload").alias("md5"), F.col("tag").cast("string").alias("tag"))
+
+
+@query("""WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id::VARCHAR AS data FROM events),
+t AS (SELECT user_id, sum(length(data))::BIGINT AS accepted, string_agg(CASE WHEN seq > 3 THEN data END, '' ORDER BY seq) AS tag FROM w GROUP BY user_id) SELECT user_id, accepted, tag FROM t""")
+def overlay_writes(spark, sf_dir):
+    """Writes to virtual files, one after another: those before the place of the tag are accepted and dropped, the others make up the tag."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    w = table(spark, sf_dir, "events").select("user_id", F.row_number().over(order).alias("seq"), F.col("event_id").cast("string").cast("binary").alias("data"))
+    upto = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    w = w.withColumn("offset", F.sum(F.octet_length("data").cast("long")).over(upto) - F.octet_length("data"))
+    begin = F.coalesce(F.max(F.when(F.col("seq") <= 3, F.col("offset") + F.octet_length("data"))), F.lit(0))
+    out = virtual.apply_writes(w, w.groupBy("user_id").agg(begin.alias("tag_begin")), ["user_id"])
+    return out.select("user_id", "accepted", F.col("tag").cast("string").alias("tag"))
+
+
+@query("""SELECT n_name AS area, (row_number() OVER (PARTITION BY n_name ORDER BY c_custkey))::INTEGER AS track, c_name AS tag FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def tag_sidecar(spark, sf_dir):
+    """Edited tags written to XML files beside images and read back."""
+    no = F.row_number().over(Window.partitionBy("n_name").orderBy("c_custkey"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    folder = f"{shared_dir(spark)}/tags.xml"
+    sidecar.save(c.select(F.col("n_name").alias("area"), no.alias("track"), F.col("c_name").cast("binary").alias("tag")), folder)
+    return sidecar.load(spark, folder).select("area", "track", F.col("tag").cast("string").alias("tag"))
+
+
+ALBUM_SQL = """l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS track, 'P' || l_partkey AS title, CASE WHEN l_suppkey % 2 = 0 THEN 'S' || l_suppkey END AS performer, l_quantity::BIGINT AS frames FROM lineitem),
+a AS (SELECT l_orderkey AS album_id, string_agg(printf('  %02d. ', track) || coalesce(performer, '?') || ' - ' || title || printf(' (%02d:%02d:%02d)', frames // 75 // 60, frames // 75 % 60, frames % 75), chr(10) ORDER BY track) AS lines, sum(frames)::BIGINT AS n, count(*) AS k, max_by(title, track) AS last FROM l GROUP BY 1)"""
+
+
+def albums(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    none = F.lit(None).cast("string")
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("album_id"), F.row_number().over(order).alias("track"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("title"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).alias("performer"), none.alias("isrc"), F.lit(0).alias("start_frame"), F.col("l_quantity").cast("long").alias("frames"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("album_id"), F.col("o_orderpriority").alias("artist"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"))
+    return text_sink.album_documents(o.join(t.select("album_id").distinct(), "album_id", "left_semi"), t)
+
+
+@query(f"""WITH {ALBUM_SQL} SELECT album_id, o_orderpriority || ': Order ' || o_orderkey || chr(10) || lines || chr(10) || 'Total ' || printf('%02d:%02d:%02d', n // 75 // 60, n // 75 % 60, n % 75) AS value FROM a JOIN orders ON o_orderkey = album_id""")
+def album_reports(spark, sf_dir):
+    """A readable report of every order as an album."""
+    return text_sink.report(albums(spark, sf_dir))
+
+
+@query(f"""WITH {ALBUM_SQL} SELECT album_id, 'Order ' || album_id AS title, n AS total_frames, k::BIGINT AS tracks, last, n / 75.0::DOUBLE AS seconds FROM a JOIN orders ON o_orderkey = album_id""")
+def album_exports(spark, sf_dir):
+    """The same as XML and JSON documents, parsed again: both must say the same."""
+    d = albums(spark, sf_dir)
+    shape = "album_id long, title string, total_frames long, seconds double, tracks array<struct<track:int,title:string>>"
+    xml = text_sink.to_xml(d).select(F.from_xml("value", shape, {"rowTag": "Album"}).alias("x"))
+    js = text_sink.to_json(d).select(F.from_json("value", shape).alias("j"))
+    both = xml.join(js, F.col("x.album_id") == F.col("j.album_id"))
+    return both.select(F.col("x.album_id").alias("album_id"), F.col("j.title").alias("title"), F.col("x.total_frames").alias("total_frames"), F.size("x.tracks").cast("long").alias("tracks"), F.element_at("j.tracks", -1)["title"].alias("last"), F.col("j.seconds").alias("seconds"))
+
+
+@query(SQL["fir_bits"])
+def fir_stream(spark, sf_dir):
+    """``fir_bits`` over a stream of files: what a user's next frame looks back on is kept as state."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("frame_no"), F.unhex(F.md5(F.col("event_id").cast("string").cast("binary"))).alias("payload"))
+    folder = shared_dir(spark)
+    part = F.floor(F.col("frame_no") * 3 / (e.agg(F.max("frame_no")).scalar() + 1))
+    for i in range(3):  # three batches of files, in the order of frames
+        e.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = frames.frame_stream(spark, f"{folder}/in", "user_id long, frame_no long, payload binary", 1)
+    out = frames.decimate_stream(stream, ["user_id"], BIT_TAPS, 8)
+    run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    y = spark.read.parquet(f"{folder}/out").select("user_id", F.col("frame_no").alias("event_id"), F.posexplode("pcm").alias("n", "y"))
+    return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), F.round("y", 6).alias("y"))

@@ -27,3 +27,37 @@ def test_entries_and_reads(spark):
 def test_genres(spark):
     d = spark.createDataFrame([(1, 5), (2, 0), (0, 3), (1, 99)], "t int, n int").select(genre_name(F.col("t"), F.col("n")).alias("g"))
     assert [r.g for r in d.collect()] == ["Classical", "音楽：演歌", None, None]
+
+
+def test_catalogue_checks_images(spark, tmp_path):
+    from sigmaspark.sinks import image
+
+    frames = spark.createDataFrame([("X", i, bytes(9408), "T", "A", "C", [(0, 4, "One")]) for i in range(4)], "disc string, frame_no long, payload binary, title string, artist string, catalog string, tracks array<struct<start:long,frames:long,title:string>>")
+    image.write_images(frames, str(tmp_path)).collect()
+    (tmp_path / "fake.iso").write_bytes(b"12345")
+    (tmp_path / "X").write_bytes(b"1")
+    got = sorted((r.name, r.is_image, r.shown_name) for r in virtual.catalogue(spark, str(tmp_path), check=True).collect())
+    assert got == [("X", False, "X"), ("X.iso", True, "X (2)")] and virtual.catalogue(spark, str(tmp_path)).count() == 3
+
+
+def test_bytes_of_virtual_files(spark, tmp_path):
+    from sigmaspark.sinks import audio as sink
+
+    frames = [bytes((i * 7 + k) % 253 for k in range(9408)) for i in range(300)]
+    f = spark.createDataFrame([("p", "stereo", 1, i, x) for i, x in enumerate(frames)], "path string, area string, track int, frame_no long, payload binary")
+    areas = spark.createDataFrame([("p", "stereo", 2)], "path string, area string, channels int")
+    t = spark.createDataFrame([("p", "stereo", 1, 300, "T", None, 9)], "path string, area string, track int, frames long, title string, performer string, tag_bytes long")
+    files = virtual.entries(t, areas).withColumn("tag", F.lit(b"ID3 bytes"))
+    pieces = virtual.file_bytes(files, f)
+    sink.write_dsf(f"{tmp_path}/a.dsf", iter(frames), 2, 2822400, b"ID3 bytes")
+    want = (tmp_path / "a.dsf").read_bytes()
+    assert b"".join(bytes(r.data) for r in pieces.orderBy("begin").collect()) == want
+    for offset, size in ((0, 100), (90, 5), (1_204_300, 9000), (len(want) - 12, 50), (len(want), 5)):
+        assert b"".join(bytes(r.data) for r in virtual.read_bytes(pieces, offset, size).orderBy("begin").collect()) == want[offset : offset + size]
+
+
+def test_writes_to_virtual_files(spark):
+    w = spark.createDataFrame([("a", 1, 0, b"0123"), ("a", 2, 8, b"abcdef"), ("a", 3, 13, b"XY"), ("a", 4, 20, b"end"), ("b", 1, 3, b"zz"), ("c", 1, 12, b"Q")], "f string, seq int, offset long, data binary")
+    files = spark.createDataFrame([(x, 10) for x in "abc"], "f string, tag_begin long")
+    got = {r.f: (r.accepted, None if r.tag is None else bytes(r.tag)) for r in virtual.apply_writes(w, files, ["f"]).collect()}
+    assert got == {"a": (15, b"cdeXY\0\0\0\0\0end"), "b": (2, None), "c": (1, b"\0\0Q")}
