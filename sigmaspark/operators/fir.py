@@ -48,6 +48,16 @@ def history_bits(stages: list[tuple[np.ndarray, int]]) -> int:
     return need
 
 
+def combined(chain: list[tuple[list[float], int]]) -> list[float]:
+    """The one filter that a chain of filters comes to."""
+    out, step = np.ones(1), 1
+    for coef, k in chain:
+        spaced = np.zeros((len(coef) - 1) * step + 1)
+        spaced[::step] = coef
+        out, step = np.convolve(out, spaced), step * k
+    return out.tolist()
+
+
 def bits_to_pcm(payload: bytes, history: bytes, coef: np.ndarray, step: int) -> np.ndarray:
     """Samples of one channel's frame (first bit in time: the highest of each byte); ``history`` is what comes before it."""
     return chain_to_pcm(payload, history, [(np.asarray(coef, np.float64), step)])

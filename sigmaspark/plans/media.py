@@ -216,33 +216,32 @@ def wav_samples(spark, sf_dir):
 
 
 BIT_TAPS = fir.windowed_sinc(40, 1 / 20)
+CHAIN = [(fir.windowed_sinc(24, 1 / 20), 8), (fir.windowed_sinc(12, 0.22), 2)]
+
+
+def bits_sql(taps: list[float], step: int) -> str:
+    """SQL of a filter of at most 128 taps over the bits of digests: each frame with the one before it, or silence."""
+    return f"""WITH f AS (SELECT user_id, event_id, md5(event_id::VARCHAR) AS h FROM events),
+x AS (SELECT user_id, event_id, list_transform(range(0, 128), lambda i: CASE WHEN (('0x' || substr(h, (i // 4 + 1)::BIGINT, 1))::INTEGER >> (3 - i % 4)::INTEGER) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM f),
+p AS (SELECT user_id, event_id, list_concat(coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY event_id), list_transform(range(0, 128), lambda i: 0.0::DOUBLE)), x) AS x FROM x)
+SELECT user_id, event_id, n::BIGINT AS n, round(list_inner_product({[float(t) for t in reversed(taps)]!r}::DOUBLE[], x[{129 - len(taps)} + n * {step} + 1:129 + n * {step}]), 6) AS y FROM p, range(0, {128 // step}) r(n)"""
+
 
+def digest_bits(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.unhex(F.md5(F.col("event_id").cast("string").cast("binary"))).alias("payload"))
 
-@query(f"""WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS no, md5(event_id::VARCHAR) AS h FROM events),
-b AS (SELECT user_id, no * 128 + i AS at, CASE WHEN (('0x' || substr(h, (i // 4 + 1)::BIGINT, 1))::INTEGER >> (3 - i % 4)::INTEGER) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS x FROM f, range(0, 128) r(i)),
-o AS (SELECT user_id, event_id, no, n FROM f, range(0, 16) r(n)), h AS (SELECT unnest({BIT_TAPS!r}) AS c, unnest(range(0, {len(BIT_TAPS)})) AS k)
-SELECT o.user_id, o.event_id, o.n::BIGINT AS n, round(sum(h.c * b.x), 6) AS y FROM o, h JOIN b ON b.user_id = o.user_id AND b.at = (o.no * 16 + o.n) * 8 - h.k GROUP BY 1, 2, 3""")
+
+@query(bits_sql(BIT_TAPS, 8))
 def fir_bits(spark, sf_dir):
     """1-bit frames (the digests of a user's events) through a filter that looks back into the frame before."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unhex(F.md5(F.col("event_id").cast("string").cast("binary"))).alias("payload"))
-    y = fir.decimate_frames(e, ["user_id"], BIT_TAPS, 8, "event_id", frame_bytes=16).select("user_id", "event_id", F.posexplode("pcm").alias("n", "y"))
+    y = fir.decimate_frames(digest_bits(spark, sf_dir), ["user_id"], BIT_TAPS, 8, "event_id", frame_bytes=16).select("user_id", "event_id", F.posexplode("pcm").alias("n", "y"))
     return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), F.round("y", 6).alias("y"))
 
 
-CHAIN = [(fir.windowed_sinc(24, 1 / 20), 8), (fir.windowed_sinc(12, 0.22), 2)]
-
-
-@query(f"""WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS no, md5(event_id::VARCHAR) AS h FROM events),
-b AS (SELECT user_id, no * 128 + i AS at, CASE WHEN (('0x' || substr(h, (i // 4 + 1)::BIGINT, 1))::INTEGER >> (3 - i % 4)::INTEGER) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS x FROM f, range(0, 128) r(i)),
-o AS (SELECT user_id, no * 16 + n AS m FROM f, range(0, 16) r(n)), h AS (SELECT unnest({CHAIN[0][0]!r}) AS c, unnest(range(0, {len(CHAIN[0][0])})) AS k),
-y AS (SELECT o.user_id, o.m, sum(h.c * b.x) AS y FROM o, h JOIN b ON b.user_id = o.user_id AND b.at = o.m * 8 - h.k GROUP BY 1, 2),
-g AS (SELECT unnest({CHAIN[1][0]!r}) AS c, unnest(range(0, {len(CHAIN[1][0])})) AS k), p AS (SELECT user_id, event_id, no, n FROM f, range(0, 8) r(n) WHERE no > 0)
-SELECT p.user_id, p.event_id, p.n::BIGINT AS n, round(sum(g.c * y.y), 6) AS y FROM p, g JOIN y ON y.user_id = p.user_id AND y.m = (p.no * 8 + p.n) * 2 - g.k GROUP BY 1, 2, 3""")
+@query(bits_sql(fir.combined(CHAIN), 16))
 def fir_chain(spark, sf_dir):
-    """The same through two filters, one after the other; a user's first frame is left out, as a chain starts from silence in every stage."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unhex(F.md5(F.col("event_id").cast("string").cast("binary"))).alias("payload"))
-    y = fir.decimate_chain(e, ["user_id"], CHAIN, "event_id", frame_bytes=16)
-    y = y.withColumn("no", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("no > 1").select("user_id", "event_id", F.posexplode("pcm").alias("n", "y"))
+    """The same through two filters, one after the other; the SQL has the one filter that they come to."""
+    y = fir.decimate_chain(digest_bits(spark, sf_dir), ["user_id"], CHAIN, "event_id", frame_bytes=16).select("user_id", "event_id", F.posexplode("pcm").alias("n", "y"))
     return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), F.round("y", 6).alias("y"))
 
 
