@@ -2,8 +2,9 @@
 
 Option ``table``: ``frames`` (default; raw or DST payloads as stored), ``info``, ``markers`` or
 ``tags`` (``idx`` null for the file's own tag, else the track's from 0).
-The chunk tree is walked when the scan is planned, which reads chunk headers only; frames of raw
-audio are read in ranges, DST frames by their index (or by walking frame headers without one).
+Files are read in shares that are planned from their sizes alone; each task walks the chunk tree,
+which reads chunk headers only. DST frames are found by their index (or by walking frame headers
+without one).
 Sample counts are bits per channel throughout.
 """
 
@@ -14,9 +15,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import Bytes, listed
+from .files import Bytes, share_of, shares
 
-RANGE = 512
 INFO = "path string, version long, compression string, channels int, channel_ids array<string>, rate int, samples long, frames long, frame_rate int, artist string, title string, emid string, loudspeakers int, start_time struct<hours:int,minutes:int,seconds:int,samples:long>, manufacturer binary, error string"
 TAGS = "path string, idx int, tag binary"
 FRAMES = "path string, frame_no long, sample_offset long, is_first boolean, is_last boolean, channels int, rate int, format string, payload binary"
@@ -126,8 +126,8 @@ def dst_index(f: Bytes, info: File) -> list[tuple[int, int]]:
 
 
 class Span(InputPartition):
-    def __init__(self, path: str, first: int = 0, places: list[tuple[int, int]] | None = None):
-        self.path, self.first, self.places = path, first, places or []
+    def __init__(self, path: str, share: int = 0, of: int = 1):
+        self.path, self.share, self.of = path, share, of
 
 
 class Reader(DataSourceReader):
@@ -135,19 +135,7 @@ class Reader(DataSourceReader):
         self.path, self.table = path, table
 
     def partitions(self):
-        out = []
-        for p in listed(self.path, (".dff", ".dsdiff")):
-            if self.table != "frames":
-                out.append(Span(p))
-                continue
-            with Bytes(p) as f:
-                info = parse(f)
-                if info.compression == "DST ":
-                    places = dst_index(f, info)
-                else:
-                    places = [(info.data[0] + a, min(info.frame_bytes, info.data[1] - a)) for a in range(0, info.data[1], info.frame_bytes)]
-            out += [Span(p, a, places[a : a + RANGE]) for a in range(0, len(places), RANGE)]
-        return out or [Span("")]
+        return [Span(*x) for x in shares(self.path, (".dff", ".dsdiff"), self.table != "frames")] or [Span("")]
 
     def read(self, part):
         if not part.path:
@@ -170,9 +158,12 @@ class Reader(DataSourceReader):
                     yield (part.path, i, *m, ((m[0] * 60 + m[1]) * 60 + m[2]) * info.rate + m[3] + m[4])
             else:
                 per = info.rate // (info.frame_rate if info.compression == "DST " else 75)
-                for k, (at, n) in enumerate(part.places):
-                    no = part.first + k
-                    yield (part.path, no, no * per, no == 0, no == info.frames - 1, len(info.channels), info.rate, info.compression.strip(), f.at(at, n))
+                if info.compression == "DST ":
+                    places = dst_index(f, info)
+                else:
+                    places = [(info.data[0] + a, min(info.frame_bytes, info.data[1] - a)) for a in range(0, info.data[1], info.frame_bytes)]
+                for no in range(*share_of(len(places), part.share, part.of)):
+                    yield (part.path, no, no * per, no == 0, no == info.frames - 1, len(info.channels), info.rate, info.compression.strip(), f.at(*places[no]))
 
 
 class DsdiffSource(DataSource):

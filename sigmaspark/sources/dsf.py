@@ -2,8 +2,8 @@
 
 Option ``table``: ``frames`` (default; one row per 1/75 s, bytes interleaved by channel, the first
 bit in time highest), ``info`` or ``tags`` (one row per file, the latter for files with a metadata
-block). A file is read in ranges of ``RANGE``
-frames, which end on whole blocks. Frames are clipped by the sample count, so block padding is
+block). A file is read in shares of some
+megabytes, which are planned from its size alone. Frames are clipped by the sample count, so block padding is
 never audio; the last frame may be short. A file that isn't DSF fails the scan, or gives an
 ``error`` in the info table.
 """
@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import REVERSED, Bytes, listed
+from .files import REVERSED, Bytes, share_of, shares
 
-BLOCK, HEADER, RANGE = 4096, 92, 512
+BLOCK, HEADER = 4096, 92
 INFO = "path string, version int, format_id int, channel_type int, channels int, rate int, bits int, samples long, block_size int, audio_bytes long, metadata_offset long, seconds double, error string"
 TAGS = "path string, tag binary"
 FRAMES = "path string, frame_no long, sample_offset long, is_first boolean, is_last boolean, channels int, rate int, payload binary"
@@ -74,8 +74,8 @@ def frames_of(data: bytes, head: Head, first: int, count: int) -> list[bytes]:
 
 
 class Span(InputPartition):
-    def __init__(self, path: str, first: int, count: int):
-        self.path, self.first, self.count = path, first, count
+    def __init__(self, path: str, share: int = 0, of: int = 1):
+        self.path, self.share, self.of = path, share, of
 
 
 class Reader(DataSourceReader):
@@ -83,15 +83,7 @@ class Reader(DataSourceReader):
         self.path, self.table = path, table
 
     def partitions(self):
-        out = []
-        for p in listed(self.path, (".dsf",)):
-            if self.table != "frames":
-                out.append(Span(p, 0, 0))
-            else:
-                with Bytes(p) as f:
-                    n = parse(f.at(0, HEADER)).frames
-                out += [Span(p, a, min(RANGE, n - a)) for a in range(0, n, RANGE)]
-        return out or [Span("", 0, 0)]
+        return [Span(*x) for x in shares(self.path, (".dsf",), self.table != "frames")] or [Span("")]
 
     def read(self, part):
         if not part.path:
@@ -110,14 +102,15 @@ class Reader(DataSourceReader):
                     yield (part.path, f.at(h.metadata_offset, f.size - h.metadata_offset))
                 return
             group = BLOCK * h.channels
-            a = part.first * h.frame_bytes // BLOCK
-            b = -(-((part.first + part.count) * h.frame_bytes) // BLOCK)
+            first, end = share_of(h.frames, part.share, part.of)
+            a = first * h.frame_bytes // BLOCK
+            b = -(-(end * h.frame_bytes) // BLOCK)
             data = f.at(HEADER + a * group, min((b - a) * group, h.audio_bytes - a * group))
-            for at in range(0, part.count, 64):
-                n = min(64, part.count - at)
-                # Whole frames of one batch; the blocks stay in memory for the range only.
-                rows = frames_of(data[((part.first + at) * h.frame_bytes // BLOCK - a) * group :], h, part.first + at, n)
-                no = np.arange(part.first + at, part.first + at + n)
+            for at in range(first, end, 64):
+                n = min(64, end - at)
+                # Whole frames of one batch; the blocks stay in memory for the share only.
+                rows = frames_of(data[(at * h.frame_bytes // BLOCK - a) * group :], h, at, n)
+                no = np.arange(at, at + n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.path] * n), pa.array(no), pa.array(no * h.frame_bytes * 8), pa.array(no == 0), pa.array(no == h.frames - 1), pa.array([h.channels] * n, pa.int32()), pa.array([h.rate] * n, pa.int32()), pa.array(rows, pa.binary())],
                     names=["path", "frame_no", "sample_offset", "is_first", "is_last", "channels", "rate", "payload"],

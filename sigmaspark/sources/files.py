@@ -15,15 +15,33 @@ def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
 
-def listed(path: str, endings: tuple[str, ...]) -> list[str]:
-    """Files with one of the endings under a folder, or the file itself, in the order of their names."""
+def sized(path: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
+    """Files with one of the endings under a folder, or the file itself, in the order of their names, with their sizes; none is opened."""
     fs, p = resolve(path)
     info = fs.get_file_info(p)
     if info.type == pafs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     head = path[: len(path) - len(p)] if path.endswith(p) else ""
     found = fs.get_file_info(pafs.FileSelector(p, recursive=True, allow_not_found=True))
-    return sorted(head + i.path for i in found if i.type == pafs.FileType.File and i.path.lower().endswith(endings))
+    return sorted((head + i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.lower().endswith(endings))
+
+
+def listed(path: str, endings: tuple[str, ...]) -> list[str]:
+    return [p for p, _ in sized(path, endings)]
+
+
+SPLIT_BYTES = 8 << 20
+
+
+def shares(path: str, endings: tuple[str, ...], whole: bool) -> list[tuple[str, int, int]]:
+    """(file, share, of): each file in shares of about SPLIT_BYTES, or whole. Only sizes are looked at, so planning opens no file; what a share holds is worked out by the task that reads it."""
+    return [(p, i, n) for p, size in sized(path, endings) for n in (1 if whole else max(-(-size // SPLIT_BYTES), 1),) for i in range(n)]
+
+
+def share_of(total: int, i: int, n: int, step: int = 1) -> tuple[int, int]:
+    """Begin and end of the i-th of n shares of ``total`` items, in whole steps."""
+    steps = -(-total // step)
+    return min(steps * i // n * step, total), min(steps * (i + 1) // n * step, total)
 
 
 class Bytes:

@@ -3,8 +3,9 @@
 Option ``table``: ``disc``, ``areas``, ``tracks``, ``frames`` (default) or ``packets``; option
 ``area``: ``stereo`` (default) or ``multichannel``. Images have sectors of 2048, 2054 or 2064
 bytes, found by looking for the master table of contents. Areas of plain sound (three frames to
-14 or 16 sectors) give ``frames`` in ranges of whole runs. Areas of DST sound give ``packets``, one range of
-sectors per task; ``frames_from_packets`` puts frames together from them.
+14 or 16 sectors) give ``frames``, areas of DST sound give ``packets``; ``frames_from_packets`` puts
+frames together from them. Images are read in shares of whole runs or of sectors, planned from
+their sizes alone.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import Bytes, listed
+from .files import Bytes, share_of, shares
 
 LSN, SECTOR = 510, 2048
 #: Sector sizes with the bytes before the data, in the order in which they are tried.
 SECTORS = ((2064, 12), (2054, 6), (2048, 0))
 #: By frame format: sectors in a run of three frames, header bytes, payload bytes.
 FIXED = {2: (14, 32, 2016), 3: (16, 284, 1764)}
-RUNS = 170  # runs of three frames in a range
 PACKET_SECTORS = 4096
 AREAS = {"stereo": b"TWOCHTOC", "multichannel": b"MULCHTOC"}
 # Character sets by their code, and the kinds of track texts.
@@ -172,8 +172,8 @@ def packets(sector: bytes):
 
 
 class Span(InputPartition):
-    def __init__(self, path: str, first: int = 0, count: int = 0):
-        self.path, self.first, self.count = path, first, count
+    def __init__(self, path: str, share: int = 0, of: int = 1):
+        self.path, self.share, self.of = path, share, of
 
 
 class Reader(DataSourceReader):
@@ -181,23 +181,7 @@ class Reader(DataSourceReader):
         self.path, self.table, self.area = path, table, area_name
 
     def partitions(self):
-        out = []
-        for p in listed(self.path, (".iso", ".sacd")):
-            if self.table in ("disc", "areas", "tracks"):
-                out.append(Span(p))
-                continue
-            with Image(p) as img:
-                d = disc(img)
-                if self.area not in d.areas:
-                    continue
-                a = area(img, self.area, d.areas[self.area])
-            if self.table == "packets":
-                out += [Span(p, s, min(PACKET_SECTORS, a.end + 1 - s)) for s in range(a.start, a.end + 1, PACKET_SECTORS)]
-            elif a.frame_format in FIXED:
-                out += [Span(p, f, min(3 * RUNS, a.play_frames - f)) for f in range(0, a.play_frames, 3 * RUNS)]
-            else:
-                raise ValueError(f"{p}: read DST sound with option table=packets")
-        return out or [Span("")]
+        return [Span(*x) for x in shares(self.path, (".iso", ".sacd"), self.table in ("disc", "areas", "tracks"))] or [Span("")]
 
     def read(self, part):
         if not part.path:
@@ -224,18 +208,24 @@ class Reader(DataSourceReader):
                         stop = a.starts[i + 1] if i + 1 < a.tracks else a.end
                         yield (part.path, name, i + 1, a.starts[i], stop - a.starts[i] + 1, a.times[i], a.durations[i], a.texts[i].get("title"), a.texts[i].get("performer"), a.isrc[i] or None, a.texts[i])
                 return
+            if self.area not in d.areas:
+                return
             a = area(img, self.area, d.areas[self.area])
             if self.table == "packets":
-                for s in range(part.first, part.first + part.count, 64):
-                    n = min(64, part.first + part.count - s)
+                first, end = share_of(a.end + 1 - a.start, part.share, part.of)
+                for s in range(a.start + first, a.start + end, 64):
+                    n = min(64, a.start + end - s)
                     raw = img.sectors(s, n)
                     for k in range(n):
                         for seq, (kind, first, time, data) in enumerate(packets(raw[k * SECTOR : (k + 1) * SECTOR])):
                             yield (part.path, self.area, s + k, seq, kind, first, time, data)
             else:
+                if a.frame_format not in FIXED:
+                    raise ValueError(f"{part.path}: read DST sound with option table=packets")
                 run = FIXED[a.frame_format]
-                for f in range(part.first, part.first + part.count, 30):
-                    n = min(30, part.first + part.count - f)
+                first, end = share_of(a.play_frames, part.share, part.of, 3)
+                for f in range(first, end, 30):
+                    n = min(30, end - f)
                     raw = img.sectors(a.start + f // 3 * run[0], -(-n // 3) * run[0])
                     for k in range(n):
                         yield (part.path, self.area, f + k, a.channels, 2822400, fixed_frame(raw, k, run))

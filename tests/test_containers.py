@@ -109,3 +109,20 @@ def test_fir_expression_equals_numpy(spark):
     df = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(fir.decimate_array(F.col("x"), coef, 4).alias("y"))
     want = [sum(c * (x[n * 4 - k] if n * 4 >= k else 0) for k, c in enumerate(coef)) for n in range(10)]
     assert np.allclose(df.first().y, want)
+
+
+def test_shares_cover_a_file_once(spark, tmp_path, monkeypatch):
+    from sigmaspark.sources import files
+
+    for total, n, step in ((10, 3, 1), (0, 2, 1), (7, 10, 3), (301, 4, 3)):
+        parts = [files.share_of(total, i, n, step) for i in range(n)]
+        assert [x for a, b in parts for x in range(a, b)] == list(range(total)) and all(a % step == 0 for a, _ in parts if a < total)
+    src = frames(spark, 1, 130)
+    audio.write_tracks(src, f"{tmp_path}/a", audio.write_dsf, ".dsf").collect()
+    audio.write_tracks(src, f"{tmp_path}/b", audio.write_dsdiff, ".dff").collect()
+    monkeypatch.setattr(files, "SPLIT_BYTES", 100_000)
+    want = [bytes(r.payload) for r in src.orderBy("frame_no").collect()]
+    for kind, folder in (("dsf", "a"), ("dsdiff", "b")):
+        back = spark.read.format(kind).load(f"{tmp_path}/{folder}")
+        assert len({s.share for s in (dsf if kind == "dsf" else dsdiff).Reader(f"{tmp_path}/{folder}", "frames").partitions()}) == 13
+        assert [bytes(r.payload) for r in back.orderBy("frame_no").collect()] == want
