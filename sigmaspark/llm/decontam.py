@@ -115,36 +115,31 @@ def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
     aligned = aligned.groupBy("row", "item", "shift").agg(F.collect_set("at").alias("got"))
 
     tests = rarest.groupBy("item").agg(F.collect_list(F.struct("start", "length", F.transform("by", lambda x: x["at"]).alias("ats"))).alias("tests"))
-    tests = tests.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
-    aligned = met(aligned, tests, "item", "aligned").withColumn("tests", F.filter("tests", lambda t: F.size(F.array_except(t["ats"], F.col("got"))) == 0))
-    aligned = stored(aligned.where(F.size("tests") > 0).drop("got"), f"{path}/alignments")
+    passed = F.filter("tests", lambda t: F.size(F.array_except(t["ats"], F.col("got"))) == 0)
+    aligned = met(aligned, tests, "item", "aligned").select("row", "item", "shift", F.transform(passed, lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("tests"))
 
     def places(shift: Column, hits: Column) -> Column:
         return F.flatten(F.transform(hits, lambda t: F.sequence(shift + t["start"], shift + t["start"] + t["length"] - 1)))
 
-    # Both words of such windows are where the lists say they are.
-    whole = aligned.withColumn("hits", F.filter("tests", lambda t: t["length"] <= 2)).where(F.size("hits") > 0)
-    whole = whole.select("row", "item_id", places(F.col("shift"), F.col("hits")).alias("places"))
-
-    longer = aligned.withColumn("tests", F.filter("tests", lambda t: t["length"] > 2)).where(F.size("tests") > 0)
-    longer = longer.groupBy("row", "item").agg(F.first("item_id").alias("item_id"), F.first("item_words").alias("item_words"), F.collect_list(F.struct("shift", "tests")).alias("at"))
-    longer = longer.groupBy("row").agg(F.collect_list(F.struct("item_id", "item_words", "at")).alias("items"))
+    # Alignments are dealt by row once; the items' words join them there.
+    by_item = aligned.where(F.size("tests") > 0).repartition("row").groupBy("row", "item").agg(F.collect_list(F.struct("shift", "tests")).alias("at"))
+    named = items.select("item", "item_id", F.col("words").alias("item_words"))
+    by_row = by_item.join(F.broadcast(named) if small else named, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "item_words", "at")).alias("items"))
     # Dealt by row whatever the sizes, so that the plan is the same for small and large inputs.
-    looked = tokens.where("n_words > 0").select("row", "line").hint("merge").join(longer, "row").select("row", "items", _stored_words().alias("words"))
+    looked = tokens.where("n_words > 0").select("row", "line").hint("merge").join(by_row, "row").select("row", "items", _stored_words().alias("words"))
 
     def hits(item: Column, alignment: Column) -> Column:
-        """The alignment's windows that are there; single words are fetched, as a slice would copy the text."""
+        """The alignment's windows that are there: both words of short ones are where the lists say, in others single words are fetched, as a slice would copy the text."""
 
         def there(t: Column) -> Column:
             at = alignment["shift"] + t["start"]
             inside = (at >= 0) & (at + t["length"] <= F.size("words"))
-            return inside & F.forall(F.sequence(F.lit(0), t["length"] - 1), lambda k: F.get("words", at + k) == F.get(item["item_words"], t["start"] + k))
+            return (t["length"] <= 2) | inside & F.forall(F.sequence(F.lit(0), t["length"] - 1), lambda k: F.get("words", at + k) == F.get(item["item_words"], t["start"] + k))
 
         return F.filter(alignment["tests"], there)
 
     found = F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), F.array_distinct(F.flatten(F.transform(i["at"], lambda a: places(a["shift"], hits(i, a))))).alias("places")))
-    looked = looked.select("row", F.explode(F.filter(found, lambda x: F.size(x["places"]) > 0)).alias("x")).select("row", "x.item_id", "x.places")
-    return whole.unionByName(looked)
+    return looked.select("row", F.explode(F.filter(found, lambda x: F.size(x["places"]) > 0)).alias("x")).select("row", "x.item_id", "x.places")
 
 
 def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
