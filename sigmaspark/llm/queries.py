@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, forest, html, langid, lines, neardup, pii, unigram, warc
+from . import bpe, decontam, fim, forest, html, langid, lines, neardup, pii, runs, shards, unigram, warc
 from .common import crc_mod, table
 
 PIECES = "piece_bpe_32k.model"
@@ -62,9 +62,21 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.report(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontam": decontam.SQL, "op6_warc": warc.SQL, "op7_lines": lines.SQL}
+    return {"op5_decontam": decontam.SQL, "op6_warc": warc.SQL, "op7_lines": lines.SQL, "op11_fim": fim.SQL, "op12_shards": shards.SQL}
