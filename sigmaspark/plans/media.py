@@ -9,8 +9,10 @@ from sigmaspark.functions import audio, dst, genre, id3, labels
 from sigmaspark.operators import fir, summary, virtual
 from sigmaspark.sinks import audio as audio_sink
 from sigmaspark.sinks import edit, image
+from sigmaspark.sinks import flac as flac_sink
 from sigmaspark.sinks import text as text_sink
 from sigmaspark.sources import dsdiff, dsf, sacd, sidecar
+from sigmaspark.sources import flac as flac_source
 from sigmaspark.sources.shared import shared_dir
 from sigmaspark.streaming import frames
 
@@ -215,6 +217,41 @@ def wav_samples(spark, sf_dir):
     return out.select("track", F.col("at").cast("long").alias("at"), F.when(F.col("w") > 32767, F.col("w") - 65536).otherwise(F.col("w")).alias("sample"))
 
 
+def flac_files(spark, sf_dir, bits, level):
+    """One FLAC file a label, its vectors as stereo samples, sixteen vectors a block."""
+    e = table(spark, sf_dir, "embeddings")
+    no = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+    e = e.select(F.col("label").alias("track"), no.alias("frame_no"), F.lit(2).alias("channels"), F.lit(RATE).alias("rate"), F.col("embedding").cast("array<double>").alias("pcm"))
+    k = F.col("track")
+    tags = flac_sink.vorbis_comments({"title": F.lit("Vectors"), "artist": F.lit("Künstler"), "genre": F.when(k % 2 == 0, "Jazz"), "year": F.lit(2003)}, {"title": F.concat(F.lit("Label "), k.cast("string")), "number": k + 1, "total": F.lit(10)})
+    folder = shared_dir(spark)
+    spark.dataSource.register(flac_source.FlacSource)
+    made(flac_sink.write_flacs(e, folder, bits, level, 16, tags=e.select("track").distinct().withColumn("comments", tags), scratch=f"{folder}/scratch"), folder)
+    return folder
+
+
+@query("""SELECT label::VARCHAR AS track, (i % 2)::BIGINT AS channel, ((row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1) // 2)::BIGINT AS at, trunc(least(greatest(embedding[i + 1]::DOUBLE * 8388607, -8388608), 8388607))::BIGINT AS sample
+FROM embeddings, range(0, 64) r(i)""")
+def flac_samples(spark, sf_dir):
+    """Vectors coded as FLAC files of 24 bits, and the samples that the files decode to."""
+    b = load(spark, "flac", flac_files(spark, sf_dir, 24, 8), "blocks")
+    ch = b.select(stem().alias("track"), "sample_offset", F.posexplode("pcm").alias("channel", "x"))
+    out = ch.select("track", "channel", "sample_offset", F.posexplode("x").alias("i", "sample"))
+    return out.select("track", F.col("channel").cast("long").alias("channel"), (F.col("sample_offset") + F.col("i")).alias("at"), F.col("sample").cast("long").alias("sample"))
+
+
+@query("""WITH s AS (SELECT label, vec_id, i, trunc(least(greatest(embedding[i + 1]::DOUBLE * 32767, -32768), 32767))::BIGINT & 65535 AS w FROM embeddings, range(0, 64) r(i)),
+d AS (SELECT label, md5(unhex(string_agg(printf('%02x%02x', w & 255, w >> 8), '' ORDER BY vec_id, i))) AS md5, count(*) // 2 AS samples FROM s GROUP BY label)
+SELECT label::VARCHAR AS track, 88200::BIGINT AS rate, 2::BIGINT AS channels, 16::BIGINT AS bits, samples::BIGINT AS samples, md5,
+'ALBUM=Vectors,ALBUMARTIST=Künstler,' || CASE WHEN label % 2 = 0 THEN 'GENRE=Jazz,' ELSE '' END || 'DATE=2003,TITLE=Label ' || label || ',TRACKNUMBER=' || (label + 1) || '/10' AS comments FROM d""")
+def flac_info(spark, sf_dir):
+    """Properties, comments and the digest of all samples of FLAC files of 16 bits."""
+    folder = flac_files(spark, sf_dir, 16, 5)
+    tags = load(spark, "flac", folder, "comments").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", F.concat_ws("=", "key", "value").alias("x")))).alias("t"))
+    out = load(spark, "flac", folder, "info").join(tags, "path")
+    return out.select(stem().alias("track"), *(F.col(c).cast("long").alias(c) for c in ("rate", "channels", "bits", "samples")), "md5", F.array_join(F.transform("t", lambda x: x["x"]), ",").alias("comments"))
+
+
 BIT_TAPS = fir.windowed_sinc(40, 1 / 20)
 CHAIN = [(fir.windowed_sinc(24, 1 / 20), 8), (fir.windowed_sinc(12, 0.22), 2)]
 

@@ -13,9 +13,9 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .files import Bytes, share_of, shares
+from .files import Bytes, Span, share_of, shares
 
 INFO = "path string, version long, compression string, channels int, channel_ids array<string>, rate int, samples long, frames long, frame_rate int, artist string, title string, emid string, loudspeakers int, start_time struct<hours:int,minutes:int,seconds:int,samples:long>, manufacturer binary, error string"
 TAGS = "path string, idx int, tag binary"
@@ -125,11 +125,6 @@ def dst_index(f: Bytes, info: File) -> list[tuple[int, int]]:
     return [(a, n) for k, a, n in chunks(f, info.data[0], sum(info.data)) if k == b"DSTF"]
 
 
-class Span(InputPartition):
-    def __init__(self, path: str, share: int = 0, of: int = 1):
-        self.path, self.share, self.of = path, share, of
-
-
 class Reader(DataSourceReader):
     def __init__(self, path: str, table: str):
         self.path, self.table = path, table

@@ -15,9 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .files import REVERSED, Bytes, share_of, shares
+from .files import REVERSED, Bytes, Span, share_of, shares
 
 BLOCK, HEADER = 4096, 92
 INFO = "path string, version int, format_id int, channel_type int, channels int, rate int, bits int, samples long, block_size int, audio_bytes long, metadata_offset long, seconds double, error string"
@@ -73,11 +73,6 @@ def frames_of(data: bytes, head: Head, first: int, count: int) -> list[bytes]:
     return [np.ascontiguousarray(planes[:, skip + k * per : skip + min((k + 1) * per, total - first * per)].T).tobytes() for k in range(count)]
 
 
-class Span(InputPartition):
-    def __init__(self, path: str, share: int = 0, of: int = 1):
-        self.path, self.share, self.of = path, share, of
-
-
 class Reader(DataSourceReader):
     def __init__(self, path: str, table: str):
         self.path, self.table = path, table

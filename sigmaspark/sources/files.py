@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow.fs as pafs
+from pyspark.sql.datasource import InputPartition
 
 #: Each byte with its bits in reverse order.
 REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).ravel()
@@ -38,6 +39,13 @@ def shares(path: str, endings: tuple[str, ...], whole: bool) -> list[tuple[str,
     return [(p, i, n) for p, size in sized(path, endings) for n in (1 if whole else max(-(-size // SPLIT_BYTES), 1),) for i in range(n)]
 
 
+class Span(InputPartition):
+    """One share of a file."""
+
+    def __init__(self, path: str, share: int = 0, of: int = 1):
+        self.path, self.share, self.of = path, share, of
+
+
 def share_of(total: int, i: int, n: int, step: int = 1) -> tuple[int, int]:
     """Begin and end of the i-th of n shares of ``total`` items, in whole steps."""
     steps = -(-total // step)

@@ -15,9 +15,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .files import Bytes, share_of, shares
+from .files import Bytes, Span, share_of, shares
 
 LSN, SECTOR = 510, 2048
 #: Sector sizes with the bytes before the data, in the order in which they are tried.
@@ -171,11 +171,6 @@ def packets(sector: bytes):
         begin += size
 
 
-class Span(InputPartition):
-    def __init__(self, path: str, share: int = 0, of: int = 1):
-        self.path, self.share, self.of = path, share, of
-
-
 class Reader(DataSourceReader):
     def __init__(self, path: str, table: str, area_name: str):
         self.path, self.table, self.area = path, table, area_name

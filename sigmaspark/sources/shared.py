@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
         if base is None:
             base = spark._shared_base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet into a shared folder and read it again: what is read twice is worked out once, and lost executors cost their tasks only."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
