@@ -1,8 +1,9 @@
-"""DST decoding (ISO/IEC 14496-3, part 3, subpart 10): compressed frames to 1-bit audio.
+"""DST coding (ISO/IEC 14496-3, part 3, subpart 10): compressed frames to 1-bit audio and back.
 
 Each frame stands alone, but inside it every bit depends on the ones before. So frames are
 decoded side by side: a batch moves through its samples in step, and each step is a handful of
-array operations over all its frames. Frames whose sound is stored plainly are copied.
+array operations over all its frames. Frames whose sound is stored plainly are copied. The encoder fits one linear
+predictor and one table of probabilities to each channel of a frame.
 
 As usual for discs, one segmentation for all channels is expected; other frames, and broken
 ones, raise DstError.
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 FILTER_PREDICTION = ((-8,), (-16, 8), (-9, -5, 6))
 TABLE_PREDICTION = ((-8,), (-16, 8), (-24, 24, -8))
 HISTORY = 128
+START = np.where(np.arange(HISTORY) % 2 == 0, 1, -1)  # what comes before a frame; the newest is -1
 
 
 class DstError(ValueError):
@@ -31,6 +34,11 @@ def samples_per_frame(rate: int) -> int:
     return 588 * (rate // 44100)
 
 
+def seed_probability(coefficient: int) -> int:
+    """Of the first bit that is coded: seven bits of the first coefficient in reverse order."""
+    return int(f"{coefficient & 127:07b}"[::-1], 2) + 1
+
+
 class BitReader:
     def __init__(self, data: bytes):
         self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
@@ -134,7 +142,8 @@ class Coder:
         w = np.zeros((n, longest - 12), np.uint16)  # the 12 bits from each place on; zeros follow the end
         for k in range(12):
             w |= bits[:, k : longest - 12 + k] << np.uint16(11 - k)
-        self.window, self.rows = w, np.arange(n)
+        self.window, self.base, self.last = w, np.arange(n) * w.shape[1], w.shape[1] - 1
+        self.scale = np.array([a >> 8 | a >> 7 & 1 for a in range(4096)], np.int64)
         self.c = w[:, 0].astype(np.int64)
         self.a = np.full(n, 4095, np.int64)
         self.pos = np.full(n, 12)
@@ -143,34 +152,40 @@ class Coder:
 
     def bit(self, p: np.ndarray) -> np.ndarray:
         a, c = self.a, self.c
-        q = ((a >> 8) | ((a >> 7) & 1)) * p
+        q = self.scale[a] * p
         low = a - q
         one = c < low
         a = np.where(one, low, q)
         c = np.where(one, c, c - low)
         n = self.shift[a]
-        more = self.window[self.rows, np.minimum(self.pos, self.window.shape[1] - 1)] >> (12 - n)
+        more = self.window.take(self.base + np.minimum(self.pos, self.last)) >> (12 - n)
         self.a, self.c = a << n, (c << n) | more
         self.pos += n
         return one
 
 
-def decode(frames: list[bytes], channels: int, rate: int) -> list[bytes]:
-    """Decoded frames, bytes interleaved by channel, in the order given."""
+BLOCK = 1024  # samples a channel that are kept as numbers at a time
+
+
+def decode_each(frames: list[bytes], channels: int, rate: int) -> list[tuple[bytes | None, str | None]]:
+    """(decoded frame, bytes interleaved by channel; None) or (None, what is wrong with it) for each frame, in the order given."""
     count = samples_per_frame(rate)
     size = count // 8 * channels
-    out: list[bytes] = [b""] * len(frames)
+    out: list[tuple[bytes | None, str | None]] = [(None, None)] * len(frames)
     coded, heads = [], []
     for i, f in enumerate(frames):
-        if len(f) <= 1:
-            raise DstError("empty frame")
-        if not f[0] & 0x80:
-            if f[0] & 0x3F:
+        try:
+            if len(f) <= 1:
+                raise DstError("empty frame")
+            if f[0] & 0x80:
+                heads.append(header(f, channels))
+                coded.append(i)
+            elif f[0] & 0x3F:
                 raise DstError("bad plain frame")
-            out[i] = f[1 : 1 + size]
-        else:
-            coded.append(i)
-            heads.append(header(f, channels))
+            else:
+                out[i] = f[1 : 1 + size], None
+        except DstError as e:
+            out[i] = None, str(e)
     if not coded:
         return out
     n = len(coded)
@@ -186,36 +201,200 @@ def decode(frames: list[bytes], channels: int, rate: int) -> list[bytes]:
             weight[ch, j, HISTORY - len(f) :] = f[::-1]
             length[ch, j], last[ch, j], half[ch, j] = len(f), len(t) - 1, h.half[ch]
             probs[ch, j, : len(t)] = t
-    line = np.empty((channels, n, HISTORY + count), np.int32)
-    line[:, :, :HISTORY] = np.where(np.arange(HISTORY) % 2 == 0, 1, -1)  # newest is -1
-    first = [int(f"{h.filters[0][0] & 127:07b}"[::-1], 2) + 1 for h in heads]
-    coder.bit(np.array(first))
+    line = np.empty((channels, n, HISTORY + BLOCK), np.int32)
+    line[:, :, BLOCK:] = START
+    planes = []
+    coder.bit(np.array([seed_probability(h.filters[0][0]) for h in heads]))
+    longest = int(length.max())
+    weight, flat = np.ascontiguousarray(weight[:, :, HISTORY - longest :]), probs.ravel()
+    base = np.arange(channels * n).reshape(channels, n) * probs.shape[2]
+    for begin in range(0, count, BLOCK):
+        line[:, :, :HISTORY] = line[:, :, BLOCK:]
+        block = min(BLOCK, count - begin)
+        for i in range(block):
+            x = np.einsum("cij,cij->ci", line[:, :, i + HISTORY - longest : i + HISTORY], weight).astype(np.int16).astype(np.int64)
+            p = flat[base + np.minimum(np.abs(x) >> 3, last)]
+            if begin + i < longest:
+                p = np.where(half & (begin + i < length), 128, p)
+            under = x < 0
+            for ch in range(channels):
+                line[ch, :, HISTORY + i] = np.where(under[ch] ^ coder.bit(p[ch]), 1, -1)
+        planes.append(np.packbits(line[:, :, HISTORY : HISTORY + block] > 0, axis=2))
+    whole = np.concatenate(planes, 2)  # channel, frame, byte
+    for j, i in enumerate(coded):
+        out[i] = np.ascontiguousarray(whole[:, j].T).tobytes(), None
+    return out
+
+
+def decode(frames: list[bytes], channels: int, rate: int) -> list[bytes]:
+    """Decoded frames in the order given; the first broken one's error is raised."""
+    got = decode_each(frames, channels, rate)
+    for _, error in got:
+        if error:
+            raise DstError(error)
+    return [x for x, _ in got]
+
+
+# ---- encoding
+
+
+class BitWriter:
+    def __init__(self):
+        self.bits: list[int] = []
+
+    def put(self, v: int, n: int) -> None:
+        self.bits += [v >> k & 1 for k in range(n - 1, -1, -1)]
+
+
+def fitted(sound: np.ndarray, order: int) -> np.ndarray:
+    """Predictor of each line of ``sound`` (-1 and 1), by Levinson's recursion, as coefficients of nine bits, nearest sample first."""
+    n = sound.shape[1]
+    size = 1 << (2 * n - 1).bit_length()
+    power = np.abs(np.fft.rfft(sound, size)) ** 2
+    r = np.fft.irfft(power, size)[:, : order + 1]
+    a, error = np.zeros((len(sound), order)), r[:, 0] * (1 + 1e-3)
+    for i in range(order):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1].copy()
+        a[:, i] = k
+        error = np.maximum(error * (1 - k * k), 1e-6 * r[:, 0])
+    return np.clip(np.rint(a * 200), -256, 255).astype(np.int64)
+
+
+class Encoder:
+    """Arithmetic coders of many frames, in step; sums are carried over at the end."""
+
+    def __init__(self, n: int, most: int):
+        self.a, self.pos, self.rows = np.full(n, 4095, np.int64), np.zeros(n, np.int64), np.arange(n)
+        self.sums = np.zeros((n, most), np.int32)  # what is added at each place, in units of the bit twelve places on
+        self.shift = np.array([12 - max(int(a), 1).bit_length() if a < 2048 else 0 for a in range(4096)], np.int64)
+
+    def bit(self, one: np.ndarray, p: np.ndarray) -> None:
+        q = ((self.a >> 8) | ((self.a >> 7) & 1)) * p
+        low = self.a - q
+        self.sums[self.rows, self.pos] += np.where(one, 0, low).astype(np.int32)
+        self.a = np.where(one, low, q)
+        n = self.shift[self.a]
+        self.a <<= n
+        self.pos += n
+        if int(self.pos.max()) >= self.sums.shape[1]:
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)], 1)
+
+    def codes(self) -> list[np.ndarray]:
+        """The bits of each frame's number."""
+        most = int(self.pos.max()) + 13
+        digits = np.zeros((len(self.rows), most), np.int64)
+        width = min(self.sums.shape[1], most - 12)
+        digits[:, 12 : 12 + width] = self.sums[:, :width]
+        for k in range(most - 1, 0, -1):
+            digits[:, k - 1] += digits[:, k] >> 1
+            digits[:, k] &= 1
+        return [d[1 : 13 + p].astype(np.uint8) for d, p in zip(digits, self.pos.tolist(), strict=True)]
+
+
+def encode(frames: list[bytes], channels: int, rate: int, order: int = 32, bins: int = 32) -> list[bytes]:
+    """Coded frames of plain ones (bytes interleaved by channel); a frame that coding doesn't shorten is stored plainly."""
+    count, n = samples_per_frame(rate), len(frames)
+    size = count // 8 * channels
+    if any(len(f) != size for f in frames):
+        raise DstError(f"frames have {size} bytes")
+    if not n:
+        return []
+    bytes_of = np.frombuffer(b"".join(frames), np.uint8).reshape(n, count // 8, channels)
+    sound = np.unpackbits(np.ascontiguousarray(bytes_of.transpose(2, 0, 1)), axis=2)  # channel, frame, sample
+    guess = np.empty((channels, n, count), np.int16)
+    filters, tables = [], []
+    for ch in range(channels):
+        signs = sound[ch].astype(np.float64) * 2 - 1
+        f = fitted(signs, order)
+        past = np.concatenate([np.tile(START, (n, 1)), signs], 1)
+        spectrum = 1 << (HISTORY + count + order).bit_length()
+        x = np.fft.irfft(np.fft.rfft(past, spectrum) * np.fft.rfft(f.astype(np.float64), spectrum), spectrum)[:, HISTORY - 1 : HISTORY - 1 + count]
+        guess[ch] = np.rint(x).astype(np.int64).astype(np.int16)
+        wrong = (guess[ch] >= 0) != (sound[ch] == 1)
+        level = np.minimum(np.abs(guess[ch].astype(np.int64)) >> 3, bins - 1)
+        key = (np.arange(n)[:, None] * bins + level).ravel()
+        seen = np.bincount(key, minlength=n * bins).reshape(n, bins)
+        missed = np.bincount(key, weights=wrong.ravel(), minlength=n * bins).reshape(n, bins)
+        filters.append(f)
+        tables.append(np.clip(np.rint(256 * (missed + 0.5) / (seen + 1)), 1, 128).astype(np.int64))
+    coder = Encoder(n, count * channels // 8 + 64)
+    coder.bit(np.zeros(n, bool), np.array([seed_probability(int(f[0])) for f in filters[0]]))
     rows = np.arange(n)
     for i in range(count):
         for ch in range(channels):
-            x = np.einsum("ij,ij->i", line[ch, :, i : i + HISTORY], weight[ch]).astype(np.int16).astype(np.int64)
-            p = probs[ch][rows, np.minimum(np.abs(x) >> 3, last[ch])]
-            p = np.where(half[ch] & (i < length[ch]), 128, p)
-            v = (x < 0) ^ coder.bit(p)
-            line[ch, :, HISTORY + i] = np.where(v, 1, -1)
-    planes = np.packbits(line[:, :, HISTORY:] > 0, axis=2)  # channel, frame, byte
-    for j, i in enumerate(coded):
-        out[i] = np.ascontiguousarray(planes[:, j].T).tobytes()
+            x = guess[ch, :, i].astype(np.int64)
+            p = np.full(n, 128) if i < order else tables[ch][rows, np.minimum(np.abs(x) >> 3, bins - 1)]
+            coder.bit((x < 0) ^ (sound[ch, :, i] == 1), p)
+    out = []
+    for j, code in enumerate(coder.codes()):
+        w = BitWriter()
+        w.put(0b11111, 5)  # coded; one segmentation for all; tables are mapped as filters are
+        if channels == 1:
+            w.put(1, 1)
+        else:
+            w.put(0, 1)
+            for ch in range(1, channels):
+                w.put(ch, ch.bit_length())
+        w.put((1 << channels) - 1, channels)
+        for f in filters:
+            w.put(order - 1, 7)
+            w.put(0, 1)
+            for c in f[j].tolist():
+                w.put(c & 511, 9)
+        for t in tables:
+            w.put(bins - 1, 6)
+            w.put(0, 1)
+            for p in t[j].tolist():
+                w.put(p - 1, 7)
+        w.put(0, 1)
+        data = np.packbits(np.concatenate([np.array(w.bits, np.uint8), code])).tobytes()
+        out.append(data if len(data) <= size else b"\0" + frames[j])
     return out
 
 
-def _decode_all(payload: pd.Series, channels: pd.Series, rate: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(payload), dtype=object)
-    known = payload.notna().to_numpy()
-    keys = list(zip(channels, rate))
-    for key in {k for k, ok in zip(keys, known) if ok}:
-        rows = [i for i, k in enumerate(keys) if known[i] and k == key]
-        for a in range(0, len(rows), 512):
-            part = rows[a : a + 512]
-            for i, data in zip(part, decode([bytes(payload.iloc[i]) for i in part], int(key[0]), int(key[1]))):
-                out.iloc[i] = data
+def _by_kind(work, payload: pd.Series, channels: pd.Series, rate: pd.Series, empty) -> list:
+    """``work`` over rows of the same channels and rate, 256 at a time; null payloads give ``empty``."""
+    out = [empty] * len(payload)
+    groups: dict[tuple, list[int]] = {}
+    for i, (x, key) in enumerate(zip(payload, zip(channels, rate, strict=True), strict=True)):
+        if x is not None and not (isinstance(x, float) and np.isnan(x)):
+            groups.setdefault((int(key[0]), int(key[1])), []).append(i)
+    for (ch, r), rows in groups.items():
+        for a in range(0, len(rows), 256):
+            part = rows[a : a + 256]
+            for i, got in zip(part, work([bytes(payload.iloc[i]) for i in part], ch, r), strict=True):
+                out[i] = got
     return out
 
 
-#: Column function: (payload, channels, rate) of DST frames to their plain payload.
+def _decode_all(payload: pd.Series, channels: pd.Series, rate: pd.Series) -> pd.Series:
+    return pd.Series(_by_kind(decode, payload, channels, rate, None), dtype=object)
+
+
+def _decode_each(payload: pd.Series, channels: pd.Series, rate: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(_by_kind(decode_each, payload, channels, rate, (None, None)), columns=["payload", "error"], dtype=object)
+
+
+def _encode_all(payload: pd.Series, channels: pd.Series, rate: pd.Series) -> pd.Series:
+    return pd.Series(_by_kind(encode, payload, channels, rate, None), dtype=object)
+
+
+#: Column function: (payload, channels, rate) of DST frames to their plain payload; a broken frame fails the query.
 decode_dst = F.pandas_udf(_decode_all, T.BinaryType())
+#: The same, as a struct of payload and error, one of which is null.
+try_decode_dst = F.pandas_udf(_decode_each, T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())]))
+#: Column function: (payload, channels, rate) of plain frames to DST frames.
+encode_dst = F.pandas_udf(_encode_all, T.BinaryType())
+
+
+def decode_batches(frames: DataFrame, by: list[str], order: str = "frame_no", batch: int = 16, payload: str = "payload") -> DataFrame:
+    """``frames`` with ``payload`` decoded, ``batch`` (number from 0 in each track), and ``error``: that of the first broken frame of the batch in the order of frames, whose sound is then null for all.
+
+    Frames are decoded side by side whatever batch they are in; ``order`` counts from 0, so a
+    batch is found by arithmetic and one aggregation over its few frames settles the error.
+    """
+    tried = frames.withColumn("_tried", try_decode_dst(F.col(payload), F.col("channels"), F.col("rate"))).withColumn("batch", F.floor(F.col(order) / batch).cast("long"))
+    every = Window.partitionBy(*by, "batch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    error = F.first("_tried.error", ignorenulls=True).over(every)
+    return tried.withColumn("error", error).withColumn(payload, F.when(F.col("error").isNull(), F.col("_tried.payload"))).drop("_tried")

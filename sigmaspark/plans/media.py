@@ -13,7 +13,7 @@ from sigmaspark.sinks import flac as flac_sink
 from sigmaspark.sinks import text as text_sink
 from sigmaspark.sources import dsdiff, dsf, sacd, sidecar
 from sigmaspark.sources import flac as flac_source
-from sigmaspark.sources.shared import shared_dir
+from sigmaspark.sources.shared import shared_dir, stored
 from sigmaspark.streaming import frames
 
 from .catalog import SQL, query, table
@@ -182,11 +182,7 @@ def dst_container(spark, sf_dir):
     f = label_frames(spark, sf_dir).withColumn("payload", F.substring("payload", 1, (F.col("vec_id") % 3000 + 1).cast("int")))
     folder = shared_dir(spark)
     spark.dataSource.register(dsdiff.DsdiffSource)
-
-    def write(path, payloads, channels, rate, sizes):
-        return audio_sink.write_dsdiff(path, payloads, channels, rate, dst=True, sizes=sizes)
-
-    made(audio_sink.write_tracks(f, folder, write, ".dff"), folder)
+    made(audio_sink.write_tracks(f, folder, audio_sink.write_dsdiff_dst, ".dff"), folder)
     back = load(spark, "dsdiff", folder, "frames")
     return back.select(stem().alias("track"), "frame_no", F.octet_length("payload").cast("long").alias("bytes"), F.md5("payload").alias("md5"))
 
@@ -198,6 +194,31 @@ def dst_stored(spark, sf_dir):
     return f.select("vec_id", F.md5(dst.decode_dst("stored", "channels", "rate")).alias("md5"))
 
 
+@query(f"""WITH {FRAMES} SELECT label::VARCHAR AS track, no::BIGINT AS frame_no, md5(payload) AS md5 FROM f""")
+def dst_coded(spark, sf_dir):
+    """Frames coded as DST in DSDIFF files, read back by the index and decoded."""
+    f = label_frames(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # few bytes, but much work
+    f = f.withColumn("payload", dst.encode_dst("payload", "channels", "rate"))
+    folder = shared_dir(spark)
+    spark.dataSource.register(dsdiff.DsdiffSource)
+    made(audio_sink.write_tracks(stored(f, f"{folder}/coded"), folder, audio_sink.write_dsdiff_dst, ".dff"), folder)
+    back = load(spark, "dsdiff", folder, "frames")
+    return back.select(stem().alias("track"), "frame_no", F.md5(dst.decode_dst("payload", "channels", "rate")).alias("md5"))
+
+
+@query("""WITH f AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS no, left(repeat(vec_id || ':', 294), 294) AS payload FROM embeddings),
+e AS (SELECT *, no // 16 AS batch, CASE vec_id % 50 WHEN 7 THEN 'segmentation is not supported' WHEN 11 THEN 'bad plain frame' WHEN 13 THEN 'empty frame' END AS own FROM f),
+b AS (SELECT *, first_value(own IGNORE NULLS) OVER (PARTITION BY label, batch ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS error FROM e)
+SELECT label AS track, no::BIGINT AS frame_no, batch::BIGINT AS batch, error, CASE WHEN error IS NULL THEN md5(payload) END AS md5 FROM b""")
+def dst_batches(spark, sf_dir):
+    """Coded frames in batches of sixteen, some of them broken: a batch ends with its first error."""
+    f = label_frames(spark, sf_dir).withColumns({"rate": F.lit(88200), "payload": F.substring("payload", 1, 294)})
+    broken = F.when(F.col("vec_id") % 50 == 7, F.lit(b"\x80\0\0")).when(F.col("vec_id") % 50 == 11, F.lit(b"\x21\0\0")).when(F.col("vec_id") % 50 == 13, F.lit(b"\0"))
+    f = f.withColumn("payload", F.coalesce(broken, dst.encode_dst("payload", "channels", "rate")))
+    out = dst.decode_batches(f, ["track"])
+    return out.select("track", "frame_no", "batch", "error", F.md5("payload").alias("md5"))
+
+
 # ---- samples
 
 

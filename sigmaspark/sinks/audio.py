@@ -151,6 +151,11 @@ def write_dsdiff(path: str, payloads: Iterator[bytes], channels: int, rate: int,
     return got.count if dst else got.bytes
 
 
+def write_dsdiff_dst(path: str, payloads: Iterator[bytes], channels: int, rate: int, sizes: Sizes | None = None) -> int:
+    """``write_dsdiff`` of DST frames."""
+    return write_dsdiff(path, payloads, channels, rate, dst=True, sizes=sizes)
+
+
 def pack_pcm(samples: np.ndarray, bits: int) -> bytes:
     """Little-endian integers of samples of full scale 1: scaled, clamped, cut towards zero."""
     top = 2 ** (bits - 1) - 1
@@ -207,8 +212,8 @@ def _dealt(frames: DataFrame, track: str, order: list[str], more: list[str]) ->
     """Frames dealt by track and sorted, each with the sizes of its track."""
     size = F.octet_length("payload").cast("long")
     sizes = frames.groupBy(track).agg(F.sum(size).alias("_bytes"), F.sum(size + size % 2 + 12).alias("_chunked"), F.count("*").alias("_count"))
-    rows = frames.join(sizes, track).select(track, "payload", "channels", "rate", "_bytes", "_chunked", "_count", *order, *more)
-    return rows.repartition(track).sortWithinPartitions(track, *order)
+    rows = frames.repartition(track).join(sizes, track).select(track, "payload", "channels", "rate", "_bytes", "_chunked", "_count", *order, *more)
+    return rows.sortWithinPartitions(track, *order)
 
 
 def _tracks(batches: Iterator[pa.RecordBatch]):

@@ -103,3 +103,40 @@ def test_predicted_coefficients():
 def test_broken_frames(bad):
     with pytest.raises(dst.DstError):
         dst.decode([bad], 2, 88200)
+
+
+@pytest.mark.parametrize("channels", [1, 2, 6])
+def test_encoder_round_trip(channels):
+    rng = np.random.default_rng(3)
+    size = dst.samples_per_frame(88200) // 8 * channels
+    frames = [(b"12345:" * 300)[:size], rng.integers(0, 256, size, dtype=np.uint8).tobytes(), b"\x69" * size, bytes(size)]
+    coded = dst.encode(frames, channels, 88200)
+    assert dst.decode(coded, channels, 88200) == frames
+    assert coded[1] == b"\0" + frames[1] and len(coded[3]) < size  # noise is stored as it is
+    with pytest.raises(dst.DstError):
+        dst.encode([b"short"], channels, 88200)
+
+
+def test_modulated_tone_shrinks():
+    """A tone through a modulator of second order, as 1-bit sound is made."""
+    x, v, w, bits = np.sin(np.arange(37632) / 300) * 0.5, 0.0, 0.0, []
+    for s in x:
+        v += s - (1 if bits and bits[-1] else -1)
+        w += v
+        bits.append(1 if w > 0 else 0)
+    plain_frame = np.packbits(bits).tobytes()
+    coded = dst.encode([plain_frame], 1, 2822400)
+    assert len(coded[0]) < 0.5 * len(plain_frame) and dst.decode(coded, 1, 2822400) == [plain_frame]
+
+
+def test_batches_end_with_their_first_error(spark):
+    size = dst.samples_per_frame(88200) // 8
+    good = dst.encode([bytes(size)], 1, 88200)[0]
+    payloads = [good] * 40
+    payloads[5], payloads[3], payloads[20] = b"\x21\0\0", b"\x80\0", b""
+    df = spark.createDataFrame([("t", i, 1, 88200, p) for i, p in enumerate(payloads)] + [("u", 0, 1, 88200, None)], "track string, frame_no long, channels int, rate int, payload binary").repartition(3)
+    got = {(r.track, r.frame_no): r for r in dst.decode_batches(df, ["track"]).collect()}
+    assert {k: (r.batch, r.error) for k, r in got.items() if r.track == "t"} == {("t", i): (i // 16, {0: "segmentation is not supported", 1: "empty frame"}.get(i // 16)) for i in range(40)}
+    assert all((got["t", i].payload is None) == (i < 32) for i in range(40)) and got["u", 0].payload is None
+    tried = df.select("frame_no", dst.try_decode_dst("payload", "channels", "rate").alias("x")).where("frame_no = 4").first()
+    assert bytes(tried.x.payload) == bytes(size)
