@@ -39,6 +39,26 @@ def access_range(frames: DataFrame, access: DataFrame, step: int, entries: Colum
     return keyed.select(*frames.columns, F.greatest(low, F.lit(start)).cast("long").alias("from_lsn"), F.least(high, F.lit(end)).cast("long").alias("to_lsn"))
 
 
+def access_spans(frames: DataFrame, access: DataFrame, areas: DataFrame, by: list[str], frame: str = "frame") -> DataFrame:
+    """``access_range`` over many discs at once: each disc's own list, step and area.
+
+    ``access``: ``by``, entry, lsn, margin; ``areas``: ``by``, step, play_frames, start_lsn, end_lsn. A
+    disc without a list is searched from end to end. Entries meet frames by an equi-join on the disc and the entry.
+    """
+    of_disc = Window.partitionBy(*by)
+    listed = access.select(*by, "entry", "lsn", "margin", F.lead("lsn").over(of_disc.orderBy("entry")).alias("next"), F.count("*").over(of_disc).alias("entries"))
+    sizes = access.groupBy(*by).agg(F.count("*").alias("_n"))
+    known = areas.join(sizes, by, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    keyed = frames.join(known, by).withColumn("entry", F.when((F.col("_n") > 0) & (F.col("step") > 0), access_entry(F.col(frame), F.col("step"), F.col("_n"))).cast("int"))
+    found = keyed.join(listed.drop("entries"), [*by, "entry"], "left")
+    stop = F.coalesce("next", "end_lsn")
+    over = F.when(F.col("next").isNull(), F.col("play_frames") - F.col("entry") * F.col("step")).otherwise(F.col("step"))
+    ahead = F.when(over > 0, F.col(frame) % F.col("step") * (stop - F.col("lsn")))
+    guess = F.col("lsn") + F.coalesce(F.floor(ahead / over), F.lit(0))
+    low = F.when((over > 0) & (guess > F.col("margin")), F.greatest(guess - F.col("margin"), "lsn")).otherwise(F.col("lsn"))
+    return found.select(*frames.columns, F.greatest(F.coalesce(low, "start_lsn"), "start_lsn").cast("long").alias("from_lsn"), F.least(F.when(F.col("lsn").isNull(), F.col("end_lsn")).otherwise(stop), "end_lsn").cast("long").alias("to_lsn"))
+
+
 def overlay(base: DataFrame, edits: DataFrame, keys: list[str], value: str) -> DataFrame:
     """User edits win over generated values; keys without an edit keep theirs. ``edited`` tells which."""
     e = edits.select(*keys, F.col(value).alias("_edit"), F.lit(True).alias("_has"))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigmaspark.functions import audio, dst, genre, id3, labels
-from sigmaspark.operators import fir, summary, virtual
+from sigmaspark.operators import fir, lookup, summary, virtual
 from sigmaspark.sinks import audio as audio_sink
 from sigmaspark.sinks import edit, image
 from sigmaspark.sinks import flac as flac_sink
 from sigmaspark.sinks import text as text_sink
 from sigmaspark.sources import dsdiff, dsf, sacd, sidecar
 from sigmaspark.sources import flac as flac_source
+from sigmaspark.sources.pushdown import open_source
 from sigmaspark.sources.shared import shared_dir, stored
 from sigmaspark.streaming import frames
 
@@ -41,6 +42,10 @@ def stem(path: str = "path"):
     return F.regexp_extract(path, r"([^/]*)\.\w+$", 1)
 
 
+def sql_list(names) -> str:
+    return "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "]"
+
+
 # ---- discs
 
 
@@ -97,6 +102,105 @@ def sacd_packets(spark, sf_dir):
     return out.select(stem().alias("disc"), "frame_no", "timecode", F.octet_length("payload").cast("long").alias("bytes"), F.md5("payload").alias("md5"))
 
 
+CHARSETS = [3, 4, 5, 6, 1]  # of the second text channel, by label
+
+
+def full_discs(spark, sf_dir):
+    """Images with two areas of DST sound, index points, codes, genres and texts in two channels; their folder."""
+    f = label_frames(spark, sf_dir).withColumnRenamed("track", "disc")
+    size = lambda m: F.substring("payload", 1, (F.col("vec_id") % m + 1).cast("int"))
+    f = f.select("disc", "frame_no", F.explode(F.array(F.struct(F.lit("stereo").alias("area"), F.lit(2).alias("channels"), size(5000).alias("payload")), F.struct(F.lit("multichannel").alias("area"), F.lit(6).alias("channels"), F.concat(F.lit(b"m"), size(3000)).alias("payload")))).alias("x")).select("disc", "frame_no", "x.*")
+    n = f.where("area = 'stereo'").groupBy("disc").agg(F.count("*").alias("n"))
+    start = lambda i: F.floor(i * F.col("n") / 4).cast("long")
+    name = lambda head, i: F.concat(F.lit(head), (i + 1).cast("string"))
+    second = F.when(F.col("disc") % 5 == 4, "Part ").otherwise("日本 ")
+
+    def track(i):
+        texts = F.array(F.create_map(F.lit("title"), name("Teil für ", i), F.lit("performer"), F.lit("Künstler")), F.create_map(F.lit("title"), F.concat(second, (i + 1).cast("string")), F.lit("composer"), F.when(i % 2 == 0, "C")))
+        indexes = F.when(i % 2 == 1, F.array(start(i) + 2, start(i) + 5)).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(start(i).alias("start"), (start(i + 1) - start(i)).alias("frames"), name("DEA00000000", i).alias("isrc"), F.when(i < 3, F.struct((i % 2 + 1).alias("table"), (F.col("disc") + i).cast("int").alias("index"))).alias("genre"), indexes.alias("indexes"), texts.alias("texts"))
+
+    sets = F.array(F.lit(2), F.get(F.array(*map(F.lit, CHARSETS)), (F.col("disc") % 5).cast("int")))
+    album = n.select("disc", F.transform(F.sequence(F.lit(0), F.lit(3)), track).alias("tracks"), sets.alias("charsets"), name("Label ", F.col("disc") - 1).alias("title"), F.lit("Various").alias("artist"), F.lit("C-1").alias("catalog"), F.array(F.struct(F.lit(1).alias("table"), F.lit(14).alias("index"))).alias("genres"))
+    folder = shared_dir(spark)
+    spark.dataSource.register(sacd.SacdSource)
+    made(image.write_images(f.join(album, "disc"), folder, 0), folder)
+    return folder
+
+
+DISC_TRACKS = f"""WITH {FRAMES}, n AS (SELECT label, max(n) AS n FROM f GROUP BY label),
+t AS (SELECT label, unnest(['stereo', 'multichannel']) AS area, n FROM n), k AS (SELECT *, unnest(range(4)) AS i FROM t),
+u AS (SELECT *, i * n // 4 AS a, (i + 1) * n // 4 AS b FROM k)"""
+
+
+@query(f"""{DISC_TRACKS}, g AS (SELECT *, CASE WHEN i < 3 THEN CASE WHEN i % 2 = 0 THEN ({sql_list(genre.GENERAL)})[label + i + 1] ELSE ({sql_list(genre.JAPANESE)})[label + i + 1] END END AS genre FROM u)
+SELECT label::VARCHAR AS disc, area, (i + 1)::BIGINT AS track, 'Teil für ' || (i + 1) AS title, 'Künstler' AS performer, 'DEA00000000' || (i + 1) AS isrc, genre, a::BIGINT AS start_frame, (b - a)::BIGINT AS frames, i % 2 = 1 AS indexed FROM g""")
+def disc_tracks(spark, sf_dir):
+    """Tracks of both areas of discs, with codes, genres by name and titles of the first text channel."""
+    t = load(spark, "sacd", full_discs(spark, sf_dir), "tracks")
+    return t.select(
+        stem().alias("disc"), "area", F.col("track").cast("long").alias("track"), "title", "performer", "isrc", genre.genre_name(F.col("genre.table"), F.col("genre.index")).alias("genre"),
+        "start_frame", "frames", (F.col("flags").bitwiseAND(F.lit(16)) > 0).alias("indexed"),
+    )
+
+
+@query(f"""{DISC_TRACKS}, s AS (SELECT *, CASE WHEN i % 2 = 1 THEN [coalesce(lag(b) OVER (PARTITION BY label, area ORDER BY i), 0), a, a + 2, a + 5] ELSE [coalesce(lag(b) OVER (PARTITION BY label, area ORDER BY i), 0), a] END AS starts FROM u),
+x AS (SELECT *, unnest(range(len(starts))) AS k FROM s)
+SELECT label::VARCHAR AS disc, area, (i + 1)::BIGINT AS track, k::BIGINT AS "index", starts[k + 1]::BIGINT AS start, coalesce(starts[k + 2] - 1, starts[k + 1] + b - a - 1)::BIGINT AS "end" FROM x""")
+def disc_index_points(spark, sf_dir):
+    """Index points of tracks, read from discs' index lists, as intervals."""
+    t = load(spark, "sacd", full_discs(spark, sf_dir), "tracks")
+    out = summary.index_intervals(t, ["path", "area", "track"], "index_starts", "frames")
+    return out.select(stem().alias("disc"), "area", F.col("track").cast("long").alias("track"), F.col("index").cast("long").alias("index"), "start", "end")
+
+
+@query(f"""{DISC_TRACKS}, x AS (SELECT *, {CHARSETS}[label % 5 + 1] AS cs FROM u), y AS (
+SELECT label, area, i, 1 AS channel, 2 AS cs, 'title' AS kind, 'Teil für ' || (i + 1) AS value FROM x UNION ALL SELECT label, area, i, 1, 2, 'performer', 'Künstler' FROM x
+UNION ALL SELECT label, area, i, 2, cs, 'title', CASE WHEN label % 5 = 4 THEN 'Part ' ELSE '日本 ' END || (i + 1) FROM x UNION ALL SELECT label, area, i, 2, cs, 'composer', 'C' FROM x WHERE i % 2 = 0)
+SELECT label::VARCHAR AS disc, area, (i + 1)::BIGINT AS track, channel::BIGINT AS channel, cs::BIGINT AS charset, kind, value FROM y""")
+def disc_texts(spark, sf_dir):
+    """Texts of tracks in all text channels of discs, whose character sets differ."""
+    t = load(spark, "sacd", full_discs(spark, sf_dir), "texts")
+    return t.select(stem().alias("disc"), "area", *(F.col(c).cast("long").alias(c) for c in ("track", "channel", "charset")), "kind", "value")
+
+
+DISC_LSN = f"""WITH {FRAMES}, s AS (SELECT label, no, ceil((vec_id % 5000 + 1) / 2000.0)::BIGINT AS parts FROM f), l AS (SELECT *, 640 + sum(parts) OVER (PARTITION BY label ORDER BY no) - parts AS lsn FROM s)"""
+
+
+@query(f"""{DISC_LSN} SELECT label::VARCHAR AS disc, (no // 10)::BIGINT AS entry, lsn::BIGINT AS lsn FROM l WHERE no % 10 = 0""")
+def disc_access(spark, sf_dir):
+    """The access lists of discs."""
+    a = load(spark, "sacd", full_discs(spark, sf_dir), "access").where("area = 'stereo'")
+    return a.select(stem().alias("disc"), F.col("entry").cast("long").alias("entry"), "lsn")
+
+
+@query(f"""{DISC_LSN}, b AS (SELECT label, max(lsn + parts) - 1 AS area_end FROM l GROUP BY label), e AS (SELECT label, no // 10 AS entry, lsn AS upto FROM l WHERE no % 10 = 0)
+SELECT label::VARCHAR AS disc, no::BIGINT AS frame_no, coalesce(e.upto, area_end)::BIGINT AS to_lsn, true AS early FROM l JOIN b USING (label) LEFT JOIN e USING (label) WHERE e.entry IS NULL OR e.entry = no // 10 + 1
+UNION ALL SELECT label::VARCHAR, no::BIGINT, area_end::BIGINT, true FROM l JOIN b USING (label) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.label = l.label AND e.entry = no // 10 + 1) AND EXISTS (SELECT 1 FROM e WHERE e.label = l.label)""")
+def disc_seek_ranges(spark, sf_dir):
+    """For every frame of a disc, the sectors in which the access list says it starts, and whether its packet does start there."""
+    folder = full_discs(spark, sf_dir)
+    access = load(spark, "sacd", folder, "access").where("area = 'stereo'")
+    areas = load(spark, "sacd", folder, "areas").where("area = 'stereo'").select("path", "start_lsn", "end_lsn", "play_frames", F.col("access_step").alias("step"))
+    packets = load(spark, "sacd", folder, "packets").where("data_type = 2 AND frame_start").select("path", F.col("timecode").alias("frame"), F.col("lsn").alias("found"))
+    out = lookup.access_spans(packets, access, areas, ["path"])
+    return out.select(stem().alias("disc"), F.col("frame").alias("frame_no"), "to_lsn", ((F.col("from_lsn") <= F.col("found")) & (F.col("found") <= F.col("to_lsn"))).alias("early"))
+
+
+@query(f"""WITH {FRAMES} SELECT label::VARCHAR AS disc, no::BIGINT AS frame_no, (vec_id % 5000 + 1)::BIGINT AS bytes, md5(left(payload, (vec_id % 5000 + 1)::BIGINT)) AS md5 FROM f WHERE no BETWEEN 20 AND 29""")
+def disc_seek(spark, sf_dir):
+    """Ten frames from the middle of every disc: the filter is pushed down and looked up in the access lists."""
+    f = open_source(spark, "sacd", full_discs(spark, sf_dir)).where("frame_no BETWEEN 20 AND 29")
+    return f.select(stem().alias("disc"), "frame_no", F.octet_length("payload").cast("long").alias("bytes"), F.md5("payload").alias("md5"))
+
+
+@query(f"""WITH {FRAMES} SELECT label::VARCHAR AS disc, no::BIGINT AS frame_no, 6::BIGINT AS channels, md5('m' || left(payload, (vec_id % 3000 + 1)::BIGINT)) AS md5 FROM f""")
+def disc_multichannel(spark, sf_dir):
+    """All frames of the discs' multichannel areas."""
+    f = spark.read.format("sacd").option("area", "multichannel").load(full_discs(spark, sf_dir))
+    return f.select(stem().alias("disc"), "frame_no", F.col("channels").cast("long").alias("channels"), F.md5("payload").alias("md5"))
+
+
 # ---- files with tags, markers and edits
 
 
@@ -306,10 +410,6 @@ def fir_chain(spark, sf_dir):
 # ---- names, index points, virtual files
 
 
-def sql_list(names) -> str:
-    return "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "]"
-
-
 @query(f"""SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN ({sql_list(genre.GENERAL)})[n_chars % 35 + 1] WHEN 2 THEN ({sql_list(genre.JAPANESE)})[n_chars % 35 + 1] END AS genre FROM documents""")
 def genre_names(spark, sf_dir):
     """Names of genres from two tables; numbers past their ends have none."""

@@ -1,10 +1,11 @@
 """DSDIFF files as tables: ``spark.read.format("dsdiff")``.
 
-Option ``table``: ``frames`` (default; raw or DST payloads as stored), ``info``, ``markers`` or
-``tags`` (``idx`` null for the file's own tag, else the track's from 0).
+Option ``table``: ``frames`` (default; raw or DST payloads as stored), ``info``, ``markers``,
+``tags`` (``idx`` null for the file's own tag, else the track's from 0) or ``places`` of frames.
 Files are read in shares that are planned from their sizes alone; each task walks the chunk tree,
-which reads chunk headers only. DST frames are found by their index (or by walking frame headers
-without one).
+which reads chunk headers only. DST frames are found by their index; in a file without one the
+first share walks the frames' headers, and table ``places`` with ``read_places`` spreads the reading.
+``crc`` is what the checksum chunk behind a DST frame holds.
 Sample counts are bits per channel throughout.
 """
 
@@ -12,14 +13,20 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from itertools import islice
 
-from pyspark.sql.datasource import DataSource, DataSourceReader
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource
 
-from .files import Bytes, Span, share_of, shares
+from .files import Bytes, Span, share_of
+from .pushdown import Pushing, TableReader, reader_of
 
 INFO = "path string, version long, compression string, channels int, channel_ids array<string>, rate int, samples long, frames long, frame_rate int, artist string, title string, emid string, loudspeakers int, start_time struct<hours:int,minutes:int,seconds:int,samples:long>, manufacturer binary, error string"
 TAGS = "path string, idx int, tag binary"
-FRAMES = "path string, frame_no long, sample_offset long, is_first boolean, is_last boolean, channels int, rate int, format string, payload binary"
+FRAMES = "path string, frame_no long, sample_offset long, is_first boolean, is_last boolean, channels int, rate int, format string, payload binary, crc binary"
+PLACES = "path string, frame_no long, offset long, size long"
 MARKERS = "path string, idx int, hours int, minutes int, seconds int, samples long, offset int, mark_type int, mark_channel int, flags int, text string, pos long"
 
 
@@ -118,19 +125,19 @@ def parse(f: Bytes) -> File:
     return out
 
 
-def dst_index(f: Bytes, info: File) -> list[tuple[int, int]]:
-    """(offset, size) of each DST frame's payload."""
-    if info.index:
-        return info.index
-    return [(a, n) for k, a, n in chunks(f, info.data[0], sum(info.data)) if k == b"DSTF"]
+def walked(f: Bytes, info: File):
+    """(offset, size) of each DST frame's payload, from the frames' own heads."""
+    return ((a, n) for k, a, n in chunks(f, info.data[0], sum(info.data)) if k == b"DSTF")
 
 
-class Reader(DataSourceReader):
-    def __init__(self, path: str, table: str):
-        self.path, self.table = path, table
+def checksum(f: Bytes, at: int, size: int) -> bytes | None:
+    """What a checksum chunk behind a DST frame holds, if there is one."""
+    head = f.at(at + size + size % 2, 16)
+    return head[12:] if head[:4] == b"DSTC" else None
 
-    def partitions(self):
-        return [Span(*x) for x in shares(self.path, (".dff", ".dsdiff"), self.table != "frames")] or [Span("")]
+
+class Reader(TableReader):
+    endings = (".dff", ".dsdiff")
 
     def read(self, part):
         if not part.path:
@@ -141,24 +148,56 @@ class Reader(DataSourceReader):
             except ValueError as e:
                 if self.table != "info":
                     raise
-                yield (part.path, *[None] * 14, str(e))
+                yield self.broken(part.path, e)
                 return
             if self.table == "info":
-                yield (part.path, info.version, info.compression.strip(), len(info.channels), info.channels, info.rate, info.samples, info.frames, info.frame_rate, info.artist, info.title, info.emid, info.loudspeakers, info.start_time, info.manufacturer, None)
+                yield self.row(
+                    path=part.path, version=info.version, compression=info.compression.strip(), channels=len(info.channels), channel_ids=info.channels, rate=info.rate, samples=info.samples, frames=info.frames, frame_rate=info.frame_rate,
+                    artist=info.artist, title=info.title, emid=info.emid, loudspeakers=info.loudspeakers, start_time=info.start_time, manufacturer=info.manufacturer, error=None,
+                )
             elif self.table == "tags":
                 for i, (at, n) in enumerate(info.tags):
-                    yield (part.path, i - 1 if i else None, f.at(at, n))
+                    yield self.row(path=part.path, idx=i - 1 if i else None, tag=f.at(at, n) if self.has("tag") else None)
             elif self.table == "markers":
+                names = ("hours", "minutes", "seconds", "samples", "offset", "mark_type", "mark_channel", "flags", "text")
                 for i, m in enumerate(info.markers):
-                    yield (part.path, i, *m, ((m[0] * 60 + m[1]) * 60 + m[2]) * info.rate + m[3] + m[4])
+                    yield self.row(path=part.path, idx=i, **dict(zip(names, m, strict=True)), pos=((m[0] * 60 + m[1]) * 60 + m[2]) * info.rate + m[3] + m[4])
+            elif self.table == "places":
+                for no, (at, n) in enumerate(self._all(f, info)):
+                    if self.wanted.allows("frame_no", no):
+                        yield self.row(path=part.path, frame_no=no, offset=at, size=n)
             else:
-                per = info.rate // (info.frame_rate if info.compression == "DST " else 75)
-                if info.compression == "DST ":
-                    places = dst_index(f, info)
-                else:
-                    places = [(info.data[0] + a, min(info.frame_bytes, info.data[1] - a)) for a in range(0, info.data[1], info.frame_bytes)]
-                for no in range(*share_of(len(places), part.share, part.of)):
-                    yield (part.path, no, no * per, no == 0, no == info.frames - 1, len(info.channels), info.rate, info.compression.strip(), f.at(*places[no]))
+                yield from self._frames(f, part, info)
+
+    @staticmethod
+    def _all(f: Bytes, info: File):
+        if info.compression == "DST ":
+            return info.index or walked(f, info)
+        return ((info.data[0] + a, min(info.frame_bytes, info.data[1] - a)) for a in range(0, info.data[1], info.frame_bytes))
+
+    def _frames(self, f: Bytes, part: Span, info: File):
+        dst = info.compression == "DST "
+        total = len(info.index) if info.index else info.frames
+        low, high = self.wanted.range("frame_no", total)
+        if dst and not info.index:
+            # Places are known only to who walks the file from its start: the first share does, once.
+            if part.share:
+                return
+            places = ((no, *x) for no, x in enumerate(islice(walked(f, info), high)) if no >= low)
+        else:
+            numbers = range(*(low + x for x in share_of(high - low, part.share, part.of)))
+            size = info.frame_bytes
+            places = ((no, *info.index[no]) for no in numbers) if dst else ((no, info.data[0] + no * size, min(size, info.data[1] - no * size)) for no in numbers)
+        per = info.rate // (info.frame_rate if dst else 75)
+        for no, at, n in places:
+            yield self.row(
+                path=part.path, frame_no=no, sample_offset=no * per, is_first=no == 0, is_last=no == info.frames - 1, channels=len(info.channels), rate=info.rate, format=info.compression.strip(),
+                payload=f.at(at, n) if self.has("payload") else None, crc=checksum(f, at, n) if dst and self.has("crc") else None,
+            )
+
+
+class Pushed(Pushing, Reader):
+    pass
 
 
 class DsdiffSource(DataSource):
@@ -167,7 +206,28 @@ class DsdiffSource(DataSource):
         return "dsdiff"
 
     def schema(self):
-        return {"info": INFO, "markers": MARKERS, "tags": TAGS}.get(self.options.get("table", "frames"), FRAMES)
+        return {"info": INFO, "markers": MARKERS, "tags": TAGS, "places": PLACES}.get(self.options.get("table", "frames"), FRAMES)
 
     def reader(self, schema):
-        return Reader(self.options["path"], self.options.get("table", "frames"))
+        return reader_of(Reader, Pushed, self.options, schema)
+
+
+def read_places(places: DataFrame) -> DataFrame:
+    """``places`` (path, frame_no, offset, size) with ``payload``: frames of files without an index, read wherever the places are dealt to."""
+    schema = T.StructType([*places.schema.fields, T.StructField("payload", T.BinaryType())])
+
+    def run(batches):
+        path, f = None, None
+        for b in batches:
+            out = []
+            for p, at, n in zip(*(b.column(c).to_pylist() for c in ("path", "offset", "size")), strict=True):
+                if p != path:
+                    if f:
+                        f.file.close()
+                    path, f = p, Bytes(p)
+                out.append(f.at(at, n))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "payload"])
+        if f:
+            f.file.close()
+
+    return places.mapInArrow(run, schema)

@@ -15,9 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource
 
-from .files import REVERSED, Bytes, Span, share_of, shares
+from .files import REVERSED, Bytes, Span, share_of
+from .pushdown import Pushing, TableReader, reader_of
 
 BLOCK, HEADER = 4096, 92
 INFO = "path string, version int, format_id int, channel_type int, channels int, rate int, bits int, samples long, block_size int, audio_bytes long, metadata_offset long, seconds double, error string"
@@ -73,43 +74,55 @@ def frames_of(data: bytes, head: Head, first: int, count: int) -> list[bytes]:
     return [np.ascontiguousarray(planes[:, skip + k * per : skip + min((k + 1) * per, total - first * per)].T).tobytes() for k in range(count)]
 
 
-class Reader(DataSourceReader):
-    def __init__(self, path: str, table: str):
-        self.path, self.table = path, table
-
-    def partitions(self):
-        return [Span(*x) for x in shares(self.path, (".dsf",), self.table != "frames")] or [Span("")]
+class Reader(TableReader):
+    endings = (".dsf",)
 
     def read(self, part):
         if not part.path:
             return
         with Bytes(part.path) as f:
-            if self.table == "info":
-                try:
-                    h = parse(f.at(0, HEADER))
-                    yield (part.path, h.version, h.format_id, h.channel_type, h.channels, h.rate, h.bits, h.samples, h.block_size, h.audio_bytes, h.metadata_offset, h.samples / h.rate, None)
-                except ValueError as e:
-                    yield (part.path, *[None] * 11, str(e))
+            try:
+                h = parse(f.at(0, HEADER))
+            except ValueError as e:
+                if self.table != "info":
+                    raise
+                yield self.broken(part.path, e)
                 return
-            h = parse(f.at(0, HEADER))
-            if self.table == "tags":
+            if self.table == "info":
+                yield self.row(
+                    path=part.path, version=h.version, format_id=h.format_id, channel_type=h.channel_type, channels=h.channels, rate=h.rate, bits=h.bits, samples=h.samples,
+                    block_size=h.block_size, audio_bytes=h.audio_bytes, metadata_offset=h.metadata_offset, seconds=h.samples / h.rate, error=None,
+                )
+            elif self.table == "tags":
                 if h.metadata_offset:
-                    yield (part.path, f.at(h.metadata_offset, f.size - h.metadata_offset))
-                return
-            group = BLOCK * h.channels
-            first, end = share_of(h.frames, part.share, part.of)
-            a = first * h.frame_bytes // BLOCK
-            b = -(-(end * h.frame_bytes) // BLOCK)
-            data = f.at(HEADER + a * group, min((b - a) * group, h.audio_bytes - a * group))
-            for at in range(first, end, 64):
-                n = min(64, end - at)
-                # Whole frames of one batch; the blocks stay in memory for the share only.
-                rows = frames_of(data[(at * h.frame_bytes // BLOCK - a) * group :], h, at, n)
-                no = np.arange(at, at + n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.path] * n), pa.array(no), pa.array(no * h.frame_bytes * 8), pa.array(no == 0), pa.array(no == h.frames - 1), pa.array([h.channels] * n, pa.int32()), pa.array([h.rate] * n, pa.int32()), pa.array(rows, pa.binary())],
-                    names=["path", "frame_no", "sample_offset", "is_first", "is_last", "channels", "rate", "payload"],
-                )
+                    yield self.row(path=part.path, tag=f.at(h.metadata_offset, f.size - h.metadata_offset) if self.has("tag") else None)
+            else:
+                yield from self._frames(f, part, h)
+
+    def _frames(self, f: Bytes, part: Span, h: Head):
+        low, high = self.wanted.range("frame_no", h.frames)
+        first, end = (low + x for x in share_of(high - low, part.share, part.of))
+        if first >= end:
+            return
+        group, sound = BLOCK * h.channels, self.has("payload")
+        a = first * h.frame_bytes // BLOCK
+        b = -(-(end * h.frame_bytes) // BLOCK)
+        data = f.at(HEADER + a * group, min((b - a) * group, h.audio_bytes - a * group)) if sound else b""
+        step = 64 if sound else 1 << 16
+        for at in range(first, end, step):
+            n = min(step, end - at)
+            no = np.arange(at, at + n)
+            # Whole frames of one batch; the blocks stay in memory for the share only.
+            rows = frames_of(data[(at * h.frame_bytes // BLOCK - a) * group :], h, at, n) if sound else None
+            columns = {
+                "path": lambda n=n: pa.array([part.path] * n), "frame_no": lambda no=no: pa.array(no), "sample_offset": lambda no=no: pa.array(no * h.frame_bytes * 8), "is_first": lambda no=no: pa.array(no == 0),
+                "is_last": lambda no=no: pa.array(no == h.frames - 1), "channels": lambda n=n: pa.array([h.channels] * n, pa.int32()), "rate": lambda n=n: pa.array([h.rate] * n, pa.int32()), "payload": lambda rows=rows: pa.array(rows, pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([columns[c]() for c in self.columns], names=list(self.columns))
+
+
+class Pushed(Pushing, Reader):
+    pass
 
 
 class DsfSource(DataSource):
@@ -121,4 +134,4 @@ class DsfSource(DataSource):
         return {"info": INFO, "tags": TAGS}.get(self.options.get("table", "frames"), FRAMES)
 
     def reader(self, schema):
-        return Reader(self.options["path"], self.options.get("table", "frames"))
+        return reader_of(Reader, Pushed, self.options, schema)

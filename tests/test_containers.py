@@ -124,5 +124,5 @@ def test_shares_cover_a_file_once(spark, tmp_path, monkeypatch):
     want = [bytes(r.payload) for r in src.orderBy("frame_no").collect()]
     for kind, folder in (("dsf", "a"), ("dsdiff", "b")):
         back = spark.read.format(kind).load(f"{tmp_path}/{folder}")
-        assert len({s.share for s in (dsf if kind == "dsf" else dsdiff).Reader(f"{tmp_path}/{folder}", "frames").partitions()}) == 13
+        assert len({s.share for s in (dsf if kind == "dsf" else dsdiff).Reader({"path": f"{tmp_path}/{folder}"}, back.schema).partitions()}) == 13
         assert [bytes(r.payload) for r in back.orderBy("frame_no").collect()] == want

@@ -29,7 +29,7 @@ def master(stereo_lsn, stereo_len):
 
 def area_toc(fmt, tracks, play, start, end):
     head = b"TWOCHTOC" + bytes([1, 20]) + struct.pack(">H4xI", 5, 705600) + bytes([4, fmt]) + bytes(10) + bytes([2, 0, 2, 0]) + bytes(12) + bytes(16) + msf(play) + bytes(2) + bytes([len(tracks)]) + bytes(2) + struct.pack(">II", start, end)
-    head += bytes([1]) + bytes(7) + b"en" + bytes([2, 0])
+    head += bytes([1]) + bytes(7) + b"en" + bytes([2, 0]) + bytes(28) + bytes(8) + struct.pack(">HHH", 5, 0, 0)
     trl1 = b"SACDTRL1" + pad(b"".join(struct.pack(">I", t[0]) for t in tracks), 1020) + pad(b"".join(struct.pack(">I", 1) for _ in tracks), 1020)
     trl2 = b"SACDTRL2" + pad(b"".join(msf(t[1]) + b"\0" for t in tracks), 1020) + pad(b"".join(msf(t[2]) + b"\0" for t in tracks), 1020)
     isrc = b"SACD_IGL" + b"".join(f"USAAA0100{i:03d}".encode() for i in range(len(tracks)))
@@ -43,11 +43,11 @@ def area_toc(fmt, tracks, play, start, end):
             item += bytes(-len(item) % 4)
         body += item
     text = pad(b"SACDTTxt" + ptrs, at) + body
-    return pad(head) + pad(trl1) + pad(trl2) + pad(isrc) + pad(text)
+    return pad(head) + pad(trl1) + pad(trl2) + pad(isrc) + pad(b"") + pad(text)
 
 
 def image(sound, toc, sector=2048, skip=0):
-    data = bytes(510 * SECTOR) + master(540, 5)
+    data = bytes(510 * SECTOR) + master(540, 6)
     data = pad(data, 540 * SECTOR) + toc
     data = pad(data, START * SECTOR) + sound
     if sector == 2048:
