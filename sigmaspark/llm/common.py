@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -38,7 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
         base = getattr(spark, "_local_shared_dir", None)
         if base is None:
             base = spark._local_shared_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    made_dirs(spark).append(path)
+    return path
+
+
+def made_dirs(spark: SparkSession) -> list[str]:
+    """The folders that ``shared_dir`` has named in this session."""
+    if not hasattr(spark, "_made_dirs"):
+        spark._made_dirs = []
+    return spark._made_dirs
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -48,6 +58,7 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 HOT_SHARE, HOT_LEAST, SALTS = 1000, 1000, 64
+HOT_ROWS = 100_000  # rows of hot keys that may be broadcast; beyond that they are salted
 
 
 def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
@@ -65,7 +76,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: s
     """Join on keys that may be hot in ``left``: rows of hot keys stay where they are and meet a broadcast.
 
     ``left`` is read more than once, so it should be a stored table. The hot keys are at most
-    HOT_SHARE and ``right`` is expected to have a few rows a key, so what is broadcast is bounded.
+    HOT_SHARE, and their rows of ``right`` are counted: beyond HOT_ROWS they are dealt too.
     ``weight`` names a column of ``right`` with the number of rows of ``left`` under its key;
     without it they are counted. Where rows of ``right`` are large, ``salt`` names a column of
     ``left`` by which hot keys are dealt instead, to ``SALTS`` copies of their rows of ``right``.
@@ -81,9 +92,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: s
         return left.join(right, keys, how)
     hot = F.broadcast(hot)
     much, few = left.join(hot, keys, "left_semi"), right.join(hot, keys, "left_semi")
-    if salt:
+    if salt or few.limit(HOT_ROWS + 1).count() > HOT_ROWS:
         few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = much.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(few, [*keys, "_salt"], how).drop("_salt")
+        spread = much.withColumn("_salt", F.pmod(F.xxhash64(salt) if salt else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(few, [*keys, "_salt"], how).drop("_salt")
     else:
         spread = much.join(F.broadcast(few), keys, how)
     return spread.unionByName(left.join(hot, keys, "left_anti").join(right.join(hot, keys, "left_anti"), keys, how))
@@ -97,18 +108,25 @@ def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     return df
 
 
-def components(edges: DataFrame, path: str, max_rounds: int = 60) -> DataFrame:
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def components(edges: DataFrame, path: str) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows (node, component), the smallest reachable node.
 
     Alternates large-star and small-star contraction; edges of a node of very many stay spread, so
     that no node gathers its component in one task, and a chain of length n needs about log n rounds; every round is written to the
-    shared folder. Nodes without an edge to another node do not appear.
+    shared folder, and the one before it is removed. It ends when a round changes nothing. Nodes without an edge to another node do not appear.
     """
     spark = edges.sparkSession
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = stored(cur, f"{path}/e0")
     state = None
-    for i in range(1, max_rounds):
+    for i in itertools.count(1):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
         large = spread_join(both, low, "u", weight="degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -116,6 +134,7 @@ def components(edges: DataFrame, path: str, max_rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = stored(small.where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct(), f"{path}/e{i}")
+        forget(spark, f"{path}/e{i - 1}")
         total = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if total == state:
             break

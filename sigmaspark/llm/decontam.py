@@ -124,7 +124,8 @@ def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
     # Alignments are dealt by row once; the items' words join them there.
     by_item = aligned.where(F.size("tests") > 0).repartition("row").groupBy("row", "item").agg(F.collect_list(F.struct("shift", "tests")).alias("at"))
     named = items.select("item", "item_id", F.col("words").alias("item_words"))
-    by_row = by_item.join(F.broadcast(named) if small else named, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "item_words", "at")).alias("items"))
+    worded = by_item.join(F.broadcast(named), "item") if small else spread_join(stored(by_item, f"{path}/by_item"), named, "item", salt="row")
+    by_row = worded.groupBy("row").agg(F.collect_list(F.struct("item_id", "item_words", "at")).alias("items"))
     # Dealt by row whatever the sizes, so that the plan is the same for small and large inputs.
     looked = tokens.where("n_words > 0").select("row", "line").hint("merge").join(by_row, "row").select("row", "items", _stored_words().alias("words"))
 
@@ -173,15 +174,18 @@ def proximity(docs: DataFrame, bench: DataFrame) -> DataFrame:
     tests = stored(tests, f"{path}/tests")
 
     texts = tokens.where("n_words > 0").select("row", _stored_words().alias("words"))
+    around = F.slice("words", F.greatest(F.col("pos") - WINDOW, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(WINDOW)) + WINDOW + 1)
     if small:
         found = texts.select("row", "words", F.posexplode("words").alias("pos", "term"))
-    else:  # places first, so that no text is dealt once for each of its words
+        found = found.select("row", "term", "pos", "words").join(F.broadcast(tests.drop("tests")), "term").withColumn("around", around)
+    else:  # places first, and the words around each are cut out where the text is, so that no text is dealt by its words
         found = texts.join(postings(tokens, tests.select("term").distinct(), f"{path}/postings", small), "row")
-    around = F.slice("words", F.greatest(F.col("pos") - WINDOW, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(WINDOW)) + WINDOW + 1)
-    found = found.select("row", "term", "pos", "words").join(kept(tests.drop("tests")), "term").withColumn("around", around)
+        found = stored(found.select("row", "term", "pos", around.alias("around")), f"{path}/around")
+        found = spread_join(found, tests.drop("tests"), "term", salt="row")
     found = found.where(F.size(F.array_intersect("around", "item_words")) >= F.col("least")).select("row", "term", "item", "item_id", "around")
     # The windows come with a second join: a condition of lambdas is evaluated outside of generated code, where whole texts would be copied for each word.
-    found = found.join(kept(tests.select("term", "item", "tests")), ["term", "item"])
+    tried = tests.select("term", "item", "tests")
+    found = found.join(F.broadcast(tried), ["term", "item"]) if small else spread_join(stored(found, f"{path}/found"), tried, ["term", "item"], salt="row")
 
     def holds(stretch: Column, t: Column) -> Column:
         return F.size(F.array_intersect(stretch, t["terms"])) >= t["need"]

@@ -51,20 +51,25 @@ AUTO_CLOSE = {
 AUTO_STOP = frozenset("ul ol dl table tbody thead tfoot body div article section main".split())
 
 #: The classifier's weights, in units of 1/1000 of a log odds; positive speaks for content.
-TAG_WEIGHT = {"article": 4000, "main": 2500, "nav": -9000, "footer": -9000, "header": -5000, "aside": -9000, "form": -9000, "button": -6000, "dialog": -9000, "menu": -9000, "fieldset": -9000, "figcaption": -500}
+TAG_WEIGHT = {"article": 4000, "main": 2500, "nav": -9000, "footer": -9000, "button": -6000, "dialog": -9000, "menu": -9000, "figcaption": -500}
+WRAPS = {"header": -5000, "form": -9000, "fieldset": -9000, "aside": -9000}  # elements that may as well stand around the whole page
 OWN_WEIGHT = {"p": 1000, "blockquote": 800, "pre": 800, "h1": 900, "h2": 600, "h3": 500, "td": -200, "li": -300}
 BAD_NAME, GOOD_NAME = -9000, 1500
+# Words of a class or id, whole or with the endings given; each is a part between white space, hyphens and underscores.
 BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|footer\w*|foot|cookies?|consent|gdpr|popup\w*|modal|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|trending|comments?|commentlist|reply|replies|respond|disqus\w*|discussion|pagination|pager|copyright|disclaimer|skip\w*|hidden|print-only|outbrain|taboola)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert(?:s|ising|isement|isements|orial)?|adsense|adbox|adslot|sponsor(?:s|ed|ship)?|promos?|promotion(?:s|al)?|banners?|nav|navs|navbar|navigation|navlinks?|navlist|navmenu|menus?|menubar|menuitem|breadcrumbs?|footer|footers|foot|cookies?|consent|gdpr|popups?|modal|overlay|newsletters?|subscri(?:be|ption|ptions|bebox|beform)|signup|login|share|shares|sharebar|sharebox|sharebuttons|sharelinks|sharing|sharethis|social|socials|socialbar|socialicons|sociallinks|socialmedia|related(?![\s_-]works?(?:$|[\s_-]))|relatedposts|relatedlinks|recommend(?:ed|ation|ations)?|trending|pagination|pager|copyright|disclaimer|skip|skiplinks?|print-only|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
-PLACE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|sidebar\w*|side(?=$|\s|[_-](?:bar|col|column|nav|menu|panel|rail))|aside|rail|widget\w*|notice\w*|notification\w*|alert|toolbar|legal|search\w*|form|tags)(?=$|[\s_-])", re.I)
+TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|commentform|reply|replies|respond|disqus(?:thread)?)(?=$|[\s_-])", re.I)  # readers' words stay out however long they are
+HIDES = re.compile(r"(?:is-|visually-|u-)?hidden|sr-only", re.I)  # as a whole class; overflow-hidden and the like say nothing
+PLACE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|sidebar\w*|side(?=$|\s|[_-](?:bar|col|column|nav|menu|panel|rail))|aside|rail|widget\w*|notices?|notification\w*|alert|toolbar|legal|search|searchbox|searchform|searchbar|form|tags|discussion)(?=$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content\w*|post|entry\w*|story\w*|body|main\w*|text|prose)(?=$|[\s_-])", re.I)
 QUALIFIED = re.compile(r"(?:(?<=[\s_-])|^)(?:no|has|with|without|tag|category)[_-]\S*", re.I)  # says what a page has or is about, not what the element is
 ROLE_BAD = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 NEAR, ACROSS, HOLDS, NESTS = 900, 200, 400, 200  # smoothness: neighbours in one element, in two, block and element, element and element
 TIED = 6000  # a block and the element of a name of place that holds it
 PLACE_COST = 4000  # of calling such an element content; half of what speaks for the page's text, if that is more
+MOST = 0.75  # share of a page's prose from which an element is no mere box beside it
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())  # no containers: their place is not what they are
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^"'>]*+(?:"[^"]*"[^"'>]*+|'[^']*'[^"'>]*+)*+)>""")
@@ -75,29 +80,36 @@ SENTENCE = re.compile(r"[.!?…。！？](?=\s|$|[\"'»”)])")
 
 
 class Element:
-    """An open element; ``good`` and ``bad`` are the strongest weights of it and all that hold it, known after ``settle``."""
+    """An open element; ``good`` and ``bad`` are the strongest weights of it and all that hold it, known after ``settle``.
 
-    __slots__ = ("name", "parent", "no", "weight", "penalty", "place", "good", "bad", "inside")
+    ``weight`` always counts; its contents may refute ``penalty``, what its class and id say, and ``wrap``, what its tag says.
+    """
+
+    __slots__ = ("name", "parent", "no", "weight", "penalty", "wrap", "talk", "place", "good", "bad", "inside")
 
-    def __init__(self, name: str, weight: int, parent: "Element | None", no: int, penalty: int = 0, place: bool = False):
-        self.name, self.parent, self.no, self.weight, self.penalty = name, parent, no, weight, penalty
+    def __init__(self, name: str, weight: int, parent: "Element | None", no: int, penalty: int = 0, place: bool = False, talk: bool = False):
+        self.name, self.parent, self.no, self.weight, self.penalty, self.talk = name, parent, no, weight, penalty + talk * BAD_NAME, talk
+        self.wrap = 0 if name == "header" and parent is not None and parent.inside else WRAPS.get(name, 0)
         self.good = self.bad = 0
         self.place: Element | None = self if place else None  # the innermost element around with a name of place, once settled
         self.inside = name == "article" or (parent is not None and parent.inside)  # an article
 
 
-def settle(elements: list[Element]) -> None:
+def settle(elements: list[Element], found: list[tuple[str, "Element", int]]) -> None:
     """Work out ``good`` and ``bad`` of all elements, given in the order in which they open.
 
-    The penalty of a class or id doesn't count for an element that holds the page's main element
-    or all of its articles; articles in others and those with a penalty themselves, such as
-    comments and teasers, are no articles here.
+    The penalty of a class or id doesn't count for an element that holds the page's main element or
+    all of its articles; that of a tag that may stand around a whole page, such as ``form``, neither
+    there nor where the element holds most of the page's prose (sentences outside of links).
+    Articles in others and those with a penalty themselves, such as comments and teasers, are no
+    articles here.
     """
     articles, own = [], set()
     for e in elements:
-        if e.name == "article" and not e.penalty and not e.place and (e.parent is None or not e.parent.inside):
+        if e.name == "article" and not e.penalty and not e.talk and not e.place and (e.parent is None or not e.parent.inside):
             articles.append(e)
     held: Counter[int] = Counter()
+    prose: Counter[int] = Counter()
     for e in elements:
         if e.name == "main":
             up = e.parent
@@ -106,25 +118,33 @@ def settle(elements: list[Element]) -> None:
                 up = up.parent
     for e in articles:
         held[e.no] += 1
+    for text, e, links in found:
+        if 3 * links < len(text) and SENTENCE.search(text):
+            prose[e.no] += len(text)
+    whole = sum(prose.values())
     for e in reversed(elements):  # those inside come first
-        if e.parent is not None and held[e.no]:
+        if e.parent is not None:
             held[e.parent.no] += held[e.no]
+            prose[e.parent.no] += prose[e.no]
     for e in elements:
-        if (e.penalty or e.place) and (e.no in own or articles and e.name != "article" and held[e.no] == len(articles)):
+        wraps = bool(e.no in own or articles and e.name != "article" and held[e.no] == len(articles))
+        most = whole > 0 and prose[e.no] >= MOST * whole
+        if wraps:
             e.penalty, e.place = 0, None
+        if most or wraps and e.name != "aside":  # an aside's teasers are articles too
+            e.wrap = 0
         if e.place is None and e.parent is not None:
             e.place = e.parent.place if e.name not in ("article", "main") else None
-        e.good = max(e.weight + e.penalty, e.parent.good if e.parent else 0)
-        e.bad = min(e.weight + e.penalty, e.parent.bad if e.parent else 0)
+        own_weight = e.weight + e.penalty + e.wrap
+        e.good = max(own_weight, e.parent.good if e.parent else 0)
+        e.bad = min(own_weight, e.parent.bad if e.parent else 0)
 
 
-def _weight(name: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
-    """An element's weight, and apart from it the penalty of its class and id and whether they name a place."""
+def _weight(name: str, attrs: str, in_article: bool) -> tuple[int, int, bool, bool]:
+    """An element's weight, and apart from it the penalty of its class and id, whether they name a place, and whether readers' comments."""
     w = TAG_WEIGHT.get(name, 0)
-    if name == "header" and in_article:
-        w = 0
     good = bad = 0
-    place = False
+    place = talk = False
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in NAMES.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -134,12 +154,19 @@ def _weight(name: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
                 w += BAD_NAME
             elif key in ("class", "id") and value:
                 words = QUALIFIED.sub("", value).split()
-                wrong = [x for x in words if BAD.search(x)] if name not in ("body", "html", "main") else []
-                bad += bool(wrong)
-                placed = [x for x in words if PLACE.search(x)] if name not in ("body", "html", "main") and not (in_article and name in TEXT) else []
+                if name in ("body", "html", "main"):
+                    wrong = placed = []
+                else:
+                    said = [x for x in words if TALK.search(x)]
+                    wrong = [x for x in words if HIDES.fullmatch(x) or BAD.search(x)] + said
+                    placed = [x for x in words if PLACE.search(x)] if not (in_article and name in TEXT) else []
+                    talk = talk or bool(said)
+                bad += len(wrong) > 0
                 place = place or bool(placed)
                 good += any(x not in wrong and x not in placed and GOOD.search(x) for x in words)
-    return w + good * GOOD_NAME, 0 if good else bad * BAD_NAME, place and not good
+    if good:
+        return w + good * GOOD_NAME, 0, False, False
+    return w, 0 if talk else bad * BAD_NAME, place, talk
 
 
 def _ends(html: str) -> dict[int, int]:
@@ -255,8 +282,8 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
             inline = name in INLINE
             if name == "a":
                 link_open = True
-            weight, penalty, place = _weight(name, m[3], stack[-1].inside) if (m[3] or not inline) else (0, 0, False)
-            if not inline or weight or penalty or place:
+            weight, penalty, place, talk = _weight(name, m[3], stack[-1].inside) if (m[3] or not inline) else (0, 0, False, False)
+            if not inline or weight or penalty or place or talk:
                 close()
                 if not inline and stack[-1].name == "p":
                     cut(len(stack) - 1)
@@ -268,14 +295,14 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
                             break
                         if stack[k].name in AUTO_STOP:
                             break
-                stack.append(Element(name, weight, stack[-1], made, penalty, place))
+                stack.append(Element(name, weight, stack[-1], made, penalty, place, talk))
                 every.append(stack[-1])
                 opened[name] += 1
                 made += 1
         at = html.find("<", text_to)
     say(text_to, size)
     close()
-    settle(every)
+    settle(every, out)
     return out
 
 

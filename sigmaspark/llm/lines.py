@@ -50,16 +50,15 @@ def spread(df: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, text:
     path = path or shared_dir(df.sparkSession)
     where = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("-")))
     lines = _lines(df, text, F.col("doc_id"), where.alias("site"))
-    # One row for each line and site leaves a task, so a hot line is as many rows as it has sites there.
-    pairs = lines.groupBy("line", "site").agg(F.min("doc_id").alias("first"))
-    sketched = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(10))).alias("estimate"), F.min("first").alias("first"))
+    # Sketches are merged by the aggregation: a task gives one for each line it has seen, however many copies and sites that has.
+    sketched = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(10))).alias("estimate"), F.min("doc_id").alias("first"))
     low, high = min_sites * (1 - band), min_sites * (1 + band)
     sketched = stored(sketched.where(F.col("estimate") >= low), f"{path}/sketched")
     near = sketched.where(F.col("estimate") <= high).select("line")
     if near.count() <= SMALL:
         close = lines.join(F.broadcast(near), "line").select("line", "site").distinct()
     else:
-        close = spread_join(stored(pairs, f"{path}/pairs"), near, "line")
+        close = spread_join(stored(lines.select("line", "site"), f"{path}/pairs"), near, "line").distinct()
     exact = close.groupBy("line").agg(F.count("*").alias("exact"))
     found = sketched.join(exact, "line", "left").select("line", F.coalesce("exact", "estimate").alias("sites"), "first")
     return stored(found.where(F.col("sites") >= min_sites), f"{path}/found")

@@ -30,7 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# A match can only begin where a run of digits does, as one before it takes its last run whole; so runs are read once.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[^0-9]+")
@@ -182,6 +183,9 @@ SPACED_AT = re.compile(r"\s@|@\s")
 MIXED = re.compile(r"[0-9][OoIl|]")
 MARKS = ("_at_", "-at-", "_dot_", "-dot-", " dot ", "\ndot ", " dot\n", "&#64;", "&#46;", "&commat;", "%40")
 GLYPH_SET = frozenset(GLYPHS)
+# Of three number words in a run one stands between blanks, commas or hyphens alone.
+BETWEEN = str.maketrans(",-", "  ") | FOLDED
+SPELLED = frozenset(WORD_DIGIT)
 
 
 def hinted(text: str) -> bool:
@@ -194,7 +198,7 @@ def hinted(text: str) -> bool:
         or (any(c in text for c in "[({<") and BRACKETED.search(text) is not None)
         or ("@" in text and SPACED_AT.search(text) is not None)
         or MIXED.search(text) is not None
-        or any(spelled(m) is not None for m in RUN.finditer(text))
+        or (not SPELLED.isdisjoint(low.translate(BETWEEN).split(" ")) and any(spelled(m) is not None for m in RUN.finditer(text)))
     )
 
 
