@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmaspark.llm import bpe, decontam, langid, lines, neardup
-from sigmaspark.llm.common import crc_mod, shared_dir, stored, table
+from sigmaspark.llm.common import crc_mod, forget, made_dirs, shared_dir, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,13 +56,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again, and what it was made from is removed."""
     path = shared_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
+        before = len(made_dirs(spark))
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, f"{path}/{name}")
+            docs = stored(docs, f"{path}/{i}-{name}")
+            for done in [*made_dirs(spark)[before:], *([f"{path}/{i - 1}-{STAGES[i - 1][0]}"] if i else [])]:
+                forget(spark, done)
     return docs
 
 
