@@ -11,6 +11,7 @@ from sigmaspark.sinks import audio as audio_sink
 from sigmaspark.sinks import edit, image
 from sigmaspark.sinks import flac as flac_sink
 from sigmaspark.sinks import text as text_sink
+from sigmaspark.sinks import writer
 from sigmaspark.sources import dsdiff, dsf, sacd, sidecar
 from sigmaspark.sources import flac as flac_source
 from sigmaspark.sources.pushdown import open_source
@@ -407,6 +408,23 @@ def fir_chain(spark, sf_dir):
     return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), F.round("y", 6).alias("y"))
 
 
+@query(f"""WITH {FRAMES}, w AS (SELECT label, no, i, trunc(ascii(substr(payload, i, 1)) / 256.0::DOUBLE * 32767)::BIGINT AS w FROM f, range(1, 295) r(i)),
+m AS (SELECT label, count(*) // 2 AS n, md5(unhex(string_agg(printf('%02x%02x', w & 255, w >> 8), '' ORDER BY no, i))) AS md5 FROM w GROUP BY label)
+SELECT label::VARCHAR AS track, kind, no::BIGINT AS at, md5(payload) AS md5 FROM f, (SELECT unnest(['dsf', 'dff']) AS kind) UNION ALL SELECT label::VARCHAR, 'flac', n::BIGINT, md5 FROM m""")
+def sink_fan_out(spark, sf_dir):
+    """Frames written to three formats in one pass: 1-bit sound twice, and samples made from it; the files' frames, and the number and digest of the samples."""
+    f = label_frames(spark, sf_dir)
+    bytes_of = F.transform(F.sequence(F.lit(1), F.lit(294)), lambda i: F.ascii(F.substring("payload", i, F.lit(1))) / 256.0)
+    f = f.withColumn("pcm", bytes_of)
+    folder = shared_dir(spark)
+    for s in (dsf.DsfSource, dsdiff.DsdiffSource, flac_source.FlacSource):
+        spark.dataSource.register(s)
+    writer.fan_out(f, [writer.Sink("dsf", f"{folder}/a"), writer.Sink("dsdiff", f"{folder}/b"), writer.Sink("flac", f"{folder}/c", 16, 2)])
+    ends = lambda kind, t: load(spark, t, f"{folder}/{kind}", "frames").select(stem().alias("track"), F.lit("dff" if t == "dsdiff" else t).alias("kind"), F.col("frame_no").alias("at"), F.md5("payload").alias("md5"))
+    samples = load(spark, "flac", f"{folder}/c", "info").select(stem().alias("track"), F.lit("flac").alias("kind"), F.col("samples").alias("at"), "md5")
+    return ends("a", "dsf").unionByName(ends("b", "dsdiff")).unionByName(samples)
+
+
 # ---- names, index points, virtual files
 
 

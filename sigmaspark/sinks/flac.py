@@ -9,6 +9,7 @@ blocks, head first. A task that runs again replaces its own files.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmaspark.functions import flac
-from sigmaspark.sources.files import put
+from sigmaspark.sources.files import patch_head, put
 from sigmaspark.sources.shared import shared_dir, stored
 
 from .audio import _tracks
@@ -82,6 +83,38 @@ def blocks(pcm: DataFrame, bits: int, level: int, per: int, track: str = "track"
     return coded.select("track", "block", "frames", "channels", "rate", "c.*").where("n > 0")
 
 
+def write_flac(path: str, sound: Iterator, channels: int, rate: int, bits: int = DEFAULT_BITS, level: int = DEFAULT_LEVEL, tags: list[tuple[str, str]] | None = None, block: int = 4096) -> int:
+    """One file from pieces of interleaved samples, block after block; samples a channel. Its head is known at the end and set by copying."""
+    held, n, no, sizes, md5 = np.empty(0, np.int64), 0, 0, [], hashlib.md5()
+    said = flac.comments(tags or [])
+
+    def head() -> bytes:
+        return flac.stream_head(flac.stream_info(block, min(sizes, default=0), max(sizes, default=0), output_rate(rate), channels, bits, n, md5.digest() if sizes else bytes(16)), said)
+
+    def coded(x: np.ndarray) -> bytes:
+        nonlocal n, no
+        md5.update(packed(x, bits))
+        data = flac.encode_frame(x.reshape(-1, channels).T, no, output_rate(rate), bits, level)
+        sizes.append(len(data))
+        n, no = n + len(x) // channels, no + 1
+        return data
+
+    def chunks():
+        nonlocal held
+        yield head()
+        for piece in sound:
+            held = np.concatenate([held, integers(np.asarray(piece, np.float64), bits)])
+            while len(held) >= block * channels:
+                yield coded(held[: block * channels])
+                held = held[block * channels :]
+        if len(held):
+            yield coded(held)
+
+    put(path, chunks())
+    patch_head(path, head())
+    return n
+
+
 def write_flacs(pcm: DataFrame, folder: str, bits: int = DEFAULT_BITS, level: int = DEFAULT_LEVEL, per: int = 4, track: str = "track", order: str = "frame_no", samples: str = "pcm", tags: DataFrame | None = None, scratch: str | None = None) -> DataFrame:
     """One file per track from rows (track, frame_no from 0, channels, rate, pcm as interleaved samples): rows (track, path, samples, written).
 

@@ -211,6 +211,11 @@ class DsdiffSource(DataSource):
     def reader(self, schema):
         return reader_of(Reader, Pushed, self.options, schema)
 
+    def writer(self, schema, overwrite):
+        from sigmaspark.sinks.writer import writer_of  # sinks use this module
+
+        return writer_of("dsdiff", self.options, overwrite)
+
 
 def read_places(places: DataFrame) -> DataFrame:
     """``places`` (path, frame_no, offset, size) with ``payload``: frames of files without an index, read wherever the places are dealt to."""

@@ -135,3 +135,8 @@ class DsfSource(DataSource):
 
     def reader(self, schema):
         return reader_of(Reader, Pushed, self.options, schema)
+
+    def writer(self, schema, overwrite):
+        from sigmaspark.sinks.writer import writer_of  # sinks use this module
+
+        return writer_of("dsf", self.options, overwrite)

@@ -101,3 +101,8 @@ class FlacSource(DataSource):
 
     def reader(self, schema):
         return Reader(self.options["path"], self.options.get("table", "info"))
+
+    def writer(self, schema, overwrite):
+        from sigmaspark.sinks.writer import writer_of  # sinks use this module
+
+        return writer_of("flac", self.options, overwrite)
