@@ -31,14 +31,17 @@ def frames_to_msf(frames: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", quotient(seconds, 60), seconds % 60, frames % FRAMES_PER_SECOND)
 
 
-def dsf_layout(frames: Column, channels: Column, tag_bytes: Column) -> dict[str, Column]:
-    """Sizes of the file that holds a track: whole blocks per channel, then the tag."""
+def dsf_layout(frames: Column, channels: Column, tag_bytes: Column, virtual: bool = False) -> dict[str, Column]:
+    """Sizes of the file that holds a track: whole blocks per channel, then the tag.
+
+    Virtual files always say where a tag goes, as one can be written there later.
+    """
     blocks = quotient(frames.cast("long") * FRAME_BYTES + (DSF_BLOCK - 1), DSF_BLOCK)
     audio = blocks * DSF_BLOCK * channels
     return {
         "audio_bytes": audio,
         "padding": audio - frames.cast("long") * FRAME_BYTES * channels,
-        "metadata_offset": F.when(tag_bytes > 0, audio + DSF_HEADER).otherwise(F.lit(0).cast("long")),
+        "metadata_offset": audio + DSF_HEADER if virtual else F.when(tag_bytes > 0, audio + DSF_HEADER).otherwise(F.lit(0).cast("long")),
         "total": audio + DSF_HEADER + tag_bytes,
     }
 

@@ -29,9 +29,10 @@ def sanitize_filepath(col: Column) -> Column:
 def cut_bytes(col: Column, limit: int) -> Column:
     """The longest prefix of at most ``limit`` UTF-8 bytes that doesn't split a character."""
     raw = F.encode(col, "utf-8")
-    head = F.make_valid_utf8(F.substring(raw, 1, limit).cast("string"))
-    # A character cut in two became replacement characters at the end.
-    whole = F.regexp_replace(head, "�+$", "")
+    # A character begins at a byte that doesn't continue one (80 to BF): the cut is moved back to there.
+    ends = F.sequence(F.lit(limit), F.lit(limit - 3), F.lit(-1))
+    starts = F.filter(ends, lambda n: ~F.hex(F.substring(raw, n + 1, F.lit(1))).rlike("^[89AB]"))
+    whole = F.decode(F.substring(raw, F.lit(1), F.get(starts, F.lit(0))), "utf-8")
     return F.when(F.octet_length(col) <= limit, col).otherwise(whole)
 
 
@@ -89,14 +90,25 @@ def isrc(country: Column, owner: Column, year: Column, code: Column) -> Column:
     )
 
 
+def _leading(col: Column) -> Column:
+    """The integer that a text begins with, after white space; 0 if there is none."""
+    return F.coalesce(F.regexp_extract(col, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+
+
 def parse_date(col: Column) -> tuple[Column, Column, Column]:
-    """Year, month and day of ``YYYY[-MM[-DD]]``; 0 where unknown."""
-    return tuple(F.coalesce(F.regexp_extract(col, r"^(\d{4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?", k).try_cast("int"), F.lit(0)) for k in (1, 2, 3))
+    """Year, month and day of ``YYYY[-MM[-DD]]``; 0 where unknown. A month needs seven characters, a day ten."""
+    size = F.octet_length(col)
+    dash = lambda at: F.substring(col, at, 1) == "-"
+    has_month = (size >= 7) & dash(5)
+    month = F.when(has_month, _leading(F.substring(col, 6, 5)))
+    day = F.when(has_month & (size >= 10) & dash(8), _leading(F.substring(col, 9, 5)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return zero(F.when(size >= 4, _leading(col))), zero(month), zero(day)
 
 
 def parse_of(col: Column) -> tuple[Column, Column]:
-    """Number and total of ``n`` or ``n/total``; 0 where unknown."""
-    return tuple(F.coalesce(F.regexp_extract(col, r"^\s*(\d+)\s*(?:/\s*(\d+))?", k).try_cast("int"), F.lit(0)) for k in (1, 2))
+    """Number and total of ``n`` or ``n/total``; 0 where unknown. The total is what follows the first slash, whatever comes before it."""
+    return _leading(F.coalesce(col, F.lit(""))), F.when(F.instr(col, "/") > 0, _leading(F.substring_index(F.substr(col, F.instr(col, "/") + 1), "/", 1))).otherwise(F.lit(0))
 
 
 def cue_escape(col: Column) -> Column:

@@ -58,18 +58,58 @@ def combined(chain: list[tuple[list[float], int]]) -> list[float]:
     return out.tolist()
 
 
+def byte_tables(coef: np.ndarray) -> np.ndarray:
+    """What each byte adds to an output by how many bytes it lies before the output's own: 256 sums of eight taps for each.
+
+    An output stands on the first bit of its byte, so of that one only the first tap counts, and
+    tap 8j - i meets bit i of the j-th byte before.
+    """
+    n = -(-(len(coef) - 1) // 8) + 1
+    k = 8 * np.arange(n)[:, None] - np.arange(8)[None, :]
+    taps = np.where((k >= 0) & (k < len(coef)), coef[np.clip(k, 0, len(coef) - 1)], 0.0)
+    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
+    return taps @ signs.T
+
+
+def _looked_up(data: np.ndarray, first: int, count: int, step: int, tables: np.ndarray) -> np.ndarray:
+    """Outputs of a filter on packed bits, ``step`` bytes apart, the first on byte ``first``; bytes before the data are no sound."""
+    at = first + step * np.arange(count)
+    out = np.zeros(count)
+    for j, t in enumerate(tables):
+        k = at - j
+        out += np.where(k >= 0, t[data[np.maximum(k, 0)]], 0.0) if first < j else t[data[k]]
+    return out
+
+
 def bits_to_pcm(payload: bytes, history: bytes, coef: np.ndarray, step: int) -> np.ndarray:
     """Samples of one channel's frame (first bit in time: the highest of each byte); ``history`` is what comes before it."""
     return chain_to_pcm(payload, history, [(np.asarray(coef, np.float64), step)])
 
 
-def chain_to_pcm(payload: bytes, history: bytes, stages: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """The same through a chain of filters, each of which keeps every ``step``-th sample."""
-    need = history_bits(stages)
-    before = np.unpackbits(np.frombuffer(history, np.uint8))[-need:].astype(np.float64) * 2 - 1 if need and history else np.empty(0)
-    x = np.unpackbits(np.frombuffer(payload, np.uint8)).astype(np.float64) * 2 - 1
-    x = np.concatenate([np.zeros(need - len(before)), before, x])
-    for coef, step in stages:
+def chain_to_pcm(payload: bytes, history: bytes, stages: list[tuple[np.ndarray, int]], tables: np.ndarray | None = None) -> np.ndarray:
+    """The same through a chain of filters, each of which keeps every ``step``-th sample.
+
+    The first filter works on packed bytes by tables, if its step is whole bytes; ``tables`` are
+    its ``byte_tables``, worked out here unless given.
+    """
+    (coef, step), rest = stages[0], stages[1:]
+    later = history_bits(rest) * step  # bits before the frame that the later filters look back on
+    if step % 8 == 0:
+        tables = byte_tables(coef) if tables is None else tables
+        past = history[-(-(-(later + len(coef) - 1) // 8)) :] if later + len(coef) > 1 else b""
+        data = np.frombuffer(past + payload, np.uint8)
+        before = later // step
+        count = before + -(-len(payload) * 8 // step)
+        begin = len(past) - before * step // 8
+        skip = max(-(begin * 8 // step), 0) if begin < 0 else 0  # outputs before the track's start
+        x = np.concatenate([np.zeros(skip), _looked_up(data, begin + skip * step // 8, count - skip, step // 8, tables)])
+    else:
+        need = history_bits(stages)
+        before_bits = np.unpackbits(np.frombuffer(history, np.uint8))[-need:].astype(np.float64) * 2 - 1 if need and history else np.empty(0)
+        x = np.unpackbits(np.frombuffer(payload, np.uint8)).astype(np.float64) * 2 - 1
+        x = np.concatenate([np.zeros(need - len(before_bits)), before_bits, x])
+        x = _strided(x, coef, step)
+    for coef, step in rest:
         x = _strided(x, coef, step)
     return x
 
@@ -85,6 +125,7 @@ def decimate_chain(frames: DataFrame, by: list[str], stages: list[tuple[list[flo
     """
     chain = [(np.asarray(h, np.float64), k) for h, k in stages]
     need = -(-history_bits(chain) // 8)
+    tables = byte_tables(chain[0][0]) if chain[0][1] % 8 == 0 else None
     reach = max(-(-need // frame_bytes), 1)
 
     @F.pandas_udf("array<double>")
@@ -94,7 +135,7 @@ def decimate_chain(frames: DataFrame, by: list[str], stages: list[tuple[list[flo
             past = b"".join(x for x in b if x is not None)[-need:] if need else b""
             if len(past) < need and n > reach + 1:
                 raise ValueError(f"frames of fewer than {frame_bytes} bytes before a filter that looks back {need}")
-            out.append(chain_to_pcm(p, past, chain) if p is not None else None)
+            out.append(chain_to_pcm(p, past, chain, tables) if p is not None else None)
         return pd.Series(out)
 
     w = Window.partitionBy(*by).orderBy(order)
@@ -127,6 +168,6 @@ def stages(rate: int, pcm_rate: int | None = None, quality: str = "normal") -> l
     return [(windowed_sinc(96, 1 / 20), 8)] + [(windowed_sinc(48, 0.22), 2)] * halves
 
 
-def convert(frames: DataFrame, by: list[str], rate: int, pcm_rate: int | None = None, quality: str = "normal", order: str = "frame_no", payload: str = "payload") -> DataFrame:
-    """1-bit frames of single channels as samples at ``pcm_rate``; frames have 1/75 s."""
-    return decimate_chain(frames, by, stages(rate, pcm_rate, quality), order, payload, rate // 75 // 8)
+def convert(frames: DataFrame, by: list[str], rate: int, pcm_rate: int | None = None, quality: str = "normal", order: str = "frame_no", payload: str = "payload", frame_bytes: int | None = None) -> DataFrame:
+    """1-bit frames of single channels as samples at ``pcm_rate``; frames have 1/75 s unless their size is given."""
+    return decimate_chain(frames, by, stages(rate, pcm_rate, quality), order, payload, frame_bytes or rate // 75 // 8)

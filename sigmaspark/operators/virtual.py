@@ -62,7 +62,7 @@ def entries(tracks: DataFrame, areas: DataFrame, hidden: list[str] | None = None
     t = t.join(visible_areas(areas, hidden or []).select("path", "area", "channels"), ["path", "area"])
     folder = F.when(F.col("area") == "stereo", FOLDERS["stereo"]).otherwise(FOLDERS["multichannel"])
     name = F.concat(text.track_filename(F.col("track"), F.col("title"), F.col("performer")), F.lit(".dsf"))
-    return t.select("path", "area", "track", F.concat_ws("/", folder, name).alias("file_path"), "frames", "channels", "tag_bytes", *(c.alias(k) for k, c in audio.dsf_layout(F.col("frames"), F.col("channels"), F.col("tag_bytes")).items()))
+    return t.select("path", "area", "track", F.concat_ws("/", folder, name).alias("file_path"), "frames", "channels", "tag_bytes", *(c.alias(k) for k, c in audio.dsf_layout(F.col("frames"), F.col("channels"), F.col("tag_bytes"), virtual=True).items()))
 
 
 def regions(files: DataFrame) -> DataFrame:
@@ -82,6 +82,7 @@ def read_ranges(region_rows: DataFrame, offset: int, size: int) -> DataFrame:
     return region_rows.where((F.col("begin") < offset + size) & (F.col("stop") > offset)).select("path", "area", "track", "region", (a - F.col("begin")).alias("from"), (b - a).alias("bytes"))
 
 
+SILENCE = bytes([audio.SILENCE])
 GROUP = 128  # frames of 4704 bytes a channel that make up whole blocks
 
 
@@ -89,28 +90,34 @@ def file_bytes(files: DataFrame, frames: DataFrame, rate: int = 2822400) -> Data
     """The bytes of each virtual file, in pieces: path, area, track, begin, data.
 
     ``files`` as from ``entries``, with the tag's bytes in ``tag`` (null or empty: none);
-    ``frames``: path, area, track, frame_no (from 0 in each track) and payload. A piece holds
+    ``frames``: path, area, track, frame_no (from 0 in each track) and payload; where they end
+    before a file's sound does, silence follows. A piece holds
     the header, the blocks of ``GROUP`` frames, or the tag, so no block crosses two pieces.
     """
     key = ["path", "area", "track"]
 
     @F.pandas_udf("binary")
     def head(channels: pd.Series, frames: pd.Series, tag: pd.Series) -> pd.Series:
-        return pd.Series([dsf_header(int(c), rate, int(n) * audio.FRAME_BYTES * 8, -(-int(n) * audio.FRAME_BYTES // audio.DSF_BLOCK) * audio.DSF_BLOCK * int(c), int(t)) for c, n, t in zip(channels, frames, tag)])
+        return pd.Series([dsf_header(int(c), rate, int(n) * audio.FRAME_BYTES * 8, -(-int(n) * audio.FRAME_BYTES // audio.DSF_BLOCK) * audio.DSF_BLOCK * int(c), int(t), virtual=True) for c, n, t in zip(channels, frames, tag)])
 
-    def blocks(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        data = b"".join(dsf_blocks(iter(group.sort_values("frame_no")["payload"]), int(row["channels"])))
-        begin = audio.DSF_HEADER + int(row["group"]) * GROUP * audio.FRAME_BYTES * int(row["channels"])
-        return pd.DataFrame({"path": [row["path"]], "area": [row["area"]], "track": [row["track"]], "begin": [begin], "data": [data]})
+    @F.pandas_udf("binary")
+    def blocks(parts: pd.Series, wanted: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for p, n, c in zip(parts, wanted, channels, strict=True):
+            sound = b"".join(dsf_blocks(iter(x["payload"] for x in p), int(c))) if p is not None and len(p) else b""
+            size = -(-int(n) * audio.FRAME_BYTES // audio.DSF_BLOCK) * audio.DSF_BLOCK * int(c)
+            out.append(sound + SILENCE * (size - len(sound)))  # a disc whose sound ends before its contents say
+        return pd.Series(out)
 
-    shape = "path string, area string, track long, begin long, data binary"
     tag = F.coalesce("tag", F.lit(b""))
     files = files.withColumn("tag", tag)
     heads = files.select(*key[:2], F.col("track").cast("long").alias("track"), F.lit(0).cast("long").alias("begin"), head(F.col("channels"), F.col("frames"), F.octet_length("tag")).alias("data"))
     tails = files.where(F.octet_length("tag") > 0).select(*key[:2], F.col("track").cast("long").alias("track"), (F.col("audio_bytes") + audio.DSF_HEADER).cast("long").alias("begin"), F.col("tag").alias("data"))
-    sound = frames.join(files.select(*key, "channels"), key).withColumn("group", audio.quotient(F.col("frame_no"), GROUP))
-    sound = sound.withColumn("track", F.col("track").cast("long")).groupBy(*key, "group").applyInPandas(blocks, shape)
+    held = frames.withColumn("group", audio.quotient(F.col("frame_no"), GROUP)).groupBy(*key, "group").agg(F.array_sort(F.collect_list(F.struct("frame_no", "payload"))).alias("parts"))
+    slots = files.where("frames > 0").select(*key, "channels", F.col("frames").cast("long").alias("frames"), F.explode(F.sequence(F.lit(0).cast("long"), audio.quotient(F.col("frames") - 1, GROUP))).alias("group"))
+    wanted = F.least(F.lit(GROUP), F.col("frames") - F.col("group") * GROUP)
+    begin = F.col("group") * (GROUP * audio.FRAME_BYTES) * F.col("channels") + audio.DSF_HEADER
+    sound = slots.join(held, [*key, "group"], "left").select(*key[:2], F.col("track").cast("long").alias("track"), begin.cast("long").alias("begin"), blocks("parts", wanted, "channels").alias("data"))
     return heads.unionByName(sound).unionByName(tails)
 
 

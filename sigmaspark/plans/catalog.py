@@ -224,11 +224,11 @@ def album_dir(spark, sf_dir):
 
 @query("""WITH t AS (SELECT doc_id, n_chars AS f, CASE lang WHEN 'en' THEN 2 WHEN 'fr' THEN 6 ELSE 1 END AS ch, doc_id % 300 AS tag FROM documents),
 a AS (SELECT *, ((f * 4704 + 4095) // 4096) * 4096 * ch AS audio FROM t)
-SELECT doc_id, audio::BIGINT AS audio_bytes, (audio - f * 4704 * ch)::BIGINT AS padding, (CASE WHEN tag > 0 THEN audio + 92 ELSE 0 END)::BIGINT AS metadata_offset, (audio + 92 + tag)::BIGINT AS total, f / 75.0::DOUBLE AS seconds FROM a""")
+SELECT doc_id, audio::BIGINT AS audio_bytes, (audio - f * 4704 * ch)::BIGINT AS padding, (CASE WHEN tag > 0 THEN audio + 92 ELSE 0 END)::BIGINT AS metadata_offset, (audio + 92 + tag)::BIGINT AS total, (audio + 92)::BIGINT AS tag_begin, f / 75.0::DOUBLE AS seconds FROM a""")
 def layout(spark, sf_dir):
     ch = F.when(F.col("lang") == "en", 2).when(F.col("lang") == "fr", 6).otherwise(1)
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", ch.alias("ch"), (F.col("doc_id") % 300).alias("tag"))
-    return d.select("doc_id", *(c.alias(k) for k, c in audio.dsf_layout(F.col("n_chars"), F.col("ch"), F.col("tag")).items()), (F.col("n_chars") / F.lit(75.0)).alias("seconds"))
+    return d.select("doc_id", *(c.alias(k) for k, c in audio.dsf_layout(F.col("n_chars"), F.col("ch"), F.col("tag")).items()), audio.dsf_layout(F.col("n_chars"), F.col("ch"), F.col("tag"), virtual=True)["metadata_offset"].alias("tag_begin"), (F.col("n_chars") / F.lit(75.0)).alias("seconds"))
 
 
 @query("""SELECT event_id, trunc(least(greatest(value / 100 * 32767.0, -32768.0), 32767.0))::INTEGER AS s16, trunc(least(greatest(value / 100 * 8388607.0, -8388607.0), 8388607.0))::INTEGER AS s24,
@@ -311,14 +311,18 @@ def totals(spark, sf_dir):
     return summary.totals(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_orderkey", F.col("l_quantity").cast("long"))
 
 
-@query("""SELECT o_orderkey, coalesce(try_cast(regexp_extract(s, '^(\\d{4})(?:-(\\d{1,2}))?(?:-(\\d{1,2}))?', 1) AS INTEGER), 0) AS y, coalesce(try_cast(regexp_extract(s, '^(\\d{4})(?:-(\\d{1,2}))?(?:-(\\d{1,2}))?', 2) AS INTEGER), 0) AS m,
-coalesce(try_cast(regexp_extract(s, '^(\\d{4})(?:-(\\d{1,2}))?(?:-(\\d{1,2}))?', 3) AS INTEGER), 0) AS d, (o_orderkey % 30)::INTEGER AS n, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE (o_orderkey % 40)::INTEGER END AS total
-FROM (SELECT o_orderkey, left(strftime(o_orderdate, '%Y-%m-%d'), CASE o_orderkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 7 ELSE 4 END::INTEGER) AS s FROM orders)""")
+@query("""WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS x FROM orders),
+s AS (SELECT k, CASE k % 8 WHEN 0 THEN x WHEN 1 THEN left(x, 7) WHEN 2 THEN left(x, 4) WHEN 3 THEN left(x, 5) || '4' WHEN 4 THEN left(x, 3) WHEN 5 THEN left(x, 5) || '4-12' WHEN 6 THEN replace(x, '-', '/') ELSE 'year ' || x END AS s,
+CASE k % 6 WHEN 0 THEN (k % 30)::VARCHAR WHEN 1 THEN '/12' WHEN 2 THEN '5abc/10' WHEN 3 THEN ' 7/ 9' WHEN 4 THEN 'x/' ELSE (k % 30) || '/' || (k % 40) END AS f FROM o)
+SELECT k AS o_orderkey, CASE WHEN length(s) >= 4 THEN coalesce(try_cast(regexp_extract(s, '^\\d+') AS INTEGER), 0) ELSE 0 END AS y,
+CASE WHEN length(s) >= 7 AND s[5] = '-' THEN coalesce(try_cast(regexp_extract(substr(s, 6), '^\\d+') AS INTEGER), 0) ELSE 0 END AS m,
+CASE WHEN length(s) >= 10 AND s[5] = '-' AND s[8] = '-' THEN coalesce(try_cast(regexp_extract(substr(s, 9), '^\\d+') AS INTEGER), 0) ELSE 0 END AS d,
+coalesce(try_cast(regexp_extract(f, '^ *(\\d+)', 1) AS INTEGER), 0) AS n, CASE WHEN strpos(f, '/') > 0 THEN coalesce(try_cast(regexp_extract(substr(f, strpos(f, '/') + 1), '^ *(\\d+)', 1) AS INTEGER), 0) ELSE 0 END AS total FROM s""")
 def date_parse(spark, sf_dir):
-    k = F.col("o_orderkey")
-    size = F.when(k % 3 == 0, 10).when(k % 3 == 1, 7).otherwise(4)
-    of = F.when(k % 3 == 0, (k % 30).cast("string")).otherwise(F.concat_ws("/", (k % 30).cast("string"), (k % 40).cast("string")))
-    o = table(spark, sf_dir, "orders").select(k, F.left(F.date_format("o_orderdate", "yyyy-MM-dd"), size).alias("s"), of.alias("of"))
+    k, x = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    dates = [x, F.left(x, F.lit(7)), F.left(x, F.lit(4)), F.concat(F.left(x, F.lit(5)), F.lit("4")), F.left(x, F.lit(3)), F.concat(F.left(x, F.lit(5)), F.lit("4-12")), F.replace(x, F.lit("-"), F.lit("/")), F.concat(F.lit("year "), x)]
+    numbers = [(k % 30).cast("string"), F.lit("/12"), F.lit("5abc/10"), F.lit(" 7/ 9"), F.lit("x/"), F.concat_ws("/", (k % 30).cast("string"), (k % 40).cast("string"))]
+    o = table(spark, sf_dir, "orders").select(k, F.get(F.array(*dates), (k % 8).cast("int")).alias("s"), F.get(F.array(*numbers), (k % 6).cast("int")).alias("of"))
     y, m, d = text.parse_date(F.col("s"))
     n, total = text.parse_of(F.col("of"))
     return o.select("o_orderkey", y.alias("y"), m.alias("m"), d.alias("d"), n.alias("n"), total.alias("total"))

@@ -39,6 +39,12 @@ def made(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/written")
 
 
+def little_endian(data: str, at: int, n: int):
+    """The integer in ``n`` bytes from the ``at``-th on, the lowest first."""
+    digits = F.hex(F.substring(data, at, n))
+    return F.conv(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n)))), 16, 10).cast("long")
+
+
 def stem(path: str = "path"):
     return F.regexp_extract(path, r"([^/]*)\.\w+$", 1)
 
@@ -335,7 +341,7 @@ def wav_samples(spark, sf_dir):
     folder = shared_dir(spark)
     made(audio_sink.write_wavs(e, folder, 16), folder)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
-    size = F.conv(F.hex(F.reverse(F.substring("content", 41, 4))), 16, 10).cast("int")  # the data chunk's size, little-endian
+    size = little_endian("content", 41, 4)  # the data chunk's size, little-endian
     data = F.hex(F.expr("substring(content, 45)"))
     at = F.sequence(F.lit(0), F.expr("octet_length(content) - 46"), F.lit(2))
     word = lambda i: F.conv(F.concat(F.substr(data, i * 2 + 3, F.lit(2)), F.substr(data, i * 2 + 1, F.lit(2))), 16, 10).cast("long")
@@ -387,7 +393,7 @@ def bits_sql(taps: list[float], step: int) -> str:
     return f"""WITH f AS (SELECT user_id, event_id, md5(event_id::VARCHAR) AS h FROM events),
 x AS (SELECT user_id, event_id, list_transform(range(0, 128), lambda i: CASE WHEN (('0x' || substr(h, (i // 4 + 1)::BIGINT, 1))::INTEGER >> (3 - i % 4)::INTEGER) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM f),
 p AS (SELECT user_id, event_id, list_concat(coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY event_id), list_transform(range(0, 128), lambda i: 0.0::DOUBLE)), x) AS x FROM x)
-SELECT user_id, event_id, n::BIGINT AS n, round(list_inner_product({[float(t) for t in reversed(taps)]!r}::DOUBLE[], x[{129 - len(taps)} + n * {step} + 1:129 + n * {step}]), 6) AS y FROM p, range(0, {128 // step}) r(n)"""
+SELECT user_id, event_id, n::BIGINT AS n, round(list_inner_product({[float(t) for t in reversed(taps)]!r}::DOUBLE[], x[{129 - len(taps)} + n * {step} + 1:129 + n * {step}]), 6) + 0.0::DOUBLE AS y FROM p, range(0, {128 // step}) r(n)"""
 
 
 def digest_bits(spark, sf_dir):
@@ -398,14 +404,14 @@ def digest_bits(spark, sf_dir):
 def fir_bits(spark, sf_dir):
     """1-bit frames (the digests of a user's events) through a filter that looks back into the frame before."""
     y = fir.decimate_frames(digest_bits(spark, sf_dir), ["user_id"], BIT_TAPS, 8, "event_id", frame_bytes=16).select("user_id", "event_id", F.posexplode("pcm").alias("n", "y"))
-    return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), F.round("y", 6).alias("y"))
+    return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), (F.round("y", 6) + 0.0).alias("y"))
 
 
 @query(bits_sql(fir.combined(CHAIN), 16))
 def fir_chain(spark, sf_dir):
     """The same through two filters, one after the other; the SQL has the one filter that they come to."""
     y = fir.decimate_chain(digest_bits(spark, sf_dir), ["user_id"], CHAIN, "event_id", frame_bytes=16).select("user_id", "event_id", F.posexplode("pcm").alias("n", "y"))
-    return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), F.round("y", 6).alias("y"))
+    return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), (F.round("y", 6) + 0.0).alias("y"))
 
 
 @query(f"""WITH {FRAMES}, w AS (SELECT label, no, i, trunc(ascii(substr(payload, i, 1)) / 256.0::DOUBLE * 32767)::BIGINT AS w FROM f, range(1, 295) r(i)),
@@ -425,6 +431,35 @@ def sink_fan_out(spark, sf_dir):
     return ends("a", "dsf").unionByName(ends("b", "dsdiff")).unionByName(samples)
 
 
+HISTORY_BITS = 1280  # what the longest chain looks back on, in whole digests
+CONVERSIONS = [(pcm, quality) for pcm in (88200, 176400) for quality in ("fast", "normal", "high")]
+
+
+def conversion_sql() -> str:
+    """Each conversion as the one filter that its chain comes to, over a user's last digests as bits, silence before the first."""
+    parts = []
+    for pcm, quality in CONVERSIONS:
+        step, taps = RATE // pcm, fir.combined(fir.stages(RATE, pcm, quality))
+        parts.append(f"""SELECT user_id, event_id, {pcm}::BIGINT AS pcm_rate, '{quality}' AS quality, n::BIGINT AS n,
+round(list_inner_product({[float(t) for t in reversed(taps)]!r}::DOUBLE[], x[{HISTORY_BITS + 1 - len(taps)} + n * {step} + 1:{HISTORY_BITS + 1} + n * {step}]), 6) + 0.0::DOUBLE AS y FROM p, range(0, {128 // step}) r(n)""")
+    return f"""WITH f AS (SELECT user_id, event_id, md5(event_id::VARCHAR) AS h FROM events),
+x AS (SELECT user_id, event_id, list_transform(range(0, 128), lambda i: CASE WHEN (('0x' || substr(h, (i // 4 + 1)::BIGINT, 1))::INTEGER >> (3 - i % 4)::INTEGER) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM f),
+g AS (SELECT user_id, event_id, flatten(list(x) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN {HISTORY_BITS // 128} PRECEDING AND CURRENT ROW)) AS x FROM x),
+p AS (SELECT user_id, event_id, list_concat(list_transform(range(0, {HISTORY_BITS + 128} - len(x)), lambda i: 0.0::DOUBLE), x) AS x FROM g)
+{" UNION ALL ".join(parts)}"""
+
+
+@query(conversion_sql())
+def pcm_conversions(spark, sf_dir):
+    """1-bit frames as samples at two rates, by one filter and by chains; the first filter of each looks up bytes."""
+    f = stored(digest_bits(spark, sf_dir), f"{shared_dir(spark)}/bits")
+    out = None
+    for pcm, quality in CONVERSIONS:
+        y = fir.convert(f, ["user_id"], RATE, pcm, quality, "event_id", frame_bytes=16).select("user_id", "event_id", F.lit(pcm).cast("long").alias("pcm_rate"), F.lit(quality).alias("quality"), F.posexplode("pcm").alias("n", "y"))
+        out = y if out is None else out.unionByName(y)
+    return out.select("user_id", "event_id", "pcm_rate", "quality", F.col("n").cast("long").alias("n"), (F.round("y", 6) + 0.0).alias("y"))
+
+
 # ---- names, index points, virtual files
 
 
@@ -496,6 +531,21 @@ def virtual_files(spark, sf_dir):
     return back.select(F.regexp_extract("path", r"-(\d+)\.dsf$", 1).alias("track"), "frame_no", F.md5("payload").alias("md5"), F.col("tag").cast("string").alias("tag"))
 
 
+@query(f"""WITH {FRAMES}, n AS (SELECT label, max(n) AS n FROM f GROUP BY label), s AS (SELECT label, n, n * 2 // 3 AS kept FROM n), x AS (SELECT *, ((n * 4704 + 4095) // 4096) * 8192 AS audio, ((kept * 4704 + 4095) // 4096) * 8192 AS sound FROM s)
+SELECT label::VARCHAR AS track, (92 + audio)::BIGINT AS bytes, (92 + audio)::BIGINT AS tag_begin, (audio - sound)::BIGINT AS silent FROM x""")
+def virtual_silence(spark, sf_dir):
+    """Virtual files of discs whose sound ends after two thirds of what their contents say: header, size, and the bytes of silence at the end."""
+    f = label_frames(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("track")))
+    t = f.groupBy("track").agg(F.count("*").alias("frames")).select(F.lit("disc").alias("path"), F.lit("stereo").alias("area"), "track", "frames", F.lit("t").alias("title"), F.lit(None).cast("string").alias("performer"))
+    kept = f.where(F.col("frame_no") < F.floor(F.col("n") * 2 / 3)).select(F.lit("disc").alias("path"), F.lit("stereo").alias("area"), "track", "frame_no", F.translate(F.col("payload").cast("string"), "i", "j").cast("binary").alias("payload"))
+    files = virtual.entries(t, spark.createDataFrame([("disc", "stereo", 2)], "path string, area string, channels int")).withColumn("tag", F.lit(None).cast("binary"))
+    pieces = stored(virtual.file_bytes(files, kept), f"{shared_dir(spark)}/pieces")
+    tail = F.length(F.regexp_extract(F.hex("data"), "((?:96)*)$", 1)) / 2
+    at = little_endian("data", 21, 8)
+    sizes = pieces.groupBy("track").agg(F.sum(F.octet_length("data")).cast("long").alias("bytes"), F.max(F.when(F.col("begin") == 0, at)).alias("tag_begin"), F.sum(F.when(F.col("begin") > 0, tail)).cast("long").alias("silent"))
+    return sizes.select(F.col("track").cast("string").alias("track"), "bytes", "tag_begin", "silent")
+
+
 @query("""WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id::VARCHAR AS data FROM events),
 t AS (SELECT user_id, sum(length(data))::BIGINT AS accepted, string_agg(CASE WHEN seq > 3 THEN data END, '' ORDER BY seq) AS tag FROM w GROUP BY user_id) SELECT user_id, accepted, tag FROM t""")
 def overlay_writes(spark, sf_dir):
@@ -555,10 +605,10 @@ def fir_stream(spark, sf_dir):
     folder = shared_dir(spark)
     part = F.floor(F.col("frame_no") * 3 / (e.agg(F.max("frame_no")).scalar() + 1))
     for i in range(3):  # three batches of files, in the order of frames
-        e.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = frames.frame_stream(spark, f"{folder}/in", "user_id long, frame_no long, payload binary", 1)
+        e.where(part == i).repartition(4, "user_id").write.mode("append").parquet(f"{folder}/in")
+    stream = frames.frame_stream(spark, f"{folder}/in", "user_id long, frame_no long, payload binary", 4)
     out = frames.decimate_stream(stream, ["user_id"], BIT_TAPS, 8)
     run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     y = spark.read.parquet(f"{folder}/out").select("user_id", F.col("frame_no").alias("event_id"), F.posexplode("pcm").alias("n", "y"))
-    return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), F.round("y", 6).alias("y"))
+    return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), (F.round("y", 6) + 0.0).alias("y"))

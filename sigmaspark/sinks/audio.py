@@ -25,10 +25,11 @@ CHANNEL_TYPES = {1: 1, 2: 2, 3: 3, 4: 4, 5: 6, 6: 7}
 CHANNEL_IDS = {1: ["C"], 2: ["SLFT", "SRGT"], 3: ["MLFT", "MRGT", "C"], 4: ["MLFT", "MRGT", "LS", "RS"], 5: ["MLFT", "MRGT", "C", "LS", "RS"], 6: ["MLFT", "MRGT", "C", "LFE", "LS", "RS"]}
 
 
-def dsf_header(channels: int, rate: int, samples: int, audio: int, tag: int) -> bytes:
+def dsf_header(channels: int, rate: int, samples: int, audio: int, tag: int, virtual: bool = False) -> bytes:
+    """A virtual file's header tells where a tag goes even if there is none yet."""
     total = 92 + audio + tag
     return (
-        b"DSD " + struct.pack("<QQQ", 28, total, 92 + audio if tag else 0)
+        b"DSD " + struct.pack("<QQQ", 28, total, 92 + audio if tag or virtual else 0)
         + b"fmt " + struct.pack("<QIIIIIIQII", 52, 1, 0, CHANNEL_TYPES[channels], channels, rate, 1, samples, BLOCK, 0)
         + b"data" + struct.pack("<Q", audio + 12)
     )

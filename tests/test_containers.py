@@ -126,3 +126,33 @@ def test_shares_cover_a_file_once(spark, tmp_path, monkeypatch):
         back = spark.read.format(kind).load(f"{tmp_path}/{folder}")
         assert len({s.share for s in (dsf if kind == "dsf" else dsdiff).Reader({"path": f"{tmp_path}/{folder}"}, back.schema).partitions()}) == 13
         assert [bytes(r.payload) for r in back.orderBy("frame_no").collect()] == want
+
+
+@pytest.mark.parametrize("taps", [1, 2, 8, 9, 40, 97])
+@pytest.mark.parametrize("step", [8, 16, 32])
+def test_byte_tables_equal_the_definition(taps, step):
+    rng = np.random.default_rng(taps + step)
+    h = rng.normal(size=taps)
+    raw = rng.integers(0, 256, 48, dtype=np.uint8).tobytes()
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(float) * 2 - 1
+    want = [sum(h[k] * bits[n - k] for k in range(taps) if n - k >= 0) for n in range(0, len(bits), step)]
+    per = 16
+    for cut in (0, 16, 32):
+        got = fir.bits_to_pcm(raw[cut : cut + per], raw[:cut], h, step)
+        assert np.allclose(got, want[cut * 8 // step : (cut + per) * 8 // step])
+
+
+@pytest.mark.parametrize("chain", [[(24, 8), (12, 2)], [(40, 8), (21, 2), (15, 2)], [(9, 4), (7, 2)], [(30, 16), (5, 3)]])
+def test_chains_equal_their_one_filter(chain):
+    rng = np.random.default_rng(len(chain))
+    stages = [(rng.normal(size=n), k) for n, k in chain]
+    step = int(np.prod([k for _, k in chain]))
+    h = np.array(fir.combined([(c.tolist(), k) for c, k in stages]))
+    raw = rng.integers(0, 256, 6 * step, dtype=np.uint8).tobytes()
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(float) * 2 - 1
+    whole = [float(h[: n + 1] @ bits[n::-1][: len(h)]) if n < len(h) else float(h @ bits[n - len(h) + 1 : n + 1][::-1]) for n in range(0, len(bits), step)]
+    size = 2 * step
+    for cut in range(0, len(raw), size):
+        got = fir.chain_to_pcm(raw[cut : cut + size], raw[:cut], stages)
+        # Filters before the first sound give nothing, as the chain's single ones do.
+        assert np.allclose(got, whole[cut * 8 // step : (cut + size) * 8 // step])

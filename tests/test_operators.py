@@ -153,3 +153,21 @@ def test_typed_tags(spark):
     r = spark.createDataFrame([(t,), ({"TYER": "1999"},)], "m map<string,string>").select(*(c.alias(k) for k, c in id3.typed(F.col("m")).items())).collect()
     assert (r[0].title, r[0].performer, r[0].track, r[0].tracks, r[0].disc, r[0].discs, r[0].year, r[0].month, r[0].arranger, r[0].message) == ("T", "P", 3, 12, 1, 0, 2001, 2, "A", None)
     assert (r[1].year, r[1].title, r[1].track) == (1999, None, 0)
+
+
+def test_dates_and_numbers_as_the_tags_give_them(spark):
+    rows = ["2003", "2003-4", "2003-04", "2003-04-05", "2003-04-5", "2003/04/05", "200", "", "20 3-04", "abcd-12", None]
+    df = spark.createDataFrame([(x,) for x in rows], "s string")
+    got = [tuple(r) for r in df.select(*text.parse_date(F.col("s"))).collect()]
+    assert got == [(2003, 0, 0), (2003, 0, 0), (2003, 4, 0), (2003, 4, 5), (2003, 4, 0), (2003, 0, 0), (0, 0, 0), (0, 0, 0), (20, 4, 0), (0, 12, 0), (0, 0, 0)]
+    of = spark.createDataFrame([(x,) for x in ("3/12", "/12", "5abc/10", "7", " 7/ 9", "x", "3/", "1/2/3", "", None)], "s string")
+    assert [tuple(r) for r in of.select(*text.parse_of(F.col("s"))).collect()] == [(3, 12), (0, 12), (5, 10), (7, 0), (7, 9), (0, 0), (3, 0), (1, 2), (0, 0), (0, 0)]
+
+
+def test_a_cut_keeps_real_replacement_characters(spark):
+    df = spark.createDataFrame([("ab\ufffdcd",), ("ab\ufffd",), ("aé😀b",), ("",), (None,)], "s string")
+    for n in range(1, 9):
+        want = []
+        for (s,) in (tuple(r) for r in df.collect()):
+            want.append(None if s is None else max((s[:k] for k in range(len(s) + 1) if len(s[:k].encode()) <= n), key=len))
+        assert [r[0] for r in df.select(text.cut_bytes(F.col("s"), n)).collect()] == want

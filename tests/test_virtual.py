@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sigmaspark.functions.genre import genre_name
 from sigmaspark.operators import virtual
+from sigmaspark.sinks import audio as sink
 
 
 def test_catalogue(spark, tmp_path):
@@ -41,7 +42,6 @@ def test_catalogue_checks_images(spark, tmp_path):
 
 
 def test_bytes_of_virtual_files(spark, tmp_path):
-    from sigmaspark.sinks import audio as sink
 
     frames = [bytes((i * 7 + k) % 253 for k in range(9408)) for i in range(300)]
     f = spark.createDataFrame([("p", "stereo", 1, i, x) for i, x in enumerate(frames)], "path string, area string, track int, frame_no long, payload binary")
@@ -56,6 +56,21 @@ def test_bytes_of_virtual_files(spark, tmp_path):
         assert b"".join(bytes(r.data) for r in virtual.read_bytes(pieces, offset, size).orderBy("begin").collect()) == want[offset : offset + size]
 
 
+def test_silence_where_sound_ends_early(spark):
+    frames = [bytes((i + k) % 251 for k in range(9408)) for i in range(300)]
+    areas = spark.createDataFrame([("p", "stereo", 2)], "path string, area string, channels int")
+    t = spark.createDataFrame([("p", "stereo", 1, 300, "T", None)], "path string, area string, track int, frames long, title string, performer string")
+    files = virtual.entries(t, areas).withColumn("tag", F.lit(None).cast("binary"))
+    for kept in (0, 1, 128, 200, 300):
+        f = spark.createDataFrame([("p", "stereo", 1, i, x) for i, x in enumerate(frames[:kept])], "path string, area string, track int, frame_no long, payload binary")
+        whole = b"".join(bytes(r.data) for r in virtual.file_bytes(files, f).orderBy("begin").collect())
+        sound = -(-kept * 4704 // 4096) * 8192
+        audio = -(-300 * 4704 // 4096) * 8192
+        assert len(whole) == 92 + audio == int.from_bytes(whole[20:28], "little")
+        assert whole[92 + sound :] == b"\x96" * (audio - sound)
+        assert whole[92 : 92 + sound] == b"".join(sink.dsf_blocks(iter(frames[:kept]), 2))
+
+
 def test_writes_to_virtual_files(spark):
     w = spark.createDataFrame([("a", 1, 0, b"0123"), ("a", 2, 8, b"abcdef"), ("a", 3, 13, b"XY"), ("a", 4, 20, b"end"), ("b", 1, 3, b"zz"), ("c", 1, 12, b"Q")], "f string, seq int, offset long, data binary")
     files = spark.createDataFrame([(x, 10) for x in "abc"], "f string, tag_begin long")
