@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigmaspark.functions import audio, dst, genre, id3, labels
-from sigmaspark.operators import fir, lookup, summary, virtual
+from sigmaspark.operators import fir, lookup, summary, validate, virtual
 from sigmaspark.sinks import audio as audio_sink
-from sigmaspark.sinks import edit, image
+from sigmaspark.sinks import edit, extract, image
 from sigmaspark.sinks import flac as flac_sink
 from sigmaspark.sinks import text as text_sink
 from sigmaspark.sinks import writer
 from sigmaspark.sources import dsdiff, dsf, sacd, sidecar
 from sigmaspark.sources import flac as flac_source
+from sigmaspark.sources.files import Bytes, put
 from sigmaspark.sources.pushdown import open_source
 from sigmaspark.sources.shared import shared_dir, stored
+from sigmaspark.streaming import folder as grown
 from sigmaspark.streaming import frames
 
 from .catalog import SQL, query, table
@@ -330,6 +332,84 @@ def dst_batches(spark, sf_dir):
     return out.select("track", "frame_no", "batch", "error", F.md5("payload").alias("md5"))
 
 
+def with_headers(path: str, target: str, size: int, skip: int) -> None:
+    """An image of larger sectors: each with ``skip`` bytes before its data, up to ``size``."""
+    with Bytes(path) as f:
+        raw = f.at(0, f.size)
+    put(target, (b"h" * skip + raw[i : i + 2048] + b"t" * (size - 2048 - skip) for i in range(0, len(raw), 2048)))
+
+
+@query(f"""WITH {FRAMES}, n AS (SELECT label, max(n) AS n FROM f GROUP BY label), s AS (SELECT label, 600 + (n + 2) // 3 * 14 AS sectors FROM n)
+SELECT label::VARCHAR AS disc, sectors::BIGINT AS sectors, (sectors * 2048)::BIGINT AS bytes, ((sectors + 99) // 100)::BIGINT AS spans, true AS same FROM s""")
+def image_extract(spark, sf_dir):
+    """Images of 2064 and 2054 bytes a sector, cut to plain ones in spans: the same bytes as the images that they were made from."""
+    plain, folder = discs(spark, sf_dir, 2), shared_dir(spark)
+
+    @F.udf("string")
+    def widened(path):
+        with_headers(path, f"{folder}/raw/" + path.rpartition("/")[2], *((2064, 12) if path.rpartition("/")[2] < "5" else (2054, 6)))
+        return path
+
+    files = spark.read.parquet(f"{plain}/written").select("path")
+    files.select(widened("path").alias("path")).write.format("noop").mode("overwrite").save()
+    done = stored(extract.extract(spark, f"{folder}/raw", f"{folder}/plain", 100), f"{folder}/done")
+    was = spark.read.format("binaryFile").option("pathGlobFilter", "*.iso").load(plain).select(stem().alias("disc"), F.md5("content").alias("was"))
+    return done.select(stem().alias("disc"), "sectors", "bytes", "spans", "md5").join(was, "disc").select("disc", "sectors", "bytes", "spans", (F.col("md5") == F.col("was")).alias("same"))
+
+
+# ---- damaged files
+
+
+def damage(path: str, how: int) -> None:
+    """Breaks a file in one of a few ways."""
+    with Bytes(path) as f:
+        raw = bytearray(f.at(0, f.size))
+    if path.endswith(".dsf"):
+        if how == 1:
+            del raw[-5000:]
+        elif how == 2:
+            raw[20:28] = (50).to_bytes(8, "little")
+        elif how == 3:
+            raw[52:56] = (9).to_bytes(4, "little")
+        elif how == 4:
+            raw[64:72] = (8).to_bytes(8, "little")
+    elif how == 1:
+        del raw[-5000:]
+    elif how == 2:
+        at = raw.index(b"CMPR")
+        raw[at : at + 4] = b"CHNL"
+    elif how == 3:
+        at = raw.index(b"FVER")
+        raw[at + 12] = 2
+    elif how == 4:
+        at = raw.index(b"FS  ")
+        raw[at + 12 : at + 16] = (44000).to_bytes(4, "big")
+    put(path, [bytes(raw)])
+
+
+@query("""WITH l AS (SELECT DISTINCT label FROM embeddings), d AS (SELECT label, unnest(CASE label % 5 WHEN 0 THEN [] WHEN 1 THEN ['file is shorter than it says', 'sound lies past the end'] WHEN 2 THEN ['metadata lies in the head', 'metadata lies in the sound'] WHEN 3 THEN ['bad channels', 'sound has another size than its samples'] ELSE ['sound has another size than its samples'] END) AS rule FROM l),
+f AS (SELECT label, unnest(CASE label % 5 WHEN 0 THEN [] WHEN 1 THEN ['FRM8:chunk ends past its parent'] WHEN 2 THEN ['CHNL:channels and their number differ', 'CHNL:chunk comes twice', 'no compression'] WHEN 3 THEN ['FVER:unknown version'] ELSE ['FS  :bad rate'] END) AS rule FROM l)
+SELECT label || '.dsf' AS file, rule FROM d UNION ALL SELECT label || '.dff', rule FROM f""")
+def file_findings(spark, sf_dir):
+    """What is wrong with files that were written well and broken in some ways then."""
+    f = label_frames(spark, sf_dir)
+    folder = shared_dir(spark)
+    for s in (dsf.DsfSource, dsdiff.DsdiffSource):
+        spark.dataSource.register(s)
+    writer.fan_out(f, [writer.Sink("dsf", folder), writer.Sink("dsdiff", folder)])
+    names = f.select("track").distinct().select("track", F.explode(F.array(F.lit(".dsf"), F.lit(".dff"))).alias("ending"))
+
+    @F.udf("string")
+    def broken(track, ending):
+        damage(f"{folder}/{track}{ending}", track % 5)
+        return ending
+
+    names.select("track", broken("track", "ending").alias("done")).write.format("noop").mode("overwrite").save()
+    out = validate.findings(spark, folder)
+    file = F.regexp_extract("path", r"([^/]*)$", 1)
+    return out.select(file.alias("file"), F.when(file.endswith(".dff"), F.concat_ws(":", "kind", "rule")).otherwise(F.col("rule")).alias("rule"))
+
+
 # ---- samples
 
 
@@ -598,6 +678,31 @@ def album_exports(spark, sf_dir):
     return both.select(F.col("x.album_id").alias("album_id"), F.col("j.title").alias("title"), F.col("x.total_frames").alias("total_frames"), F.size("x.tracks").cast("long").alias("tracks"), F.element_at("j.tracks", -1)["title"].alias("last"), F.col("j.seconds").alias("seconds"))
 
 
+@query(f"""WITH {FRAMES} SELECT label::VARCHAR AS track, kind, no::BIGINT AS frame_no, md5(payload) AS md5, no = n - 1 AS is_last FROM f, (SELECT unnest(['dsf', 'dff']) AS kind)""")
+def growing_folder(spark, sf_dir):
+    """Files read as a stream while they grow: once when three fifths of each are there, and by a query started again when they are whole."""
+    f = label_frames(spark, sf_dir)
+    folder = shared_dir(spark)
+    writer.fan_out(f, [writer.Sink("dsf", f"{folder}/whole"), writer.Sink("dsdiff", f"{folder}/whole")])
+    names = f.select("track").distinct().select(F.explode(F.array(F.concat("track", F.lit(".dsf")), F.concat("track", F.lit(".dff")))).alias("name"))
+    spark.dataSource.register(grown.FolderSource)
+    for share in (0.6, 1.0):
+
+        @F.udf("string")
+        def copied(name, share=share):
+            with Bytes(f"{folder}/whole/{name}") as b:
+                put(f"{folder}/in/{name}", [b.at(0, int(b.size * share))])
+            return name
+
+        names.select(copied("name").alias("name")).write.format("noop").mode("overwrite").save()
+        stream = grown.read_ranges(spark.readStream.format("audio_folder").option("frames_per_batch", 1000).load(f"{folder}/in"))
+        run = stream.withColumn("md5", F.md5("payload")).drop("payload").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(processingTime="0 seconds").start()
+        run.processAllAvailable()
+        run.stop()
+    kind = F.regexp_extract("path", r"\.(\w+)$", 1)
+    return spark.read.parquet(f"{folder}/out").select(stem().alias("track"), kind.alias("kind"), "frame_no", "md5", "is_last")
+
+
 @query(SQL["fir_bits"])
 def fir_stream(spark, sf_dir):
     """``fir_bits`` over a stream of files: what a user's next frame looks back on is kept as state."""

@@ -1,7 +1,8 @@
 """DSDIFF files as tables: ``spark.read.format("dsdiff")``.
 
 Option ``table``: ``frames`` (default; raw or DST payloads as stored), ``info``, ``markers``,
-``tags`` (``idx`` null for the file's own tag, else the track's from 0) or ``places`` of frames.
+``tags`` (``idx`` null for the file's own tag, else the track's from 0) ``places`` of frames, or ``chunks``, the tree of
+a file's chunks whatever is wrong with them.
 Files are read in shares that are planned from their sizes alone; each task walks the chunk tree,
 which reads chunk headers only. DST frames are found by their index; in a file without one the
 first share walks the frames' headers, and table ``places`` with ``read_places`` spreads the reading.
@@ -26,6 +27,7 @@ from .pushdown import Pushing, TableReader, reader_of
 INFO = "path string, version long, compression string, channels int, channel_ids array<string>, rate int, samples long, frames long, frame_rate int, artist string, title string, emid string, loudspeakers int, start_time struct<hours:int,minutes:int,seconds:int,samples:long>, manufacturer binary, error string"
 TAGS = "path string, idx int, tag binary"
 FRAMES = "path string, frame_no long, sample_offset long, is_first boolean, is_last boolean, channels int, rate int, format string, payload binary, crc binary"
+CHUNKS = "path string, seq int, parent int, depth int, kind string, offset long, size long, file_size long, head binary"
 PLACES = "path string, frame_no long, offset long, size long"
 MARKERS = "path string, idx int, hours int, minutes int, seconds int, samples long, offset int, mark_type int, mark_channel int, flags int, text string, pos long"
 
@@ -136,6 +138,25 @@ def checksum(f: Bytes, at: int, size: int) -> bytes | None:
     return head[12:] if head[:4] == b"DSTC" else None
 
 
+HEAD = 64  # bytes of a chunk's data that table ``chunks`` shows
+HOLDERS = {b"FRM8": 4, b"PROP": 4, b"DIIN": 0, b"DST ": 0}  # chunks that hold others, after so many bytes
+
+
+def tree(f: Bytes):
+    """(seq, parent, depth, kind, offset, size) of every chunk, also where sizes are wrong; of DST frames only the first chunk, which is their head."""
+    seq = 0
+
+    def walk(at: int, end: int, parent: int | None, depth: int, most: int | None = None):
+        nonlocal seq
+        for kind, offset, size in islice(chunks(f, at, end), most):
+            me, seq = seq, seq + 1
+            yield me, parent, depth, kind.decode("latin-1"), offset, size
+            if depth < 3 and kind in HOLDERS:
+                yield from walk(offset + HOLDERS[kind], min(offset + size, end, f.size), me, depth + 1, 1 if kind == b"DST " else None)
+
+    yield from walk(0, f.size, None, 0, 1)
+
+
 class Reader(TableReader):
     endings = (".dff", ".dsdiff")
 
@@ -143,6 +164,10 @@ class Reader(TableReader):
         if not part.path:
             return
         with Bytes(part.path) as f:
+            if self.table == "chunks":
+                for seq, parent, depth, kind, at, size in tree(f):
+                    yield self.row(path=part.path, seq=seq, parent=parent, depth=depth, kind=kind, offset=at, size=size, file_size=f.size, head=f.at(at, min(size, HEAD, max(f.size - at, 0))))
+                return
             try:
                 info = parse(f)
             except ValueError as e:
@@ -206,7 +231,7 @@ class DsdiffSource(DataSource):
         return "dsdiff"
 
     def schema(self):
-        return {"info": INFO, "markers": MARKERS, "tags": TAGS, "places": PLACES}.get(self.options.get("table", "frames"), FRAMES)
+        return {"info": INFO, "markers": MARKERS, "tags": TAGS, "places": PLACES, "chunks": CHUNKS}.get(self.options.get("table", "frames"), FRAMES)
 
     def reader(self, schema):
         return reader_of(Reader, Pushed, self.options, schema)

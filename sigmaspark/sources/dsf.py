@@ -2,7 +2,7 @@
 
 Option ``table``: ``frames`` (default; one row per 1/75 s, bytes interleaved by channel, the first
 bit in time highest), ``info`` or ``tags`` (one row per file, the latter for files with a metadata
-block). A file is read in shares of some
+block), or ``chunks`` (the file's parts, whatever is wrong with them). A file is read in shares of some
 megabytes, which are planned from its size alone. Frames are clipped by the sample count, so block padding is
 never audio; the last frame may be short. A file that isn't DSF fails the scan, or gives an
 ``error`` in the info table.
@@ -23,6 +23,7 @@ from .pushdown import Pushing, TableReader, reader_of
 BLOCK, HEADER = 4096, 92
 INFO = "path string, version int, format_id int, channel_type int, channels int, rate int, bits int, samples long, block_size int, audio_bytes long, metadata_offset long, seconds double, error string"
 TAGS = "path string, tag binary"
+CHUNKS = "path string, seq int, parent int, depth int, kind string, offset long, size long, file_size long, head binary"
 FRAMES = "path string, frame_no long, sample_offset long, is_first boolean, is_last boolean, channels int, rate int, payload binary"
 
 
@@ -81,6 +82,11 @@ class Reader(TableReader):
         if not part.path:
             return
         with Bytes(part.path) as f:
+            if self.table == "chunks":
+                for seq, (at, most) in enumerate(((0, 28), (28, 52), (80, 12))):
+                    raw = f.at(at, most)
+                    yield self.row(path=part.path, seq=seq, parent=None, depth=0, kind=raw[:4].decode("latin-1"), offset=at + 12, size=int.from_bytes(raw[4:12], "little"), file_size=f.size, head=raw[12:])
+                return
             try:
                 h = parse(f.at(0, HEADER))
             except ValueError as e:
@@ -131,7 +137,7 @@ class DsfSource(DataSource):
         return "dsf"
 
     def schema(self):
-        return {"info": INFO, "tags": TAGS}.get(self.options.get("table", "frames"), FRAMES)
+        return {"info": INFO, "tags": TAGS, "chunks": CHUNKS}.get(self.options.get("table", "frames"), FRAMES)
 
     def reader(self, schema):
         return reader_of(Reader, Pushed, self.options, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -13,7 +14,12 @@ REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], ax
 
 
 def resolve(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    """The store of a path and the path in it; names of local files may hold any character."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if ":/" not in path:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(quote(path, safe="/:@%?&=+,;~!$'()*[]"))
 
 
 def sized(path: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:

@@ -156,3 +156,13 @@ def test_chains_equal_their_one_filter(chain):
         got = fir.chain_to_pcm(raw[cut : cut + size], raw[:cut], stages)
         # Filters before the first sound give nothing, as the chain's single ones do.
         assert np.allclose(got, whole[cut * 8 // step : (cut + size) * 8 // step])
+
+
+def test_names_with_spaces_and_marks(spark, tmp_path):
+    folder = tmp_path / "My Music #1 (50%)"
+    folder.mkdir()
+    for name in ("a b", "c#d", "e%20f", "g?h", "ü 音"):
+        audio.write_dsf(f"{folder}/{name}.dsf", iter([bytes(9408)] * 2), 2, 2822400)
+    got = spark.read.format("dsf").load(str(folder)).select("path").distinct().collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in got) == sorted(f"{n}.dsf" for n in ("a b", "c#d", "e%20f", "g?h", "ü 音"))
+    assert spark.read.format("dsf").load(f"file://{folder}").count() == 10
