@@ -18,9 +18,9 @@ from sigmaspark.sources.files import Bytes, put
 from sigmaspark.sources.pushdown import open_source
 from sigmaspark.sources.shared import shared_dir, stored
 from sigmaspark.streaming import folder as grown
-from sigmaspark.streaming import frames
+from sigmaspark.streaming import frames, idle
 
-from .catalog import SQL, query, table
+from .catalog import QUERIES, SQL, query, table
 
 RATE = 2822400
 
@@ -717,3 +717,27 @@ def fir_stream(spark, sf_dir):
     run.awaitTermination()
     y = spark.read.parquet(f"{folder}/out").select("user_id", F.col("frame_no").alias("event_id"), F.posexplode("pcm").alias("n", "y"))
     return y.select("user_id", "event_id", F.col("n").cast("long").alias("n"), (F.round("y", 6) + 0.0).alias("y"))
+
+
+KINDS = (idle.OPEN, idle.USE, idle.USE, idle.CLOSE)  # of an event, by its number
+IDLE = 30 * 60_000
+
+
+def idle_evictions(spark, sf_dir):
+    """Users as images with uses, openings and closings: when each is dropped for being idle. Pins make it a fold of state, which SQL can't say; tests replay it."""
+    at = F.col("ts").cast("timestamp")
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 4).cast("int"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("image"), at.alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    folder = shared_dir(spark)
+    part = F.floor((F.unix_millis("ts") - int(ends["a"].timestamp() * 1000)) * 3 / (int(ends["b"].timestamp() * 1000) - int(ends["a"].timestamp() * 1000) + 1000)) if ends["a"] else F.lit(0)
+    for i in range(3):  # three batches, in the order of time
+        e.where(part == i).repartition(4, "image").write.mode("append").parquet(f"{folder}/in")
+    with idle.state_store(spark):
+        stream = frames.frame_stream(spark, f"{folder}/in", e.schema.simpleString()[7:-1].replace(":", " "), 4)
+        run = idle.evictions(stream, IDLE).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(idle.SPANS).parquet(f"{folder}/out")
+
+
+QUERIES["idle_evictions"] = idle_evictions
