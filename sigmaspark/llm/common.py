@@ -72,11 +72,12 @@ def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None
     return counts.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", weight: str | None = None, salt: str | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", weight: str | None = None, salt: str | None = None, many: bool = False) -> DataFrame:
     """Join on keys that may be hot in ``left``: rows of hot keys stay where they are and meet a broadcast.
 
     ``left`` is read more than once, so it should be a stored table. The hot keys are at most
-    HOT_SHARE, and their rows of ``right`` are counted: beyond HOT_ROWS they are dealt too.
+    HOT_SHARE, and ``right`` has one row a key, so what is broadcast is bounded; where it may have
+    ``many``, the hot keys' rows are counted, and beyond HOT_ROWS dealt too.
     ``weight`` names a column of ``right`` with the number of rows of ``left`` under its key;
     without it they are counted. Where rows of ``right`` are large, ``salt`` names a column of
     ``left`` by which hot keys are dealt instead, to ``SALTS`` copies of their rows of ``right``.
@@ -92,7 +93,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: s
         return left.join(right, keys, how)
     hot = F.broadcast(hot)
     much, few = left.join(hot, keys, "left_semi"), right.join(hot, keys, "left_semi")
-    if salt or few.limit(HOT_ROWS + 1).count() > HOT_ROWS:
+    if salt or many and few.limit(HOT_ROWS + 1).count() > HOT_ROWS:
         few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         spread = much.withColumn("_salt", F.pmod(F.xxhash64(salt) if salt else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(few, [*keys, "_salt"], how).drop("_salt")
     else:

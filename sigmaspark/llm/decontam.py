@@ -97,7 +97,7 @@ def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     small = total <= SMALL
 
-    def met(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
+    def met(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:  # right has one row a key
         return left.join(F.broadcast(right), key) if small else spread_join(stored(left, f"{path}/{name}"), right, key)
 
     often = _often(tokens, items, path, small)
@@ -111,7 +111,7 @@ def matches(tokens: DataFrame, items: DataFrame, path: str) -> DataFrame:
 
     anchors = rarest.select("item", F.explode("by").alias("x")).select("item", F.col("x.at").alias("at"), F.col("x.term").alias("term")).distinct()
     index = postings(tokens, anchors.select("term").distinct(), f"{path}/postings", small)
-    aligned = (index.join(F.broadcast(anchors), "term") if small else spread_join(index, anchors, "term")).select("row", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
+    aligned = (index.join(F.broadcast(anchors), "term") if small else spread_join(index, anchors, "term", many=True)).select("row", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
     aligned = aligned.groupBy("row", "item", "shift").agg(F.collect_set("at").alias("got"))
 
     tests = rarest.groupBy("item").agg(F.collect_list(F.struct("start", "length", F.transform("by", lambda x: x["at"]).alias("ats"))).alias("tests"))

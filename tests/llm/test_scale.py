@@ -86,7 +86,7 @@ def test_hot_keys_with_many_rows_on_both_sides(spark, tmp_path, monkeypatch):
     want = sorted(map(tuple, left.join(right, "k").collect()))
     for rows in (100_000, 10):
         monkeypatch.setattr(common, "HOT_ROWS", rows)
-        out = common.spread_join(left, right, "k")
+        out = common.spread_join(left, right, "k", many=True)
         assert sorted(map(tuple, out.collect())) == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan
