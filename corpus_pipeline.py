@@ -29,15 +29,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.cleaned_rows(docs)
 
 
+def settled(spark: SparkSession, ids: Callable[[], DataFrame]) -> DataFrame:
+    """The document ids that ``ids`` gives, written to a folder of their own; what they were worked out from is removed."""
+    path, before = shared_dir(spark), len(made_dirs(spark))
+    out = stored(ids(), f"{path}/ids")
+    for done in made_dirs(spark)[before:]:
+        forget(spark, done)
+    return out
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id."""
-    kept = neardup.groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = settled(spark, lambda: neardup.groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct())
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontam.report(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    found = settled(spark, lambda: decontam.report(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct())
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti").select(docs.columns)
 
 
