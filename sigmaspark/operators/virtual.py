@@ -14,6 +14,7 @@ from sigmaspark.functions import audio, text
 from sigmaspark.sinks.audio import _tracks, dsf_blocks, dsf_header
 from sigmaspark.sources.files import put
 from sigmaspark.sources.sacd import Image, disc
+from sigmaspark.sources.shared import bounded_batches
 
 FOLDERS = {"stereo": "Stereo", "multichannel": "Multi-channel"}
 
@@ -117,7 +118,7 @@ def file_bytes(files: DataFrame, frames: DataFrame, rate: int = 2822400) -> Data
     slots = files.where("frames > 0").select(*key, "channels", F.col("frames").cast("long").alias("frames"), F.explode(F.sequence(F.lit(0).cast("long"), audio.quotient(F.col("frames") - 1, GROUP))).alias("group"))
     wanted = F.least(F.lit(GROUP), F.col("frames") - F.col("group") * GROUP)
     begin = F.col("group") * (GROUP * audio.FRAME_BYTES) * F.col("channels") + audio.DSF_HEADER
-    sound = slots.join(held, [*key, "group"], "left").select(*key[:2], F.col("track").cast("long").alias("track"), begin.cast("long").alias("begin"), blocks("parts", wanted, "channels").alias("data"))
+    sound = bounded_batches(slots.join(held, [*key, "group"], "left")).select(*key[:2], F.col("track").cast("long").alias("track"), begin.cast("long").alias("begin"), blocks("parts", wanted, "channels").alias("data"))
     return heads.unionByName(sound).unionByName(tails)
 
 
@@ -131,7 +132,7 @@ def read_bytes(pieces: DataFrame, offset: int, size: int) -> DataFrame:
 
 def write_views(pieces: DataFrame, folder: str) -> DataFrame:
     """Virtual files as real ones, streamed piece by piece: rows (file, bytes)."""
-    named = pieces.withColumn("file", F.concat_ws("-", "path", "area", F.col("track").cast("string")))
+    named = bounded_batches(pieces).withColumn("file", F.concat_ws("-", "path", "area", F.col("track").cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for first, own in _tracks(batches):
