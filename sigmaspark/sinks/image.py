@@ -49,6 +49,9 @@ def _channels(charsets: list[int]) -> bytes:
 
 
 def _genres(codes: list[tuple[int, int]], n: int) -> bytes:
+    for table, number in codes[:n]:
+        if not 0 <= number <= 0xFFFF:
+            raise ValueError(f"genre {number} of table {table} has no room in sixteen bits")
     return b"".join(struct.pack(">BxH", *c) for c in codes[:n]) + bytes(4 * max(n - len(codes), 0))
 
 
@@ -98,7 +101,7 @@ def area(name: str, kind: int, channels: int, tracks: list[dict], charsets: list
     texts, indexes = _text_list(tracks, charsets), _index_list(tracks)
     listed = struct.pack(">HB5x", len(access), STEP) + b"".join(struct.pack(">HBH", m & 0x7FFF, a >> 16, a & 0xFFFF) for a, m in access)
     parts, at, where = [], 5, []
-    for raw, size in ((texts, -(-len(texts) // SECTOR)), (indexes, -(-len(indexes) // SECTOR)), (b"SACD_ACC" + listed if access else b"", 32 if access else 0)):
+    for raw, size in ((texts, -(-len(texts) // SECTOR)), (indexes, -(-len(indexes) // SECTOR)), (b"SACD_ACC" + listed if access else b"", max(32, -(-(8 + len(listed)) // SECTOR)) if access else 0)):
         where.append(at if size else 0)
         parts.append(_pad(raw, size * SECTOR))
         at += size
@@ -152,7 +155,7 @@ def frame_sectors(frames: DataFrame, by: list[str], order: str = "frame_no") ->
 
 
 def _access(placed: DataFrame, by: list[str]) -> DataFrame:
-    """Entries of the access lists as arrays (at most 6,550 an area): first sector, and the margin that makes every guess between two entries come early enough."""
+    """Entries of the access lists as arrays (32 sectors of them an area, more for more than 131,040 frames): first sector, and the margin that makes every guess between two entries come early enough."""
     last = F.max("entry").over(Window.partitionBy(*by))
     count = F.max("frame").over(Window.partitionBy(*by)) + 1
     p = placed.withColumns({"last": last, "frames": count})
@@ -201,7 +204,8 @@ def write_images(frames: DataFrame, folder: str, kind: int | dict[str, int] = 2,
     per_disc = heads.groupBy("disc").agg(F.collect_list(F.struct(rank.alias("rank"), *heads.columns[1:])).alias("areas"))
     first = per_disc.select("disc", F.lit(0).alias("rank"), F.lit(-1).cast("long").alias("no"), F.lit(None).cast("binary").alias("payload"), "areas")
     rows = f.select(named, rank.alias("rank"), F.col(order).cast("long").alias("no"), "payload", F.lit(None).cast(first.schema["areas"].dataType).alias("areas"))
-    dealt = first.unionByName(rows).repartition("disc").sortWithinPartitions("disc", "rank", "no")
+    # By a hash of the disc: a shuffle by ``disc`` itself is left out where both sides already lie by it, and then their partitions are merged apart from each other.
+    dealt = first.unionByName(rows).repartition(F.xxhash64("disc")).sortWithinPartitions("disc", "rank", "no")
 
     def run(batches):
         for top, own in _tracks(batches):

@@ -201,9 +201,9 @@ def area(img: Image, name: str, place: tuple[int, int]) -> Area:
     texts, indexes = _part(toc, text_at, b"SACDTTxt", 32), _part(toc, index_at, b"SACD_Ind", 10)
     languages = [(toc[88 + 4 * c : 90 + 4 * c].decode("ascii", "replace"), toc[90 + 4 * c]) for c in range(toc[80] if toc[80] <= 8 else 0)]
     step, access = 0, []
-    if raw := _part(toc, access_at, b"SACD_ACC", 32):
+    if raw := _part(toc, access_at, b"SACD_ACC", place[1]):
         count, step = struct.unpack_from(">HB", raw, 8)
-        entries = [struct.unpack_from(">HBH", raw, 16 + 5 * i) for i in range(min(count, 6550))]
+        entries = [struct.unpack_from(">HBH", raw, 16 + 5 * i) for i in range(min(count, (len(raw) - 16) // 5))]
         access = [(high << 16 | low, flags & 0x7FFF) for flags, high, low in entries]
     tracks = []
     for i in range(n):

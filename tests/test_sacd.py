@@ -107,3 +107,51 @@ def test_packets_become_frames(spark, tmp_path):
 def test_no_disc(spark, tmp_path):
     (tmp_path / "x.iso").write_bytes(bytes(600 * SECTOR))
     assert spark.read.format("sacd").option("table", "disc").load(str(tmp_path)).first().error == "no master table of contents"
+
+
+def test_long_access_list():
+    """More than 65,500 frames, and more than 32 sectors of entries, are read as they are written."""
+    from sigmaspark.sinks import image as sink
+
+    for n in (6551, 13105, 20000):
+        entries = [(1000 + 7 * i, i % 9) for i in range(n)]
+        toc = sink.area("stereo", 0, 2, [], [2], n * 10, 640, 900000, entries)
+
+        class Toc:
+            def sectors(self, lsn, count, toc=toc):
+                return toc[: count * SECTOR]
+
+        assert sacd.area(Toc(), "stereo", (540, len(toc) // SECTOR)).access == entries
+
+
+def test_discs_of_large_labels(spark, tmp_path):
+    """Labels whose genre no table has, and that have no room in sixteen bits."""
+    from pyspark.sql import functions as F
+
+    from sigmaspark.plans import media
+
+    e = spark.createDataFrame([(i, i % 3 * 500_000 + 7) for i in range(36)], "vec_id long, label int")
+    e.withColumn("embedding", F.array(F.lit(0.5).cast("float"))).write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = media.disc_tracks(spark, str(tmp_path)).where("area = 'stereo'").collect()
+    assert len(rows) == 12
+    assert {(r.disc, r.track) for r in rows if r.genre} == {("7", 1), ("7", 2), ("7", 3)}
+
+
+def test_heads_are_dealt_with_their_frames(spark, monkeypatch):
+    """The row with a disc's areas must be shuffled together with its frames, also where both already lie by disc."""
+    from pyspark.sql import functions as F
+
+    from sigmaspark.sinks import image as sink
+
+    monkeypatch.setattr(sink, "put", lambda path, chunks: sum(map(len, chunks)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        f = spark.range(60).select((F.col("id") % 5).alias("disc"), F.floor(F.col("id") / 5).alias("frame_no"), F.lit(b"abc").alias("payload"))
+        tracks = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(12).cast("long").alias("frames"), F.lit("t").alias("title")))
+        album = f.groupBy("disc").agg(F.lit("t").alias("title"), F.lit("a").alias("artist"), F.lit("c").alias("catalog")).withColumn("tracks", tracks)
+        out = sink.write_images(f.join(album, "disc"), str("x"), 0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "REPARTITION_BY_COL" in plan.split("Union")[0]
+    assert sorted(r.disc for r in out.collect()) == list("01234")
