@@ -140,3 +140,15 @@ def test_batches_end_with_their_first_error(spark):
     assert all((got["t", i].payload is None) == (i < 32) for i in range(40)) and got["u", 0].payload is None
     tried = df.select("frame_no", dst.try_decode_dst("payload", "channels", "rate").alias("x")).where("frame_no = 4").first()
     assert bytes(tried.x.payload) == bytes(size)
+
+
+def test_many_frames_in_step(spark):
+    """Frames are coded in step by the thousand, from partitions of that size however few files they come from."""
+    size = dst.samples_per_frame(88200) // 8
+    frames = [(b"%d:" % i * size)[:size] for i in range(dst.FITTED * 2 + 3)]
+    coded = dst.encode(frames, 1, 88200)
+    assert [dst.encode([f], 1, 88200)[0] for f in frames] == coded and dst.decode(coded, 1, 88200) == frames
+    df = spark.createDataFrame([(i, 1, 88200, c) for i, c in enumerate(coded)], "frame_no int, channels int, rate int, payload binary").coalesce(1)
+    out = dst.dealt(df, 5000, "frame_no")
+    assert out.rdd.getNumPartitions() == 6 and dst.SIDE > 900
+    assert {bytes(r.x) for r in out.select(dst.decode_dst("payload", "channels", "rate").alias("x")).collect()} == set(frames)
