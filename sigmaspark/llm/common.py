@@ -72,20 +72,20 @@ def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None
     return counts.sparkSession.createDataFrame(found, counts.select(*keys).schema) if found else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", weight: str | None = None, salt: str | None = None, many: bool = False) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", weight: str | None = None, salt: str | None = None, many: bool = False, total: int | None = None) -> DataFrame:
     """Join on keys that may be hot in ``left``: rows of hot keys stay where they are and meet a broadcast.
 
     ``left`` is read more than once, so it should be a stored table. The hot keys are at most
     HOT_SHARE, and ``right`` has one row a key, so what is broadcast is bounded; where it may have
     ``many``, the hot keys' rows are counted, and beyond HOT_ROWS dealt too.
     ``weight`` names a column of ``right`` with the number of rows of ``left`` under its key;
-    without it they are counted. Where rows of ``right`` are large, ``salt`` names a column of
+    without it they are counted; ``total`` is the sum of these numbers, if it is known. Where rows of ``right`` are large, ``salt`` names a column of
     ``left`` by which hot keys are dealt instead, to ``SALTS`` copies of their rows of ``right``.
     ``how``: inner or left.
     """
     keys = [keys] if isinstance(keys, str) else keys
     if weight:
-        total = right.agg(F.sum(weight)).first()[0] or 0
+        total = (right.agg(F.sum(weight)).first()[0] or 0) if total is None else total
         hot = hot_keys(right.select(*keys, F.col(weight).alias("_m")), keys, total)
     else:
         hot = hot_keys(left.groupBy(*keys).agg(F.count("*").alias("_m")), keys, left.count())
@@ -126,11 +126,11 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     spark = edges.sparkSession
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = stored(cur, f"{path}/e0")
-    state = None
+    state, size = None, cur.count()
     for i in itertools.count(1):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-        large = spread_join(both, low, "u", weight="degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = spread_join(both, low, "u", weight="degree", total=2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(cur.select("u", "v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -139,6 +139,6 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         total = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if total == state:
             break
-        state = total
+        state, size = total, total[0]
     roots = cur.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return roots.union(roots.select(F.col("component").alias("node"), "component").distinct()).distinct()

@@ -36,7 +36,8 @@ DISCOUNT = 0.75
 APART = 8
 FEW = 20
 REJECT = 0.2
-CACHE = 300_000
+CACHE = 100_000  # words that a task keeps
+AT_ONCE = 10_000  # words that are looked up together
 WORDS = re.compile(r"[^\W\d_]+")
 START, STOP = "\x02", "\x03"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -179,8 +180,8 @@ class Scorer(dict):
         if self.new:
             if len(self) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((len(self), self.rows.shape[1]))])
-            for i in range(0, len(self.new), 50_000):
-                part = self.new[i : i + 50_000]
+            for i in range(0, len(self.new), AT_ONCE):
+                part = self.new[i : i + AT_ONCE]
                 self.rows[[self[w] for w in part]] = self.model.words(part)
             self.new = []
         out, m = [], self.model

@@ -52,7 +52,7 @@ AGREE = 0.62  # of sketch bins; 0.75 less 4.8 standard deviations
 BLOCK = 2048
 LIST = 256  # classes up to which a list is compared as one
 CROSS = 2_000_000  # pairs of different groups up to which a list is not split by a second coordinate
-SHORT = 512  # shingles up to which a set is compared whole before its pairs are retained
+SHORT = 512  # shingles up to which a set is compared whole before its pairs are retained; of two groups joined so, a task retains no more pairs
 _RNG = np.random.default_rng(20)
 MULT = _RNG.integers(1, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -122,12 +122,28 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / np.maximum(either, 1)
 
 
-def _may_link(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two short sets, as 32-bit hashes, come close enough; True where one isn't short. Leaves room for hashes that fall together."""
-    if not len(a) or not len(b):
-        return True
-    both = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * (both + 1) >= PERCENT * (len(a) + len(b) - both - 1)
+def _agreeing(sk: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketches of each a and its b agree well enough."""
+    ok = np.zeros(len(a), bool)
+    for s in range(0, len(a), 4096):
+        x, y = sk[a[s : s + 4096]], sk[b[s : s + 4096]]
+        either = ((x > 0) | (y > 0)).sum(1)
+        ok[s : s + 4096] = ((x == y) & (x > 0)).sum(1).astype(np.float32) / np.maximum(either, 1).astype(np.float32) >= AGREE
+    return ok
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two whole sets are similar enough."""
+    both = len(a) + len(b) - len(np.union1d(a, b)) if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) else 0
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _found(group: dict[int, int], x: int) -> int:
+    """The group that ``x`` has come to belong to."""
+    while (up := group.get(x, x)) != x:
+        group[x] = group.get(up, up)
+        x = up
+    return x
 
 
 def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int, float]]:
@@ -141,7 +157,7 @@ def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int,
         mate = np.full(len(rep), -1)
     else:
         kf = np.frombuffer(b"".join(cols["keys"]), np.uint32).reshape(-1, COORDS)
-        short = [np.frombuffer(x, np.uint32) for x in cols["short"]]
+        short, joined = [np.frombuffer(x, np.uint64) for x in cols["short"]], {}
     for at in range(0, len(first), 256):
         f = first[at : at + 256]
         ok = (comp[f][:, None] != comp[second][None, :]) & (4 * np.minimum(n[f][:, None], n[second][None, :]) >= 3 * np.maximum(n[f][:, None], n[second][None, :]))
@@ -149,15 +165,16 @@ def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int,
         if not len(rows):
             continue
         f, ok = f[rows], ok[rows]
-        est = np.where(ok, _agreement(sk[f], sk[second]), 0)
         if nearest:
+            est = np.where(ok, _agreement(sk[f], sk[second]), 0)
             for side, other, e in ((f, second, est), (second, f, est.T)):
                 k = e.argmax(1)
                 v = e[np.arange(len(side)), k]
                 better = v > best[side]
                 best[side[better]], mate[side[better]] = v[better], other[k[better]]
         else:
-            p, q = np.nonzero(est >= AGREE)
+            # Coordinates first: a pair counts in one of the lists it shares, so sketches are compared once, not in each.
+            p, q = np.nonzero(ok)
             p, q = f[p], second[q]
             if cols["i"][0] == cols["j"][0]:
                 p, q = p[p < q], q[p < q]
@@ -168,9 +185,17 @@ def _compare(cols: dict[str, np.ndarray], nearest: bool) -> list[tuple[int, int,
                 if cols["c2"][0] >= 0:
                     same[:, cols["c"][0]] = False
                     prefix &= same.argmax(1) == cols["c2"][0]
-                hit = np.flatnonzero(prefix)
-                hit = [h for h in hit if _may_link(short[a[h]], short[b[h]])]
-                out += zip(rep[a[hit]].tolist(), rep[b[hit]].tolist(), [1.0] * len(hit))
+                a, b = a[prefix], b[prefix]
+                ok = _agreeing(sk, a, b)
+                for u, v in zip(a[ok].tolist(), b[ok].tolist()):
+                    x, y = _found(joined, int(comp[u])), _found(joined, int(comp[v]))
+                    if x == y:  # groups that a link found here joins
+                        continue
+                    if len(short[u]) and len(short[v]):
+                        if not _linked(short[u], short[v]):
+                            continue
+                        joined[max(x, y)] = min(x, y)
+                    out.append((int(rep[u]), int(rep[v]), 1.0))
     if nearest:
         hit = np.flatnonzero((mate >= 0) & (best >= AGREE))
         out = list(zip(rep[hit].tolist(), rep[mate[hit]].tolist(), best[hit].tolist()))
@@ -289,7 +314,7 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
                 for b in batches:
                     every = [shingles(x) for x in b.column(2).to_pylist()]
                     mine = [hashlib.blake2b(m.tobytes(), digest_size=16).digest() == d for m, d in zip(every, b.column(1).to_pylist())]
-                    short = [np.unique(m.astype(np.uint32)).tobytes() if len(m) <= SHORT else b"" for m in every]
+                    short = [m.tobytes() if len(m) <= SHORT else b"" for m in every]
                     out = pa.RecordBatch.from_arrays([b.column(0), pa.array([m.tobytes() for m in every], pa.binary()), pa.array(short, pa.binary())], names=["node", "set", "short"])
                     yield out.filter(pa.array(mine, pa.bool_()))
 
@@ -304,11 +329,7 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
         def run(batches):
             for b in batches:
                 x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-                ok = []
-                for p, q in zip(x, y):
-                    p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                    both = len(p) + len(q) - len(np.union1d(p, q)) if 4 * min(len(p), len(q)) >= 3 * max(len(p), len(q)) else 0
-                    ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+                ok = [_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
         s = sets().select("node", "set")

@@ -131,3 +131,30 @@ def test_a_run_keeps_its_last_input_only(spark, sf):
     assert cp.run(spark, sf).count() > 20
     made = [Path(d.removeprefix("file:").replace("///", "/")) for d in common.made_dirs(spark)[before:]]
     assert [p.name for d in made if d.exists() for p in d.iterdir()] == ["3-decontamination"]
+
+
+def test_groups_are_joined_once_in_a_list():
+    """Between groups that a link joins, a list retains no further pairs; a link between two others is not lost."""
+    import numpy as np
+
+    from sigmaspark.llm import neardup as nd
+
+    base = np.arange(1, 200, dtype=np.uint64) * nd.GOLD
+    far = np.arange(1000, 1200, dtype=np.uint64) * nd.GOLD
+    sets = [np.unique(np.append(base, np.uint64(7 + i))) for i in range(60)] + [np.unique(np.append(far, np.uint64(9 + i))) for i in range(2)]
+    made = [nd.signature(m) for m in sets]
+    keys = [k.view(np.uint64).astype(np.uint32) for k, _ in made]
+    near, n = {}, len(sets)
+    for c in range(nd.COORDS):
+        cols = {
+            "rep": np.arange(n), "comp": np.array([i // 15 for i in range(60)] + [8, 9]), "n": np.array(list(map(len, sets))), "own": np.zeros(n, int), "i": np.zeros(n, int), "j": np.zeros(n, int), "c": np.full(n, c), "c2": np.full(n, -1),
+            "sketch": [s for _, s in made], "keys": [k.tobytes() for k in keys], "short": [m.tobytes() for m in sets],
+        }
+        for a, b, _ in nd._compare(cols, False):
+            near.setdefault(c, []).append((int(cols["comp"][a]), int(cols["comp"][b])))
+    assert all(len(x) <= 4 for x in near.values())
+    group: dict[int, int] = {}
+    for a, b in (p for x in near.values() for p in x):
+        a, b = nd._found(group, a), nd._found(group, b)
+        group[max(a, b)] = min(a, b)
+    assert [nd._found(group, x) for x in (0, 1, 2, 3, 8, 9)] == [0, 0, 0, 0, 8, 8]
