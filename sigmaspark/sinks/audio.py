@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import inspect
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigmaspark.sources.files import REVERSED, patch_head, put
+from sigmaspark.sources.files import REVERSED, Bytes, patch_head, put
+from sigmaspark.sources.shared import bounded_batches, stored
 
 BLOCK = 4096
 START, STOP, PROGRAM_START = 0, 1, 2  # fixed values: kinds of markers
@@ -253,13 +257,47 @@ def write_tracks(frames: DataFrame, folder: str, write: Callable[..., int], endi
     return _dealt(frames, track, [order], more).mapInArrow(run, "track string, path string, written long")
 
 
+PART = 1024  # frames of a track that are written as one part of an album
+
+
+def _parts(frames: DataFrame, folder: str, by: list[str], order: str, more: list[str]) -> DataFrame:
+    """Frames written in parts of ``PART`` numbers: rows (``by``, _block, ``more``, _part, _sizes, _bytes, _chunked, _count), so that an album's frames are never sorted in one task."""
+    rows = frames.select(*by, F.floor(F.col(order) / PART).cast("long").alias("_block"), order, "payload", *more)
+    key = [*by, "_block"]
+    shape = rows.select(*key, *more).schema.add("_part", "string").add("_sizes", T.ArrayType(T.IntegerType())).add("_bytes", "long").add("_chunked", "long").add("_count", "long")
+
+    def run(batches):
+        held: list[dict] = []
+
+        def flush():
+            sizes = [len(r["payload"]) for r in held]
+            path = f"{folder}/{uuid.uuid4().hex}.part"
+            put(path, (r["payload"] for r in held))
+            own = {c: held[0][c] for c in [*key, *more]}
+            row = own | {"_part": path, "_sizes": sizes, "_bytes": sum(sizes), "_chunked": sum(n + n % 2 + 12 for n in sizes), "_count": len(sizes)}
+            held.clear()
+            return pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(shape))
+
+        for b in batches:
+            for r in b.to_pylist():
+                if held and any(held[0][c] != r[c] for c in key):
+                    yield flush()
+                held.append(r)
+        if held:
+            yield flush()
+
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, order)
+    return stored(bounded_batches(dealt).mapInArrow(run, shape), f"{folder}/rows")
+
+
 def write_edit_masters(frames: DataFrame, folder: str, album: str = "album", position: str = "position", order: str = "frame_no", name: str | None = None) -> DataFrame:
     """One DSDIFF file per album with all its selected tracks in the order of ``position``: rows (album, path, tracks, written).
 
     The file has a program start at 0 and a start (with the track's ``title``) and a stop for each
     track, at a running count of samples. Each track's ``tag`` is stored in that order. Columns:
     ``album``, ``position``, ``frame_no``, channels, rate, payload, title, tag; ``name`` names a
-    column with the file's name, else it is the album's.
+    column with the file's name, else it is the album's. Frames are first written in parts beside the
+    files, under ``_parts``; an album's task streams them into its file, part by part.
     """
     starts = frames.groupBy(album, position).agg(F.first("title").alias("_title"), F.first("tag").alias("_tag"))
     text = F.octet_length(F.coalesce("_title", F.lit("")))
@@ -267,7 +305,10 @@ def write_edit_masters(frames: DataFrame, folder: str, album: str = "album", pos
     # Two markers of 34 bytes and the title, padded to even, and a padded chunk for the tag.
     extra = F.lit(68) + text + text % 2 + F.when(tag > 0, tag + tag % 2 + 12).otherwise(0)
     tails = starts.groupBy(album).agg((F.sum(extra) + 46).alias("_tail"))
-    more = ["title", "tag", "_tail"] + ([name] if name else [])
+    more = ["title", "tag"] + ([name] if name else [])
+    parts = _parts(frames, f"{folder}/_parts", [album, position], order, ["channels", "rate", *more])
+    sums = parts.groupBy(album).agg(F.sum("_bytes").alias("_bytes"), F.sum("_chunked").alias("_chunked"), F.sum("_count").alias("_count"))
+    rows = parts.select(album, position, "_block", "_part", "_sizes", "channels", "rate", *more).join(sums, album).join(tails, album)
 
     def run(batches):
         for first, own in _tracks(batches):
@@ -284,12 +325,18 @@ def write_edit_masters(frames: DataFrame, folder: str, album: str = "album", pos
                         marks.append(marker(at, first["rate"], START, r["title"] or ""))
                         if r["tag"]:
                             tags.append(chunk(b"ID3 ", r["tag"]))
-                    at += len(r["payload"]) // per * 8
-                    yield r["payload"]
+                    with Bytes(r["_part"]) as b:
+                        whole = b.at(0, b.size)
+                    at += len(whole) // per * 8
+                    begin = 0
+                    for size in r["_sizes"]:
+                        yield whole[begin : begin + size]
+                        begin += size
                 marks.append(marker(at, first["rate"], STOP))
 
             sizes = Sizes(first["_bytes"], first["_chunked"], first["_count"])
             written = write_dsdiff(path, payloads(), per, first["rate"], sizes=sizes, tail=lambda: diin(marks) + b"".join(tags), tail_bytes=first["_tail"])
             yield pa.RecordBatch.from_arrays([pa.array([str(first[album])]), pa.array([path]), pa.array([len(marks) // 2], pa.int64()), pa.array([written], pa.int64())], names=["album", "path", "tracks", "written"])
 
-    return _dealt(frames.join(tails, album), album, [position, order], more).mapInArrow(run, "album string, path string, tracks long, written long")
+    dealt = rows.repartition(album).sortWithinPartitions(album, position, "_block")
+    return dealt.mapInArrow(run, "album string, path string, tracks long, written long")

@@ -166,3 +166,20 @@ def test_names_with_spaces_and_marks(spark, tmp_path):
     got = spark.read.format("dsf").load(str(folder)).select("path").distinct().collect()
     assert sorted(r.path.rsplit("/", 1)[1] for r in got) == sorted(f"{n}.dsf" for n in ("a b", "c#d", "e%20f", "g?h", "ü 音"))
     assert spark.read.format("dsf").load(f"file://{folder}").count() == 10
+
+
+def test_edit_master_in_parts(spark, tmp_path, monkeypatch):
+    """An album's frames are written in parts, and only these are put in order by its task."""
+    from pyspark.sql import functions as F
+
+    from sigmaspark.sinks import audio
+    from sigmaspark.sources import dsdiff
+
+    monkeypatch.setattr(audio, "PART", 4)
+    f = spark.range(22).select(F.lit("a").alias("album"), (F.lit(2) - F.floor(F.col("id") / 11)).cast("int").alias("position"), (F.col("id") % 11).alias("frame_no"), F.lit(1).alias("channels"), F.lit(2822400).alias("rate"), F.rpad(F.lit(""), 4704, F.concat(F.col("id").cast("string"), F.lit(":"))).cast("binary").alias("payload"), F.lit("t").alias("title"), F.lit(b"tag").alias("tag"))
+    out = audio.write_edit_masters(f, str(tmp_path))
+    assert "payload" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.tracks) for r in out.collect()] == [2] and len(list((tmp_path / "_parts").glob("*.part"))) == 6
+    spark.dataSource.register(dsdiff.DsdiffSource)
+    got = [bytes(r.payload).split(b":")[0] for r in spark.read.format("dsdiff").load(str(tmp_path)).orderBy("frame_no").collect()]
+    assert got == [b"%d" % i for i in [*range(11, 22), *range(11)]]
