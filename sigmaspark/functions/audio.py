@@ -25,10 +25,16 @@ def samples_to_timecode(position: Column, rate: int) -> dict[str, Column]:
     return {"hours": quotient(seconds, 3600), "minutes": quotient(seconds, 60) % 60, "seconds": seconds % 60, "samples": position % rate}
 
 
+def two_digits(number: Column) -> Column:
+    """``%02d``, without a format to be parsed for each row."""
+    digits = number.cast("string")
+    return F.coalesce(F.when(number.between(0, 9), F.concat(F.lit("0"), digits)).otherwise(digits), F.lit("null"))
+
+
 def frames_to_msf(frames: Column) -> Column:
     """``mm:ss:ff`` with 75 frames a second."""
     seconds = quotient(frames, FRAMES_PER_SECOND)
-    return F.format_string("%02d:%02d:%02d", quotient(seconds, 60), seconds % 60, frames % FRAMES_PER_SECOND)
+    return F.concat(two_digits(quotient(seconds, 60)), F.lit(":"), two_digits(seconds % 60), F.lit(":"), two_digits(frames % FRAMES_PER_SECOND))
 
 
 def dsf_layout(frames: Column, channels: Column, tag_bytes: Column, virtual: bool = False) -> dict[str, Column]:
