@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,80 @@ def test_the_query_equals_the_replay_of_the_table(spark, sf):
         want += [(image, *g) for g in gone]
     got = sorted(tuple(r) for r in media.idle_evictions(spark, sf).collect())
     assert got == sorted(want) and len(got) > 10
+
+
+class Store:
+    """A state store with one value, a timer's times, and the calls made."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.calls += 1
+        self.timers.remove(t)
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_a_group_of_images_takes_few_calls_of_the_store():
+    rng = random.Random(3)
+    events = sorted((rng.randrange(4000), n, f"i{rng.randrange(200)}", rng.choice(["open", "use", "use", "close", "close"])) for n in range(3000))
+    store, got = Store(), []
+    images = idle.IdleImages(20)
+    images.init(store)
+    for since in range(0, 4000, 400):
+        batch = [(image, at, n, kind) for at, n, image, kind in events if since <= at < since + 400]
+        rng.shuffle(batch)
+        parts = [pd.DataFrame(batch[i::3], columns=["image", "at", "seq", "kind"]) for i in range(3)]
+        before = store.calls
+        got += images.handleInputRows((0,), iter(parts), Now(since))
+        if store.timers and min(store.timers) <= since + 399:
+            store.timers.discard(min(store.timers))
+            got += images.handleExpiredTimer((0,), Now(since + 399), None)
+        assert store.calls - before <= 8 and len(store.timers) <= 1
+    want = []
+    for image in {e[2] for e in events}:
+        state, gone = idle.replay(None, [(at, kind) for at, _, who, kind in events if who == image], 20)
+        if state and state[2] <= 0 and state[1] + 21 <= 3999:
+            gone.append((state[0], state[1] + 20, state[3]))
+        want += [(image, *g) for g in gone]
+    assert sorted(tuple(r) for df in got for r in df.itertuples(index=False)) == sorted(want) and len(want) > 500
+
+
+def test_one_group_or_many_give_the_same_spans(spark, tmp_path):
+    rng, minute = random.Random(4), 60_000
+    for b in range(3):
+        rows = [(f"i{rng.randrange(30)}", (1000 + b * 100) * minute + rng.randrange(100 * minute), n, rng.choice(["open", "use", "close", "close"])) for n in range(b * 300, b * 300 + 300)]
+        df = spark.createDataFrame([*rows, (None, (1000 + b * 100) * minute, 0, "use"), ("i1", None, 0, "use")], "image string, ms long, seq int, kind string").coalesce(1)
+        df.select("image", F.timestamp_millis("ms").alias("ts"), "seq", "kind").write.mode("append").parquet(str(tmp_path / "in"))
+    got = {}
+    for groups in (1, 1000):
+        with idle.state_store(spark):
+            s = spark.readStream.schema("image string, ts timestamp, seq int, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            out = str(tmp_path / f"out{groups}")
+            idle.evictions(s, 5 * minute, groups=groups).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_state").trigger(availableNow=True).start().awaitTermination()
+        got[groups] = sorted((r.image or "", *r[1:]) for r in spark.read.parquet(out).collect())
+    assert got[1] == got[1000] and len(got[1]) > 100 and ("", 1000 * minute, 1005 * minute, 1) in got[1]
