@@ -171,3 +171,9 @@ def test_a_cut_keeps_real_replacement_characters(spark):
         for (s,) in (tuple(r) for r in df.collect()):
             want.append(None if s is None else max((s[:k] for k in range(len(s) + 1) if len(s[:k].encode()) <= n), key=len))
         assert [r[0] for r in df.select(text.cut_bytes(F.col("s"), n)).collect()] == want
+
+
+@pytest.mark.parametrize(("n", "want"), [(16_383, "00007f7f"), (16_384, "00010000"), (899_999, "0036771f"), (2_097_152, "01000000"), (268_435_455, "7f7f7f7f")])
+def test_synchsafe_of_more_than_two_bytes(spark, n, want):
+    assert one(spark, n, "long", text.synchsafe) == int(want, 16)
+    assert one(spark, int(want, 16), "long", text.from_synchsafe) == n == id3._safe(bytes.fromhex(want))
