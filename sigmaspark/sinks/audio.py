@@ -202,7 +202,8 @@ def write_wav(path: str, payloads: Iterator[np.ndarray], channels: int, rate: in
 def write_wavs(pcm: DataFrame, folder: str, bits: int = 24, track: str = "track", order: str = "frame_no", samples: str = "pcm", info: dict[str, str] | None = None) -> DataFrame:
     """One WAV file per track from rows of interleaved samples (array<double>), channels and rate: rows (track, path, written)."""
     totals = pcm.groupBy(track).agg(F.sum(F.size(samples)).alias("_samples"))
-    dealt = pcm.join(totals, track).select(track, samples, "channels", "rate", "_samples", order).repartition(track).sortWithinPartitions(track, order)
+    # Dealt before the join: a shuffle after it, by the same key, is left out, and a join that turns into a broadcast reads its own shuffle in other parts.
+    dealt = pcm.repartition(track).join(totals, track).select(track, samples, "channels", "rate", "_samples", order).sortWithinPartitions(track, order)
 
     def run(batches):
         for first, own in _tracks(batches):
@@ -308,7 +309,8 @@ def write_edit_masters(frames: DataFrame, folder: str, album: str = "album", pos
     more = ["title", "tag"] + ([name] if name else [])
     parts = _parts(frames, f"{folder}/_parts", [album, position], order, ["channels", "rate", *more])
     sums = parts.groupBy(album).agg(F.sum("_bytes").alias("_bytes"), F.sum("_chunked").alias("_chunked"), F.sum("_count").alias("_count"))
-    rows = parts.select(album, position, "_block", "_part", "_sizes", "channels", "rate", *more).join(sums, album).join(tails, album)
+    # Dealt before the joins, as in ``write_wavs``.
+    rows = parts.select(album, position, "_block", "_part", "_sizes", "channels", "rate", *more).repartition(album).join(sums, album).join(tails, album)
 
     def run(batches):
         for first, own in _tracks(batches):
@@ -338,5 +340,5 @@ def write_edit_masters(frames: DataFrame, folder: str, album: str = "album", pos
             written = write_dsdiff(path, payloads(), per, first["rate"], sizes=sizes, tail=lambda: diin(marks) + b"".join(tags), tail_bytes=first["_tail"])
             yield pa.RecordBatch.from_arrays([pa.array([str(first[album])]), pa.array([path]), pa.array([len(marks) // 2], pa.int64()), pa.array([written], pa.int64())], names=["album", "path", "tracks", "written"])
 
-    dealt = rows.repartition(album).sortWithinPartitions(album, position, "_block")
+    dealt = rows.sortWithinPartitions(album, position, "_block")
     return dealt.mapInArrow(run, "album string, path string, tracks long, written long")

@@ -183,3 +183,22 @@ def test_edit_master_in_parts(spark, tmp_path, monkeypatch):
     spark.dataSource.register(dsdiff.DsdiffSource)
     got = [bytes(r.payload).split(b":")[0] for r in spark.read.format("dsdiff").load(str(tmp_path)).orderBy("frame_no").collect()]
     assert got == [b"%d" % i for i in [*range(11, 22), *range(11)]]
+
+
+def test_an_edit_master_is_written_by_one_task(spark, tmp_path, monkeypatch):
+    """Sums that turn out small are broadcast in the middle of the job, and the parts' shuffle may then be read map by map."""
+    from pyspark.sql import functions as F
+
+    from sigmaspark.sinks import audio
+
+    monkeypatch.setattr(audio, "PART", 4)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "2k", "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        f = spark.range(88).select((F.col("id") % 2).cast("string").alias("album"), F.floor(F.col("id") / 22).cast("int").alias("position"), F.floor(F.col("id") % 22 / 2).alias("frame_no"), F.lit(1).alias("channels"), F.lit(2822400).alias("rate"), F.rpad(F.lit(""), 4704, F.concat(F.col("id").cast("string"), F.lit(":"))).cast("binary").alias("payload"), F.lit("t").alias("title"), F.lit(b"tag").alias("tag"))
+        done = audio.write_edit_masters(f, str(tmp_path)).collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted((r.album, r.tracks, r.written) for r in done) == [("0", 4, 44 * 4704), ("1", 4, 44 * 4704)]

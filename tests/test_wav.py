@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sigmaspark.sinks import audio
 from sigmaspark.sources import wav
@@ -26,3 +27,24 @@ def test_a_file_that_is_cut_is_an_error(tmp_path):
     path.write_bytes(path.read_bytes()[:-10])
     with pytest.raises(ValueError, match="longer than the file"):
         list(wav.Reader(str(path)).read(Span(str(path))))
+
+
+def test_a_track_is_written_by_one_task(spark, tmp_path):
+    """Totals that turn out small are broadcast in the middle of the job, and the samples' shuffle may then be read map by map."""
+    x = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.col("id") * 64 + i) % 1000 - 500) / 512)
+    rows = spark.range(0, 4000, numPartitions=8).select((F.col("id") % 3).alias("track"), F.col("id").alias("frame_no"), F.lit(2).alias("channels"), F.lit(88200).alias("rate"), x.cast("array<double>").alias("pcm"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "20k", "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        done = audio.write_wavs(spark.read.parquet(f"{tmp_path}/rows"), f"{tmp_path}/out", 16).collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted(r.track for r in done) == ["0", "1", "2"]
+    for track in range(3):
+        path = f"{tmp_path}/out/{track}.wav"
+        got = np.concatenate([r["samples"] for b in wav.Reader(path).read(Span(path)) for r in b.to_pylist()])
+        want = np.concatenate([(np.arange(i * 64, i * 64 + 64) % 1000 - 500) / 512 for i in range(track, 4000, 3)])
+        assert np.array_equal(got, np.trunc(want * 32767).astype(np.int64))
