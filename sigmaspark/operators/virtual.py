@@ -101,24 +101,35 @@ def file_bytes(files: DataFrame, frames: DataFrame, rate: int = 2822400) -> Data
     def head(channels: pd.Series, frames: pd.Series, tag: pd.Series) -> pd.Series:
         return pd.Series([dsf_header(int(c), rate, int(n) * audio.FRAME_BYTES * 8, -(-int(n) * audio.FRAME_BYTES // audio.DSF_BLOCK) * audio.DSF_BLOCK * int(c), int(t), virtual=True) for c, n, t in zip(channels, frames, tag)])
 
-    @F.pandas_udf("binary")
-    def blocks(parts: pd.Series, wanted: pd.Series, channels: pd.Series) -> pd.Series:
-        out = []
-        for p, n, c in zip(parts, wanted, channels, strict=True):
-            sound = b"".join(dsf_blocks(iter(x["payload"] for x in p), int(c))) if p is not None and len(p) else b""
-            size = -(-int(n) * audio.FRAME_BYTES // audio.DSF_BLOCK) * audio.DSF_BLOCK * int(c)
-            out.append(sound + SILENCE * (size - len(sound)))  # a disc whose sound ends before its contents say
-        return pd.Series(out)
+    def blocks(batches: Iterator[pa.RecordBatch]):
+        for slot, own in _tracks(batches):
+            rows = own("piece")
+            next(rows)
+            if slot["no"] >= 0:  # frames past the end of the file's sound
+                for _ in rows:
+                    pass
+                continue
+            piece, channels = slot["piece"], slot["channels"]
+            sound = b"".join(dsf_blocks((r["payload"] for r in rows), channels))
+            size = -(-slot["wanted"] * audio.FRAME_BYTES // audio.DSF_BLOCK) * audio.DSF_BLOCK * channels
+            data = sound + SILENCE * (size - len(sound))  # a disc whose sound ends before its contents say
+            begin = piece["group"] * GROUP * audio.FRAME_BYTES * channels + audio.DSF_HEADER
+            columns = [pa.array([piece["path"]], pa.string()), pa.array([piece["area"]], pa.string()), *(pa.array([v], pa.int64()) for v in (piece["track"], begin)), pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "area", "track", "begin", "data"])
 
     tag = F.coalesce("tag", F.lit(b""))
     files = files.withColumn("tag", tag)
     heads = files.select(*key[:2], F.col("track").cast("long").alias("track"), F.lit(0).cast("long").alias("begin"), head(F.col("channels"), F.col("frames"), F.octet_length("tag")).alias("data"))
     tails = files.where(F.octet_length("tag") > 0).select(*key[:2], F.col("track").cast("long").alias("track"), (F.col("audio_bytes") + audio.DSF_HEADER).cast("long").alias("begin"), F.col("tag").alias("data"))
-    held = frames.withColumn("group", audio.quotient(F.col("frame_no"), GROUP)).groupBy(*key, "group").agg(F.array_sort(F.collect_list(F.struct("frame_no", "payload"))).alias("parts"))
+    piece = F.struct(*key[:2], F.col("track").cast("long").alias("track"), F.col("group")).alias("piece")
     slots = files.where("frames > 0").select(*key, "channels", F.col("frames").cast("long").alias("frames"), F.explode(F.sequence(F.lit(0).cast("long"), audio.quotient(F.col("frames") - 1, GROUP))).alias("group"))
     wanted = F.least(F.lit(GROUP), F.col("frames") - F.col("group") * GROUP)
-    begin = F.col("group") * (GROUP * audio.FRAME_BYTES) * F.col("channels") + audio.DSF_HEADER
-    sound = bounded_batches(slots.join(held, [*key, "group"], "left")).select(*key[:2], F.col("track").cast("long").alias("track"), begin.cast("long").alias("begin"), blocks("parts", wanted, "channels").alias("data"))
+    # What a piece needs comes before its frames, and these are streamed: no list of them is held.
+    first = slots.select(piece, F.lit(-1).cast("long").alias("no"), F.col("channels").cast("int").alias("channels"), wanted.cast("int").alias("wanted"), F.lit(None).cast("binary").alias("payload"))
+    none = F.lit(None).cast("int")
+    rows = frames.withColumn("group", audio.quotient(F.col("frame_no"), GROUP)).select(piece, F.col("frame_no").cast("long").alias("no"), none.alias("channels"), none.alias("wanted"), "payload")
+    dealt = first.unionByName(rows).repartition("piece").sortWithinPartitions("piece", "no", "payload")
+    sound = bounded_batches(dealt).mapInArrow(blocks, "path string, area string, track long, begin long, data binary")
     return heads.unionByName(sound).unionByName(tails)
 
 

@@ -76,3 +76,26 @@ def test_writes_to_virtual_files(spark):
     files = spark.createDataFrame([(x, 10) for x in "abc"], "f string, tag_begin long")
     got = {r.f: (r.accepted, None if r.tag is None else bytes(r.tag)) for r in virtual.apply_writes(w, files, ["f"]).collect()}
     assert got == {"a": (15, b"cdeXY\0\0\0\0\0end"), "b": (2, None), "c": (1, b"\0\0Q")}
+
+
+def test_pieces_are_streamed_from_their_frames(spark):
+    """No list of a piece's frames is held, and frames in groups past a file's end are left out."""
+    frames = [bytes((i * 3 + k) % 249 for k in range(9408)) for i in range(400)]
+    f = spark.createDataFrame([("p", "stereo", 1, i, x) for i, x in enumerate(frames)], "path string, area string, track int, frame_no long, payload binary")
+    areas = spark.createDataFrame([("p", "stereo", 2)], "path string, area string, channels int")
+    t = spark.createDataFrame([("p", "stereo", 1, 256, "T", None)], "path string, area string, track int, frames long, title string, performer string")
+    pieces = virtual.file_bytes(virtual.entries(t, areas).withColumn("tag", F.lit(None).cast("binary")), f)
+    assert "collect_list" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    whole = b"".join(bytes(r.data) for r in pieces.orderBy("begin").collect())
+    assert whole[92:] == b"".join(sink.dsf_blocks(iter(frames[:256]), 2))
+
+
+def test_silence_keeps_no_pieces(spark, sf, monkeypatch):
+    """Pieces are summed up as they are made, not stored and read again many at a time; sound is made from vectors that are in order already."""
+    from sigmaspark.plans import media
+
+    kept = []
+    monkeypatch.setattr(media, "stored", lambda df, path: kept.append(path) or df)
+    plan = media.virtual_silence(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = {k: [len(x) - len(x.lstrip(" :+-")) for x in plan if k in x] for k in ("rpad", "Window [")}
+    assert not kept and max(depth["rpad"]) < min(depth["Window ["])
