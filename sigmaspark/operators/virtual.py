@@ -128,7 +128,9 @@ def file_bytes(files: DataFrame, frames: DataFrame, rate: int = 2822400) -> Data
     first = slots.select(piece, F.lit(-1).cast("long").alias("no"), F.col("channels").cast("int").alias("channels"), wanted.cast("int").alias("wanted"), F.lit(None).cast("binary").alias("payload"))
     none = F.lit(None).cast("int")
     rows = frames.withColumn("group", audio.quotient(F.col("frame_no"), GROUP)).select(piece, F.col("frame_no").cast("long").alias("no"), none.alias("channels"), none.alias("wanted"), "payload")
-    dealt = first.unionByName(rows).repartition("piece").sortWithinPartitions("piece", "no", "payload")
+    # By a fixed number: partitions are merged by their compressed bytes otherwise, and sound may compress a hundredfold.
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.unionByName(rows).repartition(n, "piece").sortWithinPartitions("piece", "no", "payload")
     sound = bounded_batches(dealt).mapInArrow(blocks, "path string, area string, track long, begin long, data binary")
     return heads.unionByName(sound).unionByName(tails)
 
